@@ -52,8 +52,14 @@ def links(fps: DataFrame, heavy: int = 256) -> DataFrame:
     halves = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
     key = lambda side, value: value + F.lit(side << 32)
     index = fps.select("fp", F.explode(F.array(*(F.struct(key(i, h).alias("key"), halves[1 - i].alias("other")) for i, h in enumerate(halves)))).alias("x")).select("fp", "x.*")
-    balls = [F.transform(F.filter(F.sequence(F.lit(-1), F.lit(31)), lambda i, h=h: (i < 0) | (F.call_function("shiftright", h, i).bitwiseAND(F.lit(1)) == 0)), lambda i, h=h, s=s: F.struct(key(s, h + F.when(i < 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("key"), (i < 0).alias("same"), halves[1 - s].alias("other"))) for s, h in enumerate(halves)]
-    probes = fps.select("fp", F.explode(F.concat(*balls)).alias("x")).select("fp", "x.*")
+
+    def ball(side: int):
+        half, other = halves[side], halves[1 - side]
+        unset = lambda i: (i < 0) | (F.call_function("shiftright", half, i).bitwiseAND(F.lit(1)) == 0)
+        bit = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i))
+        return F.transform(F.filter(F.sequence(F.lit(-1), F.lit(31)), unset), lambda i: F.struct(key(side, half + bit(i)).alias("key"), (i < 0).alias("same"), other.alias("other")))
+
+    probes = fps.select("fp", F.explode(F.concat(ball(0), ball(1))).alias("x")).select("fp", "x.*")
     crowded = index.groupBy("key").count().where(F.col("count") > heavy).select(F.col("key").alias("_key"))
 
     def spread(df: DataFrame) -> DataFrame:
