@@ -51,3 +51,12 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, to)
+
+
+def sampled(df: DataFrame, label: str, most: int) -> DataFrame:
+    """About `most` rows of each label (all, if there are fewer), chosen by a hash of doc_id."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+    share = F.lit(0)
+    for value, n in counts.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1 << 20, int(most / n * (1 << 20))))).otherwise(share)
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share) if counts else df.limit(0)
