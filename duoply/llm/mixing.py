@@ -90,6 +90,7 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
         x = np.where(done, x, np.where((newton > low) & (newton < high), newton, (low + high) / 2))
 
     rated = light.withColumns({"known": known, "name": key}).join(multipliers(), ["known", "name"]).withColumn("rate", rate).withColumn("copies", F.lit(0).cast("long"))
+    kind = dict(docs.dtypes)["doc_id"]
     salted = rated.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size"), "blocks"))
     out = ["source", "doc_id", "size", "n_rows", "source_size", "target", "rate", "copies"]
 
@@ -102,7 +103,9 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
             left = want - copies[-1] * size
         return pdf.assign(copies=copies)[out]
 
-    return salted.groupBy("known", "name", "_block").applyInPandas(rounded, rated.select(out).schema)
+    named = salted.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, ids beside a null keep all digits in pandas
+    done = named.groupBy("known", "name", "_block").applyInPandas(rounded, named.select(out).schema)
+    return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
