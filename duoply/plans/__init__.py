@@ -1,7 +1,7 @@
 """Registered queries with their oracles, by group of operators."""
 
-from duoply.plans import columns, readings
+from duoply.plans import columns, linkage, readings
 
 FLAGSHIP = "jn01_merge_two_readings"
-QUERIES = {k: f for m in (columns, readings) for k, f in m.QUERIES.items()}
-ORACLES = {k: s for m in (columns, readings) for k, s in m.ORACLES.items()}
+QUERIES = {k: f for m in (columns, readings, linkage) for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in (columns, readings, linkage) for k, s in m.ORACLES.items()}
