@@ -133,14 +133,14 @@ def src07_read_roster_csv(spark, sf_dir):
     return G.read_roster_csv(spark, path)
 
 
-@query("SELECT file_id FROM files WHERE file_id % 400 = 0", "files")
+@query("SELECT file_id % 40 AS folder, 1::BIGINT AS n, true AS has_bytes FROM files GROUP BY ALL", "files")
 def src09_file_inventory(spark, sf_dir):
-    """A folder a file id, each with one scan and one text; only scans are listed."""
-    f = view(spark, sf_dir, "files").where("file_id % 400 = 0").select("file_id", F.lit("x").alias("value"))
+    """Forty folders of names, one file each; the listing gives every file once, without reading it."""
+    f = view(spark, sf_dir, "files").select((F.col("file_id") % 40).alias("folder"), F.col("path").alias("value"))
     path = new_folder(spark)
-    f.withColumn("kind", F.lit("scan")).write.partitionBy("file_id", "kind").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return found.select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"))
+    f.repartition("folder").write.partitionBy("folder").text(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "length")
+    return found.groupBy(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder")).agg(F.count("*").alias("n"), F.bool_and(F.col("length") > 0).alias("has_bytes"))
 
 
 @query("SELECT file_id, CASE WHEN path LIKE '%Round %' THEN 'round' ELSE 'crosstable' END AS kind FROM (SELECT file_id, split_part(path, '/', 2) AS path FROM files)", "files")
