@@ -302,7 +302,7 @@ def agg07_piece_clusters(spark, sf_dir):
     return c.groupBy("game_id", (F.col("ply") % 2).alias("half"), "piece").agg(F.count("*").alias("n"), F.min("ply").alias("first_ply"), plies.alias("plies")).where("n >= 2")
 
 
-@query(f"WITH {TOPS}, {simple_noise('tp')} SELECT game_id, count_if(coalesce(conf, 1) < 0.8)::BIGINT - CASE WHEN game_id IN (SELECT game_id FROM r WHERE start IS NOT NULL) THEN 1000 ELSE 0 END AS difficulty FROM tp GROUP BY ALL")
+@query(f"WITH {TOPS}, {simple_noise('tp')} SELECT game_id, d - CASE WHEN game_id IN (SELECT game_id FROM r WHERE start IS NOT NULL) THEN 1000 ELSE 0 END AS difficulty FROM (SELECT game_id, count_if(coalesce(conf, 1) < 0.8)::BIGINT AS d FROM tp GROUP BY game_id)")
 def agg08_difficulty(spark, sf_dir):
     t = top_rows(spark, sf_dir)
     noise = D.simple_tail_noise(t).select("game_id").distinct().withColumn("noisy", F.lit(1000))

@@ -20,7 +20,7 @@ def duck():
 
 
 def text(v) -> str:
-    if v is None or v is pd.NaT or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "NULL"
     return str(v) if isinstance(v, (bool, str)) or type(v).__name__ == "bool" else f"{float(v):.5f}" if hasattr(v, "__float__") else str(v)
 
