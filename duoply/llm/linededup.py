@@ -9,7 +9,9 @@
 3. Only lines that the second filter knows are shuffled, as 16-byte digests:
    a grouped minimum and maximum of doc_id confirms a repeat and chooses the
    document that keeps it (pre-aggregated, so a line of a third of all
-   documents is a few rows for each task).
+   documents is a few rows for each task). The at most 1000 lines that more
+   than a thousandth of the suspects share are broadcast to find their
+   documents; the others are joined by digest.
 4. The digests to drop join their documents, and the texts are rebuilt.
 """
 
@@ -119,8 +121,11 @@ def dedup_lines(docs: DataFrame, least: int = 10, filter_bits: int = 1 << 27) ->
         return {"doc_id": [ids[owner[i]] for i in found], "line": [_digest(keys[i]) for i in found]}
 
     suspects = saved(by_batch(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), suspect, f"doc_id {dict(docs.dtypes)['doc_id']}, line binary"))
-    repeats = suspects.groupBy("line").agg(F.min("doc_id").alias("_keeper"), F.max("doc_id").alias("_last")).where("_keeper < _last")
-    drops = suspects.join(repeats, "line").where("doc_id > _keeper").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
+    repeats = saved(suspects.groupBy("line").agg(F.min("doc_id").alias("_keeper"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("_keeper < _last").select("line", "_keeper", "_n"))
+    often = F.col("_n") > max(1000, suspects.count() // 1000)  # so at most 1000 lines are; these are broadcast, and no task gets all their documents
+    common = F.broadcast(repeats.where(often).drop("_n"))
+    found = suspects.join(common, "line").union(suspects.join(common, "line", "left_anti").join(repeats.where(~often).drop("_n"), "line"))
+    drops = found.where("doc_id > _keeper").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def rebuilt(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
