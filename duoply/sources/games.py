@@ -66,7 +66,7 @@ def unpivot_crosstable(players: DataFrame, rounds: int) -> DataFrame:
 
     from duoply.functions.records import oriented_result
 
-    cells = F.array(*(F.struct(F.lit(r).alias("round"), F.col(f"opp{r}").alias("opponent"), F.col(f"col{r}").alias("color"), F.col(f"res{r}").alias("cell")) for r in range(1, rounds + 1)))
+    cells = F.array(*(F.struct(F.lit(r).cast("long").alias("round"), F.col(f"opp{r}").alias("opponent"), F.col(f"col{r}").alias("color"), F.col(f"res{r}").alias("cell")) for r in range(1, rounds + 1)))
     t = players.select("number", F.explode(cells).alias("c")).select("number", "c.*").where(F.lower("color").isin("w", "b") & F.col("opponent").isNotNull())
     white = F.lower(F.col("color")) == "w"
     t = t.select("round", F.when(white, F.col("number")).otherwise(F.col("opponent")).alias("white"), F.when(white, F.col("opponent")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"), "number")
