@@ -70,7 +70,9 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
     schema = "known boolean, name string, x double, mean double, target double, source_size long, blocks long"
 
     def multipliers() -> DataFrame:
-        return spark.createDataFrame([(r.known, r.name, float(a), float(m), float(t), int(r.words), int(-(-r.docs // block))) for r, a, m, t in zip(rows, x, mean, target)], schema)
+        """A row a source: broadcast up to 10,000 rows (under 1 MB), so that no task gets all rows of one source; joined by source beyond."""
+        few = F.broadcast if len(rows) <= 10_000 else lambda df: df
+        return few(spark.createDataFrame([(r.known, r.name, float(a), float(m), float(t), int(r.words), int(-(-r.docs // block))) for r, a, m, t in zip(rows, x, mean, target)], schema))
 
     tilt = F.exp(F.greatest(F.least(-F.col("x") * F.col("size") / F.col("mean"), F.lit(700.0)), F.lit(-700.0)))
     rate = F.lit(float(cap)) / (1 + (cap - 1) * tilt)
