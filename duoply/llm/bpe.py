@@ -80,7 +80,10 @@ NEXT = STEP & 31
 
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point. Where Python's and regex's versions of Unicode differ, the tokenizers library is asked for its own."""
+    import regex
+    from tokenizers.pre_tokenizers import ByteLevel
+
     out = np.full(0x110000, OTHER, dtype=np.uint8)
     for cp in range(0x110000):
         kind = unicodedata.category(chr(cp))[0]
@@ -88,6 +91,14 @@ def classes() -> np.ndarray:
             out[cp] = LETTER
         elif kind == "N":
             out[cp] = NUMBER
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+    newer = np.full(0x110000, OTHER, dtype=np.uint8)
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        newer[[m.start() for m in regex.finditer(pattern, every)]] = kind
+    cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for cp in np.flatnonzero(newer != out).tolist():
+        c = every[cp]
+        out[cp] = LETTER if len(cut(f"b{c}")) == 1 else NUMBER if len(cut(f"1{c}")) == 1 else OTHER
     out[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
     out[32], out[39] = SPACE, APOSTROPHE
     for letters, kind in (("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):

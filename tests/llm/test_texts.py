@@ -35,7 +35,7 @@ def ids(library, texts):
 
 def test_transducer_counts_and_ids(library, compiled):
     rng = random.Random(5)
-    bits = ["'s", "'re", "'ll", "'ve", "'", " ", "  ", "\n", "\t", "the", " and", "Straße", "12", "!", "é", "<|endoftext|>", "中文", "😀", "x" * 40, " ", "r", "e", "l"]
+    bits = ["\u1c89a", "\U00016100", "'s", "'re", "'ll", "'ve", "'", " ", "  ", "\n", "\t", "the", " and", "Straße", "12", "!", "é", "<|endoftext|>", "中文", "😀", "x" * 40, " ", "r", "e", "l"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 300))) for _ in range(300)] + [None, "", "a" * 5000, " " * 700, "'l", "a'r"]
     want = ids(library, texts)
     assert compiled.counts(texts).tolist() == [len(x) for x in want]
