@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duoply.llm.common import by_batch
 from duoply.llm.textblock import BLANK, follow, words
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,16 +33,16 @@ def exploded(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.n
     return text, h
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, so that leading zeros stand together."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """64-bit integers byte plane by byte plane, compressed: planes of zeros vanish."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+def unpacked(blob: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, n_words, log_score, score, n_unseen) of every whole text.
 
     Words are runs of non-blanks, lower-cased. Counts are those of all other
@@ -58,35 +60,45 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: in
     shards = 1 << max(5, int(blocks - 1).bit_length())
     shift = np.uint64(64 - (shards.bit_length() - 1))
     kind = dict(docs.dtypes)["doc_id"]
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    plain = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def pressed(batch):  # the texts move once, compressed
+        press = zstandard.ZstdCompressor(level=3).compress
+        return {"doc_id": batch.column(0), "text": [press((x or "").encode()) for x in batch.column(1).to_pylist()], "block": batch.column(2)}
+
+    def texts(t) -> list[str]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        return [open_(x).decode() for x in t["text"].to_pylist()]
+
+    dealt = by_batch(plain, pressed, f"doc_id {kind}, text binary, block int")
 
     def send(key, t):
-        _, grams = exploded(t["text"].to_pylist(), order)
+        _, grams = exploded(texts(t), order)
         out = {k: [] for k in ("block", "gram", "shard", "keys", "counts")}
         for k, h in enumerate(grams):
             names, n = np.unique(h[h != 0], return_counts=True)
             shard, first = np.unique((names >> shift).astype(np.int64), return_index=True)
             for s, a, b in zip(shard.tolist(), first.tolist(), [*first[1:].tolist(), len(names)]):
-                for column, v in zip(out, (key[0].as_py(), k, s, packed(names[a:b]), n[a:b].astype(np.int32).tobytes())):
+                for column, v in zip(out, (key[0].as_py(), k, s, packed(np.diff(names[a:b], prepend=np.uint64(0))), packed(n[a:b].astype(np.int64)))):
                     out[column].append(v)
         return pa.table(out, schema=pa.schema([("block", pa.int32()), ("gram", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def answer(t):
-        keys = [unpacked(b) for b in t["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in t["counts"].to_pylist()])
+        keys = [np.cumsum(unpacked(b, np.uint64)) for b in t["keys"].to_pylist()]
+        counts = np.concatenate([unpacked(b) for b in t["counts"].to_pylist()])
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, weights=counts).astype(np.int64)[back]
-        return pa.table({"block": t["block"], "gram": t["gram"], "shard": t["shard"], "sums": [x.tobytes() for x in np.split(sums, np.cumsum([len(k) for k in keys])[:-1])]})
+        return pa.table({"block": t["block"], "gram": t["gram"], "shard": t["shard"], "sums": [packed(x) for x in np.split(sums, np.cumsum([len(k) for k in keys])[:-1])]})
 
     def join(key, own, answers):
-        text, grams = exploded(own["text"].to_pylist(), order)
+        text, grams = exploded(texts(own), order)
         n_docs = own.num_rows
         blobs = sorted(zip(answers["gram"].to_pylist(), answers["shard"].to_pylist(), answers["sums"].to_pylist()))
         counts = []
         for k, h in enumerate(grams):  # what other documents have of each n-gram, at each word
             here = np.flatnonzero(h != 0)
             _, back = np.unique(h[here], return_inverse=True)
-            sums = np.frombuffer(b"".join(b for g, _, b in blobs if g == k), dtype=np.int64)
+            sums = np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(b) for g, _, b in blobs if g == k)])
             _, pair, own_n = np.unique(back * n_docs + text[here], return_inverse=True, return_counts=True)
             c = np.zeros(len(h), dtype=np.int64)
             c[here] = sums[back] - own_n[pair]

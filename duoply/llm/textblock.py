@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 1 << 22
+SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Bytes that stand between words: white space only, or all ASCII but letters and digits.
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -51,7 +51,7 @@ def _slice(held: list[bytes], first: int, between: np.ndarray):
     gap = between[data]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(23, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
     total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
     h = (total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))) * down[start] if len(start) else np.zeros(0, dtype=np.uint64)
     text = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), start, side="right")
