@@ -18,6 +18,8 @@ from duoply.llm.common import by_batch, held_out, sampled
 
 BITS, SCALE, SLICE = 16, 30.0, 1 << 20
 UNKNOWN = "und"
+#: With fewer documents to calibrate with, no text with a letter is called foreign; a text is strange from so many times the rarity of the strangest taught one.
+ENOUGH, STRANGE = 20, 1.25
 
 
 @lru_cache(maxsize=1)
@@ -126,30 +128,54 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float):
+    """`rarity` is the inverse document frequency of each slot; texts less sure than `least`, or of a mean rarity over `strangest`, are in none of the languages."""
+
+    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, rarity: np.ndarray, least: float, strangest: float):
         self.labels, self.table, self.bias, self.heat = labels, table, bias, heat
+        self.rarity, self.least, self.strangest = rarity, least, strangest
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Label and calibrated probability; `und` and 0 where a text has no letter."""
-        total, n = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts), dtype=np.int64)
+    def _means(self, texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean row of table over the n-grams of each text, and its letters."""
+        total, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), dtype=np.int64)
         for text, slots in grams(texts):
             if not len(text):
                 continue
             first = np.flatnonzero(np.diff(text, prepend=-1))
-            sums = self.table[slots[0]]
+            sums = table[slots[0]]
             for more in slots[1:]:
-                sums += self.table[more]
+                sums += table[more]
             np.add.at(total, text[first], np.add.reduceat(sums, first, axis=0))
             np.add.at(n, text[first], np.diff(np.append(first, len(text))))
+        return total / np.maximum(3 * n, 1)[:, None], n
+
+    def _probabilities(self, means: np.ndarray) -> np.ndarray:
+        return _softmax((means * SCALE + self.bias) / self.heat)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Label and calibrated probability; `und` and 0 where a text has no letter."""
         if not self.labels:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        p = _softmax((total / np.maximum(3 * n, 1)[:, None] * SCALE + self.bias) / self.heat)
+        means, n = self._means(texts, self.table)
+        p = self._probabilities(means)
         best = p.argmax(axis=1)
         return [self.labels[b] if m else UNKNOWN for b, m in zip(best, n)], np.where(n > 0, p[np.arange(len(texts)), best], 0.0)
 
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """True where a text has a letter and may be in one of the languages; where no label was learned, a letter is enough."""
+        means, n = self._means(texts, np.column_stack([self.table, self.rarity]))
+        if not self.labels:
+            return n > 0
+        return (n > 0) & (self._probabilities(means[:, :-1]).max(axis=1) >= self.least) & (means[:, -1] <= self.strangest)
+
 
 def fit(learn: DataFrame, label: str = "lang", most: int = 1500) -> Model:
-    """A model from rows (doc_id, text, label). Document frequencies count all rows; weights and temperature come from about `most` whole texts of each label, the bound of what the driver holds."""
+    """A model from rows (doc_id, text, label). Document frequencies count all rows; weights, temperature and the limits of what is known come from about `most` whole texts of each label, the bound of what the driver holds.
+
+    The least probability lies over that of a blind guess by an eighth of what
+    the least sure calibration document has over it; the greatest rarity is
+    STRANGE times that of the strangest document, each without its own share
+    in the document frequencies.
+    """
     learn = learn.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     df, n = _document_frequency(learn)
     idf = np.log((n + 1) / (df + 1)) + 0.05
@@ -170,15 +196,20 @@ def fit(learn: DataFrame, label: str = "lang", most: int = 1500) -> Model:
     rows = by_batch(picked, features, f"doc_id {dict(learn.dtypes)['doc_id']}, label string, slots binary, counts binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.slots))
     labels = sorted({r.label for r in rows})
-    data = []
+    data, strange = [], [0.0]
     for r in rows:
         slots, counts = np.frombuffer(r.slots, dtype=np.int32), np.frombuffer(r.counts, dtype=np.int32)
+        strange.append(float(counts / max(1, counts.sum()) @ (np.log(n / np.maximum(df[slots], 1)) + 0.05)))
         data.append((labels.index(r.label), slots, counts / max(1, counts.sum()) * idf[slots] * SCALE))
     check = [k % 5 == 0 for k in range(len(data))]
     w = ftrl([d for d, c in zip(data, check) if not c] or data, max(1, len(labels)))
     scores = np.array([np.append(v, 1.0) @ w[np.append(s, 1 << BITS)] for (_, s, v), c in zip(data, check) if c])
     heat = temperature(scores, np.array([y for (y, _, _), c in zip(data, check) if c])) if len(labels) > 1 else 1.0
-    return Model(labels, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], heat)
+    least, strangest = 0.0, np.inf
+    if len(scores) >= ENOUGH:
+        least = (7 / len(labels) + float(_softmax(scores / heat).max(axis=1).min())) / 8
+        strangest = STRANGE * max(strange)
+    return Model(labels, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], heat, idf.astype(np.float32), least, strangest)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from duoply.llm import simhash
+from duoply.llm import langid, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,21 @@ def test_awkward_rows(spark, documents, no_documents):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_language_stage_drops_texts_of_no_language_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Ελληνικό κείμενο για δοκιμή", "这是一个中文句子", "Это русский текст для проверки", "日本語のテキストです", "عربي نص", "xkcd qzw vbrt kjhg zxcv", "QkFTRTY0IGVuY29kZWQgZGF0YSBsb29rcyBsaWtl", "12 !!", "", None]
+    extra = spark.createDataFrame([(-1 - k, x, None, "x", 1) for k, x in enumerate(foreign)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.identify_language(spark, docs.unionByName(extra.select(docs.columns)), SF).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    clean = {r.doc_id for r in docs.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(clean) > 200 and clean <= kept
+
+
+def test_language_stage_without_labels_keeps_texts_with_a_letter(spark, documents):
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    lettered = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert lettered == 9
+    assert P.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).count() == lettered
+    assert P.identify_language(spark, docs, SF).count() == lettered
