@@ -126,3 +126,29 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     found = components(edges)
     named = classes.join(found, F.col("first") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "first").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of docs.
+
+    Groups are those of the texts: rows are linked by their fingerprints alone,
+    so rows that share a doc_id but not a text are in different groups, each
+    with a survivor, and rows without a doc_id are linked like all others. The
+    row with the smallest doc_id stays, one without only if no row of the group
+    has one; between rows of one doc_id the digest of the whole row decides.
+    """
+    cells = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
+    marked = docs.withColumns({"_x": F.xxhash64(F.lit(1), *cells), "_y": F.xxhash64(F.lit(2), *cells)})
+
+    @F.pandas_udf("long")
+    def fp(text: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_of(x, words) for x in text], dtype="int64")
+
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y")
+    classes = saved(marked.select(fp("text").alias("fp"), rank.alias("row")).groupBy("fp").agg(F.min("row").alias("row")))
+    pairs = links(classes.select("fp"))
+    found = components(pairs)
+    grouped = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "row")
+    keep = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row._x").alias("_keep_x"), F.col("row._y").alias("_keep_y"))
+    rows = marked.join(keep, (F.col("_x") == F.col("_keep_x")) & (F.col("_y") == F.col("_keep_y")), "left_semi")
+    return rows.dropDuplicates(["_x", "_y"]).select(docs.columns)

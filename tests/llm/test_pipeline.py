@@ -58,3 +58,14 @@ def test_language_stage_without_labels_keeps_texts_with_a_letter(spark, document
     assert lettered == 9
     assert P.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).count() == lettered
     assert P.identify_language(spark, docs, SF).count() == lettered
+
+
+def test_simhash_stage_keeps_a_row_of_each_group(spark, documents):
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    unique, other = "nothing else here has these few words", "another text under an id that was given before"
+    odd = [(1, unique), (None, unique), (7, other), (7, other), (None, "no id and no copy"), (None, "no id and no copy"), (None, "Plain words of one document\nthis line stands in several documents"), (20, None), (None, " ")]
+    docs = docs.unionByName(spark.createDataFrame([(i, x, "en", "a", 1) for i, x in odd], docs.schema))
+    got = Counter((r.doc_id, (r.text or "")[:20]) for r in P.dedup_documents(spark, docs, SF).collect())
+    text = {r.doc_id: (r.text or "")[:20] for r in documents.where("doc_id is not null").collect()}
+    want = [(i, text[i]) for i in (1, 2, 5, 7, 8, 10, 12)] + [(1, unique[:20]), (7, other[:20]), (None, "no id and no copy"), (None, "this line stands in ")]
+    assert got == Counter(want)
