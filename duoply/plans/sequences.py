@@ -57,9 +57,11 @@ def seq06_auto_apply_edits(spark, sf_dir):
 
 @query()
 def seq07_capture_edits(spark, sf_dir):
+    """What the last tenth of each game's edits (at least one) changed: a snapshot before it against the whole replay."""
     e = view(spark, sf_dir, "edits")
-    before, after = A.replay(e.where("seq <= 40"))[0], A.replay(e.where("seq <= 44"))[0]
-    return A.capture(before, after)
+    last = e.groupBy(F.col("game_id").alias("_game")).agg((F.max("seq") - F.ceil(F.max("seq") / 10)).alias("_saved"))
+    before = e.join(last, F.col("game_id") == F.col("_game")).where("seq <= _saved").drop("_game", "_saved")
+    return A.capture(A.replay(before)[0], A.replay(e)[0])
 
 
 @query()

@@ -180,3 +180,23 @@ def test_partitioning_changes_nothing(spark, name, monkeypatch):
     original = fixtures.view
     monkeypatch.setattr(readings, "view", lambda *a: original(*a).repartition(17))
     assert sorted(map(tuple, f(spark, SF).collect())) == want
+
+
+def test_captured_edits_reach_the_end_of_each_game(spark):
+    """Applied by hand, edit by edit: what the last tenth of the edits removed and added."""
+    games, want = {}, {}
+    for r in fixtures.view(spark, SF, "edits").orderBy("game_id", "seq").collect():
+        games.setdefault(r.game_id, []).append(r)
+    for game, edits in games.items():
+        ids, shots = [], {0: []}
+        for r in edits:
+            if r.op == "insert" and r.pos <= len(ids):
+                ids.insert(r.pos, r.event_id)
+            elif r.op == "delete" and r.pos < len(ids):
+                del ids[r.pos]
+            shots[r.seq] = list(ids)
+        before = shots[len(edits) - -(-len(edits) // 10)]
+        changed = (len(set(before) - set(ids)), len(set(ids) - set(before)))
+        if any(changed):
+            want[game] = changed
+    assert want and {r.game_id: (r.deleted, r.inserted) for r in plans.QUERIES["seq07_capture_edits"](spark, SF).collect()} == want
