@@ -31,7 +31,11 @@ import numpy as np
 SPACE, BLANK, NUMBER, OTHER, APOSTROPHE, STMD, R, V, L, E, LETTER, PAD = range(12)
 START, WORD, DIGITS, SIGNS, ONE_SPACE, ONE_BLANK, MANY_SPACE, MANY_BLANK, APOS, APOS_R, APOS_V, APOS_L = range(12)
 HERE, BEFORE = 32, 64  # a pre-token begins at this character, at the one before
-CHUNK, TAIL, SLICE = 128, 6, 1 << 21
+CHUNK, TAIL, SLICE = 128, 6, 1 << 19
+#: Words of more bytes are read byte by byte instead of side by side with others.
+LONG = 4096
+#: Bytes of words that are read between looks at how full the table is.
+WORDS = 1 << 15
 #: Words up to 15 bytes whose tokens are remembered, and most tokens of such a word.
 SLOTS, TOKENS = 1 << 19, 8
 #: The pattern of byte-level BPE files which the cutter recognises (fixed value).
@@ -180,36 +184,90 @@ def quick_cuts(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return begin
 
 
+def slices(text: str):
+    """A text in pieces of SLICE characters at most, each of which ends where a pre-token ends whatever stands around; a run of one kind that has no such place comes as one longer piece."""
+    at = 0
+    while len(text) - at > SLICE:
+        seen, place = at, 0
+        while not place and seen < len(text):
+            first = max(at, seen - 1)
+            kinds = classes()[np.frombuffer(text[first : seen + SLICE].encode("utf-32-le"), dtype=np.uint32)]
+            group = GROUP[kinds]
+            safe = np.flatnonzero((group[1:] != group[:-1]) & (group[:-1] > 1) & (kinds[:-1] != APOSTROPHE))
+            if len(safe):
+                place = first + 1 + int(safe[-1] if seen == at else safe[0])
+            seen += SLICE
+        yield text[at : (end := place or len(text))]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
+def endless(text: str) -> list[bytes]:
+    """Pre-tokens of a piece that slices() could not cut: a few long runs, of which only the ends say where pre-tokens begin."""
+    kinds, edges, last = [], [], None
+    for i in range(0, len(text), SLICE):
+        part = classes()[np.frombuffer(text[i : i + SLICE].encode("utf-32-le"), dtype=np.uint32)]
+        new = np.flatnonzero(np.diff(part, prepend=255 if last is None else last))
+        edges += (new + i).tolist()
+        kinds += part[new].tolist()
+        last = part[-1]
+    short, place = [], []
+    for kind, a, b in zip(kinds, edges, [*edges[1:], len(text)]):
+        kept = range(a, b) if b - a <= 8 else [*range(a, a + 4), *range(b - 4, b)]
+        short += [kind] * len(kept)
+        place += kept
+    begin = [place[i] for i in np.flatnonzero(quick_cuts(np.array(short, dtype=np.uint8), np.array([len(short)])))]
+    return [text[a:b].encode() for a, b in zip(begin, [*begin[1:], len(text)])]
+
+
 class Transducer:
     """counts(texts) and ids(texts) as the tokenizers library gives them for a byte-level BPE file."""
 
     def __init__(self, path: str, most_states: int = 1 << 17):
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path, self.most = path, most_states
+        vocab, added, merges = self._file()
+        self.special = added
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        made = [vocab[a + b] for a, b in merges]
+        if any(x >= y for x, y in zip(made, made[1:])):
+            raise ValueError("only files whose ids are in the order of their merges are compiled")
+        self.length = np.zeros(max(vocab.values()) + 1, dtype=np.int32)
+        self.length[list(vocab.values())] = [len(b) for b in vocab]
+        self._library = self.children = None
+        self.summed, self.placed = (np.zeros((SLOTS, 2), dtype=np.uint64) for _ in range(2))
+        self.words = np.zeros((SLOTS, TOKENS), dtype=np.int32)
+        self.sizes, self.many = (np.zeros(SLOTS, dtype=np.uint8) for _ in range(2))
+
+    def _file(self) -> tuple[dict[bytes, int], dict[str, int], list[tuple[bytes, bytes]]]:
+        """(ids by bytes, ids of special tokens, pairs that merge, first ones first)."""
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE files are compiled")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        raw = lambda s: bytes(to_byte[c] for c in s)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special = special
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.token = {i: bytes(to_byte[c] for c in s) for s, i in model["vocab"].items() if s not in special}
-        by_bytes = {b: i for i, b in self.token.items()}
-        self.byte_id = [by_bytes[bytes([b])] for b in range(256)]
+        vocab = {raw(s): i for s, i in model["vocab"].items() if s not in special}
+        return vocab, special, [tuple(map(raw, pair.split(" ") if isinstance(pair, str) else pair)) for pair in model["merges"]]
+
+    def build(self) -> None:
+        """The vocabulary trie and the merges, which only the counter needs."""
+        vocab, _, merges = self._file()
+        self.byte_id = [vocab[bytes([b])] for b in range(256)]
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, tuple[int, int]]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = (bytes(to_byte[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merge[by_bytes[a], by_bytes[b]] = rank, by_bytes[a + b]
-            self.parts.setdefault(by_bytes[a + b], (rank, (by_bytes[a], by_bytes[b])))
+        for rank, (a, b) in enumerate(merges):
+            self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.parts.setdefault(vocab[a + b], (rank, (vocab[a], vocab[b])))
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
-        self.length = np.zeros(max(self.token) + 1, dtype=np.int32)
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
-        for i, b in self.token.items():
-            self.length[i] = len(b)
+        for b, i in vocab.items():
             if self.bpe(b) != [i]:
                 continue  # no text has it
             node = 0
@@ -221,19 +279,56 @@ class Transducer:
                 node = self.children[node][x]
             self.ends[node] = i
         self.fits: dict[int, bool] = {}
-        self.most = most_states
-        self._library = None
-        self.summed, self.placed = (np.zeros((SLOTS, 2), dtype=np.uint64) for _ in range(2))
-        self.words = np.zeros((SLOTS, TOKENS), dtype=np.int32)
-        self.sizes, self.many = (np.zeros(SLOTS, dtype=np.uint8) for _ in range(2))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.table = np.full((1024, 256), -1, dtype=np.int32)
+        self.slots(1 << 12)
         self.state(((0, -1, 0),))
 
+    def slots(self, n: int) -> None:
+        """An empty table of transitions: keys 256 * state + byte, by open addressing."""
+        self.arcs, self.shift = 0, 32 - (n.bit_length() - 1)
+        self.keys, self.values = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int32)
+
+    def put(self, key: int, value: int) -> None:
+        self.arcs += 1
+        if 2 * self.arcs > len(self.keys):
+            old = np.flatnonzero(self.keys >= 0)
+            pairs = list(zip(self.keys[old].tolist(), self.values[old].tolist()))
+            self.slots(2 * len(self.keys))
+            for k, v in pairs:
+                self.put(k, v)
+            self.arcs += 1
+        at = (key * 0x9E3779B1 & 0xFFFFFFFF) >> self.shift
+        while self.keys[at] >= 0:
+            at = (at + 1) % len(self.keys)
+        self.keys[at], self.values[at] = key, value
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Transitions (see arc), -1 where there is none yet."""
+        at = (key * 0x9E3779B1 & 0xFFFFFFFF) >> self.shift
+        there = self.keys[at]
+        value = np.where(there == key, self.values[at], -1)
+        more = np.flatnonzero((there != key) & (there >= 0))
+        while len(more):
+            at[more] = place = (at[more] + 1) % len(self.keys)
+            there = self.keys[place]
+            hit = there == key[more]
+            value[more[hit]] = self.values[place[hit]]
+            more = more[~hit & (there >= 0)]
+        return value
+
+    def follow(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state and change of count, of one byte."""
+        key = 256 * state + byte
+        at = (key * 0x9E3779B1 & 0xFFFFFFFF) >> self.shift
+        while (there := self.keys[at]) != key and there >= 0:
+            at = (at + 1) % len(self.keys)
+        to, change = divmod(int(self.values[at]) if there == key else self.arc(state, byte), 256)
+        return to, change - 128
+
     def bpe(self, data: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in data]
         while len(ids) > 1:
@@ -267,10 +362,7 @@ class Transducer:
     def state(self, key: tuple) -> int:
         if (found := self.known.get(key)) is not None:
             return found
-        n = len(self.states)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        self.known[key] = n
+        self.known[key] = n = len(self.states)
         self.states.append(key)
         return n
 
@@ -286,31 +378,61 @@ class Transducer:
                 grown.append((child, behind, count))
         change = before + 1
         to = self.state((*((c, b, k - change) for c, b, k in grown), (0, token, 0)))
-        self.table[state, byte] = found = 256 * to + 128 + change
+        self.put(256 * state + byte, found := 256 * to + 128 + change)
         return found
 
+    def ready(self) -> None:
+        """The machine, with an empty table if that was full."""
+        if self.children is None:
+            self.build()
+        elif len(self.states) > self.most:
+            self.clear()
+
+    def walk(self, word: bytes):
+        """State and change of count behind each byte of one word, whatever its length."""
+        self.ready()
+        state = 0
+        for byte in word:
+            state, change = self.follow(state, byte)
+            yield state, change
+            if len(self.states) > 2 * self.most:  # only what is read now stays
+                here = self.states[state]
+                self.clear()
+                state = self.state(here)
+
+    def long_count(self, word: bytes) -> int:
+        return sum(change for _, change in self.walk(word))
+
+    def long_ids(self, word: bytes) -> np.ndarray:
+        """The ids of one word, from the one token that can end at each byte, backwards."""
+        ends = np.fromiter((self.states[state][-1][1] for state, _ in self.walk(word)), dtype=np.int32, count=len(word))
+        out, at = [], len(word)
+        while at:
+            out.append(int(ends[at - 1]))
+            at -= int(self.length[out[-1]])
+        return np.array(out[::-1], dtype=np.uint32)
+
     def run(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token data[at : at + size]."""
-        if len(self.states) > self.most:
-            self.clear()
+        self.ready()
         total = np.zeros(len(at), dtype=np.int64)
         lane, state, t = np.arange(len(at)), np.zeros(len(at), dtype=np.int64), 0
         while len(lane):
-            byte = data[at[lane] + t]
-            moved = self.table[state, byte]
+            key = state * 256 + data[at[lane] + t]
+            moved = self.find(key)
             if len(lost := np.flatnonzero(moved < 0)):
-                keys, back = np.unique(state[lost] * 256 + byte[lost], return_inverse=True)
+                keys, back = np.unique(key[lost], return_inverse=True)
                 moved[lost] = np.array([self.arc(*divmod(int(k), 256)) for k in keys], dtype=np.int32)[back]
             state = moved.astype(np.int64) >> 8
             total[lane] += (moved & 255) - 128
             t += 1
             if not (more := size[lane] > t).all():
                 lane, state = lane[more], state[more]
-            if len(lane) < 8 and t > 200:  # a few endless words are quicker one by one
+            if len(lane) < 8 and t > 200:  # a few long words are quicker one by one
                 for i, q in zip(lane.tolist(), state.tolist()):
                     for b in data[at[i] + t : at[i] + size[i]].tolist():
-                        q, change = divmod(v if (v := int(self.table[q, b])) >= 0 else self.arc(q, b), 256)
-                        total[i] += change - 128
+                        q, change = self.follow(q, b)
+                        total[i] += change
                 break
         return total
 
@@ -333,8 +455,12 @@ class Transducer:
         total[short[hit]] = self.sizes[slot[hit]]
         miss = np.ones(len(at), dtype=bool)
         miss[short[hit]] = False
-        miss = np.flatnonzero(miss)
-        total[miss] = self.run(data, at[miss], size[miss])
+        for i in np.flatnonzero(miss & (size > LONG)).tolist():
+            total[i] = self.long_count(data[at[i] : at[i] + size[i]].tobytes())
+        miss = np.flatnonzero(miss & (size <= LONG))
+        behind = np.cumsum(size[miss])
+        for some in np.split(miss, np.flatnonzero(np.diff(behind // WORDS)) + 1):  # each makes as many states at most as it has bytes
+            total[some] = self.run(data, at[some], size[some])
         new, which = np.unique(slot[~hit], return_index=True)
         which = np.flatnonzero(~hit)[which]
         self.summed[new], self.sizes[new] = key[which], total[short[which]]
@@ -369,7 +495,8 @@ class Transducer:
             pick = np.flatnonzero(few)[pick]
             self.placed[new], self.many[new], self.words[new] = key[which[pick]], many[pick], words[pick]
         for k in alone:
-            ids = read(raw[at[k] : at[k] + size[k]])
+            word = raw[at[k] : at[k] + size[k]]
+            ids = read(word) if len(word) <= LONG else self.long_ids(word)
             token[at[k] + np.concatenate([[0], np.cumsum(length[ids])[:-1]]).astype(np.int64)] = ids
         return token
 
@@ -379,11 +506,11 @@ class Transducer:
         if self._library is None:
             import tiktoken
 
-            self._library = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.token.items()}, special_tokens={})
+            self._library = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self._file()[0], special_tokens={})
         return self._library
 
     def _parts(self, texts: list[str | None]):
-        """Slices of whole texts between special tokens: (parts, the text of each, specials of each text)."""
+        """Slices of whole texts between special tokens: (parts, the text of each, specials of each text). A part over the slice size comes alone (see slices)."""
         parts, owner, marks, chars = [], [], [], 0
         for k, x in enumerate(texts):
             x = x or ""
@@ -391,13 +518,14 @@ class Transducer:
             for p in pieces:
                 if p in self.special:
                     marks.append((k, len(parts), self.special[p]))
-                elif p:
-                    parts.append(p)
-                    owner.append(k)
-                    chars += len(p)
-                    if chars > SLICE:
+                    continue
+                for piece in slices(p):
+                    if parts and chars + len(piece) > SLICE:
                         yield parts, owner, marks
                         parts, owner, marks, chars = [], [], [], 0
+                    parts.append(piece)
+                    owner.append(k)
+                    chars += len(piece)
         if parts or marks:
             yield parts, owner, marks
 
@@ -416,7 +544,9 @@ class Transducer:
     def counts(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
         for parts, owner, marks in self._parts(texts):
-            if parts:
+            if parts and len(parts[0]) > SLICE:
+                out[owner[0]] += sum(map(self.long_count, endless(parts[0])))
+            elif parts:
                 data, at, size, of = self._cut(parts, cuts)
                 out += np.bincount(np.array(owner)[of], self.sums(data, at, size), len(texts)).astype(np.int64)
             for k, _, _ in marks:
@@ -428,7 +558,9 @@ class Transducer:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for parts, owner, marks in self._parts(texts):
             found: list[np.ndarray] = []
-            if parts:
+            if parts and len(parts[0]) > SLICE:
+                found = [np.concatenate([self.long_ids(word) for word in endless(parts[0])])]
+            elif parts:
                 data, at, size, of = self._cut(parts, quick_cuts)
                 token = self.place(data, at, size)
                 ends = np.cumsum([len(p.encode()) for p in parts])

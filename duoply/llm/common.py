@@ -6,15 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of a batch that a worker turns into Python objects at a time.
+STRIDE = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset; it gets a temporary folder."""
     if not (folder := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duoply-"))
+        if not (chosen := spark.conf.get("spark.checkpoint.dir", None)):
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            chosen = tempfile.mkdtemp(prefix="duoply-")
+        spark.sparkContext.setCheckpointDir(chosen)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
@@ -38,17 +48,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """df through fn(batch) -> columns by name, batch by batch; None drops the batch."""
-    to = df.sparkSession.createDataFrame([], schema).schema
+def strides(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about `most` bytes, or of one larger row; nothing is copied."""
+    size = np.full(batch.num_rows, 16, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        else:
+            size += column.nbytes // max(1, batch.num_rows)
+    begins = np.flatnonzero(np.diff((np.cumsum(size) - size) // (most or STRIDE), prepend=-1))
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
+    """df through fn(batch) -> columns by name, a few megabytes of rows at a time; None drops the rows. Columns that fn returns as they came are not copied."""
+    to = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow], schema=arrow)
+        for whole in batches:
+            for batch in strides(whole):
+                if (out := fn(batch)) is not None:
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, type=f.type, from_pandas=True) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, to)
 

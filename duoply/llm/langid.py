@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoply.llm.common import by_batch, held_out, sampled
+from duoply.llm.common import by_batch, held_out, sampled, strides
 
-BITS, SCALE, SLICE = 16, 30.0, 1 << 20
+BITS, SCALE, SLICE = 16, 30.0, 1 << 18
 UNKNOWN = "und"
 #: With fewer documents to calibrate with, no text with a letter is called foreign; a text is strange from so many times the rarity of the strangest taught one.
 ENOUGH, STRANGE = 20, 1.25
@@ -66,7 +66,7 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         df, n = np.zeros(1 << BITS, dtype=np.int64), 0
         seen = np.zeros(1 << BITS, dtype=bool)
-        for batch in batches:
+        for batch in (part for whole in batches for part in strides(whole)):
             texts = batch.column(0).to_pylist()
             n += len(texts)
             last = None
@@ -122,9 +122,14 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, alpha: fl
 
 
 def temperature(scores: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the scores with the least log loss."""
-    tries = np.exp(np.linspace(-3, 3, 121))
-    return float(tries[np.argmin([-np.log(_softmax(scores / t)[np.arange(len(y)), y] + 1e-12).mean() for t in tries])]) if len(y) else 1.0
+    """The divisor of the scores with the least log loss against smoothed truth (Platt's: of n documents of a label, (n + 1) / (n + 2) for the label, the rest for the others), so that documents which are all told apart don't make it vanish."""
+    if not len(y):
+        return 1.0
+    right = (np.bincount(y, minlength=scores.shape[1])[y] + 1) / (np.bincount(y, minlength=scores.shape[1])[y] + 2)
+    truth = np.repeat((1 - right)[:, None] / max(1, scores.shape[1] - 1), scores.shape[1], axis=1)
+    truth[np.arange(len(y)), y] = right
+    tries = np.exp(np.linspace(-5, 5, 401))
+    return float(tries[np.argmin([-(truth * np.log(_softmax(scores / t) + 1e-300)).sum(axis=1).mean() for t in tries])])
 
 
 class Model:
@@ -133,6 +138,7 @@ class Model:
     def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, heat: float, rarity: np.ndarray, least: float, strangest: float):
         self.labels, self.table, self.bias, self.heat = labels, table, bias, heat
         self.rarity, self.least, self.strangest = rarity, least, strangest
+        self.both = np.column_stack([table, rarity]).astype(np.float32)
 
     def _means(self, texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean row of table over the n-grams of each text, and its letters."""
@@ -162,7 +168,7 @@ class Model:
 
     def known(self, texts: list[str | None]) -> np.ndarray:
         """True where a text has a letter and may be in one of the languages; where no label was learned, a letter is enough."""
-        means, n = self._means(texts, np.column_stack([self.table, self.rarity]))
+        means, n = self._means(texts, self.both)
         if not self.labels:
             return n > 0
         return (n > 0) & (self._probabilities(means[:, :-1]).max(axis=1) >= self.least) & (means[:, -1] <= self.strangest)
@@ -182,7 +188,6 @@ def fit(learn: DataFrame, label: str = "lang", most: int = 1500) -> Model:
 
     def features(batch):
         texts = batch.column(1).to_pylist()
-        found = [np.zeros(1 << BITS, dtype=np.int32) for _ in range(0)]
         out = []
         for x in texts:
             found = np.zeros(1 << BITS, dtype=np.int32)
@@ -223,6 +228,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return by_batch(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text may be in one of the languages (Model.known)."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batch):
+        import pyarrow as pa
+
+        stay = pa.array(shared.value.known(batch.column(at).to_pylist()))
+        return dict(zip(batch.schema.names, (c.filter(stay) for c in batch.columns)))
+
+    return by_batch(docs, run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows that may teach: those outside the held-out fold."""
     return docs.where(~held_out(F.col("doc_id")))

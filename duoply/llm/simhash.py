@@ -8,35 +8,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoply.llm.common import saved
+from pyspark.sql import types as T
+
+from duoply.llm.common import by_batch, saved
+
+#: Shingles hashed at a time, and nodes that a task's forest holds before it passes its edges on.
+BLOCK, NODES = 1 << 15, 1 << 18
 
 
 def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
     """A bit is 1 if more than half of the shingles' XXH64 have it; 0 without words."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    line, view = b" ".join(parts), None
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    ends = ends.tolist()
-    last = max(1, len(parts) - words + 1)
-    spans = list(zip(starts[:last], ends[words - 1 :] or [len(line)]))
-    ones, view, digest = np.zeros(64, dtype=np.int64), memoryview(line), xxhash.xxh64_intdigest
-    for i in range(0, last, 1 << 15):
-        h = np.array([digest(view[s:e], seed) for s, e in spans[i : i + (1 << 15)]], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view("<i8")[0])
+    rest, held, n, ones, digest = (text or "").encode().lower(), [], 0, np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
+    while rest:
+        parts = rest.split(None, BLOCK)
+        rest = parts.pop() if len(parts) > BLOCK else b""
+        here = held + parts
+        some = max(len(here) - words + 1, 1 if here and not n and not rest else 0)
+        if some > 0:
+            ends = np.cumsum([len(p) + 1 for p in here]) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+            ends = ends.tolist()
+            view = memoryview(b" ".join(here))
+            h = np.array([digest(view[s:e], seed) for s, e in zip(starts[:some], ends[words - 1 :] or ends[-1:])], dtype="<u8")
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += some
+        held = here[len(here) - words + 1 :] if len(here) >= words else here
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every whole text."""
+    return marked(docs.select("text", "doc_id"), words)
+
 
-    @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(x, words) for x in text], dtype="int64")
+def marked(rows: DataFrame, words: int) -> DataFrame:
+    """rows (text and more columns) with fp in the place of the text."""
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    def run(batch):
+        fps = np.fromiter((fingerprint_of(x.as_py(), words) for x in batch.column(0)), dtype=np.int64, count=batch.num_rows)
+        return {"fp": fps} | dict(zip(batch.schema.names[1:], batch.columns[1:]))
+
+    return by_batch(rows, run, T.StructType([T.StructField("fp", T.LongType()), *rows.schema.fields[1:]]))
 
 
 def links(fps: DataFrame, heavy: int = 256) -> DataFrame:
@@ -91,8 +103,10 @@ def components(edges: DataFrame) -> DataFrame:
             for x, y in zip(f.a.tolist(), f.b.tolist()):
                 x, y = top(x), top(y)
                 up[max(x, y)] = min(x, y)
-        if pairs := [(x, y) for x in list(up) if (y := top(x)) != x]:
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+            if len(up) > NODES:
+                yield pd.DataFrame([(x, y) for x in list(up) if (y := top(x)) != x], columns=["a", "b"])
+                up.clear()
+        yield pd.DataFrame([(x, y) for x in list(up) if (y := top(x)) != x], columns=["a", "b"], dtype="int64")
 
     now = saved(edges.mapInPandas(forest, "a long, b long").where("a is not null"))
     before = None
@@ -113,7 +127,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
-    Null and blank texts have fingerprint zero and link like any other; rows
+    Null and blank texts have fingerprint zero and link like any other; long
+    texts are hashed block by block. doc_id is a number. Rows
     with a null doc_id are linked only through the documents beside them, and
     have a null component if they stand alone. Copies meet in one class before
     anything is joined.
@@ -138,17 +153,12 @@ def survivors(docs: DataFrame, words: int = 3) -> DataFrame:
     has one; between rows of one doc_id the digest of the whole row decides.
     """
     cells = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
-    marked = docs.withColumns({"_x": F.xxhash64(F.lit(1), *cells), "_y": F.xxhash64(F.lit(2), *cells)})
-
-    @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(x, words) for x in text], dtype="int64")
-
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y")
-    classes = saved(marked.select(fp("text").alias("fp"), rank.alias("row")).groupBy("fp").agg(F.min("row").alias("row")))
+    named = docs.withColumns({"_x": F.xxhash64(F.lit(1), *cells), "_y": F.xxhash64(F.lit(2), *cells)})
+    ranks = marked(named.select("text", F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y"), words)
+    classes = saved(ranks.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "_x", "_y")).alias("row")))
     pairs = links(classes.select("fp"))
     found = components(pairs)
     grouped = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "row")
     keep = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row._x").alias("_keep_x"), F.col("row._y").alias("_keep_y"))
-    rows = marked.join(keep, (F.col("_x") == F.col("_keep_x")) & (F.col("_y") == F.col("_keep_y")), "left_semi")
+    rows = named.join(keep, (F.col("_x") == F.col("_keep_x")) & (F.col("_y") == F.col("_keep_y")), "left_semi")
     return rows.dropDuplicates(["_x", "_y"]).select(docs.columns)

@@ -7,11 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
-#: Bytes that stand between words: white space only, or all ASCII but letters and digits.
+#: Bytes that stand between words.
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-SIGN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -33,28 +32,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def words(texts: list[str | None], between: np.ndarray = SIGN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of whole texts: (hash of each lower-cased word, index of its text, whether a line ends behind it)."""
-    held, first, size = [], 0, 0
+def words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of whole texts: (hash of each lower-cased word, index of its text). A text over the slice size is cut between words, so only a single word can be longer than a slice."""
+    held, owner, size = [], [], 0
     for k, x in enumerate(texts):
-        held.append(b := (x or "").lower().encode())
-        size += len(b) + 1
-        if size >= SLICE:
-            yield _slice(held, first, between)
-            held, first, size = [], k + 1, 0
+        data, at, end = (x or "").lower().encode(), 0, -1
+        while end < len(data):
+            end = len(data)
+            if end - at > SLICE:
+                blank = np.flatnonzero(BLANK[np.frombuffer(data, dtype=np.uint8, count=SLICE, offset=at)])
+                end = at + int(blank[-1]) + 1 if len(blank) else next((i + 1 for i in range(at + SLICE, end) if BLANK[data[i]]), end)
+            held.append(data[at:end])
+            owner.append(k)
+            size += end - at + 1
+            at = end
+            if size >= SLICE:
+                yield _slice(held, owner)
+                held, owner, size = [], [], 0
     if held:
-        yield _slice(held, first, between)
+        yield _slice(held, owner)
 
 
-def _slice(held: list[bytes], first: int, between: np.ndarray):
+def _slice(held: list[bytes], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8)
-    gap = between[data]
-    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    edge = np.flatnonzero(np.diff(BLANK[data], prepend=True))
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
     h = (total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))) * down[start] if len(start) else np.zeros(0, dtype=np.uint64)
-    text = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), start, side="right")
-    lines = np.cumsum(data == 10)
-    last = np.append(lines[start[1:]] != lines[start[:-1]], True) if len(start) else np.zeros(0, dtype=bool)
-    return mixed(h), text + first, last
+    text = np.array(owner)[np.searchsorted(np.cumsum([len(b) + 1 for b in held]), start, side="right")]
+    return mixed(h), text

@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoply.llm.common import by_batch, held_out, sampled
+from duoply.llm.common import by_batch, held_out, sampled, strides
 
-ORDER, SLICE = 5, 1 << 21
+ORDER, SLICE = 5, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -34,39 +34,45 @@ def _symbols() -> np.ndarray:
 
 
 def keys(texts: list[str | None]):
-    """Slices of whole texts: (five-symbol key at each letter and at each word's end, index of the word, text of each word)."""
+    """Slices of whole texts: (five-symbol key at each letter and at each word's end, index of the word, text of each word, whether the first word goes on from the slice before, whether the last goes on in the next). A text over the slice size comes in pieces that overlap by four characters, which are only context."""
     held, owner, size = [], [], 0
     for k, x in enumerate(texts):
         x = (x or "").lower()
-        at = 0
-        while at < len(x):  # a piece ends at a space
-            end = at + SLICE
-            end = len(x) if end >= len(x) else (x.find(" ", end) + 1 or len(x))
-            held.append(x[at:end])
+        if size and size + len(x) > SLICE:
+            yield _keys(held, owner, 0, False)
+            held, owner, size = [], [], 0
+        if len(x) <= SLICE:
+            held.append(x)
             owner.append(k)
-            size += end - at
-            at = end
-            if size >= SLICE:
-                yield _keys(held, owner)
-                held, owner, size = [], [], 0
+            size += len(x)
+            continue
+        for at in range(0, len(x), SLICE):
+            lead = min(at, ORDER - 1)
+            yield _keys([x[at - lead : at + SLICE]], [k], lead, at + SLICE < len(x))
     if held:
-        yield _keys(held, owner)
+        yield _keys(held, owner, 0, False)
 
 
-def _keys(held: list[str], owner: list[int]):
+def _keys(held: list[str], owner: list[int], lead: int, more: bool):
     codes = np.frombuffer(("\n".join(held) + "\n").encode("utf-32-le"), dtype=np.uint32)
     s = _symbols()[codes].astype(np.int32)
     letter = s > 0
     end = ~letter & np.concatenate([[False], letter[:-1]])
+    if more:
+        end[-1] = False
     start = letter & ~np.concatenate([[False], letter[:-1]])
     here = np.flatnonzero(letter | end)
+    here = here[here >= lead]
     since = here - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))[here]
     key = s[here].copy()
     for j in range(1, ORDER):
         key |= np.where(since >= j, s[np.maximum(here - j, 0)], 0) << (5 * j)
-    word = np.cumsum(start)[here] - 1
+    word = (np.cumsum(start) - 1)[here]
     text = np.array(owner)[np.searchsorted(np.cumsum([len(x) + 1 for x in held]), np.flatnonzero(start), side="right")]
-    return key, word, text
+    if len(here):
+        text = text[word[0] : word[-1] + 1]
+        return key, word - word[0], text, bool(lead) and bool(letter[lead - 1]), more and bool(letter[-2])
+    return key, word, text[:0], False, False
 
 
 def kneser_ney(key: np.ndarray, n: np.ndarray, classes: int = 2, discount: float = 0.75) -> np.ndarray:
@@ -122,11 +128,19 @@ class Model:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Of each text: largest gain a symbol of a word, largest sum of a word, mean gain a symbol."""
         best, most, total, n = (np.zeros(len(texts)) for _ in range(4))
-        for key, word, text in keys(texts):
+        held = np.zeros(2)  # sum and size of a word that the last slice has not ended
+        for key, word, text, goes_on, unended in keys(texts):
             if not len(text):
                 continue
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            sums, size = np.add.reduceat(self.table[key].astype(np.float32), first), np.diff(np.append(first, len(key)))
+            sums, size = np.add.reduceat(self.table[key].astype(np.float64), first), np.diff(np.append(first, len(key)))
+            if goes_on:
+                sums[0], size[0] = sums[0] + held[0], size[0] + held[1]
+            if unended:
+                held = np.array([sums[-1], size[-1]])
+                sums, size, text = sums[:-1], size[:-1], text[:-1]
+                if not len(text):
+                    continue
             edge = np.flatnonzero(np.diff(text, prepend=-1))
             at = text[edge]
             best[at] = np.maximum(best[at], np.maximum.reduceat(sums / (size + 2), edge))
@@ -156,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
 
     About `most` documents of each label, or all, are learned from; that bounds
     what is broadcast (ids) and what the driver holds (counts of five-symbol
-    keys). Four of five of them give counts, the fifth the calibration.
+    keys). Repeated rows of a document teach as often as they come. Four of five of them give counts, the fifth the calibration.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
@@ -168,13 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
 
         key, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            y = np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for k, word, text in keys(batch.column(0).to_pylist()):
-                if not len(text):
-                    continue
-                new, m = np.unique((y[text][word] << 25) + k, return_counts=True)
-                key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([n, m])).astype(np.int64)
+            for part in strides(batch):
+                y = part.column(1).to_numpy().astype(np.int64)
+                for k, word, text, _, _ in keys(part.column(0).to_pylist()):
+                    if not len(text):
+                        continue
+                    new, m = np.unique((y[text][word] << 25) + k, return_counts=True)
+                    key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
+                    n = np.bincount(back, weights=np.concatenate([n, m])).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"key": key, "n": n})
 
     rows = texts.where("not _check").select("text", "_y").mapInArrow(count, "key long, n long").groupBy(F.col("key").bitwiseAND(F.lit((1 << 25) - 1)).alias("gram")).agg(F.sum(F.when(F.col("key") < 1 << 25, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("key") >= 1 << 25, F.col("n")).otherwise(0)).alias("n1")).toPandas().sort_values("gram")
@@ -199,7 +214,7 @@ def _gains(rows):
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; null and empty texts have no word and get the score of no evidence."""
+    """(doc_id, score, predicted) of every whole text, of any length; null and empty texts have no word and get the score of no evidence; repeated rows are scored each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
