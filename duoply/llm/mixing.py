@@ -35,7 +35,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int = 1_000_000) -> DataFrame:
-    """(source, doc_id, size, n_rows, source_size, target, rate, copies), a row for each different (source, doc_id, size).
+    """(source, doc_id, size, n_rows, source_size, target, rate, copies, extra), a row for each different (source, doc_id, size): each of its n_rows rows gets `copies` copies, and `extra` of them one more.
 
     Rates minimise the relative entropy of documents between 0 and `cap`
     copies to one copy each, under one constraint for each source: its expected
@@ -48,9 +48,9 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
     error is about half of its smallest document.
 
     Sources are taken in code-point order, null last. Null and blank texts
-    have size 0 and take nothing. Rows alike in all three columns get the same
-    number of copies each. The driver holds one row a source, at most
-    `max_sources`.
+    have size 0 and take nothing. Rows alike in all three columns are rounded
+    row by row too, so their copies differ by one at most. The driver holds one
+    row a source, at most `max_sources`: more are refused.
     """
     spark, known, key = docs.sparkSession, F.col("source").isNotNull(), F.coalesce("source", F.lit(""))
     rows_of = sizes(docs.select("source", "doc_id", "text")).groupBy("source", "doc_id", F.col("_size").alias("size")).agg(F.count("*").alias("n_rows"))
@@ -63,9 +63,9 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
     words, n_docs = np.array([r.words for r in rows], dtype=float), np.array([r.docs for r in rows], dtype=float)
     target = np.array(shares([r.words for r in rows], cap))
     mean = np.maximum(words / np.maximum(n_docs, 1), 1e-9)
-    x, low, high = np.zeros(len(rows)), np.full(len(rows), -1e3), np.full(len(rows), 1e3)
+    x, low, high = np.zeros(len(rows)), np.full(len(rows), -1e6), np.full(len(rows), 1e6)
     full = target >= cap * words * (1 - 1e-12)  # no freedom: every document as often as it may
-    x[full] = 1e3
+    x[full] = 1e300
     close = 1e-9 * np.maximum(target, 1)
     schema = "known boolean, name string, x double, mean double, target double, source_size long, blocks long"
 
@@ -91,28 +91,44 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
         newton = x - off / np.maximum(slope, 1e-300)
         x = np.where(done, x, np.where((newton > low) & (newton < high), newton, (low + high) / 2))
 
-    rated = light.withColumns({"known": known, "name": key}).join(multipliers(), ["known", "name"]).withColumn("rate", rate).withColumn("copies", F.lit(0).cast("long"))
+    rated = light.withColumns({"known": known, "name": key}).join(multipliers(), ["known", "name"]).withColumn("rate", rate).withColumns({"copies": F.lit(0).cast("long"), "extra": F.lit(0).cast("long")})
     kind = dict(docs.dtypes)["doc_id"]
     salted = rated.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size"), "blocks"))
-    out = ["source", "doc_id", "size", "n_rows", "source_size", "target", "rate", "copies"]
+    out = ["source", "doc_id", "size", "n_rows", "source_size", "target", "rate", "copies", "extra"]
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True])
-        left, copies = 0.0, []
-        for size, rate in zip((pdf["size"] * pdf["n_rows"]).tolist(), pdf["rate"].tolist()):
-            want = rate * size + left
-            copies.append(min(cap, max(0, int(want / size + 0.5))) if size else 0)
-            left = want - copies[-1] * size
-        return pdf.assign(copies=copies)[out]
+        left, taken = 0.0, []
+        for size, n, rate in zip(pdf["size"].tolist(), pdf["n_rows"].tolist(), pdf["rate"].tolist()):
+            want = rate * size * n + left
+            taken.append(min(cap * n, max(0, int(want / size + 0.5))) if size else 0)
+            left = want - taken[-1] * size
+        taken = np.array(taken, dtype=np.int64)
+        return pdf.assign(copies=taken // pdf["n_rows"].to_numpy(), extra=taken % pdf["n_rows"].to_numpy())[out]
 
     named = salted.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, ids beside a null keep all digits in pandas
     done = named.groupBy("known", "name", "_block").applyInPandas(rounded, named.select(out).schema)
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def each_row(plan: DataFrame, most: int = 4096) -> DataFrame:
+    """plan_mix() with a row for each row of the documents, whose own copies are in `copies`. Rows alike in many copies are made in runs of `most`, by as many tasks as there are runs."""
+    runs = plan.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / F.lit(most)))))
+    rows = runs.repartition(F.col("_run"), F.xxhash64("source", "doc_id", "size")).withColumn("_row", F.explode(F.sequence(F.col("_run") * most, F.least(F.col("n_rows"), (F.col("_run") + 1) * most) - 1)))
+    return rows.withColumn("copies", F.col("copies") + (F.col("_row") < F.col("extra")).cast("long")).drop("_run", "_row", "extra", "n_rows")
+
+
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """docs with each row as often as the mix takes it (see plan_mix)."""
-    plan = plan_mix(docs, **settings).select(*(F.col(c).alias(f"_plan_{c}") for c in ("source", "doc_id", "size", "copies")))
+    """docs with each row as often as the mix takes it (see plan_mix).
+
+    Of rows alike in source, doc_id and size, which ones get the additional
+    copy is drawn by a hash of the row and its place in the input, so that no
+    task must see all of them; their number is met on average.
+    """
+    kept = docs.columns
+    plan = plan_mix(docs, **settings).select(*(F.col(c).alias(f"_plan_{c}") for c in ("source", "doc_id", "size", "n_rows", "copies", "extra")))
     same = [F.col(c).eqNullSafe(F.col(f"_plan_{c}")) for c in ("source", "doc_id")]
-    joined = sizes(docs).join(plan, [*same, F.col("_size") == F.col("_plan_size")])
-    return joined.where("_plan_copies > 0").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_plan_copies as int))"))).select(docs.columns)
+    draw = F.pmod(F.xxhash64("doc_id", "text", "_place"), F.lit(1 << 30)) * F.col("_plan_n_rows") < F.col("_plan_extra") * F.lit(1 << 30)
+    joined = sizes(docs.withColumn("_place", F.monotonically_increasing_id())).join(plan, [*same, F.col("_size") == F.col("_plan_size")])
+    copies = F.col("_plan_copies") + F.when(F.col("_plan_extra") > 0, draw.cast("long")).otherwise(0)
+    return joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_copies as int))"))).select(kept)

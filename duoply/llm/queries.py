@@ -51,8 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    rows = plan.withColumn("_row", F.explode(F.expr("array_repeat(0, cast(n_rows as int))")))
+    rows = mixing.each_row(mixing.plan_mix(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
