@@ -54,6 +54,7 @@ class Router:
     """One hidden layer; predicts the shares of a vector's neighbours in each part."""
 
     def __init__(self, x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 25, rate: float = 3e-3):
+        epochs = max(epochs, -(-400 * 256 // len(x)))  # 400 steps at least
         rng = np.random.default_rng(11)
         self.middle, self.spread = x.mean(axis=0), max(float(x.std()), 1e-12)
         self.w = [rng.normal(0, d**-0.5, (d, m)) for d, m in ((x.shape[1], hidden), (hidden, target.shape[1]))] + [np.zeros(hidden), np.zeros(target.shape[1])]
@@ -80,12 +81,17 @@ class Router:
         return self._share(h)
 
 
+#: A part needs so many rows of the sample; with fewer than twice as many there is nothing to divide, and all rows are one part.
+FEWEST = 32
+
+
 class Index:
     """What the sample teaches: the router, and how many parts a query visits."""
 
     def __init__(self, x: np.ndarray, parts: int, k: int, cover: float, graph: int = 10):
         self.parts, self.visits, self.router = 1, 1, None
-        if parts < 2 or len(x) < 50 * parts:
+        parts = min(parts, len(x) // FEWEST)
+        if parts < 2:
             return
         near = neighbours(x, max(graph, k))
         part = balanced_parts(x, near[:, :graph], parts)
@@ -105,6 +111,14 @@ class Index:
         """The most probable parts of each vector, most probable first."""
         return np.zeros((len(x), 1), dtype=np.int64) if self.router is None else np.argsort(-self.router(x), axis=1, kind="stable")[:, :visits]
 
+    def visited(self, x: np.ndarray, stored: np.ndarray, k: int) -> list[list[int]]:
+        """The parts that each query visits: the most probable ones, and more of them while those hold no k rows beside the query itself."""
+        out = []
+        for order in self.route(x, self.parts):
+            enough = int(np.searchsorted(np.cumsum(stored[order]), k + 1)) + 1
+            out.append(order[: max(self.visits, enough)].tolist())
+        return out
+
 
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """(query_id, vec_id, distance) of each query's k nearest rows in one block. A product shortlists with a margin far above its rounding; distances are then taken from the differences."""
@@ -124,12 +138,17 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
 
 
-def fit(rows: DataFrame, n: int, k: int, sample: int = 8192, part_rows: int = 1500, cover: float = 0.97) -> Index:
-    """An index of rows (vec_id, vector) of one length, from about `sample` of them (hash of vec_id): the bound of what the driver holds. Parts grow with the rows, up to one for 64 rows of the sample."""
+def fit(rows: DataFrame, n: int, k: int, sample: int = 8192, part_rows: int = 1500, least_parts: int = 8, cover: float = 0.97) -> Index:
+    """An index of rows (vec_id, vector) of one length, from about `sample` of them (hash of vec_id): the bound of what the driver holds.
+
+    There is a part for each `part_rows` rows, `least_parts` at least, and one
+    for FEWEST rows of the sample at most; so a larger collection wants a larger
+    sample.
+    """
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < min(1 << 20, int(sample / max(n, 1) * (1 << 20)))
     t = rows.where(share).orderBy("vec_id").select("vector").toArrow()
     x = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
-    return Index(x, min(n // part_rows, t.num_rows // 64), k, cover)
+    return Index(x, max(least_parts, n // part_rows), k, cover)
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = 4096, queries: int = 1024, **settings) -> DataFrame:
@@ -139,7 +158,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = 4096,
     a part of a third of all rows (copies) spreads over as many tasks as it
     needs. Null, zero, empty and non-finite vectors take no part, nor do
     vectors whose length isn't the most frequent one; of repeated vec_ids the
-    smallest vector counts.
+    smallest vector counts. A query whose parts hold fewer than k other rows
+    visits further ones, so k rows are found wherever there are k.
     """
     usable = one_each(vectors).where(F.exists("vector", lambda v: v != 0)).withColumn("dim", F.size("vector"))
     clean = saved(usable)
@@ -151,22 +171,25 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, rows: int = 4096,
     index = shared.value
 
     def route(batch):
-        ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        home = shared.value.route(x, shared.value.visits)
-        visits = [p.tolist() if i % every == 0 else None for i, p in zip(ids.tolist(), home)]
-        return {"vec_id": batch.column(0), "vector": batch.column(1), "part": home[:, 0], "visits": visits}
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return {"vec_id": batch.column(0), "vector": batch.column(1), "part": shared.value.route(x, 1)[:, 0]}
 
-    routed = saved(by_batch(clean.select(F.col("vec_id").cast("long").alias("vec_id"), "vector"), route, "vec_id long, vector array<double>, part int, visits array<int>"))
-    stored, asked = [1] * index.parts, [1] * index.parts
+    routed = saved(by_batch(clean.select(F.col("vec_id").cast("long").alias("vec_id"), "vector"), route, "vec_id long, vector array<double>, part int"))
+    stored, asked, held = [1] * index.parts, [1] * index.parts, np.zeros(index.parts, dtype=np.int64)
     for r in routed.groupBy("part").count().collect():
-        stored[r.part] = -(-r["count"] // rows)
-    for r in routed.select(F.explode("visits").alias("part")).groupBy("part").count().collect():
+        stored[r.part], held[r.part] = -(-r["count"] // rows), r["count"]
+
+    def ask(batch):
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return {"vec_id": batch.column(0), "vector": batch.column(1), "visits": shared.value.visited(x, held, k)}
+
+    asking = saved(by_batch(routed.where(F.col("vec_id") % every == 0).select("vec_id", "vector"), ask, "vec_id long, vector array<double>, visits array<int>")).withColumn("part", F.explode("visits")).drop("visits")
+    for r in asking.groupBy("part").count().collect():
         asked[r.part] = -(-r["count"] // queries)
     size = lambda of, part: F.element_at(F.array(*map(F.lit, of)), F.col(part) + 1)
     deal = lambda of, part: F.pmod(F.xxhash64("vec_id"), size(of, part)).cast("int")
     spread = lambda of, part: F.explode(F.sequence(F.lit(0), size(of, part) - 1))
     left = routed.select("part", deal(stored, "part").alias("row"), spread(asked, "part").alias("col"), F.lit(False).alias("asks"), "vec_id", "vector")
-    asking = routed.select("vec_id", "vector", F.explode("visits").alias("part"))
     right = asking.select("part", spread(stored, "part").alias("row"), deal(asked, "part").alias("col"), F.lit(True).alias("asks"), "vec_id", "vector")
 
     def cell(t: pa.Table) -> pa.Table:
