@@ -44,7 +44,7 @@ def sums(bitmaps: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
     """Slices (queries, words) of sum_d |q_d| * y_d, where y_d is a row's value, or its complement if q_d is negative: the score but for a constant of each query."""
     d, bits, words = bitmaps.shape
     size = np.abs(q).astype(np.uint64)
-    most = int(size.sum(axis=1).max()) * ((1 << bits) - 1)
+    most = max(sum(row) for row in size.tolist()) * ((1 << bits) - 1)
     total = [np.zeros((len(q), words), dtype=np.uint64) for _ in range(max(1, most.bit_length()))]
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
     for j in range(d):
@@ -99,6 +99,8 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     own = np.flatnonzero(ids[at] == query_ids)
     may[own, at[own] // 8] &= ~(1 << (at[own] % 8)).astype(np.uint8)
     sure, tied = select(total, may.view(np.uint64), k)
+    if x.shape[1] * int(np.abs(x).max()) * int(np.abs(q).max()) >= 1 << 63:  # beyond 64-bit sums
+        x, q = x.astype(object), q.astype(object)
     out = []
     for i in range(len(q)):
         rows = np.flatnonzero(np.unpackbits(sure[i].view(np.uint8), bitorder="little"))
@@ -108,15 +110,18 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, rows: int = 8192, queries: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, rows: int = 8192, queries: int = 8192, abreast: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id `every` divides, the k largest inner products of floor(scale * x) with other rows.
 
     Rows and queries are dealt by hash to a grid of blocks of about `rows` by
-    `queries`; a cell gives k rows a query at most, and a window merges them.
+    `queries`, of which `abreast` are added side by side; a cell gives k rows a
+    query at most, and a window merges them.
     Unusable vectors take no part; vectors of different lengths don't meet. Of
-    repeated vec_ids the smallest vector counts. Components may reach 2**20.
+    repeated vec_ids the smallest vector counts. Sums are exact at any width;
+    scaled components of 2**62 and scores beyond a long raise an error.
     """
-    values = one_each(vectors).select("vec_id", F.transform("vector", lambda v: F.floor(v * F.lit(scale)).cast("long")).alias("v")).withColumn("dim", F.size("v"))
+    whole = lambda v: F.when(F.abs(v * F.lit(scale)) < F.lit(2.0**62), F.floor(v * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a scaled component reaches 2**62")).cast("long"))
+    values = one_each(vectors).select("vec_id", F.transform("vector", whole).alias("v")).withColumn("dim", F.size("v"))
     n = vectors.count()
     down, across = max(16, -(-n // rows)), max(1, -(-n // every // queries))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
@@ -132,8 +137,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
         if asks.all() or not asks.any():
             found = [np.zeros(0, dtype=np.int64)] * 3
         else:
-            found = best(ids[~asks], x[~asks], ids[asks], x[asks], k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+            who = np.flatnonzero(asks)
+            parts = [best(ids[~asks], x[~asks], ids[some], x[some], k) for some in np.array_split(who, -(-len(who) // abreast))]
+            found = [np.concatenate(c) for c in zip(*parts)]
+        return pa.table({"query_id": found[0], "vec_id": found[1], "score": pa.array(found[2].tolist(), type=pa.int64())})
 
     found = left.union(right).groupBy("dim", "row", "col").applyInArrow(cell, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
