@@ -1,14 +1,14 @@
 """Language ID, toxicity, backoff scores and vector search: brute force, held-out accuracy, awkward rows."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from duoply.llm import ann, backoff, langid, topk, toxicity
+from duoply.llm import ann, backoff, langid, textblock, topk, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,13 +65,115 @@ def test_toxicity_of_awkward_rows(spark, documents, no_documents):
     assert toxicity.score(no_documents, untaught).count() == 0 and toxicity.score(documents, untaught).count() == documents.count()
 
 
-def test_kneser_ney_sums_to_one():
+def slow_kneser_ney(counts, discount=0.75):
+    """P(symbol | four symbols, class) from dictionaries; counts: five symbols -> occurrences in each class."""
+    kinds = [set() for _ in range(6)]
+    kinds[5] = set(counts)
+    for j in range(4, 0, -1):
+        kinds[j] = {g[1:] for g in kinds[j + 1]}
+    fronts = [Counter() for _ in range(5)]
+    for j in range(1, 5):
+        fronts[j].update(g[1:] for g in kinds[j + 1])
+    after = [defaultdict(list) for _ in range(5)]
+    for j in range(1, 5):
+        for g, n in fronts[j].items():
+            after[j][g[:-1]].append(n)
+
+    def shared(g):
+        if not g:
+            return 1 / 32
+        below, some = shared(g[1:]), after[len(g)].get(g[:-1])
+        return below if not some else (max(fronts[len(g)][g] - discount, 0) + discount * len(some) * below) / sum(some)
+
+    follow = defaultdict(list)
+    for g in counts:
+        follow[g[:-1]].append(g)
+
+    def p(g, c):
+        n = [counts[x][c] for x in follow[g[:-1]]]
+        if not sum(n):
+            return shared(g[1:])
+        return (max(counts.get(g, (0, 0))[c] - discount, 0) + discount * sum(x > 0 for x in n) * shared(g[1:])) / sum(n)
+
+    return p
+
+
+def test_kneser_ney_is_that_of_dictionaries_and_sums_to_one():
     rng = np.random.default_rng(2)
-    key = np.unique(rng.integers(1, 1 << 25, 3000))
-    n = rng.integers(0, 4, (len(key), 2))
-    n[n.sum(axis=1) == 0] = 1
-    gain, context, rest = toxicity.kneser_ney(key, n)
-    assert len(gain) == len(key) and np.isfinite(gain).all() and np.isfinite(rest).all()
+    grams = {tuple(int(x) for x in rng.integers(0, 6, 5)) for _ in range(900)}
+    counts = {g: tuple(int(x) for x in n) for g, n in zip(sorted(grams), rng.integers(0, 4, (len(grams), 2))) if n.sum()}
+    code = lambda g: sum(x << (5 * (len(g) - 1 - i)) for i, x in enumerate(g))
+    order = sorted(counts, key=code)
+    gain, context, rest = toxicity.kneser_ney(np.array([code(g) for g in order]), np.array([counts[g] for g in order]))
+    p = slow_kneser_ney(counts)
+    assert np.allclose(gain, [math.log(p(g, 1) / p(g, 0)) for g in order])
+    for g in order[:40]:
+        assert sum(p((*g[:-1], s), 0) for s in range(32)) == pytest.approx(1) and sum(p((*g[:-1], s), 1) for s in range(32)) == pytest.approx(1)
+        unseen = next(s for s in range(32) if (*g[:-1], s) not in counts)
+        assert rest[np.searchsorted(context, code(g[:-1]))] == pytest.approx(math.log(p((*g[:-1], unseen), 1) / p((*g[:-1], unseen), 0)))
+
+
+def test_toxicity_of_a_split_text_is_that_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(1, 1 << 25, 4000))
+    model = toxicity.Model(key, rng.normal(size=len(key)), np.unique(key >> 5), rng.normal(size=len(np.unique(key >> 5))), None)
+    model._table = rng.normal(size=1 << 25).astype(np.float16)
+    texts = ["Einige Wörter, zerlegt in Stücke; " * 9, "a" * 333, "", None, "x y " * 40, "kurz", "abc" * 50 + " " + "d" * 60]
+    whole = model.features(texts)
+    monkeypatch.setattr(toxicity, "SLICE", 50)
+    assert np.allclose(model.features(texts), whole)
+
+
+def test_ftrl_steps_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(3)), np.sort(rng.choice(200, 12, replace=False)), rng.random(12)) for _ in range(60)]
+    z, n, alpha, beta, l1, l2 = defaultdict(float), defaultdict(float), 0.3, 1.0, 0.02, 0.02
+
+    def weight(i, c):
+        v = z[i, c]
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(60):
+            y, slots, values = rows[k]
+            x = [*zip(slots.tolist(), values.tolist()), (1 << langid.BITS, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            e = [math.exp(sum(v * w[i, c] for i, v in x)) for c in range(3)]
+            for i, v in x:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * w[i, c]
+                    n[i, c] += g * g
+    got = langid.ftrl(rows, 3)
+    assert all(got[i, c] == pytest.approx(weight(i, c)) for i in [*range(200), 1 << langid.BITS] for c in range(3))
+
+
+def slot(*letters):
+    """Slot of an n-gram, last letter first."""
+    h = sum(ord(x) * m for x, m in zip(letters, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))) + len(letters)
+    h &= 0xFFFFFFFF
+    h = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
+    return (h ^ (h >> 12)) >> (32 - langid.BITS)
+
+
+def test_probabilities_are_those_of_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(langid.learnable(docs))
+    texts = [r.text for r in docs.where("length(text) < 600").limit(40).collect()] + ["Ein kurzer Satz", "no", "Straße 12"]
+    found, score = model.predict(texts)
+    for text, label, p in zip(texts, found, score):
+        x, total, n = f"\0\0{text.lower()}", np.zeros(len(model.labels)), 0
+        for i in range(2, len(x)):
+            if x[i].isalpha():
+                a, b = (x[i - k] if x[i - k].isalpha() else "\0" for k in (1, 2))
+                total += sum(model.table[s].astype(float) for s in (slot(x[i]), slot(x[i], a), slot(x[i], a, b)))
+                n += 1
+        if not n:
+            assert label == "und" and p == 0
+            continue
+        e = np.exp((total / (3 * n) * langid.SCALE + model.bias) / model.heat)
+        assert label == model.labels[int(np.argmax(e))] and p == pytest.approx(float(np.max(e) / e.sum()), abs=1e-4)
+    assert math.exp(-4.9) < model.heat < math.exp(4.9)
 
 
 def brute_backoff(rows, order=3, backoff_=0.4):
@@ -100,12 +202,16 @@ def brute_backoff(rows, order=3, backoff_=0.4):
     return Counter(out)
 
 
-def test_stupid_backoff(spark, documents, no_documents):
+def test_stupid_backoff(spark, documents, no_documents, monkeypatch):
     docs = documents.select("doc_id", "text", "block", "key").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1), F.lit(2)).where("doc_id >= 100"))
     got = backoff.score(docs, block_bytes=100_000)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter((r.doc_id, r.n_words, round(r.log_score, 6), r.n_unseen) for r in got.collect()) == brute_backoff(rows)
     assert backoff.score(no_documents).count() == 0
+    whole = backoff.exploded([r.text for r in documents.collect()], 3)
+    monkeypatch.setattr(textblock, "SLICE", 50)
+    cut = backoff.exploded([r.text for r in documents.collect()], 3)
+    assert (cut[0] == whole[0]).all() and all((a == b).all() for a, b in zip(cut[1], whole[1]))
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, part int, vector string"
@@ -135,6 +241,20 @@ def test_bit_sliced_top_k(vectors):
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_large_components_stay_exact_or_are_refused(spark):
+    big = [(0, [1e13, -3e12]), (50, [3e12, 1e13]), (1, [2e13, 1.0]), (2, [-1e13, 5e12]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in big], "vec_id long, embedding array<double>")
+    small = df.select("vec_id", F.transform("embedding", lambda v: v / 1e5).alias("embedding"))
+    for some, scale in ((small, 1e5), (df.where("vec_id in (0, 3)"), 1.0)):
+        rows = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in some.collect()}
+        want = {(q, i): sum(a * b for a, b in zip(rows[q], v)) for q in rows if q % 50 == 0 for i, v in rows.items() if i != q}
+        assert {(r.query_id, r.vec_id): r.score for r in topk.top_k(some).collect()} == want
+    with pytest.raises(Exception):  # a score beyond 64 bits
+        topk.top_k(df).collect()
+    with pytest.raises(Exception, match="2\\*\\*62"):
+        topk.top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_bitmap_sums_are_inner_products():
     rng = np.random.default_rng(8)
     x, q = rng.integers(-300, 300, (130, 5)), rng.integers(-300, 300, (7, 5))
@@ -154,13 +274,33 @@ def exact(rows, k, every):
     return out
 
 
-def test_search_of_one_part_is_exact(vectors):
-    want = exact(usable(vectors, False), 10, 100)
-    got = sorted(map(tuple, ann.search(vectors, rows=100, queries=3).collect()))
+def test_search_of_few_rows(vectors):
+    """Fewer rows than two parts need are one part, searched exactly."""
+    few = vectors.where("vec_id < 60 or vec_id >= 2000 or vec_id is null")
+    want = exact(usable(few, False), 10, 100)
+    got = sorted(map(tuple, ann.search(few, rows=100, queries=3).collect()))
     assert [g[:3] for g in got] == sorted(w[:3] for w in want) and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
     assert ann.search(vectors.limit(0)).count() == 0 and ann.search(vectors.where("vec_id < 4")).count() == 3
 
 
+def test_parts_at_every_size_and_all_neighbours(spark, vectors):
+    """The tables have several parts from the smallest size on; recall is taken over all queries, and each gets its ten."""
+    for df in (vectors, spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")):
+        rows = usable(df, False)
+        index = ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, vector array<double>"), len(rows), 10)
+        assert index.parts >= 8 and index.router is not None
+        got, want = ann.search(df, rows=100, queries=3).collect(), exact(rows, 10, 100)
+        assert Counter(r.query_id for r in got) == {q: 10 for q in rows if q % 100 == 0}
+        assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+
+
+def test_a_query_visits_parts_until_there_are_enough_rows():
+    rng = np.random.default_rng(0)
+    index = ann.Index(rng.normal(size=(400, 4)), 8, 10, 0.1)
+    x, held = rng.normal(size=(50, 4)), np.full(index.parts, 3)
+    assert index.parts == 8 and all(len(v) >= 4 for v in index.visited(x, held, 10)) and all(len(v) == 8 for v in index.visited(x, held, 99))
+
+
 def test_learned_partitions_find_most_neighbours(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 16))

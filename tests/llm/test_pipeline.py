@@ -4,8 +4,10 @@ from collections import Counter
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from duoply.llm import langid, simhash
+from duoply.llm import langid, mixing, simhash
+from duoply.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +33,66 @@ def test_stages(spark):
     assert P.run(spark, SF).count() == packed.count()
 
 
+def test_run_against_brute_force(spark, documents, tmp_path):
+    """Each stage by plain loops over what the stage before it kept; the mix, whose rounding is free, by its promises."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    docs = own.unionByName(documents.select(own.columns).withColumn("doc_id", F.col("doc_id") + 1000).withColumn("n_chars", F.length("text").cast(dict(own.dtypes)["n_chars"])))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bag = lambda rows: Counter((r.doc_id, r.text or "", r.lang, r.source) for r in rows)
+
+    model = langid.fit(langid.learnable(docs))
+    rows = docs.collect()
+    rows = [r for r, stays in zip(rows, model.known([r.text for r in rows])) if stays]
+    after = P.identify_language(spark, docs, SF)
+    assert bag(after.collect()) == bag(rows)
+
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
+    holders = {}
+    for r in rows:
+        for x in (r.text or "").split("\n"):
+            if len(key(x)) >= 10 and r.doc_id is not None:
+                holders.setdefault(key(x), set()).add(r.doc_id)
+    kept = lambda r, x: r.doc_id is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == r.doc_id
+    want = Counter((r.doc_id, "\n".join(x for x in (r.text or "").split("\n") if kept(r, x)), r.lang, r.source) for r in rows)
+    after = P.dedup_lines(spark, after, SF)
+    assert bag(after.collect()) == want
+
+    rows = after.collect()
+    prints = [simhash.fingerprint_of(r.text) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) % (1 << 64)).bit_count() <= 3 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    best = {}
+    for g, r in zip(group, rows):
+        best[g] = min(best.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    after = P.dedup_documents(spark, after, SF)
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in after.collect()) == Counter(best.values())
+
+    before, after = after, P.mix_sources(spark, after, SF)
+    words = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))).alias("n")).collect()}
+    have, got = words(before), words(after)
+    names = sorted(have, key=lambda s: (s is None, (s or "").encode()))
+    longest = max(len((r.text or "").split()) for r in before.collect())
+    for name, target in zip(names, mixing.shares([have[n] for n in names], 3)):
+        assert abs(got.get(name, 0) - target) <= longest
+    copies, single = bag(after.collect()), bag(before.collect())
+    assert all(n <= 3 * single[k] for k, n in copies.items())
+
+    packed = P.pack_sequences(spark, after, SF)
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in after.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        cut = [0, *range(n % 2048 or 2048, n + 1, 2048)]
+        want.update((r.doc_id, k, a, b - a) for k, (a, b) in enumerate(zip(cut, cut[1:])))
+    pieces = packed.select("doc_id", "piece", "start", "length").collect()
+    assert Counter(map(tuple, pieces)) == want
+    assert Counter(tuple(r)[:4] for r in P.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_awkward_rows(spark, documents, no_documents):
     docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in P.STAGES:
