@@ -26,6 +26,27 @@ def oriented_result(cell: Column, color: Column) -> Column:
     return F.when(s.isin("½", "="), "1/2-1/2").when(s.isin("1", "+"), F.when(white, "1-0").otherwise("0-1")).when(s.isin("0", "-"), F.when(white, "0-1").otherwise("1-0")).otherwise("*")
 
 
+def pair_result(cell: Column) -> Column:
+    """Result of a game from a cell with both sides' symbols, apart (1-0, 0.5-0.5, ½:½) or together (10, +-, ==): a draw of either side is one, sides that don't agree and byes give *."""
+    s = F.trim(F.coalesce(cell, F.lit("")))
+    low = F.lower(s)
+    half = lambda x: F.replace(F.replace(F.replace(x, F.lit("½"), F.lit("5")), F.lit("1/2"), F.lit("5")), F.lit("0.5"), F.lit("5"))
+    apart, close = r"^([015])\s*[-:]\s*([015])$", "^([10=+5-])([10=+5-])$"
+    loose, tight = half(low), F.replace(F.regexp_replace(s, r"\s+", ""), F.lit("½"), F.lit("5"))
+    side = lambda i: F.when(loose.rlike(apart), F.regexp_extract(loose, apart, i)).otherwise(F.regexp_extract(tight, close, i))
+    won, lost, even = (lambda x: x.isin("1", "+")), (lambda x: x.isin("0", "-")), (lambda x: x.isin("=", "5"))
+    w, b = side(1), side(2)
+    found = F.when(even(w) | even(b), "1/2-1/2").when(won(w) & lost(b), "1-0").when(lost(w) & won(b), "0-1").otherwise("*")
+    return F.when((s == "") | low.rlike("^[uhz]"), "*").when(low.contains("draw"), "1/2-1/2").otherwise(found)
+
+
+def find_date(text: Column) -> Column:
+    """The first date in a text: 2024-May-01 as it is, else one with dots or slashes, with dots; empty without any."""
+    named, plain = r"(\d{4})-(\w{3})-(\d{2})", r"(\d{4})[./](\d{2})[./](\d{2})"
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike(named), F.regexp_extract(t, named, 0)).otherwise(F.replace(F.regexp_extract(t, plain, 0), F.lit("/"), F.lit(".")))
+
+
 def person_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"\s+", " ")
 
