@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,7 +51,7 @@ def global_alignment(score: np.ndarray, gap: float = C.GAP_COST) -> list[tuple[s
 ALIGNED = "game_id long, step int, kind string, i int, j int, score double"
 
 
-def align(c: DataFrame, reach: int = 12) -> DataFrame:
+def align(c: DataFrame) -> DataFrame:
     """(game_id, step, kind, i, j, score) of each game's two readings. Scores are joined by Spark; a group holds one game's score table."""
     sizes = c.groupBy(F.col("game_id").alias("_game")).agg(F.coalesce(F.max(F.when(F.col("sheet") == 1, F.col("ply"))) + 1, F.lit(0)).alias("n"), F.coalesce(F.max(F.when(F.col("sheet") == 2, F.col("ply"))) + 1, F.lit(0)).alias("m"))
 
@@ -61,102 +63,369 @@ def align(c: DataFrame, reach: int = 12) -> DataFrame:
         rows = [(key[0], k, kind, i, j, float(table[i, j]) if kind == "match" else 0.0) for k, (kind, i, j) in enumerate(global_alignment(table))]
         return pd.DataFrame(rows, columns=["game_id", "step", "kind", "i", "j", "score"])
 
-    return pool_scores(c, reach).groupBy("game_id").cogroup(sizes.groupBy("_game")).applyInPandas(one, ALIGNED)
-
-
-def gap_suggestions(aligned: DataFrame, anchor: float = 0.5, single: float = 1.5) -> DataFrame:
-    """(game_id, sheet, kind, at, n, anchor): runs of gaps between matches that anchor them on both sides (single plies need the best of three neighbours to be strong); a gap in one sheet right beside a gap in the other is a substitution and is left out."""
-    w = Window.partitionBy("game_id").orderBy("step")
-    t = aligned.withColumn("run", F.sum((~F.col("kind").eqNullSafe(F.lag("kind").over(w))).cast("int")).over(w))
-    runs = t.groupBy("game_id", "run", "kind").agg(F.min("step").alias("step"), F.count("*").alias("n"), F.min(F.greatest("i", "j")).alias("at"), F.max_by("score", "step").alias("last"), F.min_by("score", "step").alias("first"), F.max("score").alias("most"))
-    v = Window.partitionBy("game_id").orderBy("run")
-    side = lambda f, c, k: f(F.when(F.col("kind") == "match", F.col(c)), 1).over(v) if k else f(c, 1).over(v)
-    runs = runs.withColumns({"before": side(F.lag, "last", 1), "after": side(F.lead, "first", 1), "before_most": side(F.lag, "most", 1), "after_most": side(F.lead, "most", 1)})
-    firm = F.when(F.col("n") == 1, F.greatest("before_most", "after_most") >= single).otherwise((F.col("before") >= anchor) & (F.col("after") >= anchor))
-    gaps = runs.where((F.col("kind") != "match") & firm)
-    sheet = F.when(F.col("kind") == "gap_s1", 1).otherwise(2)
-    return gaps.select("game_id", sheet.alias("sheet"), F.lit("insert").alias("kind"), F.col("at").alias("at"), "n", F.least("before", "after").alias("anchor"))
-
-
-def first_suggestion(suggestions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("game_id").orderBy("at", "sheet")
-    return suggestions.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
+    return pool_scores(c).groupBy("game_id").cogroup(sizes.groupBy("_game")).applyInPandas(one, ALIGNED)
+
+
+class Sheets:
+    """The two readings of one game: for each sheet a list of cells, each a pool of (move, conf) by rank; a missing ply is an empty pool."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.cells: list[list[list[tuple[str, float]]]] = [[], []]
+        for sheet, ply, _, norm, conf in rows.sort_values(["sheet", "ply", "rk"])[["sheet", "ply", "rk", "norm", "conf"]].itertuples(index=False):
+            own = self.cells[sheet - 1]
+            own += [[] for _ in range(ply + 1 - len(own))]
+            own[ply].append((norm, conf))
+
+    def top(self, sheet: int, ply: int) -> str:
+        pool = self.cells[sheet][ply]
+        return pool[0][0] if pool else ""
+
+    def apply(self, issue: dict) -> None:
+        own = self.cells[issue["sheet"] - 1]
+        if issue["action"] == "insert":
+            own[issue["at"] : issue["at"]] = [[] for _ in range(issue["n"])]
+        else:
+            for ply in sorted(issue["plies"], reverse=True):
+                del own[ply]
+
+
+def shared(x: list, y: list) -> float:
+    """Overlap of two pools: the confidences of both sides, of every move in both."""
+    first = dict(x)
+    return sum(first[m] + c for m, c in y if m in first)
+
+
+def likeness(x: list, y: list) -> tuple[float, float]:
+    """(piece, file) agreement of two pools, at most STRUCTURED_CAP each."""
+    parts = (lambda m: m[:1] if m[:1] in "KQRBN" and m[:1] else "P"), (lambda m: f[-1][0] if (f := re.findall("[a-h][1-8]", m)) else "")
+    out = []
+    for part in parts:
+        mass = [{}, {}]
+        for side, pool in zip(mass, (x, y)):
+            for m, c in pool:
+                if k := part(m):
+                    side[k] = side.get(k, 0.0) + c
+        out.append(min(C.STRUCTURED_CAP, sum(mass[0][k] + mass[1][k] for k in mass[0] if k in mass[1])))
+    return out[0], out[1]
+
+
+def members(path: list, score: list[float], k: int) -> list[int]:
+    """Steps of the gap that begins at step k; what one sheet has too much may go on behind one weak match."""
+    out, kind = [k], path[k][0]
+    while out[-1] + 1 < len(path):
+        end = out[-1]
+        if path[end + 1][0] == kind:
+            out.append(end + 1)
+        elif kind == "gap_s2" and path[end + 1][0] == "match" and score[end + 1] < C.ANCHOR and end + 2 < len(path) and path[end + 2][0] == kind:
+            out.append(end + 2)
+        else:
+            break
+    return out
+
+
+def anchor(path: list, score: list[float], steps, single: bool) -> float | None:
+    """Strength of the nearest firm match, or for one ply of the best of the nearest few."""
+    found, seen = [], 0
+    for k in steps:
+        if path[k][0] == "match":
+            seen += 1
+            if score[k] >= C.ANCHOR:
+                found.append(score[k])
+                if not single:
+                    break
+            if single and seen == C.SINGLE_SCAN:
+                break
+    return max(found, default=None)
+
+
+def first_gap(s: Sheets, start: int = 0, ends: tuple[int, int] | None = None) -> dict | None:
+    """The first gap with firm matches on both sides when the plies from start on (up to ends) are aligned: an insert where sheet 1 lacks plies, a delete where it has too many; `other` is the same edit on sheet 2."""
+    one, two = (own[start:end] for own, end in zip(s.cells, ends or (None, None)))
+    table = np.array([[shared(x, y) for y in two] for x in one], dtype=float).reshape(len(one), len(two))
+    path = global_alignment(table)
+    score = [float(table[i, j]) if kind == "match" else 0.0 for kind, i, j in path]
+    for k, (kind, _, _) in enumerate(path):
+        if kind == "match":
+            continue
+        steps = members(path, score, k)
+        if kind == "gap_s2":  # a bridged cell that reads like the next one goes in its place
+            for n, (a, b) in enumerate(zip(steps, steps[1:])):
+                if b - a == 2 and (t := s.top(0, start + path[a + 1][1])) and t == s.top(0, start + path[b][1]):
+                    steps[n + 1] = a + 1
+        single, end = len(steps) == 1, max(steps[-1], members(path, score, k)[-1])
+        before, after = anchor(path, score, range(k - 1, -1, -1), single), anchor(path, score, range(end + 1, len(path)), single)
+        if before is None or after is None or min(before, after) < (C.SINGLE_ANCHOR if single else C.ANCHOR):
+            continue
+        if single and substituted(path, score, end):
+            continue
+        plies = sorted(start + path[x][2 if kind == "gap_s1" else 1] for x in steps)
+        gone = {"action": "delete", "sheet": 2 if kind == "gap_s1" else 1, "at": plies[0], "n": len(plies), "plies": plies, "before": before, "after": after}
+        new = {"action": "insert", "sheet": 3 - gone["sheet"], "at": plies[0], "n": len(plies), "plies": [], "before": before, "after": after}
+        return new | {"other": gone} if kind == "gap_s1" else gone | {"other": new}
+    return None
+
+
+def substituted(path: list, score: list[float], end: int) -> bool:
+    """Whether exactly one ply of the other kind follows a gap of one ply before the next firm match: that is a misread cell."""
+    kind, n = path[end][0], 0
+    for k in range(end + 1, len(path)):
+        if path[k][0] not in ("match", kind):
+            n += 1
+        elif path[k][0] == kind or n or score[k] >= C.ANCHOR:
+            break
+    return n == 1
+
+
+def repeated_near(s: Sheets, sheet: int, near: int) -> dict | None:
+    """The first full move near a ply that repeats the one before it on a sheet; a recapture on one square is none."""
+    cells, square = s.cells[sheet], lambda m: (re.findall(r"([a-h][1-8])(?:=?[QRBN])?$", m) or [""])[0]
+    begin = max(0, near - C.REPEAT_REACH) // 2 * 2
+    for i in range(begin, min(len(cells) - 3, near + C.REPEAT_REACH), 2):
+        white, black = s.top(sheet, i), s.top(sheet, i + 1)
+        if not all(cells[i : i + 4]) or not white or white != s.top(sheet, i + 2):
+            continue
+        if "x" in white and "x" in black and square(white) and square(white) == square(black):
+            continue
+        w, b = shared(cells[i], cells[i + 2]), shared(cells[i + 1], cells[i + 3])
+        if w > C.REPEAT_WHITE and (b > C.REPEAT_BLACK or sum(likeness(cells[i + 1], cells[i + 3])) >= C.REPEAT_STRUCTURED):
+            return {"action": "delete_duplicate", "sheet": sheet + 1, "at": i + 2, "n": 2, "plies": [i + 2, i + 3], "before": None, "after": None}
+    return None
+
+
+def parting(s: Sheets, start: int) -> tuple[int | None, int | None]:
+    """(ply, end): where the readings part from ply `start` on, by a window with little overlap or by a short island without any, whichever comes first; end is that of an island."""
+    both = min(map(len, s.cells))
+    overlap = [shared(x, y) for x, y in zip(*s.cells)]
+    blank = [not (x and y) for x, y in zip(*s.cells)]
+    drop = None
+    for a in range(start, both - C.DROP_WINDOW + 1, 2):
+        known = [o for o, b in zip(overlap[a : a + C.DROP_WINDOW], blank[a : a + C.DROP_WINDOW]) if not b]
+        if not known or sum(known) / len(known) < C.DROP_BELOW:
+            drop = a
+            break
+    firm = lambda a, b: a >= 0 and b <= both and min(overlap[a:b]) >= C.DROPOUT_ANCHOR
+    least, most = C.DROPOUT_LENGTH
+    a = max(start, C.DROPOUT_ANCHORS)
+    while a < both and (drop is None or a < drop):
+        b = a
+        while b < both and overlap[b] < C.DROPOUT_BELOW:
+            b += 1
+        if least <= b - a <= most and firm(a - C.DROPOUT_ANCHORS, a) and firm(b, b + C.DROPOUT_ANCHORS):
+            return a, b
+        a = b + 1
+    return drop, None
+
+
+def next_issue(s: Sheets, start: int) -> tuple[dict | None, int | None]:
+    """(issue, end of an island that gave none) from a search point on. Sheets of very different lengths give none: one player stopped writing."""
+    n, m = map(len, s.cells)
+    if abs(n - m) > C.SILENT_TAIL:
+        return None, None
+    drop, island = parting(s, start)
+    if drop is None:
+        return (first_gap(s, max(0, start - C.ALIGN_BACK)) if n != m else None), None
+    found = repeated_near(s, 0, drop) or repeated_near(s, 1, drop) or first_gap(s, max(0, drop - C.ALIGN_BACK), (min(drop + C.ALIGN_AHEAD, n), min(drop + C.ALIGN_AHEAD, m)))
+    return found, island if found is None else None
+
+
+def issues(s: Sheets) -> list[dict]:
+    """All issues, each once, by moving the search point behind what was found."""
+    out, start = [], 0
+    for _ in range(C.MOST_ISSUES):
+        found, island = next_issue(s, start)
+        if found is None and island is None:
+            break
+        if found is None:
+            start = max(start + 2, island + 2)
+            continue
+        if not any(all(found[k] == x[k] for k in ("action", "sheet", "at", "plies", "n")) for x in out):
+            out.append(found)
+        start = max(start + 2, found["at"] - 1 + found["n"] + 4 if found["action"] == "insert" else found["plies"][-1] + 4)
+    return out
+
+
+ISSUE = "game_id long, place int, direction string, action string, sheet int, at int, n int, plies string, before double, after double"
+
+
+def issue_rows(game: int, found: list[dict]) -> list[tuple]:
+    row = lambda k, d, x: (game, k, d, x["action"], x["sheet"], x["at"], x["n"], ",".join(map(str, x["plies"])), x["before"], x["after"])
+    return [r for k, x in enumerate(found) for r in ((row(k, "primary", x), row(k, "inverse", x["other"])) if "other" in x else (row(k, "primary", x),))]
+
+
+def by_game(c: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(game_id, Sheets) -> rows, for each game of the candidates c."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = normed(c).select("game_id", "sheet", "ply", "rk", "norm", "conf")
+    return rows.groupBy("game_id").applyInPandas(lambda key, pdf: pd.DataFrame(fn(int(key[0]), Sheets(pdf)), columns=names), schema)
+
+
+def gap_suggestions(c: DataFrame) -> DataFrame:
+    """The first suggestion of each game whose whole readings are aligned, in both directions."""
+    return by_game(c, lambda game, s: issue_rows(game, [x] if (x := first_gap(s)) else []), ISSUE)
+
+
+def cascade(c: DataFrame) -> DataFrame:
+    """All issues of each game, by place: repeated rows, missing and superfluous plies, in both directions."""
+    return by_game(c, lambda game, s: issue_rows(game, issues(s)), ISSUE)
+
+
+APPLIED = "game_id long, place int, action string, sheet int, at int, n int, plies string, before double, after double"
+
+
+def auto_apply(c: DataFrame, threshold: float = float("inf")) -> DataFrame:
+    """The edits of each game in the order they were applied: the next issue, as long as both its anchors reach the threshold (repeated rows have none and end it), each on what the one before left; none by default."""
+
+    def run(game: int, s: Sheets) -> list[tuple]:
+        out = []
+        while len(out) < C.MOST_APPLIES and np.isfinite(threshold):
+            found, _ = next_issue(s, 0)
+            if found is None or found["before"] is None or min(found["before"], found["after"]) < threshold:
+                break
+            s.apply(found)
+            out.append((game, len(out), found["action"], found["sheet"], found["at"], found["n"], ",".join(map(str, found["plies"])), found["before"], found["after"]))
+        return out
+
+    return by_game(c, run, APPLIED)
+
+
+def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) -> DataFrame:
+    """(game_id, sheet, ply, move, conf, source_ply) after the edits, or after those whose place is less than `before`; inserted plies read ???."""
+    log = applied if before is None else applied.where(F.col("place") < before)
+    log = log.select(F.col("game_id").alias("_game"), "place", "action", "sheet", "at", "n", "plies")
+    tops = c.where("rk = 0").select("game_id", "sheet", "ply", "move", "conf")
+
+    def run(key, cells, edits):
+        sheets = {1: [], 2: []}
+        for sheet, ply, move, conf in cells.sort_values(["sheet", "ply"])[["sheet", "ply", "move", "conf"]].itertuples(index=False):
+            own = sheets[sheet]
+            own += [None] * (ply - len(own))
+            own.append((move, conf, ply))
+        for sheet, action, at, n, plies in edits.sort_values("place")[["sheet", "action", "at", "n", "plies"]].itertuples(index=False):
+            if action == "insert":
+                sheets[sheet][at:at] = [("???", 0.0, -1)] * n
+            else:
+                for ply in sorted(map(int, plies.split(",")), reverse=True):
+                    del sheets[sheet][ply]
+        out = [(key[0], sheet, ply, *x) for sheet, own in sheets.items() for ply, x in enumerate(own) if x]
+        return pd.DataFrame(out, columns=["game_id", "sheet", "ply", "move", "conf", "source_ply"])
 
-def cascade(c: DataFrame, starts: DataFrame, back: int = 6, ahead: int = 20, most_difference: int = 6) -> DataFrame:
-    """Suggestions near the point where the readings part. starts(game_id, start): the earlier of overlap drop and isolated dropout; games whose lengths differ too much give none."""
-    sizes = c.where("rk = 0").groupBy("game_id").agg(F.abs(F.count_if(F.col("sheet") == 1) - F.count_if(F.col("sheet") == 2)).alias("d"))
-    window = starts.join(sizes.where(F.col("d") <= most_difference), "game_id").select("game_id", (F.greatest(F.col("start") - back, F.lit(0))).alias("_from"), (F.col("start") + ahead).alias("_to"))
-    part = c.join(window, "game_id").where((F.col("ply") >= F.col("_from")) & (F.col("ply") < F.col("_to"))).withColumn("ply", F.col("ply") - F.col("_from"))
-    found = gap_suggestions(align(part.drop("_from", "_to")))
-    return found.join(window, "game_id").select("game_id", "sheet", "kind", (F.col("at") + F.col("_from")).alias("at"), "n", "anchor")
+    return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInPandas(run, "game_id long, sheet int, ply long, move string, conf double, source_ply long")
 
 
 def running_offset(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
-    """(game_id, start, offset, delta): windows at which the best offset between the sheets moves. Offsets are scored by a join; the fold over windows is one small group a game."""
+    """(game_id, start, before, offset, delta, at_base, at_best): windows at which the best offset between the sheets moves. Offsets are scored by a join; the fold over windows is one small group a game."""
     scores = pool_scores(c, far).withColumn("offset", F.col("j") - F.col("i"))
-    last = c.where("sheet = 1").groupBy("game_id").agg(F.max("ply").alias("last"))
-    spans = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - window + 1) / step)).cast("int"), F.floor(F.col("i") / step).cast("int"))
-    sums = scores.withColumn("k", F.explode(spans)).groupBy("game_id", (F.col("k") * step).alias("start"), "offset").agg(F.sum("overlap").alias("sum"))
-    sums = sums.join(last, "game_id").where(F.col("start") <= F.greatest(F.col("last") - window + 1, F.lit(0)))
+    last = c.groupBy("game_id").agg(F.max("ply").alias("last"))
+    end = F.greatest(F.lit(0), F.col("last") - window + 1)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.floor(end / step)), F.array(F.lit(-1).cast("long"))))
+    at = F.when(F.col("k") < 0, end).otherwise(F.col("k") * step)  # the last window may begin between two steps
+    windows = last.select("game_id", F.explode(starts).alias("k"), "last").select("game_id", at.alias("start")).distinct()
+    spans = scores.select("game_id", "i", "offset", "overlap").join(windows, "game_id").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + window))
+    sums = spans.groupBy("game_id", "start", "offset").agg(F.sum("overlap").alias("sum"))
 
     def fold(key, pdf):
         base, out = 0, []
         for start, part in sorted(pdf.groupby("start")):
             sums = {o: s for o, s in zip(part["offset"].tolist(), part["sum"].tolist()) if abs(o - base) <= near and abs(o) <= far}
-            if sums and (best := max(sorted(sums), key=lambda o: (round(sums[o], 9), o == base, -abs(o)))) != base and sums[best] > sums.get(base, 0.0) + gain:
-                out.append((key[0], start, best, best - base))
+            if sums and (best := max(sorted(sums), key=lambda o: (round(sums[o], 9), -o))) != base and sums[best] > sums.get(base, 0.0) + gain:
+                out.append((key[0], start, base, best, best - base, sums.get(base, 0.0), sums[best]))
                 base = best
-        return pd.DataFrame(out, columns=["game_id", "start", "offset", "delta"])
-
-    return sums.groupBy("game_id").applyInPandas(fold, "game_id long, start long, offset long, delta long")
-
-
-def shift_suggestions(offsets: DataFrame) -> DataFrame:
-    """(game_id, at, kind, plies): a moved offset as rows to insert or delete; only whole moves count."""
-    kind = F.when(F.col("delta") > 0, "insert").otherwise("delete")
-    return offsets.where("delta in (-4, -2, 2, 4)").select("game_id", F.col("start").alias("at"), kind.alias("kind"), F.abs("delta").alias("plies"))
+        return pd.DataFrame(out, columns=["game_id", "start", "before", "offset", "delta", "at_base", "at_best"])
+
+    return sums.groupBy("game_id").applyInPandas(fold, "game_id long, start long, before long, offset long, delta long, at_base double, at_best double")
+
+
+def repeated_rows(c: DataFrame) -> DataFrame:
+    """(game_id, sheet, at, kind, white, black): full moves at ply `at` that the next one of the same sheet repeats: white halves with the same top, black ones with the same top or of one piece and file; pools overlap."""
+    n = normed(c).select("game_id", "sheet", "ply", "rk", "norm", "conf")
+    tops = n.where("rk = 0").select("game_id", "sheet", "ply", F.col("norm").alias("top")).where("top <> ''")
+    keys = ["game_id", "sheet", "ply"]
+    later = lambda df: df.withColumn("ply", F.col("ply") - 2)
+    early = n.groupBy(*keys, "norm").agg(F.max_by("conf", "rk").alias("a"))
+    overlap = early.join(later(n).select(*keys, "norm", F.col("conf").alias("b")), [*keys, "norm"]).groupBy(*keys).agg(F.sum(F.col("a") + F.col("b")).alias("overlap"))
+    piece = F.when(F.substring("norm", 1, 1).isin(*"KQRBN"), F.substring("norm", 1, 1)).otherwise("P")
+    parts = n.select(*keys, "conf", F.explode(F.array(F.struct(F.lit("piece").alias("k"), piece.alias("v")), F.struct(F.lit("file").alias("k"), F.substring(F.regexp_extract("norm", "([a-h][1-8])[^a-h]*$", 1), 1, 1).alias("v")))).alias("x")).where("x.v <> ''")
+    mass = parts.groupBy(*keys, "x.k", "x.v").agg(F.sum("conf").alias("m"))
+    both = mass.join(later(mass).withColumnRenamed("m", "m2"), [*keys, "k", "v"]).groupBy(*keys).agg(*(F.least(F.lit(C.STRUCTURED_CAP), F.sum(F.when(F.col("k") == k, F.col("m") + F.col("m2")))).alias(k) for k in ("piece", "file")))
+    pairs = tops.join(later(tops).withColumnRenamed("top", "next"), keys).join(overlap, keys, "left").join(both, keys, "left").withColumns({"same": F.col("top") == F.col("next"), "overlap": F.coalesce("overlap", F.lit(0.0))})
+    white = pairs.where((F.col("ply") % 2 == 0) & F.col("same") & (F.round("overlap", 9) >= C.ROWS_WHITE)).select("game_id", "sheet", F.col("ply").alias("at"), F.col("overlap").alias("white"))
+    alike = (F.round("piece", 9) >= C.ROWS_PIECE) & (F.round("file", 9) >= C.ROWS_FILE)
+    kind = F.when(F.col("same") & (F.round("overlap", 9) >= C.ROWS_BLACK), "exact").when(~F.col("same") & alike, "structured")
+    black = pairs.where(F.col("ply") % 2 == 1).select("game_id", "sheet", (F.col("ply") - 1).alias("at"), kind.alias("kind"), F.col("overlap").alias("black")).where("kind is not null")
+    return white.join(black, ["game_id", "sheet", "at"]).select("game_id", "sheet", "at", "kind", "white", "black")
+
+
+def shift_suggestions(c: DataFrame, offsets: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(game_id, cause, sheet, action, move, half, confidence, priority): what repeated rows and moved offsets ask for, most urgent first by priority.
+
+    A repeated row is deleted. An offset that moves by a full move deletes it on
+    the sheet ahead or, less surely, inserts one on the other, unless rows
+    repeated on the sheet ahead explain it; by two moves it inserts both; by one
+    or three plies it is only to be looked at. Weak overlaps are of low
+    confidence. Games with a very short sheet give none.
+    """
+    lengths = c.where("rk = 0").groupBy("game_id").agg(F.least(F.count_if(F.col("sheet") == 1), F.count_if(F.col("sheet") == 2)).alias("n")).where(F.col("n") >= C.SHORTEST_SHEET).select("game_id")
+    text = lambda x: F.lit(x)
+    row = F.floor(F.col("at") / 2) + 1
+    guns = repeats.select("game_id", text("repeat").alias("cause"), "sheet", text("delete").alias("action"), (row + 1).alias("move"), text("w").alias("half"), text("high").alias("confidence"), row.alias("priority"))
+    ahead = F.when(F.col("delta") < 0, 1).otherwise(2)
+    o = offsets.withColumns({"ahead": ahead, "behind": 3 - ahead, "move": F.floor(F.col("start") / 2) + 1, "half": F.when(F.col("start") % 2 == 0, "w").otherwise("b"), "size": F.abs("delta")})
+    told = repeats.select("game_id", F.col("sheet").alias("ahead")).distinct()
+    free = o.where("size <> 2").unionByName(o.where("size = 2").join(told, ["game_id", "ahead"], "left_anti"))
+    sure = lambda base: F.when(F.col("at_best") < C.WEAK_SHIFT, "low").otherwise(base)
+    make = lambda cause, sheet, action, half, confidence, more: F.struct(text(cause).alias("cause"), F.col(sheet).alias("sheet"), text(action).alias("action"), half.alias("half"), confidence.alias("confidence"), (F.col("move") + more).alias("priority"))
+    w, own = F.lit("w"), F.col("half")
+    found = F.when(F.col("size") == 2, F.array(make("shift_2", "ahead", "delete", w, sure("medium"), 1000), make("shift_2", "behind", "insert_pair", own, sure("low"), 1100))).when(F.col("size") == 4, F.array(make("shift_4", "behind", "insert_double", w, sure("medium"), 800)))
+    found = found.when(F.col("size") == 1, F.array(make("shift_1", "ahead", "investigate", own, text("low"), 1500))).when(F.col("size") == 3, F.array(make("shift_3", "ahead", "investigate", own, text("low"), 1700)))
+    shifts = free.select("game_id", "move", F.explode(found).alias("x")).select("game_id", "x.cause", "x.sheet", "x.action", "move", "x.half", "x.confidence", "x.priority")
+    return guns.unionByName(shifts).join(lengths, "game_id", "left_semi")
 
 
 def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(final ids (game_id, i, id), rejects (game_id, seq, reason)): insert and delete by position, in order of seq; an entry that doesn't fit is rejected and the rest go on."""
+    """(final ids (game_id, i, id, num, color), rejects (game_id, seq, reason)): insert and delete by position, in order of seq. The first entry that doesn't fit, or after which the length isn't the recorded one (a column length, if there is one), rejects its game as a whole."""
+    recorded = "length" in edits.columns
 
     def run(key, pdf):
-        ids, out = [], []
-        for seq, op, pos, new in pdf.sort_values("seq")[["seq", "op", "pos", "event_id"]].itertuples(index=False):
-            if op == "insert" and pos <= len(ids):
-                ids.insert(pos, new)
-            elif op == "delete" and pos < len(ids):
-                del ids[pos]
+        ids = []
+        for e in pdf.sort_values("seq").itertuples(index=False):
+            if e.op == "insert" and e.pos <= len(ids):
+                ids.insert(e.pos, e.event_id)
+            elif e.op == "delete" and e.pos < len(ids):
+                del ids[e.pos]
             else:
-                out.append((key[0], "reject", seq, f"{op} past the end"))
-        out += [(key[0], "id", k, str(x)) for k, x in enumerate(ids)]
-        return pd.DataFrame(out, columns=["game_id", "what", "i", "value"])
+                return pd.DataFrame([(key[0], "reject", e.seq, f"{e.op} past the end")], columns=["game_id", "what", "i", "value"])
+            if recorded and pd.notna(e.length) and e.length != len(ids):
+                return pd.DataFrame([(key[0], "reject", e.seq, f"length {len(ids)} is not {int(e.length)}")], columns=["game_id", "what", "i", "value"])
+        return pd.DataFrame([(key[0], "id", k, str(x)) for k, x in enumerate(ids)], columns=["game_id", "what", "i", "value"])
 
     done = edits.groupBy("game_id").applyInPandas(run, "game_id long, what string, i long, value string")
-    return done.where("what = 'id'").select("game_id", "i", F.col("value").cast("long").alias("id")), done.where("what = 'reject'").select("game_id", F.col("i").alias("seq"), F.col("value").alias("reason"))
+    half = F.when(F.col("i") % 2 == 0, "w").otherwise("b")
+    final = done.where("what = 'id'").select("game_id", "i", F.col("value").cast("long").alias("id"), (F.floor(F.col("i") / 2) + 1).alias("num"), half.alias("color"))
+    return final, done.where("what = 'reject'").select("game_id", F.col("i").alias("seq"), F.col("value").alias("reason"))
 
 
 def capture(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(game_id, deleted, inserted, moved, type) between two snapshots (game_id, i, id); unchanged games give no row."""
-    b, a = before.select("game_id", "id", F.col("i").alias("bi")), after.select("game_id", "id", F.col("i").alias("ai"))
+    """(game_id, type, first, length, deleted, inserted, updated, sequence): the entry that leads from one snapshot (game_id, i, id, and a payload if there is one) to another.
+
+    deleted ids, inserted `position:id` and updated ids are in order; if what
+    stays has changed its order, sequence is the whole new order instead of the
+    first two. first is the first position that changed. Unchanged games give
+    no row.
+    """
+    load = lambda df: F.col("payload") if "payload" in df.columns else F.lit(None).cast("string")
+    b, a = before.select("game_id", "id", F.col("i").alias("bi"), load(before).alias("bp")), after.select("game_id", "id", F.col("i").alias("ai"), load(after).alias("ap"))
     both = b.join(a, ["game_id", "id"], "full_outer")
     w = Window.partitionBy("game_id").orderBy("bi")
-    kept = both.where("bi is not null and ai is not null").withColumn("back", F.coalesce((F.col("ai") < F.lag("ai").over(w)).cast("int"), F.lit(0)))
-    moved = kept.groupBy("game_id").agg(F.max("back").alias("moved"), F.max("bi").alias("last_kept"))
-    counts = both.groupBy("game_id").agg(F.count_if(F.col("ai").isNull()).alias("deleted"), F.count_if(F.col("bi").isNull()).alias("inserted"), F.min(F.when(F.col("ai").isNull(), F.col("bi"))).alias("first_gone"))
-    c = counts.join(moved, "game_id", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
-    tail = F.col("first_gone") > F.coalesce("last_kept", F.lit(-1))
-    kind = F.when(F.col("moved") == 1, "realign").when((F.col("inserted") == 0) & tail, "truncate").when(F.col("inserted") == 0, "duplicate-delete").when(F.col("deleted") == 0, "gap-insert").otherwise("update")
-    return c.where("deleted + inserted + moved > 0").select("game_id", "deleted", "inserted", F.col("moved").cast("boolean").alias("moved"), kind.alias("type"))
-
-
-def auto_apply(c: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
-    """(game_id, sheet, at, n, round): suggestions applied while both anchors reach the threshold; each shifts its sheet before the next is sought."""
-    log = None
-    for k in range(rounds):
-        found = first_suggestion(gap_suggestions(align(c))).where(F.col("anchor") >= threshold).withColumn("round", F.lit(k))
-        log = found if log is None else log.unionByName(found)
-        moved = found.select("game_id", "sheet", F.col("at").alias("_at"), F.col("n").alias("_n"))
-        c = c.join(moved, ["game_id", "sheet"], "left").withColumn("ply", F.when(F.col("ply") >= F.col("_at"), F.col("ply") + F.col("_n")).otherwise(F.col("ply"))).drop("_at", "_n")
-    return log.select("game_id", "sheet", "at", "n", "round")
+    stays = F.col("bi").isNotNull() & F.col("ai").isNotNull()
+    both = both.withColumns({"back": F.when(stays, F.max(F.when(stays, F.col("ai"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) > F.col("ai")), "gone": F.col("ai").isNull(), "new": F.col("bi").isNull(), "changed": stays & ~F.col("bp").eqNullSafe(F.col("ap"))})
+    listed = lambda flag, order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct(F.col(order).alias("o"), text.alias("t"))))), lambda x: x["t"]), ",")
+    name = F.col("id").cast("string")
+    c = both.groupBy("game_id").agg(
+        F.coalesce(F.bool_or("back"), F.lit(False)).alias("moved"), F.count_if("gone").alias("n_gone"), F.count_if("new").alias("n_new"), F.count_if("changed").alias("n_changed"), F.count("ai").alias("length"),
+        listed(F.col("gone"), "bi", name).alias("deleted"), listed(F.col("new"), "ai", F.concat_ws(":", F.col("ai").cast("string"), name)).alias("inserted"), listed(F.col("changed"), "ai", name).alias("updated"), listed(~F.col("gone"), "ai", name).alias("order"),
+        F.min(F.when(F.col("gone"), F.col("bi")).when(F.col("new") | F.col("changed"), F.col("ai"))).alias("first"), F.min(F.when(F.col("gone"), F.col("bi"))).alias("first_gone"), F.max(F.when(stays, F.col("bi"))).alias("last_kept"),
+    )
+    gone, new, tail = F.col("n_gone") > 0, F.col("n_new") > 0, F.coalesce(F.col("first_gone") > F.coalesce("last_kept", F.lit(-1)), F.lit(False))
+    kind = F.when(F.col("moved"), "realign").when(~gone & ~new, "update").when(gone & ~new & tail & (F.col("n_changed") == 0), "truncate").when(gone & ~new, "duplicate-delete").when(~gone, "gap-insert").otherwise("realign")
+    plain = lambda x: F.when(~F.col("moved"), F.col(x)).otherwise("")
+    return c.where("n_gone + n_new + n_changed > 0 or moved").select("game_id", kind.alias("type"), F.coalesce("first", F.lit(0).cast("long")).alias("first"), "length", plain("deleted").alias("deleted"), plain("inserted").alias("inserted"), "updated", F.when(F.col("moved"), F.col("order")).otherwise("").alias("sequence"))

@@ -81,26 +81,35 @@ def simple_tail_noise(tops: DataFrame) -> DataFrame:
 
 
 def tail_noise(tops: DataFrame) -> DataFrame:
-    """(game_id, sheet, start): the earliest start that four detectors give: weak tail, repeated move, repeated pawn pushes, weak end."""
-    level = complexity(F.col("move"))
-    limit = F.when(level < 2, 0.60).otherwise(0.30)
-    t = tops.withColumns({"back": F.row_number().over(backward()), "level": level, "same": F.coalesce(F.col("move") == F.lead("move").over(backward()), F.lit(False)) | F.coalesce(F.col("move") == F.lag("move").over(backward()), F.lit(False))})
-    t = t.withColumn("bad", (F.col("conf") < limit) | (F.col("same") & (F.col("level") < 2)))
+    """(game_id, sheet, start): the earliest start that four detectors give: weak tail, repeated move, repeated pawn pushes, weak end.
+
+    A ply is weak if it is less sure than moves of its kind are, or a simple
+    move that the next one repeats. tops may have a column locked: such plies
+    are never noise, and runs of repeats and pushes end at them.
+    """
+    locked = F.coalesce(F.col("locked"), F.lit(False)) if "locked" in tops.columns else F.lit(False)
+    keys, level = ["game_id", "sheet"], complexity(F.col("move"))
+    every = Window.partitionBy(*keys)
+    beside = F.coalesce(F.lag("move").over(backward()), F.lead("move").over(backward()))  # the next move, or the one before the last
+    t = tops.withColumns({"locked": locked, "conf": F.coalesce(F.nullif("conf", F.lit(0.0)), F.lit(0.9)), "level": level})
+    t = t.withColumns({"back": F.row_number().over(backward()), "n": F.count("*").over(every), "rows": F.size(F.collect_set(F.floor(F.col("ply") / 2)).over(every)), "same": F.coalesce(F.col("move") == beside, F.lit(False))})
+    t = t.withColumn("bad", ~F.col("locked") & ((F.col("conf") < F.when(F.col("level") < 2, 0.60).otherwise(0.30)) | (F.col("same") & (F.col("level") < 2))))
     good4 = (F.sum((~F.col("bad")).cast("int")).over(backward().rowsBetween(-3, 0)) == 4) & (F.col("back") >= 4)
-    t = t.withColumn("ended", F.max(good4.cast("int")).over(backward()))
-    keys = ["game_id", "sheet"]
-    counted = t.where("ended = 0").withColumns({"bads": F.sum(F.col("bad").cast("int")).over(backward())})
-    a = counted.where((F.col("bads") >= 3) & F.col("bad") & (F.col("bads") * 2 >= F.col("back"))).groupBy(keys).agg(F.min("ply").alias("a"))
+    scanned = t.withColumn("ended", F.max(good4.cast("int")).over(backward())).where("ended = 0 and bad and n >= 4 and rows >= 3")
+    a = scanned.groupBy(keys).agg(F.min("ply").alias("a"), F.count("*").alias("bads"), F.max("back").alias("length")).where("bads >= 3 and bads * 2 >= length").select(*keys, "a")
     last = F.first("move").over(backward())
-    b = t.withColumn("differs", F.max((F.col("move") != last).cast("int")).over(backward())).where("differs = 0").groupBy(keys).agg(F.min("ply").alias("b"), F.count("*").alias("n")).where("n >= 3").drop("n")
-    side = Window.partitionBy("game_id", "sheet", "half").orderBy(F.desc("ply"))
-    pushes = t.withColumn("half", F.col("ply") % 2).withColumn("other", F.max((~F.col("move").rlike("^[a-h][1-8][+#]?$")).cast("int")).over(side)).where("other = 0")
-    c = pushes.groupBy(*keys, "half").agg(F.count("*").alias("n"), F.count_distinct("move").alias("d"), F.min("ply").alias("c")).where("n >= 3 and d < n").groupBy(keys).agg(F.min("c").alias("c"))
-    two = t.where("back <= 2").groupBy(keys).agg(F.max(F.when(F.col("back") == 1, F.col("conf"))).alias("l1"), F.max(F.when(F.col("back") == 2, F.col("conf"))).alias("l2"), F.max("ply").alias("p1"), F.min("ply").alias("p2"))
+    b = t.withColumn("differs", F.max(((F.col("move") != last) | F.col("locked")).cast("int")).over(backward())).where("differs = 0 and rows >= 2").groupBy(keys).agg(F.min("ply").alias("b"), F.count("*").alias("k")).where("k >= 3").drop("k")
+    side = Window.partitionBy(*keys, "half").orderBy(F.desc("ply"))
+    pushes = t.where("rows >= 4").withColumn("half", F.col("ply") % 2).withColumn("other", F.max((~F.col("move").rlike("^[a-h][1-8][+#]?$") | F.col("locked")).cast("int")).over(side)).where("other = 0")
+    c = pushes.groupBy(*keys, "half").agg(F.count("*").alias("k"), F.count_distinct(F.regexp_replace("move", "[+#]$", "")).alias("d"), F.min("ply").alias("c")).where("k >= 3 and d < k").groupBy(keys).agg(F.min("c").alias("c"))
+    sure = F.when(F.col("locked"), 1.0).otherwise(F.col("conf"))
+    two = t.where("back <= 2 and n >= 4 and rows >= 3").groupBy(keys).agg(F.max(F.when(F.col("back") == 1, sure)).alias("l1"), F.max(F.when(F.col("back") == 2, sure)).alias("l2"), F.max("ply").alias("p1"), F.min("ply").alias("p2"))
     d = two.select(*keys, F.when((F.col("l1") < 0.55) & (F.col("l2") < 0.55), F.col("p2")).when(F.col("l1") < 0.50, F.col("p1")).alias("d"))
-    for x in (a, b, c):
-        d = d.join(x, keys, "left")
-    return d.select(*keys, F.least("a", "b", "c", "d").alias("start")).where("start is not null")
+    starts = None
+    for name, x in (("a", a), ("b", b), ("c", c), ("d", d)):
+        x = x.where(F.col(name).isNotNull()).select(*keys, F.col(name).alias("start"))
+        starts = x if starts is None else starts.unionByName(x)
+    return starts.groupBy(keys).agg(F.min("start").alias("start"))
 
 
 def trim_repeated_pairs(tops: DataFrame) -> DataFrame:
@@ -114,11 +123,11 @@ def trim_repeated_pairs(tops: DataFrame) -> DataFrame:
     return odd.withColumn("pair", F.floor(F.col("i") / 2)).join(gone, ["game_id", "sheet", "pair"], "left_anti").select("game_id", "sheet", "ply", "move")
 
 
-def clusters_1d(values: DataFrame, keys: tuple[str, ...], value: str, tolerance: float, least: int = 4) -> DataFrame:
-    """(keys, cluster, n, centre): sorted numbers split where the gap exceeds the tolerance; clusters of `least` or more with their median."""
+def clusters_1d(values: DataFrame, keys: tuple[str, ...], value: str, tolerance: float, least: int = 4, middle=F.median) -> DataFrame:
+    """(keys, cluster, n, centre): sorted numbers split where the gap exceeds the tolerance; clusters of `least` or more with their median (or another middle)."""
     w = Window.partitionBy(*keys).orderBy(value)
     jump = F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0))
-    return values.withColumn("_jump", jump).withColumn("cluster", F.sum("_jump").over(w)).groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.median(value).alias("centre")).where(F.col("n") >= least)
+    return values.withColumn("_jump", jump).withColumn("cluster", F.sum("_jump").over(w)).groupBy(*keys, "cluster").agg(F.count("*").alias("n"), middle(value).alias("centre")).where(F.col("n") >= least)
 
 
 def repeated_pawn_targets(tops: DataFrame) -> DataFrame:
@@ -137,3 +146,13 @@ def attention(rows: DataFrame, seconds: int = C.ATTENTION_SECONDS) -> DataFrame:
     w = Window.partitionBy("operator_id").orderBy("ts", "event_id")
     gap = (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
     return rows.withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= seconds)).groupBy("open_game").agg(F.sum("gap").alias("seconds"))
+
+
+def length_progress(tops: DataFrame, games: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(game_id, plies, moves, progress): plies of the longer sheet, or half the known cells where no sheet is there; progress is confirmed/all moves, all/all of a verified game. games(game_id, cells, verified), confirmed(game_id, confirmed)."""
+    longest = tops.groupBy("game_id", "sheet").agg(F.count("*").alias("n")).groupBy("game_id").agg(F.max("n").alias("n"))
+    plies = F.coalesce("n", F.ceil(F.col("cells") / 2).cast("long"))
+    t = games.join(longest, "game_id", "left").join(confirmed, "game_id", "left").withColumn("plies", plies)
+    half = lambda c: F.ceil(F.col(c) / 2).cast("long")
+    done = F.when(F.col("verified"), half("plies")).when(F.col("confirmed") > 0, half("confirmed"))
+    return t.select("game_id", "plies", half("plies").alias("moves"), F.concat_ws("/", done.cast("string"), half("plies").cast("string")).alias("progress"))

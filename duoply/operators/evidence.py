@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoply import config as C
+
 FRAMES, SYMBOLS = 8, 8
 LETTERS = "abcdefg"
 
@@ -44,35 +46,59 @@ def score_candidates(cells: DataFrame, candidates: DataFrame) -> DataFrame:
     return cells.join(candidates, "cell").select("cell", "text", "values").mapInPandas(run, "cell long, text string, best double, total double")
 
 
-def beam_decode(logp: np.ndarray, width: int = 15, most: int = 5) -> list[tuple[str, float]]:
-    """Best texts with the log-probability of their best path; hypotheses with the same text and last symbol are merged by the larger."""
+def beam_decode(logp: np.ndarray, begins=None, width: int = 15) -> list[tuple[str, float]]:
+    """Texts with the log-probability of their best path, best first; hypotheses with the same text and last symbol are merged by the larger, and those that begin no text of the grammar are pruned."""
     beam = {("", 0): 0.0}
     for row in logp:
         new: dict[tuple[str, int], float] = {}
         for (text, last), p in beam.items():
             for s in range(SYMBOLS):
                 key = (text, s) if s in (0, last) else (text + LETTERS[s - 1], s)
-                new[key] = max(new.get(key, -np.inf), p + row[s])
+                if begins is None or key[0] == text or begins(key[0]):
+                    new[key] = max(new.get(key, -np.inf), p + row[s])
         beam = dict(sorted(new.items(), key=lambda x: (-x[1], x[0]))[:width])
     texts: dict[str, float] = {}
     for (text, _), p in beam.items():
         texts[text] = max(texts.get(text, -np.inf), p)
-    return sorted(texts.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return sorted(texts.items(), key=lambda x: (-x[1], x[0]))
+
+
+PARTIAL_CONF, LENIENT_SHARE = 0.1, 0.5
 
 
-def decode(cells: DataFrame) -> DataFrame:
-    """(cell, place, text, conf): the five best texts of each cell, confidences summing to one."""
+def decode(cells: DataFrame, pattern: str | None = None, most: int = 5) -> DataFrame:
+    """(cell, kind, place, text, conf) of each cell.
+
+    `strict`: the best texts that match the pattern as a whole, hypotheses that
+    can't become one pruned, confidences summing to one; if there is none, the
+    best beginning of one as `partial` of little confidence. `lenient`: the best
+    texts without the pattern that aren't among the strict ones, at half their
+    confidence.
+    """
+    import regex
 
     def run(frames):
+        grammar = regex.compile(pattern) if pattern else None
+        begins = (lambda t: grammar.fullmatch(t, partial=True) is not None) if grammar else None
+
+        def shares(found):
+            p = np.exp([s for _, s in found])
+            return list(zip((t for t, _ in found), p / p.sum())) if found else []
+
         for f in frames:
             rows = []
             for cell, v in zip(f["cell"], f["values"]):
-                found = beam_decode(log_frames(np.asarray(v, dtype=float)))
-                p = np.exp([s for _, s in found])
-                rows += [(cell, k, t, x) for k, ((t, _), x) in enumerate(zip(found, p / p.sum()))]
-            yield pd.DataFrame(rows, columns=["cell", "place", "text", "conf"])
+                logp = log_frames(np.asarray(v, dtype=float))
+                found = beam_decode(logp, begins)
+                whole = [x for x in found if grammar is None or grammar.fullmatch(x[0])][:most]
+                strict = shares(whole) or [(t, PARTIAL_CONF) for t, _ in found[:1]]
+                rows += [(cell, "strict" if whole else "partial", k, t, c) for k, (t, c) in enumerate(strict)]
+                known = {t for t, _ in whole}
+                free = [x for x in shares(beam_decode(logp)[:most]) if x[0] not in known] if grammar else []
+                rows += [(cell, "lenient", k, t, c * LENIENT_SHARE) for k, (t, c) in enumerate(free)]
+            yield pd.DataFrame(rows, columns=["cell", "kind", "place", "text", "conf"])
 
-    return cells.select("cell", "values").mapInPandas(run, "cell long, place int, text string, conf double")
+    return cells.select("cell", "values").mapInPandas(run, "cell long, kind string, place int, text string, conf double")
 
 
 def constrained_rank(scores: DataFrame, key: str = "cell", score: str = "total", most: int = 5, least: float = 0.3) -> DataFrame:
@@ -93,7 +119,131 @@ def fuse(a: DataFrame, b: DataFrame, key: str = "cell", most: int = 5, least: fl
 
 
 def renormalise(scores: DataFrame, key: str = "cell", score: str = "total") -> DataFrame:
-    """(key, text, logp): log-softmax over each key's texts; repeats count."""
+    """(key, text, logp): log-softmax over each key's texts, which count once; a text ends before = or # or + (see plain)."""
     w = Window.partitionBy(key)
-    top = F.max(score).over(w)
-    return scores.where(F.col(score).isNotNull()).withColumn("top", top).withColumn("logp", F.col(score) - F.col("top") - F.log(F.sum(F.exp(F.col(score) - F.col("top"))).over(w))).select(key, "text", "logp")
+    known = scores.where(F.col(score).isNotNull()).select(key, plain(F.col("text")).alias("text"), score).groupBy(key, "text").agg(F.max(score).alias("s"))
+    top = F.max("s").over(w)
+    return known.withColumn("top", top).withColumn("logp", F.col("s") - F.col("top") - F.log(F.sum(F.exp(F.col("s") - F.col("top"))).over(w))).select(key, "text", "logp")
+
+
+def plain(text: Column) -> Column:
+    """A move without what stands behind it: promotion sign, check, mate."""
+    return F.regexp_replace(text, "[=#+].*$", "")
+
+
+def components(fixes: DataFrame) -> DataFrame:
+    """fixes with components, a map of what each adds to the score.
+
+    Columns: ply, stuck_ply, similarity, reach, completes, low_conf, conf,
+    lenient, pattern, root_duplicate, duplicate, ambiguous, absurdity. Reach
+    counts 10 a ply up to 50, and one more for each ply beyond five where the fix
+    isn't before the stuck ply or ends the game; a fix without reach loses by
+    similarity, and 5 for each ply in front of the stuck one up to 30.
+    """
+    c, one = F.col, lambda flag: flag.cast("double")
+    none = c("reach") <= 0
+    steps = F.lit(0)
+    for least, loss in reversed(C.ZERO_REACH):
+        steps = F.when(c("similarity") >= least, loss).otherwise(steps)
+    values = {
+        "similarity": c("similarity"), "conf": c("conf"), "completes": one(c("completes")), "low_conf": one(c("low_conf") & (c("conf") > 0.01)), "ambiguous": one(c("ambiguous")),
+        "reach": F.least(c("reach") * 10, F.lit(50)), "reach_more": F.when((c("ply") >= c("stuck_ply")) | c("completes"), F.greatest(c("reach") - 5, F.lit(0))).otherwise(0),
+        "lenient": c("lenient"), "pattern": F.least(c("pattern"), F.lit(30)), "duplicate": F.when(c("root_duplicate") & (c("ply") != c("stuck_ply")), 25).when(c("duplicate") | c("root_duplicate"), 15).otherwise(0),
+        "zero_reach": F.when(none, steps).otherwise(0), "distance": F.when(none & (c("ply") != c("stuck_ply")), F.least((c("stuck_ply") - c("ply")) * 5, F.lit(30))).otherwise(0),
+        "direct": F.when(~none & (c("ply") == c("stuck_ply")), 15).otherwise(0), "absurdity": c("absurdity"),
+    }
+    return fixes.withColumn("components", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("double")))))
+
+
+def weighted(fixes: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score): components times weights(name, weight), summed; a component without a weight counts as it is, so one is left out by weight 0."""
+    parts = fixes.select(*keys, F.explode("components").alias("name", "value")).join(F.broadcast(weights), "name", "left")
+    return parts.groupBy(*keys).agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("score"))
+
+
+def rescore(scores: DataFrame, evidence: DataFrame | None, keys: list[str], weight: float, abstain: float) -> DataFrame:
+    """scores (keys, score) plus weight * (value - abstain) of evidence(keys, value); where there is no value the term is zero. Without evidence no row changes."""
+    if evidence is None:
+        return scores
+    value = F.coalesce("value", F.lit(abstain)) - F.lit(abstain)
+    return scores.join(evidence, keys, "left").withColumn("score", F.col("score") + weight * value).drop("value")
+
+
+def hits_by_weight(candidates: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """(group, weight, n, hits): decisions and correct first places of each group under each weight. candidates(group, decision, text, score, value, correct); equal scores go to the smaller text."""
+    tried = candidates.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    place = F.struct(-F.round(F.col("score") + F.col("weight") * F.col("value"), 9), "text")
+    first = tried.groupBy("group", "decision", "weight").agg(F.min_by("correct", place).alias("hit"))
+    return first.groupBy("group", "weight").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+def leave_one_out(hits: DataFrame) -> DataFrame:
+    """(group, weight, n, hits): of each group, under the weight that hits most in all others (the smallest of equals)."""
+    total = hits.groupBy("weight").agg(F.sum("hits").alias("every"))
+    rest = hits.join(F.broadcast(total), "weight")  # a row a weight
+    return rest.groupBy("group").agg(F.min_by(F.struct("weight", "n", "hits"), F.struct(F.col("hits") - F.col("every"), "weight")).alias("x")).select("group", "x.*")
+
+
+def paired(candidates: DataFrame, a: float, b: float) -> DataFrame:
+    """One row (decisions, a_hits, b_hits, wins, losses, p): decisions that both weights face; wins are b's alone, and p is the two-sided sign test over the discordant ones."""
+    place = lambda w: F.struct(-F.round(F.col("score") + w * F.col("value"), 9), "text")
+    d = candidates.groupBy("group", "decision").agg(F.min_by("correct", place(a)).alias("a"), F.min_by("correct", place(b)).alias("b"))
+    counts = d.agg(F.count("*").alias("decisions"), F.count_if("a").alias("a_hits"), F.count_if("b").alias("b_hits"), F.count_if(F.expr("b and not a")).alias("wins"), F.count_if(F.expr("a and not b")).alias("losses"))
+
+    @F.pandas_udf("double")
+    def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
+        out = []
+        for n, k in zip(wins + losses, np.minimum(wins, losses)):
+            logs = np.cumsum(np.concatenate([[0.0], np.log(n - np.arange(k)) - np.log(np.arange(k) + 1)]))  # log of n over 0..k
+            out.append(min(1.0, 2 * float(np.exp(logs - n * np.log(2)).sum())) if n else 1.0)
+        return pd.Series(out)
+
+    return counts.withColumn("p", sign_test("wins", "losses"))
+
+
+#: P(Poisson(1) <= k), k = 0..5
+POISSON = tuple(float(x) for x in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)]))
+
+
+def bootstrap(hits: DataFrame, a: float, b: float, rounds: int = 200, level: float = 0.95) -> DataFrame:
+    """One row (net, low, high): net hits of weight b over a, with the interval of `rounds` resamples of whole groups; a group's Poisson(1) copies come from a hash of its number and the round."""
+    net = hits.groupBy("group").agg(F.sum(F.when(F.col("weight") == b, F.col("hits")).when(F.col("weight") == a, -F.col("hits")).otherwise(0)).alias("net"))
+    draws = net.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    u = ((F.col("group") * 7919 + F.col("round") * 104729 + 12345) * 2654435761 % (1 << 32)) / float(1 << 32)
+    copies = sum((u >= p).cast("int") for p in POISSON)
+    sums = draws.groupBy("round").agg(F.sum(F.col("net") * copies).alias("x"))
+    end = (1 - level) / 2
+    return sums.agg(F.percentile("x", F.lit(end)).alias("low"), F.percentile("x", F.lit(1 - end)).alias("high")).crossJoin(net.agg(F.sum("net").alias("net")))  # one row each
+
+
+def pattern_bonus(move: Column, pool: Column) -> Column:
+    """0 to 30 for a fix that looks like the readings of a pool (in order): its piece is seen, its square or file or rank, captures, or the move itself."""
+    piece, target = (lambda m: F.regexp_extract(m, "^[KQRBN]", 0)), (lambda m: F.regexp_extract(m, "[a-h][1-8]", 0))
+    count = lambda test: F.size(F.filter(pool, test))
+    targets = F.transform(pool, target)
+    own, named, end = target(move), piece(move) != "", (lambda m: F.regexp_replace(m, "[+#]+$", ""))
+
+    def near(t):
+        n = F.size(F.filter(targets, lambda x: x == t))
+        beside = (F.substring(t, 1, 1) == F.substring(own, 1, 1)) | (F.substring(t, 2, 1) == F.substring(own, 2, 1))
+        return F.when((t == "") | (own == ""), 0).when(t == own, F.least(5 * n, F.lit(10))).when(beside, F.least(2 * n, F.lit(6))).otherwise(0)
+
+    squares = F.aggregate(F.array_distinct(targets), F.lit(0), lambda acc, t: acc + near(t))
+    same = F.filter(pool, lambda m: end(m) == end(move))
+    direct = F.when(F.size(same) == 0, 0).when(F.get(same, F.lit(0)) == move, 15).otherwise(10)
+    bonus = F.when(named, F.least(F.lit(20), 10 * count(lambda m: piece(m) == piece(move))) + F.when(count(lambda m: piece(m) != "") >= 0.5 * F.size(pool), 5).otherwise(0)).otherwise(0)
+    return F.least(F.lit(30), bonus + squares + F.when(move.contains("x") & (count(lambda m: m.contains("x")) >= 0.3 * F.size(pool)), 5).otherwise(0) + direct)
+
+
+def boosted(pool: Column, evidence: Column) -> Column:
+    """A pool of (move, conf), best first, in which the variant of its top with g in the place of the last a gains conf by outside evidence; re-sorted, and as it was where the top has no a, is sure, or the evidence is weak."""
+    top = F.get(pool, F.lit(0))
+    variant = F.regexp_replace(top["move"], "a(?=[^a]*$)", "g")
+    gain = top["conf"] * (evidence * 0.6)
+    kept = F.concat(F.slice(pool, 1, 1), F.filter(F.slice(pool, 2, 1 << 20), lambda x: x["move"] != top["move"]))
+    at = F.array_position(F.transform(kept, lambda x: x["move"]), variant)
+    raised = lambda conf: F.least(F.lit(0.98), conf + gain)
+    new = F.when(at > 0, F.transform(kept, lambda x, i: F.struct(x["move"].alias("move"), F.when(i + 1 == at, raised(x["conf"])).otherwise(x["conf"]).alias("conf")))).otherwise(F.concat(kept, F.array(F.struct(variant.alias("move"), raised(F.lit(0.0)).alias("conf")))))
+    placed = F.array_sort(F.transform(new, lambda x, i: F.struct((-F.round(x["conf"], 9)).alias("a"), i.alias("b"), x["move"].alias("move"), x["conf"].alias("conf"))))
+    hit = top["move"].contains("a") & (evidence >= 0.4) & (top["conf"] <= 0.9)
+    return F.when(hit, F.transform(placed, lambda x: F.struct(x["move"].alias("move"), x["conf"].alias("conf")))).otherwise(kept)

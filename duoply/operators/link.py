@@ -33,25 +33,44 @@ def group_files(files: DataFrame) -> DataFrame:
     return grouped.select("game_id", "section", "round", "board", F.transform("rows", lambda r: r["file_id"]).alias("pages"))
 
 
+def section_choices(games: DataFrame, pairings: DataFrame) -> DataFrame:
+    """(wanted, round, section): the sections of pairings that a lower-cased section of games may mean in a round: those whose name contains it, or all of the round where none does. Distinct names only, so the comparison is small."""
+    wanted = games.select(F.lower(F.coalesce("section", F.lit(""))).alias("wanted"), "round").distinct()
+    both = wanted.join(pairings.select(*SEAT).distinct(), "round")
+    hit = (F.col("wanted") != "") & F.lower("section").contains(F.col("wanted"))
+    some = F.bool_or(hit).over(Window.partitionBy("round", "wanted"))
+    return both.withColumns({"_hit": hit, "_some": some}).where("_hit or not _some").select("wanted", *SEAT)
+
+
 def match_games(games: DataFrame, pairings: DataFrame) -> DataFrame:
-    """(game_id, pairing_id, how): board equality in the round, else the section-relative board. games(game_id, section, round, board)."""
-    seats = pairings.where("board is not null").withColumns({"low": F.min("board").over(Window.partitionBy(*SEAT)), "n": F.count("*").over(Window.partitionBy(*SEAT))})
-    g = games.select("game_id", *SEAT, "board")
-    exact = g.join(seats.select(*SEAT, "board", "pairing_id"), [*SEAT, "board"]).select("game_id", "pairing_id", F.lit("board").alias("how"), F.lit(0).alias("_p"))
-    s = seats.where("low > 1").select(F.col("section").alias("_s"), F.col("round").alias("_r"), (F.col("board") - F.col("low") + 1).alias("_b"), "n", "pairing_id")
-    moved = g.join(s, (F.col("section") == F.col("_s")) & (F.col("round") == F.col("_r")) & (F.col("board") == F.col("_b")) & F.col("board").between(1, F.col("n"))).select("game_id", "pairing_id", F.lit("offset").alias("how"), F.lit(1).alias("_p"))
-    best = Window.partitionBy("game_id").orderBy("_p", "pairing_id")
-    return exact.union(moved).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_p")
+    """(game_id, pairing_id, how): board equality in the round and section (see section_choices), else the section-relative board, where a section's boards begin above 1 and the game's is within its number of pairings. games(game_id, section, round, board)."""
+    seat = Window.partitionBy(*SEAT)
+    seats = pairings.withColumns({"low": F.min("board").over(seat), "n": F.count("*").over(seat)}).select(*SEAT, "board", "low", "n", "pairing_id").where("board is not null")
+    g = games.where("round is not null and board is not null").select("game_id", "round", "board", F.lower(F.coalesce("section", F.lit(""))).alias("wanted")).join(section_choices(games, pairings), ["wanted", "round"])
+    exact = g.join(seats, [*SEAT, "board"]).select("game_id", "pairing_id", F.lit("board").alias("how"), F.lit(0).alias("_p"), "section")
+    s = seats.where("low > 1").select(*SEAT, (F.col("board") - F.col("low") + 1).alias("board"), "n", "pairing_id")
+    moved = g.join(s, [*SEAT, "board"]).where(F.col("board").between(1, F.col("n"))).select("game_id", "pairing_id", F.lit("offset").alias("how"), F.lit(1).alias("_p"), "section")
+    best = Window.partitionBy("game_id").orderBy("_p", "section", "pairing_id")
+    return exact.union(moved).withColumn("_k", F.row_number().over(best)).where("_k = 1").select("game_id", "pairing_id", "how")
 
 
 def attach_by_order(games: DataFrame, pairings: DataFrame, matched: DataFrame) -> DataFrame:
-    """(game_id, pairing_id): what is left on both sides of a round, zipped by board where the counts are equal."""
-    place = Window.partitionBy(*SEAT)
-    left = games.join(matched, "game_id", "left_anti")
-    right = pairings.join(matched, "pairing_id", "left_anti")
-    a = left.withColumns({"k": F.row_number().over(place.orderBy("board", "game_id")), "n": F.count("*").over(place)}).select(*SEAT, "k", "n", "game_id")
-    b = right.withColumns({"k": F.row_number().over(place.orderBy(F.asc_nulls_last("board"), "pairing_id")), "n": F.count("*").over(place)}).select(*SEAT, "k", "n", "pairing_id")
-    return a.join(b, [*SEAT, "k", "n"]).select("game_id", "pairing_id")
+    """(game_id, pairing_id): what is left on both sides of a round and section, zipped by board where the counts are equal. A pairing that two sections of games may mean is offered to both."""
+    place = Window.partitionBy("wanted", "round")
+    left = games.where("round is not null and board is not null").withColumn("wanted", F.lower(F.coalesce("section", F.lit("")))).join(matched, "game_id", "left_anti")
+    right = pairings.join(matched, "pairing_id", "left_anti").join(section_choices(games, pairings), SEAT)
+    a = left.withColumns({"k": F.row_number().over(place.orderBy("board", "game_id")), "n": F.count("*").over(place)}).select("wanted", "round", "k", "n", "game_id")
+    b = right.withColumns({"k": F.row_number().over(place.orderBy(F.asc_nulls_last("board"), "pairing_id")), "n": F.count("*").over(place)}).select("wanted", "round", "k", "n", "pairing_id")
+    return a.join(b, ["wanted", "round", "k", "n"]).select("game_id", "pairing_id")
+
+
+def attach(games: DataFrame, pairings: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """(game_id, pairing_id, via_order, board, scan_board): matches, then what could be zipped, flagged. A game takes its pairing's board and keeps its own as scan_board, unless from_directory says that its own came from a folder."""
+    first = match_games(games, pairings).select("game_id", "pairing_id") if matched is None else matched
+    both = first.withColumn("via_order", F.lit(False)).union(attach_by_order(games, pairings, first).withColumn("via_order", F.lit(True)))
+    g, p = games.select("game_id", F.col("board").alias("own"), "from_directory"), pairings.select("pairing_id", F.col("board").alias("given"))
+    taken = F.col("given").isNotNull() & (F.col("given") != F.col("own")) & ~F.col("from_directory")
+    return both.join(g, "game_id").join(p, "pairing_id").select("game_id", "pairing_id", "via_order", F.when(taken, F.col("given")).otherwise(F.col("own")).alias("board"), F.when(taken, F.col("own")).alias("scan_board"))
 
 
 def donate_boards(base: DataFrame, donors: DataFrame) -> DataFrame:
@@ -61,30 +80,62 @@ def donate_boards(base: DataFrame, donors: DataFrame) -> DataFrame:
     return base.withColumn("_key", key).join(given, ["round", "_key"], "left").withColumn("board", F.coalesce("board", "_board")).drop("_key", "_board")
 
 
-def filled(value: Column, other: Column) -> Column:
-    """value, or other where it is 0, blank or null."""
-    return F.coalesce(F.nullif(value, F.lit(0)), other)
+def known(value: Column, kind: str) -> Column:
+    """value, or null where it is 0 or blank."""
+    return F.when(F.trim(value) != "", value) if kind == "string" else F.nullif(value, F.lit(0).cast(kind))
+
+
+#: Fields of a player that pairings carry for either side.
+PLAYER = ("rtg", "title", "fed", "fide_id")
 
 
 def backfill_players(pairings: DataFrame, roster: DataFrame) -> DataFrame:
-    """Missing ratings of both sides from roster(number, name, rating): by start number, else by name."""
-    numbers = roster.groupBy("number").agg(F.max("rating").alias("_n"))
-    names = roster.groupBy(person_key(F.col("name")).alias("_key")).agg(F.max("rating").alias("_m"))
+    """Missing ratings, titles, federations and ids of both sides from roster(section, number, name and PLAYER): by section and start number, else by name. Only blanks (null, 0, empty) are filled."""
+    kinds = dict(roster.dtypes)
+    best = lambda keys, mark: roster.groupBy(*keys).agg(*(F.max(known(F.col(f), kinds[f])).alias(f"{mark}_{f}") for f in PLAYER))
+    numbers, names = best(["section", "number"], "_n"), best([person_key(F.col("name")).alias("_key")], "_m")
     for side in ("white", "black"):
-        n, m = numbers.withColumnRenamed("number", f"{side}_sno"), names
-        pairings = pairings.join(n, f"{side}_sno", "left").withColumn("_key", person_key(F.col(f"{side}_name"))).join(m, "_key", "left")
-        pairings = pairings.withColumn(f"{side}_rtg", filled(F.col(f"{side}_rtg"), F.coalesce("_n", "_m"))).drop("_n", "_m", "_key")
+        pairings = pairings.withColumn("_key", person_key(F.col(f"{side}_name"))).join(numbers.withColumnRenamed("number", f"{side}_sno"), ["section", f"{side}_sno"], "left").join(names, "_key", "left")
+        own = dict(pairings.dtypes)
+        pairings = pairings.withColumns({f"{side}_{f}": F.coalesce(known(F.col(f"{side}_{f}"), own[f"{side}_{f}"]), F.col(f"_n_{f}"), F.col(f"_m_{f}")) for f in PLAYER})
+        pairings = pairings.drop("_key", *(f"{m}_{f}" for m in ("_n", "_m") for f in PLAYER))
     return pairings
 
 
+def merge_headers(parts: DataFrame) -> DataFrame:
+    """(key, value) of headers from parts(source, key, value): the first value by source that is neither blank nor a placeholder, else the last placeholder."""
+    there = F.trim("value") != ""
+    real = there & ~F.col("value").isin("?", "-")
+    return parts.where(there).groupBy("key").agg(F.coalesce(F.min_by("value", F.when(real, F.col("source"))), F.max_by("value", "source")).alias("value"))
+
+
+def merge_players(parts: DataFrame) -> DataFrame:
+    """A row for each (section, number) of players from several sources: every field from the first source that has it. parts(source, section, number, name and PLAYER)."""
+    kinds = dict(parts.dtypes)
+    first = lambda f: F.min_by(f, F.when(known(F.col(f), kinds[f]).isNotNull(), F.col("source"))).alias(f)
+    return parts.groupBy("section", "number").agg(first("name"), *map(first, PLAYER))
+
+
+#: Fields of pairings that sources complete for each other.
+MERGED = ("white_name", "black_name", "white_rtg", "black_rtg", "result", "played_at")
+
+
 def merge_sources(parts: DataFrame) -> DataFrame:
-    """(section, round, low_no, high_no, board, result, sources) of pairings from several sources: one row a pair; rows with a board come first, then by source. Rows without numbers are kept apart."""
+    """Pairings from several sources, one row a pair of numbers in a section and round: the first one with a board is the base, and what it lacks (null, 0, blank, `*`) comes from the first other source that has it. Rows without numbers are kept apart. Columns: SEAT, low_no, high_no, board, those of MERGED that there are, sources."""
     low, high = F.least("white_sno", "black_sno"), F.greatest("white_sno", "black_sno")
     both = F.col("white_sno").isNotNull() & F.col("black_sno").isNotNull()
-    order = F.struct(F.col("board").isNull().alias("a"), F.col("source").alias("b"), F.col("pairing_id").alias("c"))
-    first = lambda value: F.min_by(value, F.when(value.isNotNull(), order))
-    known = F.nullif(F.nullif(F.col("result"), F.lit("*")), F.lit(""))
-    return parts.groupBy(*SEAT, low.alias("low_no"), high.alias("high_no"), F.when(~both, F.col("pairing_id")).alias("alone")).agg(first(F.col("board")).alias("board"), F.coalesce(first(known), F.lit("*")).alias("result"), F.count("*").alias("sources")).drop("alone")
+    keyed = parts.withColumns({"low_no": low, "high_no": high, "alone": F.when(~both, F.col("pairing_id")), "_o": F.struct("source", "pairing_id")})
+    key = [*SEAT, "low_no", "high_no", "alone"]
+    base = F.min(F.when(F.col("board").isNotNull(), F.col("_o"))).over(Window.partitionBy(*key))
+    keyed = keyed.withColumn("_order", F.struct((~F.col("_o").eqNullSafe(base)).alias("a"), F.col("_o").alias("b")))
+    kinds = dict(parts.dtypes)
+
+    def has(f: str) -> Column:
+        value = F.col(f)
+        return value.isNotNull() if kinds[f] not in ("string", "bigint", "int") else known(value, kinds[f]).isNotNull() & (F.lit(True) if kinds[f] != "string" else value != "*")
+
+    first = lambda f: F.coalesce(F.min_by(f, F.when(has(f), F.col("_order"))), F.min_by(f, "_order")).alias(f)
+    return keyed.groupBy(*key).agg(F.min_by("board", F.when(F.col("board").isNotNull(), F.col("_order"))).alias("board"), *(first(f) for f in MERGED if f in kinds), F.count("*").alias("sources")).drop("alone")
 
 
 def newest(records: DataFrame) -> DataFrame:

@@ -124,3 +124,94 @@ def detect_shift(c: DataFrame) -> DataFrame:
     best = hits.withColumn("r", F.row_number().over(order)).where("r = 1").join(sizes, "game_id").join(base, "game_id", "left")
     rate, base_rate = F.col("agreements") / F.col("k1"), F.coalesce("base", F.lit(0)) / F.col("k1")
     return best.where((F.col("k1") >= C.SHIFT_LEAST) & (F.col("k2") >= C.SHIFT_LEAST) & (F.col("shift") != 0) & (F.col("agreements") >= C.SHIFT_LEAST) & (rate > base_rate + C.SHIFT_GAIN)).select("game_id", "shift", "agreements", rate.alias("rate"))
+
+
+def square(move: Column) -> Column:
+    """The first square that a move names, or null."""
+    return F.nullif(F.regexp_extract(move, "[a-h][1-8]", 0), F.lit(""))
+
+
+def piece(move: Column) -> Column:
+    return F.when(F.substring(move, 1, 1).isin(*"KQRBN"), F.substring(move, 1, 1)).otherwise("P")
+
+
+def shade(move: Column) -> Column:
+    """light or dark: of the square a bishop goes to; null for other pieces."""
+    at = F.substring(F.regexp_replace(move, "[+#]+$", ""), -2, 2)
+    odd = (F.ascii(at) - F.ascii(F.lit("a")) + F.substring(at, 2, 1).try_cast("int") - 1) % 2 == 1
+    return F.when((F.substring(move, 1, 1) == "B") & at.rlike("^[a-h][1-8]$"), F.when(odd, "light").otherwise("dark"))
+
+
+def reachable(kind: Column, a: Column, b: Column) -> Column:
+    """Whether a queen, rook or bishop may go from square a to square b on an empty board."""
+    file, rank = F.abs(F.ascii(a) - F.ascii(b)), F.abs(F.substring(a, 2, 1).cast("int") - F.substring(b, 2, 1).cast("int"))
+    slant, straight = (file == rank) & (file > 0), (file == 0) != (rank == 0)
+    return F.when(kind == "B", slant).when(kind == "R", straight).when(kind == "Q", slant | straight).otherwise(False)
+
+
+def future_reference(c: DataFrame) -> DataFrame:
+    """(game_id, ply, later_ply, event, bonus) for each top reading of c (one sheet) on a square: what first happens to it later.
+
+    The piece may leave (a reading of the same piece and colour elsewhere: +4 if
+    it can go there); or the square is named, by a top reading or an alternative
+    that counts as seen: an opponent's capture gives +8, the same piece coming
+    again without a capture -4, anything else 0. Both are the next row of an
+    equality window, so nothing is joined by range.
+    """
+    t = c.withColumns({"x": square(F.col("move")), "kind": piece(F.col("move")), "half": F.col("ply") % 2}).where("x is not null")
+    tops = t.where("rk = 0").select("game_id", "ply", "x", "kind", "half", F.col("move").alias("top"))
+    mine = Window.partitionBy("game_id", "half", "kind").orderBy("ply")
+    tops = tops.withColumns({"go_ply": F.lead("ply").over(mine), "go_x": F.lead("x").over(mine)})
+    named = t.where((F.col("rk") == 0) | (F.col("conf") >= C.SEEN_CONF)).groupBy("game_id", "ply", "x").agg(F.min_by("move", "rk").alias("text"), F.min("rk").alias("rk"))
+    there = Window.partitionBy("game_id", "x").orderBy("ply")
+    named = named.withColumns({"ref_ply": F.lead("ply").over(there), "text": F.lead("text").over(there)}).where("rk = 0").select("game_id", "ply", "x", "ref_ply", "text")
+    j = tops.join(named, ["game_id", "ply", "x"])
+    leaves = F.col("go_ply").isNotNull() & (F.col("go_x") != F.col("x")) & (F.col("go_ply") <= F.coalesce("ref_ply", F.col("go_ply")))
+    own, takes = F.col("ref_ply") % 2 == F.col("half"), F.col("text").contains("x")
+    again = own & ~takes & (piece(F.col("text")) == F.col("kind"))
+    event = F.when(leaves, "leaves").when(~own & takes, "captured").when(again, "returns").when(F.col("ref_ply").isNotNull(), "other")
+    bonus = F.when(leaves, F.when(reachable(F.col("kind"), F.col("x"), F.col("go_x")), 4).otherwise(0)).when(~own & takes, 8).when(again, -4).otherwise(0)
+    return j.select("game_id", "ply", F.when(leaves, F.col("go_ply")).otherwise(F.col("ref_ply")).alias("later_ply"), event.alias("event"), bonus.alias("bonus")).where("event is not null")
+
+
+def paired_moves(cells: DataFrame) -> DataFrame:
+    """(game_id, sheet, num, white, black, white_conf, black_conf) from cells(game_id, sheet, pos, num, color, move, conf) in the order of pos; a missing conf is DEFAULT_TOP.
+
+    Where a number and colour come twice on a sheet, numbers are ignored: a white
+    cell opens a row, a black one right behind it fills it, any other black cell
+    is a row of its own.
+    """
+    by = Window.partitionBy("game_id", "sheet")
+    conf = F.coalesce("conf", F.lit(C.DEFAULT_TOP))
+    seen = cells.withColumn("_n", F.count("*").over(Window.partitionBy("game_id", "sheet", "num", "color"))).withColumn("_twice", F.max("_n").over(by) > 1)
+    order = by.orderBy("pos")
+    opens = (F.col("color") == "w") | ~F.lag("color").over(order).eqNullSafe("w")
+    row = seen.withColumn("_opens", opens.cast("int")).withColumn("_row", F.sum("_opens").over(order))
+    num = F.when(F.col("_twice"), F.col("_row")).otherwise(F.col("num"))
+    side = lambda c, v: F.max_by(v, F.when(F.col("color") == c, F.col("pos")))
+    grouped = row.withColumn("conf", conf).groupBy("game_id", "sheet", num.alias("num"))
+    return grouped.agg(*(F.coalesce(side(c, "move"), F.lit("")).alias(name) for name, c in (("white", "w"), ("black", "b"))), *(F.coalesce(side(c, "conf"), F.lit(C.DEFAULT_TOP)).alias(f"{name}_conf") for name, c in (("white", "w"), ("black", "b"))))
+
+
+def flat_moves(rows: DataFrame) -> DataFrame:
+    """(game_id, sheet, i, move, conf): the inverse of paired_moves(), without blanks."""
+    sides = F.array(F.struct(F.lit(0).alias("half"), F.col("white").alias("move"), F.col("white_conf").alias("conf")), F.struct(F.lit(1).alias("half"), F.col("black").alias("move"), F.col("black_conf").alias("conf")))
+    flat = rows.select("game_id", "sheet", "num", F.explode(sides).alias("s")).select("game_id", "sheet", "num", "s.*").where("move <> ''")
+    return flat.select("game_id", "sheet", (F.row_number().over(Window.partitionBy("game_id", "sheet").orderBy("num", "half")) - 1).cast("long").alias("i"), "move", "conf")
+
+
+def candidate_profile(c: DataFrame) -> DataFrame:
+    """(game_id, ply, pieces, destinations, top_pieces, captures, capture_ratio, piece_ratio): what the readings of a cell have in common; counts as `x:n`, most frequent first, then as first seen."""
+    t = c.withColumns({"p": F.nullif(F.regexp_extract("move", "^[KQRBN]", 0), F.lit("")), "x": square(F.col("move"))})
+
+    def counted(name: str, out: str, most: int | None = None) -> DataFrame:
+        n = t.where(F.col(name).isNotNull()).groupBy("game_id", "ply", name).agg(F.count("*").alias("n"), F.min("rk").alias("rk"))
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), "rk", F.concat_ws(":", F.col(name), F.col("n").cast("string")).alias("text"))))
+        rows = rows if most is None else F.slice(rows, 1, most)
+        return n.groupBy("game_id", "ply").agg(F.concat_ws(",", F.transform(rows, lambda r: r["text"])).alias(out))
+
+    taking = F.count_if(F.col("move").contains("x"))
+    base = t.groupBy("game_id", "ply").agg(taking.alias("captures"), (taking / F.count("*")).alias("capture_ratio"), (F.count("p") / F.count("*")).alias("piece_ratio"))
+    for part in (counted("p", "pieces"), counted("x", "destinations"), counted("p", "top_pieces", 2)):
+        base = base.join(part, ["game_id", "ply"], "left")
+    return base.fillna("", ["pieces", "destinations", "top_pieces"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoply import config as C
 from duoply.config import METHOD_ORDER
+from duoply.operators.detect import clusters_1d
 
 PLACE = {m: i for i, m in enumerate(METHOD_ORDER)}
 
@@ -50,12 +52,92 @@ def pick_best(fixes: DataFrame) -> DataFrame:
     return s.withColumn("k", F.row_number().over(order)).where("k = 1").select("game_id", "method", "status")
 
 
-def game_report(decisions: DataFrame) -> DataFrame:
-    """One row a game: what reviewers did, and how long it took."""
-    of = lambda a: F.count_if(F.col("action") == a).alias(f"{a}s")
-    return decisions.groupBy("game_id").agg(of("confirm"), of("keep"), of("override"), of("edit"), F.count("*").alias("surfaced"), F.sum("t_sec").alias("seconds"), F.count_if(F.col("ocr") != F.col("final_san")).alias("changed"))
+def game_report(games: DataFrame, decisions: DataFrame, fixes: DataFrame, pairings: DataFrame, attention: DataFrame) -> DataFrame:
+    """One row a game, as reports list it.
+
+    games(game_id, section, round, board, cells, final_plies, status),
+    decisions(game_id, ply, action, session, t_sec), fixes as for triage(),
+    pairings(game_id, white_name, black_name, result), attention(game_id,
+    seconds). Moves are the confirmed plies if known, else those of the picked
+    method; counts are 0 and texts empty where nothing is known.
+    """
+    of = lambda a: F.count_if(F.col("action") == a)
+    seen = decisions.groupBy("game_id").agg(of("override").alias("user_overrides"), of("confirm").alias("confirmations"), of("keep").alias("keeps"), of("edit").alias("review_edits"), F.count_distinct("ply").alias("surfaced_decisions"), F.round(F.sum("t_sec")).cast("long").alias("review_seconds"), F.count_distinct("session").alias("review_sessions"))
+    last = fixes.groupBy("game_id", "method").agg(F.max("ply").alias("plies"), F.count("*").alias("algorithm_fixes"))
+    picked = pick_best(fixes).join(last, ["game_id", "method"]).select("game_id", "plies", "algorithm_fixes")
+    open_ = attention.select("game_id", F.round("seconds").cast("long").alias("attention_seconds"))
+    row = games.join(pairings, "game_id", "left").join(picked, "game_id", "left").join(seen, "game_id", "left").join(open_, "game_id", "left").join(triage(fixes), "game_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    text = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    return row.select(
+        "game_id", text("section", "section"), "round", "board", text("white_name", "white"), text("black_name", "black"), text("result", "result"), F.coalesce(F.nullif("final_plies", F.lit(0)), "plies", F.lit(0)).alias("total_moves"), F.coalesce("cells", F.lit(0)).alias("ocr_cells"),
+        *map(count, ("algorithm_fixes", "user_overrides", "confirmations", "keeps", "review_edits", "surfaced_decisions", "review_seconds", "attention_seconds", "review_sessions")), text("tier", "tier"), text("reason", "triage_reason"), text("status", "status"),
+    )
 
 
 def confusion(decisions: DataFrame, values: tuple[str, ...]) -> DataFrame:
     """Readings by final text, counted."""
     return decisions.groupBy("ocr").pivot("final_san", list(values)).count().fillna(0)
+
+
+def grid_consensus(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(layout, bucket, place, x): column positions that sheets of a layout and aspect share.
+
+    cells(sheet_id, x_frac), sheets(sheet_id, layout, aspect, taken). Of the last
+    few sheets with two columns or more, the most frequent number of columns
+    (the smaller of equals) counts; positions are medians over its sheets.
+    """
+    columns = clusters_1d(cells, ("sheet_id",), "x_frac", C.COLUMN_GAP, C.CLUSTER_CELLS)
+    by_sheet = Window.partitionBy("sheet_id")
+    placed = columns.withColumns({"place": F.row_number().over(by_sheet.orderBy("centre")), "n": F.count("*").over(by_sheet)}).where("n >= 2").select("sheet_id", "place", "n", "centre")
+    bucket = F.floor(F.col("aspect") / C.ASPECT_STEP + 0.5).cast("long")
+    key = ["layout", "bucket"]
+    used = placed.select("sheet_id", "n").distinct().join(sheets.withColumn("bucket", bucket), "sheet_id")
+    last = used.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("taken"), F.desc("sheet_id")))).where(F.col("_r") <= C.SAMPLES_KEPT)
+    most = last.groupBy(*key, "n").agg(F.count("*").alias("k")).withColumns({"_all": F.sum("k").over(Window.partitionBy(*key)), "_r": F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("k"), "n"))})
+    most = most.where((F.col("_r") == 1) & (F.col("_all") >= C.SAMPLES_NEEDED) & (F.col("k") >= C.SAMPLES_NEEDED)).select(*key, "n")
+    return last.join(most, [*key, "n"]).select(*key, "sheet_id").join(placed, "sheet_id").groupBy(*key, "place").agg(F.median("centre").alias("x"))
+
+
+def row_alignment(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, row_difference, deviation, aligned, confidence) for pairs(left_id, right_id) of sheets; cells(sheet_id, y) in pixels. Rows are clusters of y; those of both sheets are compared in order."""
+    rows = clusters_1d(cells, ("sheet_id",), "y", C.ROW_GAP, 1, F.avg).withColumn("k", F.row_number().over(Window.partitionBy("sheet_id").orderBy("centre")))
+    counts = rows.groupBy("sheet_id").agg(F.count("*").alias("n"))
+    side = lambda name: counts.select(F.col("sheet_id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    at = lambda name: rows.select(F.col("sheet_id").alias(f"{name}_id"), "k", F.col("centre").alias(f"{name}_y"))
+    gaps = pairs.join(at("left"), "left_id").join(at("right"), ["right_id", "k"]).groupBy("left_id", "right_id").agg(F.avg(F.abs(F.col("left_y") - F.col("right_y"))).alias("deviation"))
+    difference = F.abs(F.col("left_n") - F.col("right_n"))
+    near = difference <= C.ROW_COUNTS
+    return both.join(gaps, ["left_id", "right_id"]).select("left_id", "right_id", difference.alias("row_difference"), "deviation", (near & (F.col("deviation") < C.ROW_DEVIATION)).alias("aligned"), F.when(near, F.greatest(F.lit(0.0), 1 - F.col("deviation") / 50)).otherwise(0.3).alias("confidence"))
+
+
+def shifted_plies(plies, at, op):
+    """A list of plies after an insert or delete at a ply."""
+    kept = F.when(op == "delete", F.filter(plies, lambda p: p != at)).otherwise(plies)
+    return F.transform(kept, lambda p: F.when((op == "delete") & (p > at), p - 1).when((op == "insert") & (p >= at), p + 1).otherwise(p))
+
+
+def shifted_frontier(frontier, at, op):
+    """The number of confirmed plies after an insert or delete at a ply; none stay none."""
+    moved = F.when((op == "delete") & (frontier > at), frontier - 1).when((op == "insert") & (frontier >= at), frontier + 1).otherwise(frontier)
+    return F.when(frontier <= 0, frontier).otherwise(moved)
+
+
+def work_order(games: DataFrame, keys: list[str], buckets: list[str], order: list) -> DataFrame:
+    """games with place: their order within keys by buckets and then order. Ranks are taken in each bucket and added to the sizes of the buckets before, so a key's games needn't meet in one task."""
+    sizes = games.groupBy(*keys, *buckets).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*(F.asc_nulls_last(b) for b in buckets)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, *buckets)), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, *buckets)]
+    rank = F.row_number().over(Window.partitionBy(*keys, *buckets).orderBy(*order))
+    return games.withColumn("_rank", rank).join(sizes, same).withColumn("place", F.col("_before") + F.col("_rank")).select(*games.columns, "place")
+
+
+def next_item(games: DataFrame, keys: list[str], order: list, wanted) -> DataFrame:
+    """games with next_id: the game_id of the next wanted game behind each one in its key's order, going on from the first; never itself."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    mark = F.when(wanted, F.col("game_id"))
+    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    first = F.first(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return games.withColumn("next_id", F.coalesce(after, first))
