@@ -4,31 +4,75 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROSTER = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 
 
+#: Tags behind the roster, written where they are known. Fixed order.
+OPTIONAL = ("Section", "WhiteElo", "BlackElo", "WhiteTitle", "BlackTitle", "WhiteFideId", "BlackFideId", "ECO", "EventDate", "EventType", "EventRounds", "EventCountry", "Source", "Termination")
+#: What exports say of games that aren't done.
+INCOMPLETE = "Reconstruction incomplete"
+
+
 def render_games(moves: DataFrame, headers: DataFrame) -> DataFrame:
-    """(game_id, value): seven tags in order, PlyCount, movetext with five moves a line, the result last. moves(game_id, ply, move), headers(game_id, tags...)."""
+    """(game_id, value): seven tags in order, optional ones that headers has, PlyCount, movetext with five moves a line, an end comment without braces (headers.comment), the result last. moves(game_id, ply, move), headers(game_id, tags...)."""
     number = F.when(F.col("ply") % 2 == 0, F.concat(F.when((F.col("ply") % 10 == 0) & (F.col("ply") > 0), "\n").otherwise(""), (F.floor(F.col("ply") / 2) + 1).cast("long").cast("string"), F.lit(". "))).otherwise("")
     body = moves.groupBy("game_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ply", F.concat(number, F.col("move")).alias("m")))), lambda x: x["m"]), " ").alias("body"), F.count("*").alias("n"))
     safe = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    value = lambda c: safe(F.coalesce(F.col(c).cast("string"), F.lit("*" if c == "Result" else "?")))
-    tags = F.concat(*(F.concat(F.lit(f'[{t} "'), value(t), F.lit('"]\n')) for t in ROSTER), F.lit('[PlyCount "'), F.coalesce("n", F.lit(0)).cast("string"), F.lit('"]\n\n'))
-    return headers.join(body, "game_id", "left").select("game_id", F.concat(tags, F.coalesce("body", F.lit("")), F.lit(" "), F.coalesce("Result", F.lit("*")), F.lit("\n")).alias("value"))
+    tag = lambda t, value: F.concat(F.lit(f'[{t} "'), safe(value), F.lit('"]\n'))
+    text = lambda t: F.nullif(F.col(t).cast("string"), F.lit(""))
+    roster = [tag(t, F.coalesce(F.col(t).cast("string"), F.lit("*" if t == "Result" else "?"))) for t in ROSTER]
+    more = [F.coalesce(tag(t, text(t)), F.lit("")) for t in OPTIONAL if t in headers.columns]
+    tags = F.concat(*roster, *more, F.lit('[PlyCount "'), F.coalesce("n", F.lit(0)).cast("string"), F.lit('"]\n\n'))
+    note = F.coalesce(F.concat(F.lit(" {"), F.translate(text("comment"), "{}", ""), F.lit("}")), F.lit("")) if "comment" in headers.columns else F.lit("")
+    return headers.join(body, "game_id", "left").select("game_id", F.concat(tags, F.coalesce("body", F.lit("")), note, F.lit(" "), F.coalesce("Result", F.lit("*")), F.lit("\n")).alias("value"))
+
+
+def exported(games: DataFrame, moves: DataFrame, confirmed: DataFrame, scope: str, player: str | None = None, include_unverified: bool = False) -> DataFrame:
+    """(game_id, round, section, board, done, value): games of an export with their text.
+
+    games(game_id, round, section, board, status, saved, has_result and tags),
+    moves and confirmed(game_id, ply, move). A verified, exported or saved game
+    is done. Scope `verified` takes these (and unverified ones with a result, if
+    asked for) as far as they have moves; `incomplete` all others, with the
+    confirmed prefix, a Termination tag and a comment that says where it stops;
+    `combined` both; `player` both, of one player's games.
+    """
+    done = F.col("status").isin("verified", "exported") | F.col("saved")
+    g = games.withColumn("done", done)
+    if scope == "player":
+        g = g.where((F.col("White") == player) | (F.col("Black") == player))
+    elif scope == "verified":
+        g = g.where("done" + (" or has_result" if include_unverified else "")).join(moves.select("game_id").distinct(), "game_id", "left_semi").withColumn("done", F.lit(True))
+    elif scope == "incomplete":
+        g = g.where("not done")
+    whole = moves.join(g.where("done").select("game_id"), "game_id", "left_semi").select("game_id", "ply", "move")
+    part = confirmed.join(g.where("not done").select("game_id"), "game_id", "left_semi").select("game_id", "ply", "move")
+    stops = part.groupBy("game_id").agg(F.count("*").alias("_stops"))
+    comment = F.when(F.col("_stops").isNull(), "No moves verified - not reviewed").otherwise(F.concat(F.lit("Stopped at ply "), F.col("_stops").cast("string"), F.lit(" - review pending")))
+    result = F.when(~F.col("done") & (F.col("Result") == "?"), "*").otherwise(F.col("Result"))
+    heads = g.join(stops, "game_id", "left").withColumns({"comment": F.when(~F.col("done"), comment), "Termination": F.when(~F.col("done"), INCOMPLETE), "Result": result})
+    return g.select("game_id", F.col("round"), "section", "board", "done").join(render_games(whole.union(part), heads), "game_id")
+
+
+def write_rounds(exports: DataFrame, path: str, order: tuple[str, ...] = ("section", "board", "game_id")) -> None:
+    """A folder a round, with its games in order in one file."""
+    exports.repartition("round").sortWithinPartitions("round", *(F.asc_nulls_last(c) for c in order)).select("round", "value").write.partitionBy("round").text(path)
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, tags map, moves array) of every game in a folder of game files; blocks without tags and moves are dropped."""
+    """(file, block, tags map, moves array, comment) of every game in a folder of game files; blocks without tags and moves are dropped."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"(?m)(?=^\[Event )")).alias("block", "text"))
     tag = r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]'
     names, values = (F.regexp_extract_all("text", F.lit(tag), F.lit(i)) for i in (1, 2))
     tags = F.map_from_entries(F.arrays_zip(names.alias("k"), F.transform(values, lambda v: F.regexp_replace(v, r"\\(.)", "$1")).alias("v")))
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", tag, " "), r"\{[^}]*\}", " "), r"\d+\.+", " ")
-    moves = F.filter(F.split(F.trim(body), r"\s+"), lambda m: ~m.isin("", "*", "1-0", "0-1", "1/2-1/2"))
-    return whole.select("file", "block", tags.alias("tags"), moves.alias("moves")).where((F.size("tags") > 0) | (F.size("moves") > 0))
+    moves = F.filter(F.split(F.trim(body), r"\s+"), lambda m: ~m.isin("", "*", "?", "1-0", "0-1", "1/2-1/2"))
+    comment = F.nullif(F.regexp_extract("text", r"\{([^}]*)\}", 1), F.lit(""))
+    return whole.select("file", "block", tags.alias("tags"), moves.alias("moves"), comment.alias("comment")).where((F.size("tags") > 0) | (F.size("moves") > 0))
 
 
 def pairing_stubs(games: DataFrame) -> DataFrame:
@@ -49,29 +93,39 @@ def read_round_csv(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("board").try_cast("long").alias("board"), F.col("`playerw.name`").alias("white"), F.col("`playerb.name`").alias("black"), "result").where("board is not null and white is not null and black is not null")
 
 
-def read_roster_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(number, name, rating): header synonyms; number and name are required."""
+def read_roster_csv(spark: SparkSession, path: str, rated: tuple[str, ...] = ()) -> DataFrame:
+    """(section, number, name, rating, title, fed, fide_id, birthdate, club, sex): columns by header synonyms; number and name are required. Where a roster has both, sections in `rated` take the international rating first, all others the national one."""
     raw = spark.read.option("header", "true").csv(path)
-    low = {c.lower().strip(): c for c in raw.columns}
-    pick = lambda *names: next((F.col(f"`{low[n]}`") for n in names if n in low), None)
-    number, name, rating = pick("number", "no", "no."), pick("name", "player"), pick("rating", "rtg", "elo")
-    if number is None or name is None:
+    low = {c.lower().strip().rstrip("."): c for c in raw.columns}
+
+    def pick(*names: str) -> Column:
+        return next((F.col(f"`{low[n]}`") for n in names if n in low), F.lit(None).cast("string"))
+
+    if not {"number", "no"} & set(low) or not {"name", "player"} & set(low):
         raise ValueError("a roster needs number and name")
-    return raw.select(number.try_cast("long").alias("number"), F.trim(name).alias("name"), F.nullif(rating.try_cast("long"), F.lit(0)).alias("rating") if rating is not None else F.lit(None).cast("long").alias("rating")).where("number is not null")
+    whole = lambda *names: F.nullif(pick(*names).try_cast("long"), F.lit(0))
+    text = lambda *names: F.nullif(F.trim(pick(*names)), F.lit(""))
+    home, abroad, section = whole("rtgn"), whole("rtgi"), text("section")
+    rating = F.coalesce(whole("rating", "rtg", "elo"), F.when(section.isin(*rated), F.coalesce(abroad, home)).otherwise(F.coalesce(home, abroad)) if rated else F.coalesce(home, abroad))
+    known = {"section": section, "number": pick("number", "no").try_cast("long"), "name": F.trim(pick("name", "player")), "rating": rating, "title": text("title"), "fed": text("federation", "fed"), "fide_id": whole("fide_id", "fideid"), "birthdate": text("birthdate"), "club": text("club"), "sex": text("sex")}
+    return raw.select(*(v.alias(k) for k, v in known.items())).where("number is not null and name <> ''")
 
 
-def unpivot_crosstable(players: DataFrame, rounds: int) -> DataFrame:
-    """(round, white, black, result) from rows (number, name, then opponent, colour, result for each round): one row a round and unordered pair, the first in order of number."""
+def unpivot_crosstable(players: DataFrame, rounds: int, standings: bool = False) -> DataFrame:
+    """(round, white, black, result) from rows (number, name, then opponent, colour, result for each round): one row a round and unordered pair, the first in order of number. In standings (which have a column position) opponents are places in the table, and the first in that order counts."""
     from pyspark.sql import Window
 
     from duoply.functions.records import oriented_result
 
     cells = F.array(*(F.struct(F.lit(r).cast("long").alias("round"), F.col(f"opp{r}").alias("opponent"), F.col(f"col{r}").alias("color"), F.col(f"res{r}").alias("cell")) for r in range(1, rounds + 1)))
-    t = players.select("number", F.explode(cells).alias("c")).select("number", "c.*").where(F.lower("color").isin("w", "b") & F.col("opponent").isNotNull())
+    place = F.col("position") if standings else F.col("number")
+    t = players.select("number", place.alias("place"), F.explode(cells).alias("c")).select("number", "place", "c.*").where(F.lower("color").isin("w", "b") & (F.col("opponent") > (0 if standings else -1)))
+    if standings:
+        t = t.join(players.select(F.col("position").alias("opponent"), F.col("number").alias("_number")), "opponent").withColumn("opponent", F.col("_number")).drop("_number")
     white = F.lower(F.col("color")) == "w"
-    t = t.select("round", F.when(white, F.col("number")).otherwise(F.col("opponent")).alias("white"), F.when(white, F.col("opponent")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"), "number")
-    w = Window.partitionBy("round", F.least("white", "black"), F.greatest("white", "black")).orderBy("number")
-    return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "number")
+    t = t.select("round", F.when(white, F.col("number")).otherwise(F.col("opponent")).alias("white"), F.when(white, F.col("opponent")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"), "place")
+    w = Window.partitionBy("round", F.least("white", "black"), F.greatest("white", "black")).orderBy("place")
+    return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "place")
 
 
 def read_sections_json(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +144,10 @@ def read_sections_json(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "pair")
 
 
+#: Cells and checksum of each sheet that a log was recorded against.
+BASELINE = "array<struct<sheet:int,count:long,checksum:string>>"
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of scans below a folder; contents aren't read, work folders are skipped."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
@@ -99,49 +157,95 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 def file_kind(path: Column, first_line: Column) -> Column:
     """Kind of a tournament file: by its name first, then by its header line."""
     name, head = F.lower(F.element_at(F.split(path, "/"), -1)), F.lower(F.coalesce(first_line, F.lit("")))
+    roster = head.contains("fide_id") & (head.contains("number") | head.contains("place"))
     return (
-        F.when(name.rlike("all.?rounds"), "all_rounds").when(name.rlike("roster|players"), "roster").when(name.rlike(r"round[ _-]*\d+"), "round").when(name.endswith(".pgn"), "pgn")
-        .when(head.startswith("player no"), "all_rounds").when(head.contains("playerw."), "round").when(head.rlike("number.*name"), "roster").when(head.startswith("[event "), "pgn").otherwise("crosstable")
+        F.when(name.endswith(".pgn") | head.rlike(r"^\s*\[event\b"), "pgn").when(name.rlike("crosstable|tiebreak|standings|ranking|berger"), "crosstable").when(name.rlike("all.?rounds"), "all_rounds").when(name.rlike("roster|players"), "roster")
+        .when(name.rlike("round|pairing"), "round").when(head.contains("playerw.name") | head.rlike(r'(^|,)\s*"?board"?\s*,'), "round").when(roster, "roster").when(head.rlike(r"^rank\b"), "crosstable").otherwise("all_rounds")
     )
 
 
-def encode_logits(cells: DataFrame) -> DataFrame:
-    """(file, blob): counts, shape and half-precision values of the cells of each file. cells(file, cell, values)."""
+def file_round(path: Column) -> Column:
+    """Round number in a file's name, or null."""
+    return F.nullif(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(?i)round\s*[_-]?\s*(\d+)", 1), F.lit("")).cast("long")
+
+
+def file_section(path: Column) -> Column:
+    """Section in a file's name, in front of what kind of list it is; empty without any."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.\w+$", "")
+    return F.regexp_extract(stem, r"(?i)_([^_]+)_(?:Pairings|Crosstable|Standings|Berger|Ranking)", 1)
+
+
+def scatter(files: DataFrame, folder: str) -> int:
+    """Writes files(path, content binary) below a folder, each under its own name, from the executors; gives their number."""
+
+    def put(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            n = 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+                n += 1
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def encode_logits(cells: DataFrame, vocab: int = 8) -> DataFrame:
+    """(file, content): a file's count of cells, their shape, and half-precision values. cells(file, cell, values) of at most some hundred cells a file; `vocab` symbols a frame, or a column of that name."""
 
     def run(key, pdf):
         v = np.stack([np.asarray(x, dtype="<f2") for x in pdf.sort_values("cell")["values"]])
-        return pd.DataFrame({"file": [key[0]], "blob": [np.array([len(v), 8, 8], dtype="<u4").tobytes() + v.tobytes()]})
+        wide = int(pdf["vocab"].iloc[0]) if "vocab" in pdf else vocab
+        return pd.DataFrame({"file": [key[0]], "content": [np.array([len(v), v.shape[1] // wide, wide], dtype="<u4").tobytes() + v.tobytes()]})
 
-    return cells.groupBy("file").applyInPandas(run, "file long, blob binary")
+    return cells.groupBy("file").applyInPandas(run, "file string, content binary")
 
 
-def decode_logits(files: DataFrame, counts: DataFrame) -> DataFrame:
-    """(file, cell, values) of blobs (file, blob); a file whose cell count differs from counts(file, n) is refused whole."""
+def read_logits(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, frames, symbols, cell, values) of all *.logits files below a folder; those that are shorter than their header says give no rows."""
+    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.logits").load(path).select("path", "content")
 
     def run(frames):
         for f in frames:
-            rows = []
-            for name, blob, n in f[["file", "blob", "n"]].itertuples(index=False):
-                head = np.frombuffer(blob[:12], dtype="<u4")
-                if head[0] != n or len(blob) != 12 + 2 * int(head.prod(dtype=np.int64)):
+            for name, blob in zip(f["path"], f["content"]):
+                head = np.frombuffer(blob[:12], dtype="<u4").astype(np.int64)
+                if len(head) < 3 or len(blob) < 12 + 2 * int(head.prod()):
                     continue
-                v = np.frombuffer(blob[12:], dtype="<f2").astype(np.float32).reshape(head[0], -1)
-                rows += [(name, k, x.tolist()) for k, x in enumerate(v)]
-            yield pd.DataFrame(rows, columns=["file", "cell", "values"])
+                v = np.frombuffer(blob[12 : 12 + 2 * int(head.prod())], dtype="<f2").astype(np.float32).reshape(head[0], -1)
+                yield pd.DataFrame({"file": name.rpartition("/")[2].removesuffix(".logits"), "n": head[0], "frames": head[1], "symbols": head[2], "cell": np.arange(head[0]), "values": [x.tolist() for x in v]})
+
+    return blobs.mapInPandas(run, "file string, n long, frames int, symbols int, cell long, values array<float>")
+
+
+def logits_by_ply(logits: DataFrame, readings: DataFrame) -> DataFrame:
+    """(game_id, ply, sheet, frames, symbols, values): each ply's cell. readings(game_id, sheet, file, cell, ply) in the order of the cells; a file whose count of cells differs from its reading's is refused whole, so is one whose shape differs from that of the game's first sheet; of a repeated ply the first sheet counts, and its first cell."""
+    from pyspark.sql import Window
 
-    return files.join(counts, "file").select("file", "blob", "n").mapInPandas(run, "file long, cell int, values array<float>")
+    counts = readings.groupBy("game_id", "sheet", "file").agg(F.count("*").alias("_n"))
+    shapes = logits.select("file", "n", "frames", "symbols").distinct().join(counts, "file").where("n = _n")
+    first = Window.partitionBy("game_id").orderBy("sheet")
+    good = shapes.withColumns({"_f": F.first("frames").over(first), "_s": F.first("symbols").over(first)}).where("frames = _f and symbols = _s").select("game_id", "sheet", "file", "frames", "symbols")
+    cells = readings.join(good, ["game_id", "sheet", "file"]).join(logits.select("file", "cell", "values"), ["file", "cell"])
+    one = Window.partitionBy("game_id", "ply").orderBy("sheet", "cell")
+    return cells.withColumn("_r", F.row_number().over(one)).where("_r = 1").select("game_id", "ply", "sheet", "frames", "symbols", "values")
 
 
 def read_grid_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """(sheet_id, col, x_frac, y_frac): cell centres as fractions of the image."""
-    schema = "sheet_id long, imageWidth double, imageHeight double, cells array<struct<num:long,bbox:struct<x:double,y:double,w:double,h:double>>>"
-    t = spark.read.schema(schema).json(path).select("sheet_id", "imageWidth", "imageHeight", F.explode("cells").alias("c"))
-    return t.select("sheet_id", F.col("c.num").alias("col"), ((F.col("c.bbox.x") + F.col("c.bbox.w") / 2) / F.col("imageWidth")).alias("x_frac"), ((F.col("c.bbox.y") + F.col("c.bbox.h") / 2) / F.col("imageHeight")).alias("y_frac"))
+    """(sheet_id, version, layout, page, col, color, x_frac, y_frac): cell centres as fractions of the image."""
+    schema = "sheet_id long, version int, layout string, imageWidth double, imageHeight double, cells array<struct<page:int,num:long,color:string,bbox:struct<x:double,y:double,w:double,h:double>>>"
+    t = spark.read.schema(schema).json(path).select("sheet_id", "version", "layout", "imageWidth", "imageHeight", F.explode("cells").alias("c"))
+    return t.select("sheet_id", "version", "layout", "c.page", F.col("c.num").alias("col"), "c.color", ((F.col("c.bbox.x") + F.col("c.bbox.w") / 2) / F.col("imageWidth")).alias("x_frac"), ((F.col("c.bbox.y") + F.col("c.bbox.h") / 2) / F.col("imageHeight")).alias("y_frac"))
 
 
-def read_edit_logs(spark: SparkSession, path: str, known: int = 1) -> DataFrame:
-    """(game_id, state, entries): valid logs, stale ones (bad JSON, wrong format) and those of a newer version."""
-    schema = "game_id long, format string, version int, entries array<struct<seq:long,op:string,pos:long,event_id:long>>, _corrupt_record string"
+def read_edit_logs(spark: SparkSession, path: str, baselines: DataFrame, known: int = 1) -> DataFrame:
+    """(game_id, state, entries): valid logs; stale ones (bad JSON, wrong format, no entries, or a baseline other than that of baselines(game_id, baseline: count and checksum by sheet)), which are set aside; those of a newer version, which are left as they are."""
+    schema = f"game_id long, format string, version int, baseline {BASELINE}, entries array<struct<seq:long,op:string,pos:long,event_id:long>>, _corrupt_record string"
     t = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    state = F.when(F.col("_corrupt_record").isNotNull() | F.col("format").isNull() | (F.col("format") != "edit-log"), "stale").when(F.col("version") > known, "newer").otherwise("valid")
+    t = t.withColumn("game_id", F.coalesce("game_id", F.regexp_extract("_corrupt_record", r'"game_id":\s*(\d+)', 1).try_cast("long"))).join(baselines.select("game_id", F.col("baseline").alias("_now")), "game_id", "left")
+    bad = F.col("_corrupt_record").isNotNull() | ~F.col("format").eqNullSafe("edit-log") | F.col("entries").isNull()
+    state = F.when(bad, "stale").when(F.col("version") > known, "newer").when(~F.col("baseline").eqNullSafe(F.col("_now")), "stale").otherwise("valid")
     return t.select("game_id", state.alias("state"), "entries")

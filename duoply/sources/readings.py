@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Between the records of a packed file.
+RECORD = "\x1e"
 LINE = r"^(\d+)\.([WB])\s+(.+)$"
 
 
@@ -29,19 +31,23 @@ def render_readings(c: DataFrame, page_plies: int | None = None, layout: str | N
 
 
 def write_readings(files: DataFrame, path: str) -> None:
-    """One folder a game and sheet, each with one text file."""
-    files.write.partitionBy("game_id", "sheet").text(path)
+    """Many readings a file, each a record that begins with its game and sheet, so that millions of games don't make millions of files."""
+    key = F.concat_ws(" ", F.lit("# file:"), F.col("game_id").cast("string"), F.col("sheet").cast("string"))
+    files.select(F.concat(key, F.lit("\n"), F.col("value")).alias("value")).write.option("lineSep", RECORD).text(path)
 
 
-def _where(df: DataFrame) -> DataFrame:
-    file = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(file, r"game_id=(\d+)", 1).cast("long").alias("_game"), F.regexp_extract(file, r"sheet=(\d+)", 1).cast("int").alias("_sheet"))
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(_game, _sheet, value): readings below a folder, packed as write_readings() does it or one a file under game_id=…/sheet=… folders."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", RECORD).text(path)
+    file, head = F.col("_metadata.file_path"), r"^# file: (\d+) (\d+)\n"
+    of = lambda name, i: F.coalesce(F.nullif(F.regexp_extract("value", head, i), F.lit("")), F.regexp_extract(file, rf"{name}=(\d+)", 1))
+    return raw.select(of("game_id", 1).cast("long").alias("_game"), of("sheet", 2).cast("int").alias("_sheet"), F.regexp_replace("value", head, "").alias("value"))
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
     """(game_id, sheet, ply, rk, move, conf); lines that aren't half-moves are skipped, bad and zero confidences get their defaults, an odd last token is dropped."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    lines = _where(raw).where(F.col("value").rlike(LINE))
+    rows = _records(spark, path).select("_game", "_sheet", F.explode(F.split("value", "\n")).alias("value"))
+    lines = rows.where(F.col("value").rlike(LINE))
     part = lambda i: F.regexp_extract("value", LINE, i)
     tokens = F.split(F.trim(part(3)), r"\s+")
     conf = lambda i, default: F.coalesce(F.nullif(F.try_element_at(tokens, i).try_cast("double"), F.lit(0.0)), F.lit(default))
@@ -53,7 +59,7 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reading_headers(spark: SparkSession, path: str) -> DataFrame:
     """(game_id, sheet, layout, page, first, last): pages of each file as ranges of cell numbers; one page where there is no header."""
-    whole = _where(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
+    whole = _records(spark, path)
     head = F.regexp_extract("value", r"(?s)^((?:#[^\n]*\n)*)", 1)
     counts = F.transform(F.split(F.regexp_extract(head, r"# pages: ([0-9,]+)", 1), ","), lambda x: x.cast("long"))
     cells = F.size(F.regexp_extract_all("value", F.lit(r"(?m)^(\d+)\.[WB]\s"), F.lit(1))).cast("long")
