@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duoply.config import ATTENTION_SECONDS
+from duoply.operators.review import triage
 
 
 def replayed(spark: SparkSession, df: DataFrame, path: str, files: int = 1) -> DataFrame:
@@ -32,23 +33,36 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def attention(rows: DataFrame, seconds: int = ATTENTION_SECONDS, late: str = "1 day") -> DataFrame:
-    """(operator_id, open_game, seconds) for each gap between an operator's interactions, as it ends. State: the last time and what was open. rows(operator_id, ts, open_game, event_id) come in order of time apart from what a micro-batch sorts; events older than the last one are dropped."""
+    """(operator_id, open_game, seconds) for each gap between an operator's interactions, once the watermark has passed its end.
+
+    State: the last time, what was open, and the interactions that may still get
+    others in front of them; these wait until the watermark passes, so events in
+    any order within it count as in order, across micro-batches too.
+    rows(operator_id, ts, open_game, event_id).
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, open_game = state.get if state.exists else (None, None)
-        out = []
-        for f in [pd.concat(list(frames)).sort_values(["us", "event_id"])]:
-            for us, game in zip(f["us"].tolist(), f["open_game"].tolist()):
-                if last is not None and us < last:
-                    continue
-                if last is not None and 0 < us - last <= seconds * 1_000_000:
-                    out.append((key[0], open_game, (us - last) / 1e6))
-                last, open_game = us, game
-        state.update((last, open_game))
+        last, open_game, waiting = state.get if state.exists else (None, None, [])
+        held = [(int(us), int(e), g) for us, e, g in (w.split("|", 2) for w in waiting)]
+        for f in frames:
+            held += list(zip(f["us"].tolist(), f["event_id"].tolist(), f["open_game"].tolist()))
+        held.sort()
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        ready = [x for x in held if x[0] <= passed]
+        for us, _, game in ready:
+            if last is not None and us < last:
+                continue
+            if last is not None and 0 < us - last <= seconds * 1_000_000:
+                out.append((key[0], open_game, (us - last) / 1e6))
+            last, open_game = us, game
+        held = held[len(ready) :]
+        state.update((last, open_game, [f"{us}|{e}|{g}" for us, e, g in held]))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, passed // 1000 + 1))
         yield pd.DataFrame(out, columns=["operator_id", "open_game", "seconds"])
 
     timed = rows.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late).withColumn("us", F.unix_micros("event_time"))
-    return timed.groupBy("operator_id").applyInPandasWithState(step, "operator_id long, open_game string, seconds double", "last long, open_game string", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("operator_id").applyInPandasWithState(step, "operator_id long, open_game string, seconds double", "last long, open_game string, waiting array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def edits(rows: DataFrame) -> DataFrame:
@@ -83,3 +97,27 @@ def ingest(rows: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
 def status(rows: DataFrame) -> DataFrame:
     """(game_id, status, reports): the latest status of each game as reports arrive (update mode). rows(game_id, status, seq)."""
     return rows.groupBy("game_id").agg(F.max_by("status", "seq").alias("status"), F.count("*").alias("reports"))
+
+
+def status_totals(updates: DataFrame) -> DataFrame:
+    """(_batch, status, games): how many games have each status after each micro-batch, from what status() gave (game_id, status, _batch): an update takes its game from one status to another, and changes add up."""
+    w = Window.partitionBy("game_id").orderBy("_batch")
+    moved = updates.withColumn("before", F.lag("status").over(w)).where(~F.col("status").eqNullSafe(F.col("before")))
+    steps = moved.select("_batch", F.explode(F.array(F.struct(F.col("status").alias("status"), F.lit(1).alias("n")), F.struct(F.col("before").alias("status"), F.lit(-1).alias("n")))).alias("x")).select("_batch", "x.*").where("status is not null")
+    sums = steps.groupBy("_batch", "status").agg(F.sum("n").alias("n"))
+    return sums.select("_batch", "status", F.sum("n").over(Window.partitionBy("status").orderBy("_batch")).alias("games"))
+
+
+def retriaged(fixes: DataFrame, path: str) -> DataFrame:
+    """(game_id, tier, reason, _batch): as fixes arrive, the triage of every game that a micro-batch has reports of, over all its reports so far; the last row of a game is its state. Reports are kept in buckets of games, of which only those that a batch touches are read again."""
+    spark, reports, out = fixes.sparkSession, f"{path}/reports", f"{path}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("game_id"), F.lit(64)).cast("int"))
+        rows.withColumn("b", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "bucket").parquet(reports)
+        games = rows.select("game_id", "bucket").distinct()
+        known = spark.read.parquet(reports).where(F.col("b") <= number).join(F.broadcast(games.select("bucket").distinct()), "bucket").join(games.select("game_id"), "game_id")  # 64 buckets
+        triage(known).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    fixes.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema("game_id long, tier string, reason string, _batch long").option("recursiveFileLookup", "true").parquet(out)
