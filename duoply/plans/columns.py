@@ -9,6 +9,26 @@ from pyspark.sql.window import Window
 from duoply.fixtures import oracle, view
 from duoply.functions import moves as M
 from duoply.functions import records as R
+from duoply.functions.similarity import ALIKE
+
+def likeness_sql(pairs: str) -> str:
+    """SQL tables up to sim(a, b, sim): the structured similarity of the distinct pairs (a, b) of a table."""
+    table = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in ALIKE.items()) + "}"
+    like = lambda x, y: f"(CASE WHEN {x} = {y} THEN 1.0::DOUBLE ELSE coalesce(map_extract(al, {x} || {y})[1], map_extract(al, {y} || {x})[1], CASE WHEN lower({x}) = lower({y}) THEN 0.9::DOUBLE END, 0.1::DOUBLE) END)"
+    total = lambda x, y: f"coalesce(list_sum([{like(f'({x})[i]', f'({y})[i]')} FOR i IN range(1, least(length({x}), length({y})) + 1)]), 0)"
+    side = lambda m, k: f"regexp_extract({m}, '^[KQRBN]') AS g{k}, regexp_extract(replace({m}, 'x', ''), '([a-h][1-8])$', 1) AS s{k}, CASE WHEN length(replace({m}, 'x', '')) >= 4 THEN regexp_extract(replace({m}, 'x', '')[2], '[a-h1-8]') ELSE '' END AS u{k}"
+    mark = lambda x, both, lost: f"CASE WHEN NOT contains(a, '{x}') THEN 0 WHEN contains(b, '{x}') THEN {both} ELSE {lost} END"
+    origins = f"CASE WHEN ua <> '' AND ub <> '' AND ua <> ub THEN 0.5 + 0.5 * {like('ua', 'ub')} ELSE 1.0::DOUBLE END"
+    return f"""l0 AS (SELECT DISTINCT a, b, rtrim(a, '+#') AS o, rtrim(b, '+#') AS c, {table} AS al FROM {pairs}), l1 AS (SELECT *, {side('o', 'a')}, {side('c', 'b')}, replace(upper(o), '0', 'O') AS up, abs(length(o) - length(c)) AS off, greatest(length(o), length(c)) AS most, CASE WHEN length(o) > length(c) THEN o ELSE c END AS lo, CASE WHEN length(o) > length(c) THEN c ELSE o END AS sh FROM l0),
+l2 AS (SELECT *, CASE WHEN off >= 2 THEN 0.15::DOUBLE * off ELSE 0 END AS loss, {total('o', 'c')} AS plain FROM l1), l3 AS (SELECT a, b, max({total('(lo[1:k - 1] || lo[k + 1:])', 'sh')}) AS skip FROM (SELECT *, unnest(range(1, most + 1)) AS k FROM l2 WHERE off = 1) GROUP BY ALL),
+l4 AS (SELECT l2.*, greatest(plain, coalesce(skip, 0)) / greatest(most, 1) AS ch FROM l2 LEFT JOIN l3 USING (a, b)),
+l5 AS (SELECT *, CASE WHEN sa <> '' AND sb <> '' THEN ch * 0.4::DOUBLE + ({like('sa[1]', 'sb[1]')} + {like('sa[2]', 'sb[2]')}) / 2 * 0.6::DOUBLE ELSE ch END AS we, CASE WHEN ga = '' THEN 'P' ELSE ga END AS pa, CASE WHEN gb = '' THEN 'P' ELSE gb END AS pb FROM l4),
+l6 AS (SELECT *, CASE WHEN o = c THEN 1.0::DOUBLE WHEN sa <> '' AND sa = sb THEN greatest(0.1::DOUBLE, CASE WHEN ga = gb THEN 0.98::DOUBLE - CASE WHEN ga <> '' AND (ua = '') <> (ub = '') THEN 0.12::DOUBLE ELSE 0 END ELSE CASE WHEN ga <> '' AND gb <> '' THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END + 0.15::DOUBLE * {like('pa', 'pb')} END - loss)
+WHEN ga = gb AND sa <> '' AND sb <> '' AND sa[1] = sb[1] THEN greatest(0.1::DOUBLE, (0.85::DOUBLE + 0.15::DOUBLE * {like('sa[2]', 'sb[2]')}) * ({origins}) - loss)
+WHEN ga = gb AND sa <> '' AND sb <> '' AND sa[2] = sb[2] THEN greatest(0.1::DOUBLE, CASE WHEN ga <> '' AND ua <> '' AND ua = ub THEN 0.8::DOUBLE + 0.2::DOUBLE * {like('sa[1]', 'sb[1]')} ELSE (0.75::DOUBLE + 0.2::DOUBLE * {like('sa[1]', 'sb[1]')}) * CASE WHEN ga <> '' THEN {origins} ELSE 1 END END - loss)
+ELSE CASE WHEN ga = gb AND ga <> '' THEN greatest(we, 0.35::DOUBLE) WHEN ga <> gb AND ga <> '' AND gb <> '' THEN we * 0.7::DOUBLE ELSE we END - loss END + {mark('x', 0.08, -0.06)} - CASE WHEN NOT contains(a, 'x') AND contains(b, 'x') THEN 0.03::DOUBLE ELSE 0 END + {mark('+', 0.25, -0.15)} + {mark('#', 0.3, -0.2)} AS moved FROM l5),
+sim AS (SELECT a, b, CASE WHEN o = c THEN least(1, greatest(0, moved)) WHEN (up IN ('O-O', 'OO') AND c = 'O-O') OR (up IN ('O-O-O', 'OOO') AND c = 'O-O-O') THEN 1 WHEN contains(up, 'O') OR c IN ('O-O', 'O-O-O') OR o = '' OR c = '' THEN 0.1 ELSE least(0.98::DOUBLE, greatest(0, moved)) END AS sim FROM l6)"""
+
 
 KEY = ("game_id", "sheet", "ply", "rk")
 ID = "game_id, sheet, ply, rk"
@@ -18,6 +38,9 @@ def _cells(spark, sf_dir, **columns) -> DataFrame:
     return view(spark, sf_dir, "candidates").select(*KEY, *(c.alias(n) for n, c in columns.items()))
 
 
+CELLS = ("1-0", "0 - 1", "½-½", "1/2-1/2", "0.5:0.5", "10", "+-", "-+", "==", "00", "11", "5=", "1 0", "½½", "U", "H", "bye z", "zero", "Draw", "", "1-", "abc", "1:0", "=0", "0-0")
+
+
 def _pairs(spark, sf_dir) -> DataFrame:
     """Tops of both sheets side by side."""
     top = view(spark, sf_dir, "candidates").where("rk = 0")
@@ -108,6 +131,18 @@ def fn13_result_and_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pairing_id", R.normalize_result(F.col("result_raw")).alias("result"), R.normalize_date(day).alias("date"))
 
 
+def round_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result cells in many notations, with a line of text that may hold a date."""
+    p, k = view(spark, sf_dir, "pairings"), F.col("pairing_id")
+    cell = F.get(F.array(*map(F.lit, CELLS)), (k % len(CELLS)).cast("int"))
+    day = F.get(F.array(F.lit(" 2024-May-0"), F.lit(" 2024.05.0"), F.lit(" 2024/05/0"), F.lit(" 2024-05-0"), F.lit("")), (k % 5).cast("int"))
+    return p.select("pairing_id", cell.alias("cell"), F.concat(F.lit("Round"), day, (k % 9).cast("string"), F.lit(" hall")).alias("line"))
+
+
+def fn13_round_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cells(spark, sf_dir).select("pairing_id", R.pair_result(F.col("cell")).alias("result"), R.find_date(F.col("line")).alias("date"))
+
+
 def fn14_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "pairings")
     return build_headers(p)
@@ -200,6 +235,8 @@ SELECT game_id, ply, concat_ws(',', CASE WHEN k1 AND NOT k2 THEN 'check_removed'
   piece::INT + f::INT + r::INT + (x1 <> x2)::INT + (k1 <> k2)::INT <= 2 AND NOT (f AND r) AS safe FROM x"""),
     "fn12_complexity": oracle("candidates", f"SELECT {ID}, CAST(CASE WHEN regexp_matches(move, '[x+#=]') THEN 2 WHEN regexp_matches(move, '^[KQRBN]') THEN 1 ELSE 0 END AS BIGINT) AS complexity FROM candidates"),
     "fn13_result_and_date": oracle("pairings", "SELECT pairing_id, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, strftime(played_at, '%Y.%m.%d') AS date FROM pairings"),
+    "fn13_round_codes": oracle("pairings", f"""WITH c AS (SELECT pairing_id, ([{", ".join(f"'{x}'" for x in CELLS)}])[pairing_id % {len(CELLS)} + 1] AS cell, 'Round' || ([' 2024-May-0', ' 2024.05.0', ' 2024/05/0', ' 2024-05-0', ''])[pairing_id % 5 + 1] || (pairing_id % 9) || ' hall' AS line FROM pairings)
+SELECT pairing_id, CASE WHEN cell IN ('1-0', '10', '+-', '1:0', '1 0', '1-') THEN '1-0' WHEN cell IN ('0 - 1', '-+') THEN '0-1' WHEN cell IN ('½-½', '1/2-1/2', '0.5:0.5', '==', '5=', '½½', 'Draw', '=0') THEN '1/2-1/2' ELSE '*' END AS result, CASE pairing_id % 5 WHEN 0 THEN '2024-May-0' || pairing_id % 9 WHEN 3 THEN '' WHEN 4 THEN '' ELSE '2024.05.0' || pairing_id % 9 END AS date FROM c"""),
     "fn14_headers": oracle("pairings", "SELECT pairing_id, 'Tournament' AS event, CASE WHEN board IS NULL THEN round::VARCHAR ELSE round || '.' || board END AS round_tag, white_name AS white, black_name AS black, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, CASE WHEN black_rtg <> 0 THEN CASE WHEN white_rtg <> 0 THEN 'BlackElo,WhiteElo' ELSE 'BlackElo' END WHEN white_rtg <> 0 THEN 'WhiteElo' ELSE '' END AS optional_tags, nullif(white_rtg, 0) AS white_elo FROM pairings"),
     "fn15_name_keys": oracle("pairings", "SELECT pairing_id, lower(white_name) AS white_key, least(lower(white_name), lower(black_name)) || '|' || greatest(lower(white_name), lower(black_name)) AS pair_key, CASE WHEN white_sno % 3 <> 0 THEN 'sno:' || section || ':' || (white_sno % 3 * white_sno) ELSE 'name:' || lower(white_name) END AS player FROM pairings"),
     "fn16_scan_name": oracle("files", f"WITH t AS (SELECT file_id, {_tok(STEM, 'r')} AS round, {_tok(STEM, 'b')} AS board, {_tok(STEM, 'p')} AS page, CASE WHEN path LIKE 'OpenR%' THEN 'Open' END AS section FROM files) SELECT file_id, CASE WHEN round IS NOT NULL OR board IS NOT NULL THEN section END AS section, round, board, CASE WHEN round IS NOT NULL OR board IS NOT NULL THEN page END AS page FROM t"),

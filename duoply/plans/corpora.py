@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duoply.fixtures import oracle, table, view
@@ -20,7 +20,7 @@ def query(sql: str = "", views: str = "candidates"):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = oracle(views, sql)
+            ORACLES[f.__name__] = oracle(views, sql) if views else sql
         return f
 
     return add
@@ -98,20 +98,39 @@ def _sections(spark, doc: DataFrame) -> DataFrame:
 
 @query(f"WITH {SMALL} SELECT * FROM g", "pairings")
 def src05_read_wide_crosstable(spark, sf_dir):
-    g = small_rounds(spark, sf_dir)
-    sides = g.select("round", F.explode(F.array(F.struct(F.col("white_sno").alias("number"), F.col("black_sno").alias("opp"), F.lit("w").alias("c"), F.col("result")), F.struct(F.col("black_sno").alias("number"), F.col("white_sno").alias("opp"), F.lit("b").alias("c"), F.col("result")))).alias("s")).select("round", "s.*")
-    won = F.when(F.col("result") == "1/2-1/2", "½").when((F.col("result") == "1-0") == (F.col("c") == "w"), "1").otherwise("0")
-    wide = sides.withColumn("k", F.row_number().over(_by_number())).groupBy("number", "k").pivot("round", list(range(1, 10))).agg(F.first(F.struct("opp", "c", won.alias("res"))))
-    flat = wide.select("number", *(x for r in range(1, 10) for x in (F.col(f"`{r}`.opp").alias(f"opp{r}"), F.col(f"`{r}`.c").alias(f"col{r}"), F.col(f"`{r}`.res").alias(f"res{r}"))))
+    flat = crosstable(small_rounds(spark, sf_dir))
     path = new_folder(spark)
     flat.write.option("header", "true").csv(path)
     back = spark.read.schema(flat.schema).option("header", "true").csv(path)
     return G.unpivot_crosstable(back, 9)
 
 
-def _by_number():
-    from pyspark.sql import Window
+def crosstable(g: DataFrame) -> DataFrame:
+    """A row a player (several, where one plays more than one game a round) with opponent, colour and result of nine rounds."""
+    sides = g.select("round", F.explode(F.array(F.struct(F.col("white_sno").alias("number"), F.col("black_sno").alias("opp"), F.lit("w").alias("c"), F.col("result")), F.struct(F.col("black_sno").alias("number"), F.col("white_sno").alias("opp"), F.lit("b").alias("c"), F.col("result")))).alias("s")).select("round", "s.*")
+    won = F.when(F.col("result") == "1/2-1/2", "½").when((F.col("result") == "1-0") == (F.col("c") == "w"), "1").otherwise("0")
+    wide = sides.withColumn("k", F.row_number().over(_by_number())).groupBy("number", "k").pivot("round", list(range(1, 10))).agg(F.first(F.struct("opp", "c", won.alias("res"))))
+    return wide.select("number", *(x for r in range(1, 10) for x in (F.col(f"`{r}`.opp").alias(f"opp{r}"), F.col(f"`{r}`.c").alias(f"col{r}"), F.col(f"`{r}`.res").alias(f"res{r}"))))
+
+
+@query(f"WITH {SMALL} SELECT * FROM g", "pairings")
+def src05_standings_crosstable(spark, sf_dir):
+    """The table in another order than that of numbers; opponents are its places."""
+    g = small_rounds(spark, sf_dir)
+    players = g.select(F.explode(F.array("white_sno", "black_sno")).alias("number")).distinct()
+    places = players.withColumn("position", F.row_number().over(Window.orderBy(F.col("number") % 7, F.desc("number"))).cast("long"))  # a table of players
+    wide = crosstable(g)
+    for r in range(1, 10):
+        at = places.select(F.col("number").alias(f"opp{r}"), F.col("position").alias(f"_p{r}"))
+        wide = wide.join(at, f"opp{r}", "left").withColumn(f"opp{r}", F.col(f"_p{r}")).drop(f"_p{r}")
+    wide = wide.join(places, "number").select("number", "position", *(f"{x}{r}" for r in range(1, 10) for x in ("opp", "col", "res")))
+    path = new_folder(spark)
+    wide.write.option("header", "true").csv(path)
+    back = spark.read.schema(wide.schema).option("header", "true").csv(path)
+    return G.unpivot_crosstable(back, 9, standings=True)
+
 
+def _by_number():
     return Window.partitionBy("number", "round").orderBy("opp", "c")
 
 
@@ -125,75 +144,134 @@ def src06_read_round_csv(spark, sf_dir):
     return G.read_round_csv(spark, path).join(ids, ["board", "white", "black"]).select("pairing_id", "board", "white", "black", "result").distinct()
 
 
-@query("SELECT DISTINCT white_sno AS number, white_name AS name, nullif(white_rtg, 0) AS rating FROM pairings", "pairings")
+@query("""WITH r AS (SELECT DISTINCT section, white_sno AS number, white_name AS name, white_rtg AS n, CASE WHEN white_sno % 3 = 0 THEN 0 ELSE white_sno + 2000 END AS i FROM pairings)
+SELECT section, number, name, CASE WHEN section IN ('S0', 'S2') THEN coalesce(nullif(i, 0), nullif(n, 0)) ELSE coalesce(nullif(n, 0), nullif(i, 0)) END AS rating, CASE WHEN number % 2 = 0 THEN 'WFM' END AS title, 'F' || number % 9 AS fed, number * 100 + 7 AS fide_id, '2001' AS birthdate, CASE WHEN number % 4 <> 0 THEN 'Club, ' || section END AS club, 'w' AS sex FROM r""", "pairings")
 def src07_read_roster_csv(spark, sf_dir):
-    p = view(spark, sf_dir, "pairings").select(F.col("white_sno").alias("No"), F.col("white_name").alias("Player"), F.col("white_rtg").alias("Rtg")).distinct()
+    n = F.col("white_sno")
+    p = view(spark, sf_dir, "pairings").select("section", n.alias("No."), F.col("white_name").alias("Player"), F.col("white_rtg").alias("RtgN"), F.when(n % 3 == 0, 0).otherwise(n + 2000).alias("RtgI"), F.when(n % 2 == 0, "WFM").alias("Title"), F.concat(F.lit("F"), (n % 9).cast("string")).alias("Federation"), (n * 100 + 7).alias("FideID"), F.lit("2001").alias("Birthdate"), F.when(n % 4 != 0, F.concat(F.lit("Club, "), F.col("section"))).alias("Club"), F.lit("w").alias("Sex")).distinct()
     path = new_folder(spark)
     p.write.option("header", "true").csv(path)
-    return G.read_roster_csv(spark, path)
+    return G.read_roster_csv(spark, path, rated=("S0", "S2"))
 
 
-@query("SELECT file_id % 40 AS folder, 1::BIGINT AS n, true AS has_bytes FROM files GROUP BY ALL", "files")
+@query("""SELECT file_id, split_part(path, '/', -1) AS name, length(path) AS length FROM files WHERE file_id % 10 NOT IN (3, 7, 8)""", "files")
 def src09_file_inventory(spark, sf_dir):
-    """Forty folders of names, one file each; the listing gives every file once, without reading it."""
-    f = view(spark, sf_dir, "files").select((F.col("file_id") % 40).alias("folder"), F.col("path").alias("value"))
-    path = new_folder(spark)
-    f.repartition("folder").write.partitionBy("folder").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "length")
-    return found.groupBy(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder")).agg(F.count("*").alias("n"), F.bool_and(F.col("length") > 0).alias("has_bytes"))
+    """Every file of the view under a folder of its number: some in work folders, some of another kind."""
+    k = F.col("file_id")
+    inside = F.when(k % 10 == 3, "batch_work/").when(k % 10 == 8, "x_normalized/").otherwise("")
+    f = view(spark, sf_dir, "files").select(F.concat(k.cast("string"), F.lit("/"), inside, F.col("path"), F.when(k % 10 == 7, ".txt").otherwise("")).alias("path"), F.col("path").cast("binary").alias("content"))
+    folder = new_folder(spark)
+    G.scatter(f.repartition(8), folder)
+    found = G.file_inventory(spark, folder)
+    inner = F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), folder.rstrip("/").rpartition("/")[2] + "/([0-9]+)/", 1)
+    return found.select(inner.cast("long").alias("file_id"), F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name"), F.col("length"))
+
+
+#: Names and first lines of tournament files, with what they are.
+NAMES = (("Open_U1800_Crosstable.xls", "", "crosstable", None, "U1800"), ("Club Round 3.csv", "x", "round", 3, ""), ("event_Premier_Standings.xlsx", "", "crosstable", None, "Premier"), ("all-rounds.csv", "", "all_rounds", None, ""), ("roster 2024.csv", "", "roster", None, ""), ("games.PGN", "", "pgn", None, ""), ("a.txt", '[Event "x"]', "pgn", None, ""), ("b.csv", "Board,PlayerW.name", "round", None, ""), ("c.csv", "number,name,fide_id", "roster", None, ""), ("d.csv", "Player No,Name", "all_rounds", None, ""), ("X_Open_Pairings_round_12.xls", "", "round", 12, "Open"), ("e.xls", "Rank,Name", "crosstable", None, ""))
 
 
-@query("SELECT file_id, CASE WHEN path LIKE '%Round %' THEN 'round' ELSE 'crosstable' END AS kind FROM (SELECT file_id, split_part(path, '/', 2) AS path FROM files)", "files")
+@query(f"""WITH n AS (SELECT unnest(range(0, {len(NAMES)})) AS k, unnest([{", ".join(repr(x[0]) for x in NAMES)}]) AS name, unnest([{", ".join(repr(x[2]) for x in NAMES)}]) AS kind, unnest([{", ".join("NULL" if x[3] is None else str(x[3]) for x in NAMES)}]::BIGINT[]) AS round, unnest([{", ".join(repr(x[4]) for x in NAMES)}]) AS section) SELECT file_id, kind, round, section FROM files JOIN n ON file_id % {len(NAMES)} = k""", "files")
 def src10_classify_input_files(spark, sf_dir):
-    f = view(spark, sf_dir, "files")
-    return f.select("file_id", G.file_kind(F.get(F.split("path", "/"), F.lit(1)), F.lit("Name,Rtg")).alias("kind"))
+    k = (F.col("file_id") % len(NAMES)).cast("int")
+    of = lambda i: F.get(F.array(*(F.lit(x[i]) for x in NAMES)), k)
+    f = view(spark, sf_dir, "files").select("file_id", F.concat(F.lit("in/"), of(0)).alias("path"), of(1).alias("line"))
+    return f.select("file_id", G.file_kind(F.col("path"), F.col("line")).alias("kind"), G.file_round(F.col("path")).alias("round"), G.file_section(F.col("path")).alias("section"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, vec_id // 20 AS f, vec_id % 20 AS cell FROM embeddings), r AS (SELECT f // 2 AS game_id, f % 2 + 1 AS sheet, f, cell, cell + CASE WHEN f % 2 = 1 THEN 10 ELSE 0 END AS ply FROM e), g AS (SELECT DISTINCT f // 2 AS game_id, f % 2 + 1 AS sheet, f, CASE WHEN f % 11 = 5 THEN 16 ELSE 8 END AS symbols FROM e WHERE f % 7 <> 3),
+ok AS (SELECT * FROM g QUALIFY symbols = first_value(symbols) OVER (PARTITION BY game_id ORDER BY sheet))
+SELECT game_id, ply, r.sheet, 64 // symbols AS frames, symbols, 64 AS n FROM r JOIN ok USING (game_id, sheet, f) QUALIFY row_number() OVER (PARTITION BY game_id, ply ORDER BY r.sheet, cell) = 1""", "")
 def src11_read_logits(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("file"), F.col("vec_id").alias("cell"), F.col("embedding").alias("values"))
-    path = written(spark, G.encode_logits(e), "parquet")
-    counts = e.groupBy("file").agg((F.count("*") + F.when(F.col("file") == 3, 1).otherwise(0)).alias("n"))
-    return G.decode_logits(spark.read.parquet(path), counts)
+    """Twenty cells a file, two files a game whose plies overlap; some files lack a cell, some have another shape."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("f"), (F.col("vec_id") % 20).alias("cell"), F.col("embedding").alias("values"))
+    name = F.concat(F.lit("f"), F.col("f").cast("string"))
+    cells = e.where(~((F.col("f") % 7 == 3) & (F.col("cell") == 0))).select(name.alias("file"), "cell", "values", F.when(F.col("f") % 11 == 5, 16).otherwise(8).alias("vocab"))
+    folder = new_folder(spark)
+    G.scatter(G.encode_logits(cells).select(F.concat(F.col("file"), F.lit(".logits")).alias("path"), "content"), folder)
+    readings = e.select(F.floor(F.col("f") / 2).alias("game_id"), (F.col("f") % 2 + 1).cast("int").alias("sheet"), name.alias("file"), "cell", (F.col("cell") + F.when(F.col("f") % 2 == 1, 10).otherwise(0)).alias("ply"))
+    return G.logits_by_ply(G.read_logits(spark, folder), readings).select("game_id", "ply", "sheet", "frames", "symbols", F.size("values").alias("n"))
 
 
-@query("SELECT sheet_id, col_hint AS col, round(x_frac, 6) AS x_frac, round(y_frac, 6) AS y_frac FROM boxes", "boxes")
+@query("SELECT sheet_id, 2 AS version, 'grid' || sheet_id % 3 AS layout, CAST(row_number() OVER () * 0 + 1 AS INTEGER) AS page, col_hint AS col, CASE WHEN col_hint % 2 = 1 THEN 'w' ELSE 'b' END AS color, round(x_frac, 6) AS x_frac, round(y_frac, 6) AS y_frac FROM boxes", "boxes")
 def src12_read_grid_sidecars(spark, sf_dir):
     b = view(spark, sf_dir, "boxes")
     box = F.struct((F.col("x_frac") * 1000 - 5).alias("x"), (F.col("y_frac") * 2000 - 5).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
-    docs = b.groupBy("sheet_id").agg(F.collect_list(F.struct(F.col("col_hint").cast("long").alias("num"), box.alias("bbox"))).alias("cells")).withColumns({"imageWidth": F.lit(1000.0), "imageHeight": F.lit(2000.0)})
+    cell = F.struct(F.lit(1).alias("page"), F.col("col_hint").cast("long").alias("num"), F.when(F.col("col_hint") % 2 == 1, "w").otherwise("b").alias("color"), box.alias("bbox"))
+    docs = b.groupBy("sheet_id").agg(F.collect_list(cell).alias("cells")).withColumns({"version": F.lit(2), "layout": F.concat(F.lit("grid"), (F.col("sheet_id") % 3).cast("string")), "imageWidth": F.lit(1000.0), "imageHeight": F.lit(2000.0)})
     back = G.read_grid_sidecars(spark, written(spark, docs, "json"))
-    return back.select("sheet_id", F.col("col").cast("int").alias("col"), F.round("x_frac", 6).alias("x_frac"), F.round("y_frac", 6).alias("y_frac"))
+    return back.withColumns({"col": F.col("col").cast("int"), "x_frac": F.round("x_frac", 6), "y_frac": F.round("y_frac", 6)})
 
 
-@query("SELECT game_id, CASE WHEN game_id % 10 = 3 THEN 'stale' WHEN game_id % 10 = 4 THEN 'newer' ELSE 'valid' END AS state, count(*) AS entries FROM edits GROUP BY ALL", "edits")
+@query("SELECT game_id, CASE WHEN game_id % 10 IN (3, 5, 6) THEN 'stale' WHEN game_id % 10 = 4 THEN 'newer' ELSE 'valid' END AS state, CASE WHEN game_id % 10 <> 6 THEN count(*) END AS entries FROM edits GROUP BY game_id", "edits")
 def src13_read_edit_logs(spark, sf_dir):
-    e = view(spark, sf_dir, "edits").groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("pos").cast("long").alias("pos"), "event_id"))).alias("entries"))
-    docs = e.select("game_id", F.when(F.col("game_id") % 10 == 3, "notes").otherwise("edit-log").alias("format"), F.when(F.col("game_id") % 10 == 4, 2).otherwise(1).alias("version"), "entries")
-    back = G.read_edit_logs(spark, written(spark, docs, "json"))
-    return back.select("game_id", "state", F.size("entries").cast("long").alias("entries"))
+    """Logs of which some are of another format, newer, recorded against other cells, or cut off."""
+    k = F.col("game_id") % 10
+    e = view(spark, sf_dir, "edits").groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("pos").cast("long").alias("pos"), "event_id"))).alias("entries"), F.count("*").alias("n"))
+    sheets = lambda more: F.array(*(F.struct(F.lit(i).alias("sheet"), (F.col("n") + more).alias("count"), F.md5(F.concat_ws("-", F.col("game_id").cast("string"), F.lit(str(i)))).alias("checksum")) for i in (1, 2)))
+    docs = e.select("game_id", F.when(k == 3, "notes").otherwise("edit-log").alias("format"), F.when(k == 4, 2).otherwise(1).alias("version"), sheets(F.when(k == 5, 1).otherwise(0)).alias("baseline"), "entries")
+    text = docs.select(F.to_json(F.struct("*")).alias("value"), k.alias("k")).select(F.when(F.col("k") == 6, F.expr("left(value, length(value) - 4)")).otherwise(F.col("value")).alias("value"))
+    back = G.read_edit_logs(spark, written(spark, text), e.select("game_id", sheets(F.lit(0)).cast(G.BASELINE).alias("baseline")))
+    return back.select("game_id", "state", F.when(F.col("entries").isNotNull(), F.size("entries")).cast("long").alias("entries"))
 
 
 @query("SELECT game_id, sheet, count(DISTINCT ply) AS n_lines FROM candidates GROUP BY ALL")
 def snk01_write_readings(spark, sf_dir):
     path = new_folder(spark)
     R.write_readings(R.render_readings(cand(spark, sf_dir)), path)
-    return spark.read.text(path).groupBy(F.col("game_id").cast("long").alias("game_id"), "sheet").agg(F.count("*").alias("n_lines"))
+    parts = F.split(F.split_part("value", F.lit("\n"), F.lit(1)), " ")
+    rows = spark.read.option("lineSep", R.RECORD).text(path).select(parts[2].cast("long").alias("game_id"), parts[3].cast("int").alias("sheet"), F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\d+\.[WB] "), F.lit(0))).cast("long").alias("n_lines"))
+    return rows
 
 
-@query("SELECT game_id, '[PlyCount \"' || count(*) || '\"]' AS ply_tag, CAST(ceil(count(*) / 10.0) AS BIGINT) AS move_lines FROM candidates WHERE sheet = 1 AND rk = 0 GROUP BY ALL")
+@query("""WITH t AS (SELECT game_id, count(*) AS n, string_agg(move, ' ' ORDER BY ply) AS moves FROM candidates WHERE sheet = 1 AND rk = 0 GROUP BY ALL)
+SELECT game_id, n::VARCHAR AS ply_count, CASE WHEN game_id % 2 = 0 THEN (1500 + game_id)::VARCHAR END AS elo, 'done by hand ' || game_id AS comment, 9 + (game_id % 2 = 0)::INT AS n_tags, CAST(ceil(n / 10.0) AS BIGINT) AS move_lines, moves FROM t""")
 def snk02_write_games_pgn(spark, sf_dir):
+    """Game files written and read back: roster, optional tags, comment, five moves a line."""
     moves = cand(spark, sf_dir).where("sheet = 1 and rk = 0").select("game_id", "ply", "move")
-    text = G.render_games(moves, headers(spark, sf_dir))
-    return text.select("game_id", F.regexp_extract("value", r'(\[PlyCount "\d+"\])', 1).alias("ply_tag"), F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\d+\. "), F.lit(0))).cast("long").alias("move_lines"))
+    k = F.col("game_id")
+    heads = headers(spark, sf_dir).withColumns({"WhiteElo": F.when(k % 2 == 0, (k + 1500).cast("string")), "Section": F.lit("Open"), "BlackTitle": F.lit(""), "comment": F.concat(F.lit("done {by} hand "), k.cast("string"))})
+    path = written(spark, G.render_games(moves, heads).select("value"))
+    g = G.read_games(spark, path).withColumn("game_id", F.substring(F.col("tags")["White"], 2, 9).cast("long"))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)(?=^\[Event )")).alias("v")).where("v <> ''").select(F.regexp_extract("v", r'\[White "W(\d+)"', 1).cast("long").alias("game_id"), F.size(F.regexp_extract_all("v", F.lit(r"(?m)^\d+\. "), F.lit(0))).cast("long").alias("move_lines"))
+    return g.join(lines, "game_id").select("game_id", F.col("tags")["PlyCount"].alias("ply_count"), F.col("tags")["WhiteElo"].alias("elo"), "comment", F.size("tags").alias("n_tags"), "move_lines", F.array_join("moves", " ").alias("moves"))
+
+
+def exports(spark, sf_dir, scope: str, **settings) -> DataFrame:
+    """An export written as files, and read back: one row a game with its place in its round's file."""
+    k = F.col("game_id")
+    top = cand(spark, sf_dir).where("sheet = 1 and rk = 0")
+    games = headers(spark, sf_dir).withColumns({"round": k % 3, "section": F.concat(F.lit("S"), (k % 2).cast("string")), "board": k % 10, "status": F.when(k % 4 == 0, "verified").when(k % 4 == 1, "exported").otherwise("partial"), "saved": k % 7 == 3, "has_result": k % 5 == 2, "White": F.concat(F.lit("W"), (k % 20).cast("string")), "Event": k.cast("string"), "Result": F.when(k % 6 == 5, "?").otherwise("1-0")})
+    path = new_folder(spark)
+    done = G.exported(games, top, valid_prefix(top.where("game_id % 8 <> 6")), scope, **settings)
+    G.write_rounds(done, path, ("board", "game_id") if scope == "player" else ("section", "board", "game_id"))
+    g = G.read_games(spark, path)
+    tag = lambda t: F.col("tags")[t]
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block")).cast("long")
+    return g.select(tag("Event").cast("long").alias("game_id"), F.regexp_extract("file", r"round=(\d+)", 1).cast("long").alias("round"), place.alias("place"), tag("Result").alias("result"), F.size("moves").cast("long").alias("plies"), tag("Termination").isNotNull().alias("incomplete"), "comment")
+
+
+def export_sql(rows: str, order: str) -> str:
+    return f"""WITH t AS (SELECT game_id, ply, legal FROM candidates WHERE sheet = 1 AND rk = 0), n AS (SELECT game_id, count(*) AS plies, min(ply) FILTER (NOT legal) AS bad FROM t GROUP BY ALL), c AS (SELECT game_id, count(*) AS stops FROM t JOIN n USING (game_id) WHERE (bad IS NULL OR ply < bad) AND game_id % 8 <> 6 GROUP BY ALL),
+g AS (SELECT game_id, game_id % 3 AS round, 'S' || game_id % 2 AS section, game_id % 10 AS board, game_id % 4 IN (0, 1) OR game_id % 7 = 3 AS done, game_id % 5 = 2 AS has_result, 'W' || game_id % 20 AS white, CASE WHEN game_id % 6 = 5 THEN '?' ELSE '1-0' END AS result, plies, stops FROM n LEFT JOIN c USING (game_id)), x AS ({rows})
+SELECT game_id, round, row_number() OVER (PARTITION BY round ORDER BY {order}) AS place, CASE WHEN NOT done AND result = '?' THEN '*' ELSE result END AS result, CASE WHEN done THEN plies ELSE coalesce(stops, 0) END AS plies, NOT done AS incomplete, CASE WHEN NOT done THEN CASE WHEN stops IS NULL THEN 'No moves verified - not reviewed' ELSE 'Stopped at ply ' || stops || ' - review pending' END END AS comment FROM x"""
 
 
-@query("WITH t AS (SELECT game_id, ply, move, legal FROM candidates WHERE sheet = 1 AND rk = 0), b AS (SELECT game_id, min(ply) FILTER (NOT legal) AS bad FROM t GROUP BY ALL) SELECT game_id % 3 AS round, 'W' || game_id AS white, count(*) AS plies FROM t JOIN b USING (game_id) WHERE bad IS NULL OR ply < bad GROUP BY game_id")
+@query(export_sql("SELECT * REPLACE (true AS done) FROM g WHERE done OR has_result", "section, board, game_id"))
 def snk03_export_scopes(spark, sf_dir):
-    """Round export of confirmed prefixes, one folder a round."""
-    ok = valid_prefix(cand(spark, sf_dir).where("sheet = 1 and rk = 0")).select("game_id", "ply", "move")
-    text = G.render_games(ok, headers(spark, sf_dir).join(ok.select("game_id").distinct(), "game_id")).withColumn("round", F.col("game_id") % 3)
-    path = new_folder(spark)
-    text.select("round", "value").write.partitionBy("round").text(path)
-    g = spark.read.text(path, wholetext=True).select("round", F.explode(F.split("value", r"(?m)(?=^\[Event )")).alias("v")).where("v <> ''")
-    return g.select(F.col("round").cast("long").alias("round"), F.regexp_extract("v", r'\[White "([^"]*)"', 1).alias("white"), F.regexp_extract("v", r'\[PlyCount "(\d+)"', 1).cast("long").alias("plies"))
+    return exports(spark, sf_dir, "verified", include_unverified=True)
+
+
+@query(export_sql("SELECT * FROM g WHERE NOT done", "section, board, game_id"))
+def snk03_export_incomplete(spark, sf_dir):
+    return exports(spark, sf_dir, "incomplete")
+
+
+@query(export_sql("SELECT * FROM g", "section, board, game_id"))
+def snk03_export_combined(spark, sf_dir):
+    return exports(spark, sf_dir, "combined")
+
+
+@query(export_sql("SELECT * FROM g WHERE white = 'W3' OR 'B' || game_id = 'W3'", "board, game_id"))
+def snk03_export_player(spark, sf_dir):
+    return exports(spark, sf_dir, "player", player="W3")

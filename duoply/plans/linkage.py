@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duoply.fixtures import oracle, view
+from duoply import config as C
+from duoply.fixtures import oracle, table, view
 from duoply.functions.records import layout_matches, normalize_result, person_key
+from duoply.operators import evidence as E
 from duoply.operators import link as L
+from duoply.operators.detect import attention
 from duoply.operators import review as V
 from duoply.plans.columns import LAYOUTS, _layouts
 
@@ -25,16 +30,21 @@ def query(sql: str, views: str = "pairings"):
 
 
 def games_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games by section, round and board, some of whose boards count from one."""
-    f = view(spark, sf_dir, "files")
-    return f.select(F.col("file_id").alias("game_id"), F.concat(F.lit("S"), (F.col("file_id") % 4).cast("string")).alias("section"), (F.col("file_id") % 9 + 1).alias("round"), (F.floor(F.col("file_id") / 40) + 1).cast("long").alias("board")).where("board <= 30")
+    """Games by section, round and board: sections whole, in lower case, as a part of the name, or unknown; some boards count from one."""
+    f, k = view(spark, sf_dir, "files"), (F.col("file_id") % 4).cast("string")
+    style = F.col("file_id") % 5
+    section = F.when(style == 1, F.concat(F.lit("s"), k)).when(style == 2, k).when(style == 3, F.concat(F.lit("X"), k)).otherwise(F.concat(F.lit("S"), k))
+    return f.select(F.col("file_id").alias("game_id"), section.alias("section"), (F.col("file_id") % 9 + 1).alias("round"), (F.floor(F.col("file_id") / 40) + 1).cast("long").alias("board"), (F.col("file_id") % 6 == 0).alias("from_directory"))
 
 
-GAMES = "games AS (SELECT file_id AS game_id, 'S' || (file_id % 4)::VARCHAR AS section, file_id % 9 + 1 AS round, file_id // 40 + 1 AS board FROM files WHERE file_id // 40 + 1 <= 30)"
-MATCH = f"""{GAMES}, seats AS (SELECT *, min(board) OVER (PARTITION BY section, round) AS low, count(*) OVER (PARTITION BY section, round) AS n FROM pairings WHERE board IS NOT NULL),
-m0 AS (SELECT g.game_id, s.pairing_id, 'board' AS how, 0 AS p FROM games g JOIN seats s ON g.section = s.section AND g.round = s.round AND g.board = s.board
-  UNION ALL SELECT g.game_id, s.pairing_id, 'offset', 1 FROM games g JOIN seats s ON g.section = s.section AND g.round = s.round AND s.low > 1 AND g.board = s.board - s.low + 1 AND g.board BETWEEN 1 AND s.n),
-matched AS (SELECT game_id, pairing_id, how FROM m0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY p, pairing_id) = 1)"""
+GAMES = "games AS (SELECT file_id AS game_id, CASE file_id % 5 WHEN 1 THEN 's' WHEN 2 THEN '' WHEN 3 THEN 'X' ELSE 'S' END || (file_id % 4)::VARCHAR AS section, file_id % 9 + 1 AS round, file_id // 40 + 1 AS board, file_id % 6 = 0 AS from_directory FROM files)"
+CHOICES = """labels AS (SELECT DISTINCT lower(section) AS wanted, round FROM games), named AS (SELECT DISTINCT section, round FROM pairings),
+choices AS (SELECT wanted, l.round, n.section FROM labels l JOIN named n ON l.round = n.round QUALIFY contains(lower(n.section), wanted) OR NOT bool_or(contains(lower(n.section), wanted)) OVER (PARTITION BY l.round, wanted))"""
+MATCH = f"""{GAMES}, {CHOICES}, seats AS (SELECT *, min(board) OVER (PARTITION BY section, round) AS low, count(*) OVER (PARTITION BY section, round) AS n FROM pairings),
+gc AS (SELECT g.game_id, g.board, c.section, c.round FROM games g JOIN choices c ON lower(g.section) = c.wanted AND g.round = c.round),
+m0 AS (SELECT g.game_id, s.pairing_id, 'board' AS how, 0 AS p, s.section FROM gc g JOIN seats s ON g.section = s.section AND g.round = s.round AND g.board = s.board
+  UNION ALL SELECT g.game_id, s.pairing_id, 'offset', 1, s.section FROM gc g JOIN seats s ON g.section = s.section AND g.round = s.round AND s.low > 1 AND g.board = s.board - s.low + 1 AND g.board BETWEEN 1 AND s.n),
+matched AS (SELECT game_id, pairing_id, how FROM m0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY p, section, pairing_id) = 1)"""
 
 
 @query(f"WITH {MATCH} SELECT * FROM matched", "files pairings")
@@ -45,16 +55,17 @@ def jn07_match_games_to_pairings(spark, sf_dir):
 def trimmed(spark, sf_dir):
     """Games of one board more or less than pairings, so that some rounds zip and some don't."""
     p = view(spark, sf_dir, "pairings")
-    g = p.where("pairing_id % 5 <> 0 or section = 'S1'").select((F.col("pairing_id") + 1000000).alias("game_id"), "section", "round", F.coalesce("board", F.lit(0)).alias("board"))
+    g = p.where("pairing_id % 5 <> 0 or section = 'S1'").select((F.col("pairing_id") + 1000000).alias("game_id"), F.when(F.col("pairing_id") % 2 == 0, F.lower("section")).otherwise(F.col("section")).alias("section"), "round", (F.coalesce("board", F.lit(0)) + 100).alias("board"), (F.col("pairing_id") % 7 == 1).alias("from_directory"))
     return g, p, p.where("pairing_id % 3 = 0 and pairing_id % 5 <> 0").select((F.col("pairing_id") + 1000000).alias("game_id"), "pairing_id")
 
 
-@query("""WITH g AS (SELECT pairing_id + 1000000 AS game_id, section, round, coalesce(board, 0) AS board FROM pairings WHERE pairing_id % 5 <> 0 OR section = 'S1'), m AS (SELECT pairing_id + 1000000 AS game_id, pairing_id FROM pairings WHERE pairing_id % 3 = 0 AND pairing_id % 5 <> 0),
-a AS (SELECT section, round, game_id, row_number() OVER (PARTITION BY section, round ORDER BY board, game_id) AS k, count(*) OVER (PARTITION BY section, round) AS n FROM g WHERE game_id NOT IN (SELECT game_id FROM m)),
-b AS (SELECT section, round, pairing_id, row_number() OVER (PARTITION BY section, round ORDER BY board NULLS LAST, pairing_id) AS k, count(*) OVER (PARTITION BY section, round) AS n FROM pairings WHERE pairing_id NOT IN (SELECT pairing_id FROM m))
-SELECT game_id, pairing_id FROM a JOIN b USING (section, round, k, n)""")
+@query(f"""WITH games AS (SELECT pairing_id + 1000000 AS game_id, CASE WHEN pairing_id % 2 = 0 THEN lower(section) ELSE section END AS section, round, coalesce(board, 0) + 100 AS board, pairing_id % 7 = 1 AS from_directory FROM pairings WHERE pairing_id % 5 <> 0 OR section = 'S1'), m AS (SELECT pairing_id + 1000000 AS game_id, pairing_id FROM pairings WHERE pairing_id % 3 = 0 AND pairing_id % 5 <> 0), {CHOICES},
+a AS (SELECT lower(section) AS wanted, round, game_id, row_number() OVER (PARTITION BY lower(section), round ORDER BY board, game_id) AS k, count(*) OVER (PARTITION BY lower(section), round) AS n FROM games WHERE game_id NOT IN (SELECT game_id FROM m)),
+b AS (SELECT c.wanted, c.round, pairing_id, row_number() OVER (PARTITION BY c.wanted, c.round ORDER BY board NULLS LAST, pairing_id) AS k, count(*) OVER (PARTITION BY c.wanted, c.round) AS n FROM pairings p JOIN choices c ON p.section = c.section AND p.round = c.round WHERE pairing_id NOT IN (SELECT pairing_id FROM m)),
+u AS (SELECT game_id, pairing_id, false AS via_order FROM m UNION ALL SELECT game_id, pairing_id, true FROM a JOIN b USING (wanted, round, k, n))
+SELECT game_id, pairing_id, via_order, CASE WHEN p.board <> g.board AND NOT from_directory THEN p.board ELSE g.board END AS board, CASE WHEN p.board <> g.board AND NOT from_directory THEN g.board END AS scan_board FROM u JOIN games g USING (game_id) JOIN pairings p USING (pairing_id)""")
 def jn08_attach_by_order(spark, sf_dir):
-    return L.attach_by_order(*trimmed(spark, sf_dir))
+    return L.attach(*trimmed(spark, sf_dir))
 
 
 @query("""WITH d AS (SELECT round, least(lower(white_name), lower(black_name)) AS a, greatest(lower(white_name), lower(black_name)) AS b, min(board) AS db FROM pairings WHERE board IS NOT NULL GROUP BY ALL)
@@ -64,30 +75,70 @@ def jn09_donate_boards(spark, sf_dir):
     return L.donate_boards(p, p).select("pairing_id", "board")
 
 
-@query("""WITH r AS (SELECT white_sno AS number, white_name AS name, white_rtg AS rating FROM pairings WHERE white_rtg <> 0), n AS (SELECT number, max(rating) AS x FROM r GROUP BY ALL), m AS (SELECT lower(name) AS k, max(rating) AS y FROM r GROUP BY ALL)
-SELECT p.pairing_id, coalesce(nullif(white_rtg, 0), n1.x, m1.y) AS white_rtg, coalesce(nullif(black_rtg, 0), n2.x, m2.y) AS black_rtg FROM pairings p LEFT JOIN n n1 ON n1.number = p.white_sno LEFT JOIN m m1 ON m1.k = lower(p.white_name) LEFT JOIN n n2 ON n2.number = p.black_sno LEFT JOIN m m2 ON m2.k = lower(p.black_name)""")
+def titled(pairings: DataFrame) -> DataFrame:
+    """Pairings with titles, federations and ids, some of which are missing."""
+    k = F.col("pairing_id")
+    more = {}
+    for side, no in (("white", F.col("white_sno")), ("black", F.col("black_sno"))):
+        more |= {f"{side}_title": F.when((no + k) % 3 == 0, "").when(no % 2 == 0, "FM"), f"{side}_fed": F.when(k % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("F"), (no % 9).cast("string"))), f"{side}_fide_id": F.when(k % 5 == 0, 0).otherwise(no * 100 + 7)}
+    return pairings.withColumns(more)
+
+
+SIDES = "CASE WHEN ({0} + pairing_id) % 3 = 0 THEN '' WHEN {0} % 2 = 0 THEN 'FM' END AS {1}_title, CASE WHEN pairing_id % 4 <> 0 THEN 'F' || ({0} % 9) END AS {1}_fed, CASE WHEN pairing_id % 5 = 0 THEN 0 ELSE {0} * 100 + 7 END AS {1}_fide_id"
+TITLED = f"titled AS (SELECT *, {SIDES.format('white_sno', 'white')}, {SIDES.format('black_sno', 'black')} FROM pairings)"
+FILLED = ", ".join(f"coalesce(nullif({s}_{f}, {e}), {s[0]}n.{f}, {s[0]}m.{f}) AS {s}_{f}" for s in ("white", "black") for f, e in (("rtg", "0"), ("title", "''"), ("fed", "''"), ("fide_id", "0")))
+BEST = "max(nullif(white_rtg, 0)) AS rtg, max(nullif(white_title, '')) AS title, max(nullif(white_fed, '')) AS fed, max(nullif(white_fide_id, 0)) AS fide_id"
+
+
+def roster_of(pairings: DataFrame) -> DataFrame:
+    return titled(pairings).select("section", F.col("white_sno").alias("number"), F.col("white_name").alias("name"), *(F.col(f"white_{f}").alias(f) for f in L.PLAYER))
+
+
+@query(f"""WITH {TITLED}, n AS (SELECT section, white_sno AS number, {BEST} FROM titled GROUP BY ALL), m AS (SELECT lower(white_name) AS k, {BEST} FROM titled GROUP BY ALL)
+SELECT pairing_id, {FILLED} FROM titled p LEFT JOIN n wn ON wn.section = p.section AND wn.number = p.white_sno LEFT JOIN m wm ON wm.k = lower(p.white_name) LEFT JOIN n bn ON bn.section = p.section AND bn.number = p.black_sno LEFT JOIN m bm ON bm.k = lower(p.black_name)""")
 def jn10_backfill_players(spark, sf_dir):
     p = view(spark, sf_dir, "pairings")
-    roster = p.where("white_rtg <> 0").select(F.col("white_sno").alias("number"), F.col("white_name").alias("name"), F.col("white_rtg").alias("rating"))
-    return L.backfill_players(p, roster).select("pairing_id", "white_rtg", "black_rtg")
+    return L.backfill_players(titled(p), roster_of(p)).select("pairing_id", *(f"{s}_{f}" for s in ("white", "black") for f in L.PLAYER))
 
 
 def sources(spark, sf_dir):
-    """Pairings from two sources: one without boards, one without some results and numbers."""
-    p = view(spark, sf_dir, "pairings").withColumn("result", normalize_result(F.col("result_raw")))
-    a = p.withColumns({"source": F.lit("a"), "board": F.lit(None).cast("long")})
-    b = p.where("pairing_id % 2 = 0").withColumns({"source": F.lit("b"), "result": F.lit("*"), "white_sno": F.when(F.col("pairing_id") % 10 != 0, F.col("white_sno"))})
-    return a.unionByName(b)
+    """Pairings from three sources: one without boards, one without some results, numbers and names, one with other boards and ratings."""
+    p, k = view(spark, sf_dir, "pairings").withColumn("result", normalize_result(F.col("result_raw"))), F.col("pairing_id")
+    a = p.withColumns({"source": F.lit("a"), "board": F.lit(None).cast("long"), "black_name": F.when(k % 3 != 0, F.col("black_name")).otherwise("")})
+    b = p.where("pairing_id % 2 = 0").withColumns({"source": F.lit("b"), "result": F.lit("*"), "white_sno": F.when(k % 10 != 0, F.col("white_sno")), "white_rtg": F.lit(0).cast("long"), "played_at": F.when(k % 4 == 0, F.col("played_at"))})
+    c = p.where("pairing_id % 5 = 1").withColumns({"source": F.lit("c"), "board": F.col("board") + 500, "white_rtg": F.col("white_rtg") + 1, "result": F.lit("")})
+    return a.unionByName(b).unionByName(c)
+
 
+PARTS = """p0 AS (SELECT *, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result FROM pairings),
+u AS (SELECT 'a' AS source, pairing_id, section, round, white_sno, black_sno, NULL::BIGINT AS board, white_name, CASE WHEN pairing_id % 3 <> 0 THEN black_name ELSE '' END AS black_name, white_rtg, black_rtg, result, played_at FROM p0
+  UNION ALL SELECT 'b', pairing_id, section, round, CASE WHEN pairing_id % 10 <> 0 THEN white_sno END, black_sno, board, white_name, black_name, 0, black_rtg, '*', CASE WHEN pairing_id % 4 = 0 THEN played_at END FROM p0 WHERE pairing_id % 2 = 0
+  UNION ALL SELECT 'c', pairing_id, section, round, white_sno, black_sno, board + 500, white_name, black_name, white_rtg + 1, black_rtg, '', played_at FROM p0 WHERE pairing_id % 5 = 1)"""
+FIRSTS = ", ".join(f"coalesce(arg_min({f}, o) FILTER ({f} IS NOT NULL{more}), arg_min({f}, o)) AS {f}" for f, more in (("white_name", " AND trim(white_name) <> ''"), ("black_name", " AND trim(black_name) <> ''"), ("white_rtg", " AND white_rtg <> 0"), ("black_rtg", " AND black_rtg <> 0"), ("result", " AND trim(result) NOT IN ('', '*')"), ("played_at", "")))
 
-@query("""WITH a AS (SELECT *, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result FROM pairings), u AS (SELECT 'a' AS source, pairing_id, section, round, white_sno, black_sno, NULL::BIGINT AS board, result FROM a
-  UNION ALL SELECT 'b', pairing_id, section, round, CASE WHEN pairing_id % 10 <> 0 THEN white_sno END, black_sno, board, '*' FROM a WHERE pairing_id % 2 = 0),
-k AS (SELECT *, least(white_sno, black_sno) AS lo, greatest(white_sno, black_sno) AS hi, CASE WHEN white_sno IS NULL OR black_sno IS NULL THEN pairing_id END AS alone, row_number() OVER (ORDER BY board IS NULL, source, pairing_id) AS o FROM u)
-SELECT section, round, lo AS low_no, hi AS high_no, arg_min(board, o) FILTER (board IS NOT NULL) AS board, coalesce(arg_min(result, o) FILTER (result <> '*'), '*') AS result, count(*) AS sources FROM k GROUP BY section, round, lo, hi, alone""")
+
+@query(f"""WITH {PARTS},
+k AS (SELECT *, least(white_sno, black_sno) AS lo, greatest(white_sno, black_sno) AS hi, CASE WHEN white_sno IS NULL OR black_sno IS NULL THEN pairing_id END AS alone, source || lpad(pairing_id::VARCHAR, 12, '0') AS rk FROM u),
+j AS (SELECT *, CASE WHEN min(CASE WHEN board IS NOT NULL THEN rk END) OVER (PARTITION BY section, round, lo, hi, alone) = rk THEN '0' ELSE '1' END || rk AS o FROM k)
+SELECT section, round, lo AS low_no, hi AS high_no, arg_min(board, o) FILTER (board IS NOT NULL) AS board, {FIRSTS}, count(*) AS sources FROM j GROUP BY section, round, lo, hi, alone""")
 def jn11_merge_sources(spark, sf_dir):
     return L.merge_sources(sources(spark, sf_dir))
 
 
+@query("""WITH h AS (SELECT pairing_id AS source, 'k' || (white_sno % 50) AS key, CASE WHEN pairing_id % 3 = 0 THEN '' WHEN pairing_id % 3 = 1 OR white_sno % 7 = 0 THEN CASE WHEN black_sno % 2 = 0 THEN '?' ELSE '-' END ELSE white_name END AS value FROM pairings)
+SELECT key, coalesce(arg_min(value, source) FILTER (value NOT IN ('?', '-')), arg_max(value, source)) AS value FROM h WHERE trim(value) <> '' GROUP BY ALL""")
+def jn11_merge_headers(spark, sf_dir):
+    k = F.col("pairing_id")
+    value = F.when(k % 3 == 0, "").when((k % 3 == 1) | (F.col("white_sno") % 7 == 0), F.when(F.col("black_sno") % 2 == 0, "?").otherwise("-")).otherwise(F.col("white_name"))
+    return L.merge_headers(view(spark, sf_dir, "pairings").select(k.alias("source"), F.concat(F.lit("k"), (F.col("white_sno") % 50).cast("string")).alias("key"), value.alias("value")))
+
+
+@query(f"""WITH {TITLED} SELECT section, white_sno AS number, arg_min(white_name, pairing_id) FILTER (trim(white_name) <> '') AS name, arg_min(white_rtg, pairing_id) FILTER (white_rtg <> 0) AS rtg, arg_min(white_title, pairing_id) FILTER (white_title <> '') AS title, arg_min(white_fed, pairing_id) FILTER (white_fed <> '') AS fed, arg_min(white_fide_id, pairing_id) FILTER (white_fide_id <> 0) AS fide_id FROM titled GROUP BY ALL""")
+def jn11_merge_players(spark, sf_dir):
+    p = titled(view(spark, sf_dir, "pairings"))
+    return L.merge_players(p.select(F.col("pairing_id").alias("source"), "section", F.col("white_sno").alias("number"), F.col("white_name").alias("name"), *(F.col(f"white_{f}").alias(f) for f in L.PLAYER)))
+
+
 @query("""WITH r AS (SELECT game_id, CASE sheet WHEN 1 THEN 'game' ELSE 'round' END AS source, max(ply * (3 - sheet) % 50) AS modified, string_agg(move, ' ' ORDER BY ply) AS text, max(ply) % 5 <> 0 AS finished FROM candidates WHERE rk = 0 GROUP BY game_id, sheet)
 SELECT game_id, source, modified FROM r WHERE finished QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY modified DESC, source) = 1""", "candidates")
 def jn12_newest_record_wins(spark, sf_dir):
@@ -155,32 +206,60 @@ def agg13_richest_source(spark, sf_dir):
     return p.orderBy(F.desc("rounds"), F.desc("players"), "section").limit(1)
 
 
-@query("""WITH c AS (SELECT sheet_id, count(DISTINCT col_hint) AS n, list(DISTINCT x_frac ORDER BY x_frac) AS xs FROM boxes GROUP BY ALL), d AS (SELECT sheet_id, sheet_id % 10 AS layout, n, xs, row_number() OVER (PARTITION BY sheet_id % 10 ORDER BY sheet_id DESC) AS r FROM c), l AS (SELECT * FROM d WHERE r <= 15),
-m0 AS (SELECT layout, n AS cols, count(*) AS k FROM l GROUP BY ALL), m AS (SELECT * FROM m0 QUALIFY row_number() OVER (PARTITION BY layout ORDER BY k DESC, cols) = 1), x AS (SELECT l.layout, l.sheet_id, b.col_hint, median(b.x_frac) AS x FROM l JOIN m ON l.layout = m.layout AND l.n = m.cols JOIN boxes b USING (sheet_id) WHERE m.k >= 3 GROUP BY ALL)
-SELECT layout, col_hint, round(median(x), 6) AS x FROM x GROUP BY ALL""", "boxes")
-def agg14_grid_consensus(spark, sf_dir):
-    """Per layout: the last 15 sheets, the most frequent column count (three sheets or more), the median of each column."""
-    b = view(spark, sf_dir, "boxes")
-    sheets = b.groupBy("sheet_id").agg(F.count_distinct("col_hint").alias("n")).withColumn("layout", F.col("sheet_id") % 10)
-    last = sheets.withColumn("r", F.row_number().over(Window.partitionBy("layout").orderBy(F.desc("sheet_id")))).where("r <= 15")
-    mode = last.groupBy("layout", "n").agg(F.count("*").alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("layout").orderBy(F.desc("k"), "n"))).where("r = 1 and k >= 3").select("layout", "n")
-    x = b.join(last.join(mode, ["layout", "n"]).select("layout", "sheet_id"), "sheet_id").groupBy("layout", "sheet_id", "col_hint").agg(F.median("x_frac").alias("x"))
-    return x.groupBy("layout", "col_hint").agg(F.round(F.median("x"), 6).alias("x"))
+ASPECTS = "CASE sheet_id % 3 WHEN 0 THEN 0.71::DOUBLE WHEN 1 THEN 0.74::DOUBLE ELSE 1.48::DOUBLE END"
+COLUMNS = """j AS (SELECT sheet_id, x_frac, coalesce((x_frac - lag(x_frac) OVER (PARTITION BY sheet_id ORDER BY x_frac) > 0.025)::INT, 0) AS j FROM uneven), k AS (SELECT *, sum(j) OVER (PARTITION BY sheet_id ORDER BY x_frac) AS c FROM j),
+cl AS (SELECT sheet_id, c, median(x_frac) AS centre FROM k GROUP BY ALL HAVING count(*) >= 4), pl AS (SELECT sheet_id, centre, row_number() OVER (PARTITION BY sheet_id ORDER BY centre) AS place, count(*) OVER (PARTITION BY sheet_id) AS n FROM cl QUALIFY n >= 2)"""
 
 
-@query("""WITH u AS (SELECT DISTINCT sheet_id, y_frac FROM boxes), r AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY y_frac) AS k, count(*) OVER (PARTITION BY sheet_id) AS n FROM u)
-SELECT a.sheet_id, abs(any_value(a.n) - any_value(b.n)) AS row_difference, round(avg(abs(a.y_frac - b.y_frac)), 6) AS mean_gap FROM r a JOIN r b ON b.sheet_id = a.sheet_id + 1 AND a.k = b.k WHERE a.sheet_id % 2 = 0 GROUP BY ALL""", "boxes")
-def agg15_row_alignment(spark, sf_dir):
-    u = view(spark, sf_dir, "boxes").select("sheet_id", "y_frac").distinct()
-    w = Window.partitionBy("sheet_id")
-    r = u.withColumns({"k": F.row_number().over(w.orderBy("y_frac")), "n": F.count("*").over(w)})
-    b = r.select((F.col("sheet_id") - 1).alias("sheet_id"), "k", F.col("y_frac").alias("y2"), F.col("n").alias("n2"))
-    return r.where("sheet_id % 2 = 0").join(b, ["sheet_id", "k"]).groupBy("sheet_id").agg(F.abs(F.max("n") - F.max("n2")).alias("row_difference"), F.round(F.avg(F.abs(F.col("y_frac") - F.col("y2"))), 6).alias("mean_gap"))
+def uneven(spark, sf_dir) -> DataFrame:
+    """Boxes of which every eleventh sheet lacks a column or more."""
+    return view(spark, sf_dir, "boxes").where("sheet_id % 11 <> 0 or col_hint <= sheet_id % 4 + 1")
 
 
-@query("SELECT game_id, count_if(action = 'confirm')::BIGINT AS confirms, count_if(action = 'keep')::BIGINT AS keeps, count_if(action = 'override')::BIGINT AS overrides, count_if(action = 'edit')::BIGINT AS edits, count(*) AS surfaced, round(sum(t_sec), 4) AS seconds, count_if(ocr <> final_san)::BIGINT AS changed FROM decisions GROUP BY ALL", "decisions")
+@query(f"""WITH uneven AS (SELECT * FROM boxes WHERE sheet_id % 11 <> 0 OR col_hint <= sheet_id % 4 + 1), {COLUMNS},
+l AS (SELECT sheet_id, sheet_id % 10 AS layout, CAST(floor({ASPECTS} / 0.1 + 0.5) AS BIGINT) AS bucket, n FROM (SELECT DISTINCT sheet_id, n FROM pl) QUALIFY row_number() OVER (PARTITION BY layout, bucket ORDER BY sheet_id DESC) <= 15),
+m AS (SELECT layout, bucket, n, count(*) AS k, sum(count(*)) OVER (PARTITION BY layout, bucket) AS every FROM l GROUP BY layout, bucket, n QUALIFY row_number() OVER (PARTITION BY layout, bucket ORDER BY count(*) DESC, n) = 1)
+SELECT layout, bucket, place, round(median(centre), 6) AS x FROM l JOIN (SELECT * FROM m WHERE k >= 3 AND every >= 3) USING (layout, bucket, n) JOIN pl USING (sheet_id) GROUP BY ALL""", "boxes")
+def agg14_grid_consensus(spark, sf_dir):
+    b = uneven(spark, sf_dir)
+    aspect = F.when(F.col("sheet_id") % 3 == 0, 0.71).when(F.col("sheet_id") % 3 == 1, 0.74).otherwise(1.48)
+    sheets = b.select("sheet_id").distinct().select("sheet_id", (F.col("sheet_id") % 10).alias("layout"), aspect.alias("aspect"), F.col("sheet_id").alias("taken"))
+    return V.grid_consensus(b, sheets).select("layout", "bucket", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH y AS (SELECT sheet_id, floor(y_frac * 20) * 50 + (y_frac * 60) % 7 + CASE WHEN sheet_id % 6 = 1 THEN 14.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM boxes WHERE sheet_id % 8 <> 3 OR y_frac < 0.6), j AS (SELECT *, coalesce((y - lag(y) OVER (PARTITION BY sheet_id ORDER BY y) > 10)::INT, 0) AS j FROM y), k AS (SELECT *, sum(j) OVER (PARTITION BY sheet_id ORDER BY y) AS c FROM j),
+cl AS (SELECT sheet_id, avg(y) AS y FROM k GROUP BY sheet_id, c), r AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY y) AS i, count(*) OVER (PARTITION BY sheet_id) AS n FROM cl),
+p AS (SELECT a.sheet_id AS left_id, b.sheet_id AS right_id, abs(any_value(a.n) - any_value(b.n)) AS row_difference, round(avg(abs(a.y - b.y)), 6) AS deviation FROM r a JOIN r b ON b.sheet_id = a.sheet_id + 1 AND a.i = b.i WHERE a.sheet_id % 2 = 0 GROUP BY ALL)
+SELECT *, row_difference <= 2 AND deviation < 15 AS aligned, round(CASE WHEN row_difference <= 2 THEN greatest(0, 1 - deviation / 50) ELSE 0.3::DOUBLE END, 5) AS confidence FROM p""", "boxes")
+def agg15_row_alignment(spark, sf_dir):
+    """Rows of 50 pixels with some noise; some right sheets lie lower, some lack their last rows."""
+    b = view(spark, sf_dir, "boxes").where("sheet_id % 8 <> 3 or y_frac < 0.6")
+    y = F.floor(F.col("y_frac") * 20) * 50 + (F.col("y_frac") * 60) % 7 + F.when(F.col("sheet_id") % 6 == 1, 14.0).otherwise(0.0)
+    cells = b.select("sheet_id", y.alias("y"))
+    pairs = b.where("sheet_id % 2 = 0").select(F.col("sheet_id").alias("left_id"), (F.col("sheet_id") + 1).alias("right_id")).distinct()
+    found = V.row_alignment(cells, pairs).withColumn("deviation", F.round("deviation", 6))
+    return found.withColumn("confidence", F.round("confidence", 5))
+
+
+REPORT = """d AS (SELECT game_id, count_if(action = 'override')::BIGINT AS user_overrides, count_if(action = 'confirm')::BIGINT AS confirmations, count_if(action = 'keep')::BIGINT AS keeps, count_if(action = 'edit')::BIGINT AS review_edits, count(DISTINCT event_id % 37) AS surfaced_decisions, CAST(round(sum(t_sec)) AS BIGINT) AS review_seconds, count(DISTINCT event_id % 3) AS review_sessions FROM decisions GROUP BY ALL),
+best AS (SELECT game_id, method FROM st WHERE status IN ('SOLVED', 'VALID', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY status = 'PARTIAL', place) = 1),
+pk AS (SELECT game_id, max(ply) AS plies, count(*) AS algorithm_fixes FROM fixes JOIN best USING (game_id, method) GROUP BY ALL), so AS (SELECT game_id, bool_and(status = 'SOLVED') AS solved FROM st GROUP BY ALL),
+tr AS (SELECT game_id, CASE WHEN NOT solved THEN 'C' WHEN disagreements = 0 AND total <= 5 AND min_similarity >= 0.7 THEN 'A' WHEN disagreements <= 2 AND total <= 12 THEN 'B' ELSE 'C' END AS tier, CASE WHEN NOT solved THEN 'not_solved' WHEN disagreements = 0 AND total <= 5 AND min_similarity >= 0.7 THEN 'agreed' WHEN disagreements <= 2 AND total <= 12 THEN 'minor' WHEN disagreements > 2 THEN 'disagree' ELSE 'many_fixes' END AS reason FROM cmp JOIN so USING (game_id)),
+gap AS (SELECT game_id, (epoch_us(lead(ts) OVER (PARTITION BY game_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS gap FROM (SELECT user_id AS game_id, ts, event_id FROM events)), att AS (SELECT game_id, CAST(round(sum(gap)) AS BIGINT) AS attention_seconds FROM gap WHERE gap > 0 AND gap <= 7200 GROUP BY ALL),
+ga AS (SELECT pairing_id AS game_id, section, round, board, pairing_id % 90 AS cells, CASE WHEN pairing_id % 3 = 0 THEN pairing_id % 80 END AS final_plies, CASE WHEN pairing_id % 4 <> 0 THEN 'verified' END AS status FROM pairings)"""
+
+
+@query(f"""WITH {COMPARE}, {REPORT} SELECT game_id, coalesce(section, '') AS section, round, board, coalesce(p.white_name, '') AS white, coalesce(p.black_name, '') AS black, coalesce(p.result_raw, '') AS result, coalesce(nullif(final_plies, 0), plies, 0) AS total_moves, coalesce(cells, 0) AS ocr_cells, coalesce(algorithm_fixes, 0) AS algorithm_fixes,
+coalesce(user_overrides, 0) AS user_overrides, coalesce(confirmations, 0) AS confirmations, coalesce(keeps, 0) AS keeps, coalesce(review_edits, 0) AS review_edits, coalesce(surfaced_decisions, 0) AS surfaced_decisions, coalesce(review_seconds, 0) AS review_seconds, coalesce(attention_seconds, 0) AS attention_seconds, coalesce(review_sessions, 0) AS review_sessions, coalesce(tier, '') AS tier, coalesce(reason, '') AS triage_reason, coalesce(status, '') AS status
+FROM ga LEFT JOIN (SELECT pairing_id AS game_id, white_name, black_name, result_raw FROM pairings WHERE board IS NOT NULL) p USING (game_id) LEFT JOIN pk USING (game_id) LEFT JOIN d USING (game_id) LEFT JOIN att USING (game_id) LEFT JOIN tr USING (game_id)""", "decisions pairings fixes")
 def agg16_game_report(spark, sf_dir):
-    return V.game_report(view(spark, sf_dir, "decisions")).withColumn("seconds", F.round("seconds", 4))
+    p, k = view(spark, sf_dir, "pairings"), F.col("pairing_id")
+    games = p.select(k.alias("game_id"), "section", "round", "board", (k % 90).alias("cells"), F.when(k % 3 == 0, k % 80).alias("final_plies"), F.when(k % 4 != 0, "verified").alias("status"))
+    names = p.where("board is not null").select(k.alias("game_id"), "white_name", "black_name", F.col("result_raw").alias("result"))
+    decisions = view(spark, sf_dir, "decisions").withColumns({"ply": F.col("event_id") % 37, "session": F.col("event_id") % 3})
+    open_ = table(spark, sf_dir, "events").select(F.col("user_id").alias("operator_id"), F.col("user_id").alias("open_game"), "ts", "event_id")
+    seconds = attention(open_, 7200).withColumnRenamed("open_game", "game_id")
+    return V.game_report(games, decisions, view(spark, sf_dir, "fixes"), names, seconds)
 
 
 @query("SELECT ocr, " + ", ".join(f"count_if(final_san = '{p}')::BIGINT AS \"{p}\"" for p in "KQRBN") + " FROM decisions GROUP BY ALL", "decisions")
@@ -213,76 +292,147 @@ def win13_renumber(spark, sf_dir):
     return e.withColumn("i", i).select("game_id", "seq", "i", (F.floor(F.col("i") / 2) + 1).alias("num"), F.when(F.col("i") % 2 == 0, "w").otherwise("b").alias("color"))
 
 
-@query("""WITH g AS (SELECT pairing_id, section, CASE WHEN result_raw = '1 - 0' THEN 1 WHEN result_raw = '0-1' THEN 0 ELSE 2 END AS bucket, round, board FROM pairings) SELECT pairing_id, row_number() OVER (PARTITION BY section ORDER BY bucket, round, board NULLS LAST, pairing_id) AS place FROM g""")
+PLIES = "locked AS (SELECT user_id AS game_id, list(DISTINCT event_id % 25 ORDER BY event_id % 25) AS plies, count(*) % 20 AS frontier FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {PLIES} SELECT game_id, seq, array_to_string(CASE op WHEN 'delete' THEN list_transform(list_filter(plies, lambda p: p <> pos), lambda p: CASE WHEN p > pos THEN p - 1 ELSE p END) ELSE list_transform(plies, lambda p: CASE WHEN p >= pos THEN p + 1 ELSE p END) END, ',') AS plies,
+CASE WHEN frontier <= 0 THEN frontier WHEN op = 'delete' AND frontier > pos THEN frontier - 1 WHEN op = 'insert' AND frontier >= pos THEN frontier + 1 ELSE frontier END AS frontier FROM edits JOIN locked USING (game_id)""", "edits")
+def win13_shift_plies(spark, sf_dir):
+    """Each edit's effect on its game's list of locked plies and on its frontier."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("game_id")).agg(F.array_sort(F.collect_set(F.col("event_id") % 25)).alias("plies"), (F.count("*") % 20).alias("frontier"))
+    j = view(spark, sf_dir, "edits").join(e, "game_id")
+    plies, frontier = V.shifted_plies(F.col("plies"), F.col("pos"), F.col("op")), V.shifted_frontier(F.col("frontier"), F.col("pos"), F.col("op"))
+    return j.select("game_id", "seq", F.concat_ws(",", F.transform(plies, lambda p: p.cast("string"))).alias("plies"), frontier.alias("frontier"))
+
+
+def board_list(spark, sf_dir) -> DataFrame:
+    """Games with their state of review: verified, noisy, and how far a search has come."""
+    k = F.col("pairing_id")
+    state = {"review": (k % 3 == 0).cast("int"), "search": F.when(k % 5 < 2, 0).otherwise(k % 5 - 1).cast("int"), "list": F.when(k % 3 == 0, 2).when(k % 7 == 1, 0).otherwise(1)}
+    return view(spark, sf_dir, "pairings").withColumns(state).withColumn("round", F.when(k % 13 != 0, F.col("round"))).withColumnRenamed("pairing_id", "game_id")
+
+
+BOARDS = "g AS (SELECT pairing_id AS game_id, section, board, CASE WHEN pairing_id % 13 <> 0 THEN round END AS round, (pairing_id % 3 = 0)::INT AS review, CASE WHEN pairing_id % 5 < 2 THEN 0 ELSE pairing_id % 5 - 1 END AS search, CASE WHEN pairing_id % 3 = 0 THEN 2 WHEN pairing_id % 7 = 1 THEN 0 ELSE 1 END AS list FROM pairings)"
+
+
+@query(f"WITH {BOARDS} SELECT game_id, row_number() OVER (PARTITION BY section ORDER BY review, search, round NULLS LAST, board NULLS LAST, game_id) AS place FROM g")
 def win15_work_order(spark, sf_dir):
-    bucket = F.when(F.col("result_raw") == "1 - 0", 1).when(F.col("result_raw") == "0-1", 0).otherwise(2)
-    w = Window.partitionBy("section").orderBy(bucket, "round", F.asc_nulls_last("board"), "pairing_id")
-    return view(spark, sf_dir, "pairings").select("pairing_id", F.row_number().over(w).cast("long").alias("place"))
+    return V.work_order(board_list(spark, sf_dir), ["section"], ["review", "search", "round"], [F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
+
+
+@query(f"WITH {BOARDS} SELECT game_id, row_number() OVER (PARTITION BY section, round ORDER BY list, board NULLS LAST, game_id) AS place FROM g")
+def win15_board_list(spark, sf_dir):
+    return V.work_order(board_list(spark, sf_dir), ["section", "round"], ["list"], [F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
 
 
-@query("SELECT section, count(*) AS n, strftime(min(played_at), '%Y.%m.%d') AS starts, strftime(max(played_at), '%Y.%m.%d') AS ends FROM pairings WHERE section IN ('S1', 'S3') GROUP BY ALL")
+@query(f"""WITH {BOARDS}, o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY section, round, board % 50) AS n FROM g WINDOW w AS (PARTITION BY section, round, board % 50 ORDER BY board NULLS LAST, game_id)),
+j AS (SELECT a.game_id, b.game_id AS other, (b.i - a.i - 1 + a.n) % a.n AS d FROM o a JOIN o b ON a.section = b.section AND a.round IS NOT DISTINCT FROM b.round AND (a.board % 50) IS NOT DISTINCT FROM (b.board % 50) AND a.game_id <> b.game_id AND b.review = 0)
+SELECT g.game_id, arg_min(other, d) AS next_id FROM g LEFT JOIN j USING (game_id) GROUP BY ALL""")
+def win15_next_item(spark, sf_dir):
+    b = board_list(spark, sf_dir).withColumn("hall", F.col("board") % 50)
+    return V.next_item(b, ["section", "round", "hall"], [F.asc_nulls_last("board"), "game_id"], F.col("review") == 0).select("game_id", "next_id")
+
+
+@query("SELECT section, count(*) AS n, count_if(section IN ('S0', 'S1') AND length(result_raw) > 0)::BIGINT AS with_result, strftime(min(played_at), '%Y.%m.%d') AS starts, strftime(max(played_at), '%Y.%m.%d') AS ends FROM pairings GROUP BY ALL")
 def set01_union_parts(spark, sf_dir):
+    """All sections, half of them from a source without results."""
     p = view(spark, sf_dir, "pairings")
-    both = p.where("section = 'S1'").unionByName(p.where("section = 'S3'").drop("result_raw"), allowMissingColumns=True)
+    both = p.where("section in ('S0', 'S1')").unionByName(p.where("section not in ('S0', 'S1')").drop("result_raw"), allowMissingColumns=True)
     day = lambda f: F.date_format(f("played_at"), "yyyy.MM.dd")
-    return both.groupBy("section").agg(F.count("*").alias("n"), day(F.min).alias("starts"), day(F.max).alias("ends"))
+    return both.groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.length("result_raw") > 0).alias("with_result"), day(F.min).alias("starts"), day(F.max).alias("ends"))
 
 
 SIM = "CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END"
 
 
-def weighted(fixes: DataFrame, weights: DataFrame) -> DataFrame:
-    """(keys, score, components): components of a map times a table of weights(name, weight), summed."""
-    c = fixes.select("game_id", "method", "ply", "san", F.explode("components").alias("name", "value")).join(weights, "name")
-    return c.groupBy("game_id", "method", "ply", "san").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+FIX = ["game_id", "method", "ply", "san"]
 
 
 def with_components(spark, sf_dir) -> DataFrame:
-    f = view(spark, sf_dir, "fixes")
+    """Fixes of each game, method, ply and move, with what a search would know of them."""
+    f, ply = view(spark, sf_dir, "fixes"), F.col("ply")
     sim = F.when(F.col("similarity") > 1, F.col("similarity") / 100).otherwise(F.col("similarity"))
-    best = f.groupBy("game_id", "method", "ply", "san").agg(F.max(sim).alias("similarity"))
-    return best.withColumn("components", F.create_map(F.lit("similarity"), F.col("similarity"), F.lit("reach"), F.least(F.col("ply").cast("double"), F.lit(5.0)), F.lit("capture"), F.col("san").contains("+").cast("double"), F.lit("distance"), -F.least(F.col("ply").cast("double"), F.lit(6.0))))
+    best = f.groupBy(*FIX).agg(F.max(sim).alias("similarity"))
+    known = {"stuck_ply": F.lit(8), "reach": (ply * 3 + F.length("san")) % 12 - 2, "completes": ply % 5 == 0, "low_conf": ply % 4 == 1, "conf": (ply % 10).cast("double") / 10, "lenient": F.when(ply % 6 == 0, 20).when(ply % 6 == 3, 10).otherwise(0), "pattern": (ply * 7) % 31, "root_duplicate": ply % 9 == 0, "duplicate": ply % 9 == 4, "ambiguous": F.col("san").contains("+"), "absurdity": ply % 3}
+    return E.components(best.withColumns(known))
+
 
+def weights_of(spark) -> DataFrame:
+    return spark.createDataFrame(list(C.SCORE_WEIGHTS.items()), "name string, weight double")
 
-WEIGHTS = (("similarity", 40.0), ("reach", 10.0), ("capture", 5.0), ("distance", 5.0))
-SCORED = f"b AS (SELECT game_id, method, ply, san, max({SIM}) AS sim FROM fixes GROUP BY ALL), sc AS (SELECT game_id, method, ply, san, sim, 40 * sim + 10 * least(ply, 5) + 5 * contains(san, '+')::INT - 5 * least(ply, 6) AS score FROM b)"
+
+SCORED = f"""b AS (SELECT game_id, method, ply, san, max({SIM}) AS sim, (ply * 3 + length(san)) % 12 - 2 AS reach FROM fixes GROUP BY ALL), sc AS (SELECT game_id, method, ply, san, sim,
+40 * sim + 15 * ((ply % 10)::DOUBLE / 10) + CASE WHEN ply % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN ply % 4 = 1 AND ply % 10 > 0 THEN 10 ELSE 0 END + CASE WHEN contains(san, '+') THEN 10 ELSE 0 END + least(reach * 10, 50) + CASE WHEN ply >= 8 OR ply % 5 = 0 THEN greatest(reach - 5, 0) ELSE 0 END
++ CASE ply % 6 WHEN 0 THEN 20 WHEN 3 THEN 10 ELSE 0 END + least(ply * 7 % 31, 30) + CASE WHEN ply % 9 = 0 AND ply <> 8 THEN 25 WHEN ply % 9 IN (0, 4) THEN 15 ELSE 0 END - CASE WHEN reach > 0 THEN 0 WHEN sim >= 0.95 THEN 5 WHEN sim >= 0.9 THEN 15 WHEN sim >= 0.8 THEN 25 WHEN sim >= 0.7 THEN 32 ELSE 40 END
+- CASE WHEN reach <= 0 AND ply <> 8 THEN least((8 - ply) * 5, 30) ELSE 0 END + CASE WHEN reach > 0 AND ply = 8 THEN 15 ELSE 0 END - ply % 3 AS score FROM b)"""
 
 
 @query(f"WITH {SCORED} SELECT game_id, method, ply, san, round(score, 6) AS score FROM sc", "fixes")
 def rnk04_additive_score(spark, sf_dir):
-    w = spark.createDataFrame(WEIGHTS, "name string, weight double")
-    return weighted(with_components(spark, sf_dir), w).withColumn("score", F.round("score", 6))
+    return E.weighted(with_components(spark, sf_dir), weights_of(spark), FIX).withColumn("score", F.round("score", 6))
+
+
+PRIOR = "CASE WHEN ply % 4 = 0 THEN ln((ply % 7 + 1)::DOUBLE / 10) END"
 
 
-@query(f"WITH {SCORED}, e AS (SELECT *, CASE WHEN ply % 3 = 0 THEN -10.0::DOUBLE * sim END AS ctc FROM sc), r AS (SELECT game_id, method, ply, san, round(score + 3.0::DOUBLE * (coalesce(ctc, -19.27::DOUBLE) + 19.27::DOUBLE), 6) AS score FROM e) SELECT *, row_number() OVER (PARTITION BY game_id, method ORDER BY score DESC, ply, san) AS place FROM r", "fixes")
+@query(f"WITH {SCORED}, e AS (SELECT *, CASE WHEN ply % 3 = 0 THEN -10.0::DOUBLE * sim END AS ctc, {PRIOR} AS prior FROM sc), r AS (SELECT game_id, method, ply, san, round(score + 3.0::DOUBLE * (coalesce(ctc, -19.27::DOUBLE) + 19.27::DOUBLE) + 10.0::DOUBLE * (coalesce(prior, ln(1e-4::DOUBLE)) - ln(1e-4::DOUBLE)), 6) AS score FROM e) SELECT *, row_number() OVER (PARTITION BY game_id, method ORDER BY score DESC, ply, san) AS place FROM r", "fixes")
 def rnk05_evidence_rescore(spark, sf_dir):
-    w = spark.createDataFrame(WEIGHTS, "name string, weight double")
     f = with_components(spark, sf_dir)
-    ctc = F.when(F.col("ply") % 3 == 0, -10.0 * F.col("similarity"))
-    s = weighted(f, w).join(f.select("game_id", "method", "ply", "san", ctc.alias("ctc")), ["game_id", "method", "ply", "san"])
-    s = s.select("game_id", "method", "ply", "san", F.round(F.col("score") + 3.0 * (F.coalesce("ctc", F.lit(-19.27)) + 19.27), 6).alias("score"))
+    ctc = f.where("ply % 3 = 0").select(*FIX, (-10.0 * F.col("similarity")).alias("value"))
+    prior = f.where("ply % 4 = 0").select(*FIX, F.log((F.col("ply") % 7 + 1) / 10).alias("value"))
+    s = E.rescore(E.weighted(f, weights_of(spark), FIX), ctc, FIX, C.CTC_WEIGHT, C.CTC_ABSTAIN)
+    s = E.rescore(s, prior, FIX, C.PRIOR_WEIGHT, math.log(1e-4)).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("game_id", "method").orderBy(F.desc("score"), "ply", "san")
     return s.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-@query(f"WITH b AS (SELECT game_id, ply, san, method, max({SIM}) AS score FROM fixes WHERE method IN ('beam', 'greedy') GROUP BY ALL), m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY game_id, ply, san ORDER BY score DESC, method) = 1) SELECT game_id, ply, san, method, round(score, 6) AS score, count(*) OVER (PARTITION BY game_id) AS total FROM m QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY score DESC, ply, san) <= 20", "fixes")
+TRIED = (0.0, 1.0, 3.0, 10.0, 30.0)
+
+
+def decisions_of(spark, sf_dir) -> DataFrame:
+    """Candidates of each decision (a game's ply), with a score, an evidence value and whether they are right."""
+    f = with_components(spark, sf_dir)
+    s = E.weighted(f, weights_of(spark), FIX).groupBy("game_id", "ply", "san").agg(F.max("score").alias("score"))
+    value = F.log((F.length("san") * 5 + F.col("ply") * F.ascii("san")) % 9 + 1) - F.log(F.lit(10.0))
+    truth = F.col("san") == F.min("san").over(Window.partitionBy("game_id", "ply"))
+    return s.select(F.col("game_id").alias("group"), F.col("ply").alias("decision"), F.col("san").alias("text"), "score", value.alias("value"), truth.alias("correct"))
+
+
+DECIDED = f"""{SCORED}, s1 AS (SELECT game_id, ply, san, max(score) AS score FROM sc GROUP BY ALL), cd AS (SELECT game_id AS g, ply AS d, san AS t, score, ln((length(san) * 5 + ply * ascii(san)) % 9 + 1) - ln(10.0::DOUBLE) AS v, (san = min(san) OVER (PARTITION BY game_id, ply))::INT AS ok FROM s1),
+tw AS (SELECT *, unnest([0.0, 1.0, 3.0, 10.0, 30.0]::DOUBLE[]) AS w FROM cd), fp AS (SELECT g, d, w, ok FROM tw QUALIFY row_number() OVER (PARTITION BY g, d, w ORDER BY round(score + w * v, 9) DESC, t) = 1), hw AS (SELECT g, w, count(*) AS n, sum(ok)::BIGINT AS hits FROM fp GROUP BY ALL)"""
+
+
+@query(f"""WITH {DECIDED}, pr AS (SELECT g, d, max(ok) FILTER (w = 0) AS a, max(ok) FILTER (w = 10) AS b FROM fp GROUP BY ALL), c AS (SELECT count(*) AS decisions, sum(a)::BIGINT AS a_hits, sum(b)::BIGINT AS b_hits, count_if(b > a)::BIGINT AS wins, count_if(a > b)::BIGINT AS losses FROM pr)
+SELECT *, round(least(1, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))) FROM (SELECT unnest(range(0, (SELECT least(wins, losses) + 1 FROM c))) AS k))), 6) AS p FROM c""", "fixes")
+def rnk09_ranking_evaluation(spark, sf_dir):
+    """Rank-1 hits without and with the evidence over the same decisions, with a sign test."""
+    return E.paired(decisions_of(spark, sf_dir), 0.0, C.PRIOR_WEIGHT).withColumn("p", F.round("p", 6))
+
+
+@query(f"WITH {DECIDED} SELECT w AS weight, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, round(sum(hits)::DOUBLE / sum(n), 6) AS rate FROM hw GROUP BY ALL", "fixes")
+def rnk09_accuracy_by_weight(spark, sf_dir):
+    h = E.hits_by_weight(decisions_of(spark, sf_dir), TRIED)
+    return h.groupBy("weight").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.round(F.sum("hits") / F.sum("n"), 6).alias("rate"))
+
+
+@query(f'WITH {DECIDED}, r AS (SELECT *, sum(hits) OVER (PARTITION BY w) - hits AS rest FROM hw) SELECT g AS "group", w AS weight, n, hits FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY rest DESC, w) = 1', "fixes")
+def rnk09_leave_one_out(spark, sf_dir):
+    return E.leave_one_out(E.hits_by_weight(decisions_of(spark, sf_dir), TRIED))
+
+
+@query(f"""WITH {DECIDED}, nt AS (SELECT g, sum(CASE w WHEN 10 THEN hits WHEN 0 THEN -hits ELSE 0 END) AS net FROM hw GROUP BY ALL), dr AS (SELECT net, b, ((g * 7919 + b * 104729 + 12345) * 2654435761 % 4294967296)::DOUBLE / 4294967296 AS u FROM nt, (SELECT unnest(range(0, 200)) AS b)),
+x AS (SELECT b, sum(net * ({" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in E.POISSON)})) AS x FROM dr GROUP BY ALL)
+SELECT round(quantile_cont(x::DOUBLE, 0.025), 6) AS low, round(quantile_cont(x::DOUBLE, 0.975), 6) AS high, (SELECT sum(net)::BIGINT FROM nt) AS net FROM x""", "fixes")
+def rnk09_bootstrap(spark, sf_dir):
+    found = E.bootstrap(E.hits_by_weight(decisions_of(spark, sf_dir), TRIED), 0.0, C.PRIOR_WEIGHT)
+    return found.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "net")
+
+
+@query(f"WITH b AS (SELECT game_id, ply, san, method, max({SIM}) AS score FROM fixes GROUP BY ALL), m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY game_id, ply, san ORDER BY score DESC, method) = 1) SELECT game_id, ply, san, method, round(score, 6) AS score, count(*) OVER (PARTITION BY game_id) AS total FROM m QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY score DESC, ply, san) <= 20", "fixes")
 def rnk10_merge_ranked_lists(spark, sf_dir):
-    f = view(spark, sf_dir, "fixes").where(F.col("method").isin("beam", "greedy"))
+    f = view(spark, sf_dir, "fixes")
     sim = F.when(F.col("similarity") > 1, F.col("similarity") / 100).otherwise(F.col("similarity"))
     b = f.groupBy("game_id", "ply", "san", "method").agg(F.max(sim).alias("score"))
     m = b.withColumn("k", F.row_number().over(Window.partitionBy("game_id", "ply", "san").orderBy(F.desc("score"), "method"))).where("k = 1")
     m = m.withColumns({"total": F.count("*").over(Window.partitionBy("game_id")), "k": F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("score"), "ply", "san"))})
     return m.where("k <= 20").select("game_id", "ply", "san", "method", F.round("score", 6).alias("score"), "total")
-
-
-@query(f"WITH {SCORED}, t AS (SELECT *, row_number() OVER (PARTITION BY game_id, ply ORDER BY score DESC, san, method) AS r1, row_number() OVER (PARTITION BY game_id, ply ORDER BY sim DESC, san, method) AS r2, min(san) OVER (PARTITION BY game_id, ply) AS truth FROM sc), d AS (SELECT game_id, ply, max((r1 = 1 AND san = truth)::INT) AS a, max((r2 = 1 AND san = truth)::INT) AS b FROM t GROUP BY ALL) SELECT count(*) AS decisions, sum(a)::BIGINT AS weighted_hits, sum(b)::BIGINT AS similarity_hits, count_if(a > b)::BIGINT AS wins, count_if(a < b)::BIGINT AS losses FROM d", "fixes")
-def rnk09_ranking_evaluation(spark, sf_dir):
-    """Rank-1 hits of two rankings over the same decisions, with paired wins and losses."""
-    w = spark.createDataFrame(WEIGHTS, "name string, weight double")
-    f = with_components(spark, sf_dir)
-    s = weighted(f, w).join(f.select("game_id", "method", "ply", "san", "similarity"), ["game_id", "method", "ply", "san"])
-    key = Window.partitionBy("game_id", "ply")
-    s = s.withColumns({"r1": F.row_number().over(key.orderBy(F.desc("score"), "san", "method")), "r2": F.row_number().over(key.orderBy(F.desc("similarity"), "san", "method")), "truth": F.min("san").over(key)})
-    hit = lambda r: F.max(((F.col(r) == 1) & (F.col("san") == F.col("truth"))).cast("int"))
-    d = s.groupBy("game_id", "ply").agg(hit("r1").alias("a"), hit("r2").alias("b"))
-    return d.agg(F.count("*").alias("decisions"), F.sum("a").alias("weighted_hits"), F.sum("b").alias("similarity_hits"), F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"))

@@ -8,8 +8,9 @@ from pyspark.sql.functions import udtf
 
 from duoply.fixtures import oracle, view
 from duoply.functions import similarity as S
-from duoply.operators import reconcile as J
-from duoply.plans.columns import PAIRS, _pairs
+from duoply.operators import align as A
+from duoply.plans.columns import NORM, PAIRS, _pairs, likeness_sql
+from duoply.plans.linkage import COMPARE
 from duoply.plans.readings import cand
 from duoply.sources.shared import new_folder
 from duoply.streaming import jobs
@@ -36,36 +37,41 @@ def fn09_positional_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("game_id", "ply", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH pr AS (SELECT x.game_id, x.ply, x.move AS a, y.move AS b FROM candidates x JOIN candidates y ON x.game_id = y.game_id AND x.ply = y.ply AND x.sheet = 1 AND y.sheet = 2 AND x.rk = 0 AND y.rk = 0), {likeness_sql('pr')} SELECT game_id, ply, round(sim, 6) AS similarity FROM pr JOIN sim USING (a, b)")
 def fn09_move_similarity(spark, sf_dir):
     found = S.on_distinct_pairs(_pairs(spark, sf_dir), "m1", "m2", S.structured, "similarity")
     return found.select("game_id", "ply", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT DISTINCT sheet, move, length(move) AS n, CASE WHEN move[1] IN ('K', 'Q', 'R', 'B', 'N') THEN move[1] ELSE 'P' END AS p, regexp_extract(move, '([a-h][1-8])[^a-h]*$', 1) AS s FROM candidates WHERE sheet = 1 OR rk = 0),
+pr AS (SELECT r.move AS a, v.move AS b FROM m r JOIN m v ON r.sheet = 2 AND v.sheet = 1 AND (r.s = v.s OR (r.p = v.p AND (r.s[1] = v.s[1] OR r.s[2] = v.s[2])))), {likeness_sql('pr')}
+SELECT a AS reading, b AS move, round(sim * 100, 4) AS similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY round(sim * 100, 4) DESC, b) AS INTEGER) AS place FROM sim QUALIFY place <= 3""")
 def jn14_rank_vocabulary(spark, sf_dir):
     c = cand(spark, sf_dir)
     return S.rank_vocabulary(c.where("sheet = 2 and rk = 0").select(F.col("move").alias("reading")), c.where("sheet = 1").select("move"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT game_id, sheet, ply, rk, {NORM.format('move')} AS norm, conf FROM candidates), a AS (SELECT game_id, sheet, ply, norm, arg_max(conf, rk) AS a FROM n GROUP BY ALL),
+o AS (SELECT a.game_id, a.sheet, a.ply, sum(a + conf) AS overlap FROM a JOIN n ON a.game_id = n.game_id AND a.sheet = n.sheet AND a.ply + 2 = n.ply AND a.norm = n.norm GROUP BY ALL),
+m AS (SELECT game_id, sheet, ply, x.k AS k, x.v AS v, sum(conf) AS m FROM (SELECT *, unnest([{{'k': 'piece', 'v': CASE WHEN norm[1] IN ('K', 'Q', 'R', 'B', 'N') THEN norm[1] ELSE 'P' END}}, {{'k': 'file', 'v': norm[-2:-2]}}]) AS x FROM n) GROUP BY ALL),
+b AS (SELECT x.game_id, x.sheet, x.ply, least(2.0::DOUBLE, sum(x.m + y.m) FILTER (x.k = 'piece')) AS piece, least(2.0::DOUBLE, sum(x.m + y.m) FILTER (x.k = 'file')) AS file FROM m x JOIN m y ON x.game_id = y.game_id AND x.sheet = y.sheet AND x.ply + 2 = y.ply AND x.k = y.k AND x.v = y.v GROUP BY ALL),
+t AS (SELECT game_id, sheet, ply, norm AS top FROM n WHERE rk = 0 AND norm <> ''), p AS (SELECT t.game_id, t.sheet, t.ply, t.top = s.top AS same, coalesce(overlap, 0) AS overlap, piece, file FROM t JOIN t s ON t.game_id = s.game_id AND t.sheet = s.sheet AND t.ply + 2 = s.ply LEFT JOIN o ON o.game_id = t.game_id AND o.sheet = t.sheet AND o.ply = t.ply LEFT JOIN b ON b.game_id = t.game_id AND b.sheet = t.sheet AND b.ply = t.ply)
+SELECT w.game_id, w.sheet, w.ply AS at, CASE WHEN k.same THEN 'exact' ELSE 'structured' END AS kind, round(w.overlap, 6) AS white, round(k.overlap, 6) AS black FROM p w JOIN p k ON w.game_id = k.game_id AND w.sheet = k.sheet AND w.ply + 1 = k.ply
+WHERE w.ply % 2 = 0 AND w.same AND round(w.overlap, 9) >= 0.6 AND ((k.same AND round(k.overlap, 9) >= 0.3) OR (NOT k.same AND round(k.piece, 9) >= 1.6 AND round(k.file, 9) >= 1.6))""")
 def win04_repeated_rows(spark, sf_dir):
-    """Consecutive full moves of one sheet that look alike: both halves share most of their pools with the move before."""
-    c = cand(spark, sf_dir)
-    rows = J.normed(c).select("game_id", "sheet", "ply", "norm", "conf", "rk")
-    early = rows.groupBy("game_id", "sheet", "ply", "norm").agg(F.max_by("conf", "rk").alias("a"))
-    late = rows.select("game_id", "sheet", (F.col("ply") - 2).alias("ply"), "norm", F.col("conf").alias("b"))
-    overlap = early.join(late, ["game_id", "sheet", "ply", "norm"]).groupBy("game_id", "sheet", "ply").agg(F.sum(F.col("a") + F.col("b")).alias("overlap"))
-    white = overlap.where("ply % 2 = 0 and overlap >= 0.6").select("game_id", "sheet", F.col("ply").alias("at"), F.col("overlap").alias("white"))
-    black = overlap.where("ply % 2 = 1 and overlap >= 0.3").select("game_id", "sheet", (F.col("ply") - 1).alias("at"), F.col("overlap").alias("black"))
-    return white.join(black, ["game_id", "sheet", "at"])
+    """Consecutive full moves of one sheet that look alike."""
+    return A.repeated_rows(cand(spark, sf_dir)).withColumns({"white": F.round("white", 6), "black": F.round("black", 6)})
 
 
 @query("SELECT operator_id, open_game, round(sum(gap), 6) AS seconds FROM (SELECT operator_id, open_game, (epoch_us(lead(ts) OVER (PARTITION BY operator_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS gap FROM interactions) WHERE gap > 0 AND gap <= 7200 GROUP BY ALL", "interactions")
 def str01_stream_attention(spark, sf_dir):
+    """One file a micro-batch, dealt by number, so that events come out of order; a last event far ahead moves the watermark past all others."""
     path = new_folder(spark)
-    rows = view(spark, sf_dir, "interactions").repartitionByRange(4, "ts")
-    found = jobs.drained(jobs.attention(jobs.replayed(spark, rows, f"{path}/in", files=100), seconds=7200), path)
+    rows = view(spark, sf_dir, "interactions")
+    last = rows.limit(1).select(F.lit(-1).cast("long").alias("operator_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit("end").alias("open_game"), F.lit(-1).cast("long").alias("event_id"))
+    stream = jobs.replayed(spark, rows.select("operator_id", "ts", "open_game", "event_id").repartition(3, F.col("event_id") % 3), f"{path}/in")
+    last.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    found = jobs.drained(jobs.attention(stream, seconds=7200, late="400 days"), path)
     return found.groupBy("operator_id", "open_game").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
@@ -94,6 +100,28 @@ def str04_stream_status(spark, sf_dir):
     return got.groupBy("game_id").agg(F.max_by("status", "_batch").alias("status"), F.max_by("reports", "_batch").alias("reports"))
 
 
+def reported(spark, sf_dir):
+    """Status reports in three files, a micro-batch each, and their folder."""
+    path = new_folder(spark)
+    f = view(spark, sf_dir, "fixes").distinct()
+    rows = f.select("game_id", "status", F.struct("method", "ply", "san", "similarity", "status").alias("seq")).repartitionByRange(3, "seq")
+    return jobs.drained(jobs.status(jobs.replayed(spark, rows, f"{path}/in")), path, mode="update")
+
+
+@query("WITH g AS (SELECT game_id, arg_max(status, (method, ply, san, similarity, status)) AS status FROM fixes GROUP BY ALL) SELECT status, count(*) AS games FROM g GROUP BY ALL", "fixes")
+def str04_status_totals(spark, sf_dir):
+    """The totals after the last micro-batch."""
+    totals = jobs.status_totals(reported(spark, sf_dir))
+    return totals.groupBy("status").agg(F.max_by("games", "_batch").alias("games")).where("games > 0")
+
+
+@query(f"""WITH {COMPARE}, so AS (SELECT game_id, bool_and(status = 'SOLVED') AS solved FROM st GROUP BY ALL) SELECT game_id, CASE WHEN NOT solved THEN 'C' WHEN disagreements = 0 AND total <= 5 AND min_similarity >= 0.7 THEN 'A' WHEN disagreements <= 2 AND total <= 12 THEN 'B' ELSE 'C' END AS tier FROM cmp JOIN so USING (game_id)""", "fixes")
+def str04_stream_triage(spark, sf_dir):
+    path = new_folder(spark)
+    got = jobs.retriaged(jobs.replayed(spark, view(spark, sf_dir, "fixes").repartition(3, "ply"), f"{path}/in"), path)
+    return got.groupBy("game_id").agg(F.max_by("tier", "_batch").alias("tier"))
+
+
 @query("SELECT game_id, sheet, ply, rk, replace(replace(trim(regexp_replace(coalesce(move, ''), '[+#]', '', 'g')), '0-0-0', 'O-O-O'), '0-0', 'O-O') AS norm, regexp_extract(move, '([a-h][1-8])[+#]*$', 1) AS target FROM candidates")
 def udf01_register_functions(spark, sf_dir):
     S.register(spark)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duoply import config as C
 from duoply.fixtures import oracle, view
+from duoply.functions import similarity as S
 from duoply.functions.moves import normalize_move
 from duoply.operators import detect as D
 from duoply.operators import reconcile as J
-from duoply.plans.columns import NORM
+from duoply.plans.columns import NORM, likeness_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -208,9 +210,23 @@ def win03_trim_repeated_pairs(spark, sf_dir):
     return D.trim_repeated_pairs(noisy(spark, sf_dir))
 
 
-@query("")
+def tail(rows: str) -> str:
+    """SQL of tail noise over rows (game_id, sheet, ply, move, conf, locked)."""
+    return f"""n1 AS (SELECT *, row_number() OVER d AS back, count(*) OVER g AS n, coalesce(lead(move) OVER u, lag(move) OVER u) AS beside, CASE WHEN regexp_matches(move, '[x+#=]|^[O0]-') THEN 2 ELSE 0 END AS hard FROM {rows} WINDOW d AS (PARTITION BY game_id, sheet ORDER BY ply DESC), u AS (PARTITION BY game_id, sheet ORDER BY ply), g AS (PARTITION BY game_id, sheet)),
+nr AS (SELECT game_id, sheet, count(DISTINCT ply // 2) AS full_rows FROM n1 GROUP BY ALL), n2 AS (SELECT *, NOT locked AND (conf < CASE WHEN hard < 2 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END OR (hard < 2 AND move = beside)) AS bad FROM n1 JOIN nr USING (game_id, sheet)),
+n3 AS (SELECT *, count_if(NOT bad) OVER (PARTITION BY game_id, sheet ORDER BY back ROWS 3 PRECEDING) = 4 AND back >= 4 AS good FROM n2), n4 AS (SELECT *, bool_or(good) OVER (PARTITION BY game_id, sheet ORDER BY back ROWS UNBOUNDED PRECEDING) AS ended FROM n3),
+da AS (SELECT game_id, sheet, min(ply) AS start FROM n4 WHERE NOT ended AND bad AND n >= 4 AND full_rows >= 3 GROUP BY ALL HAVING count(*) >= 3 AND count(*) * 2 >= max(back)),
+n5 AS (SELECT *, bool_or(locked OR move <> tail_move) OVER (PARTITION BY game_id, sheet ORDER BY back ROWS UNBOUNDED PRECEDING) AS differs FROM (SELECT *, first_value(move) OVER (PARTITION BY game_id, sheet ORDER BY back) AS tail_move FROM n2)),
+db AS (SELECT game_id, sheet, min(ply) AS start FROM n5 WHERE NOT differs AND full_rows >= 2 GROUP BY ALL HAVING count(*) >= 3),
+n6 AS (SELECT *, ply % 2 AS half, bool_or(locked OR NOT regexp_matches(move, '^[a-h][1-8][+#]?$')) OVER (PARTITION BY game_id, sheet, ply % 2 ORDER BY back ROWS UNBOUNDED PRECEDING) AS other FROM n2 WHERE full_rows >= 4),
+dc AS (SELECT game_id, sheet, min(ply) AS start FROM n6 WHERE NOT other GROUP BY game_id, sheet, half HAVING count(*) >= 3 AND count(DISTINCT regexp_replace(move, '[+#]$', '')) < count(*)),
+n7 AS (SELECT game_id, sheet, max(CASE WHEN locked THEN 1.0::DOUBLE ELSE conf END) FILTER (back = 1) AS l1, max(CASE WHEN locked THEN 1.0::DOUBLE ELSE conf END) FILTER (back = 2) AS l2, max(ply) AS p1, min(ply) AS p2 FROM n2 WHERE back <= 2 AND n >= 4 AND full_rows >= 3 GROUP BY ALL),
+dd AS (SELECT game_id, sheet, CASE WHEN l1 < 0.55 AND l2 < 0.55 THEN p2 WHEN l1 < 0.5 THEN p1 END AS start FROM n7), tn AS (SELECT game_id, sheet, min(start) AS start FROM (SELECT * FROM da UNION ALL SELECT * FROM db UNION ALL SELECT * FROM dc UNION ALL SELECT * FROM dd) WHERE start IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {NOISY}, nl AS (SELECT *, ply % 17 = 5 AS locked FROM noisy), {tail('nl')} SELECT * FROM tn")
 def win01_tail_noise(spark, sf_dir):
-    return D.tail_noise(noisy(spark, sf_dir))
+    return D.tail_noise(noisy(spark, sf_dir).withColumn("locked", F.col("ply") % 17 == 5))
 
 
 @query("""WITH j AS (SELECT sheet_id, x_frac, coalesce((x_frac - lag(x_frac) OVER (PARTITION BY sheet_id ORDER BY x_frac) > 0.02)::INT, 0) AS j FROM boxes), k AS (SELECT *, sum(j) OVER (PARTITION BY sheet_id ORDER BY x_frac) AS c FROM j)
@@ -260,22 +276,29 @@ def jn13_backfill_placeholders(spark, sf_dir):
     return base.join(other, ["game_id", "ply"], "left").select("game_id", "ply", F.when(empty, F.coalesce("m", "move")).otherwise(F.col("move")).alias("move"), F.when(empty, F.coalesce("k", "conf")).otherwise(F.col("conf")).alias("conf"))
 
 
-@query(f"""WITH f AS (SELECT game_id, ply, {N} AS norm FROM candidates WHERE sheet = 1 AND rk = 0), later AS (SELECT a.game_id, a.ply, b.ply AS later_ply, b.norm AS later_move FROM f a JOIN f b ON a.game_id = b.game_id AND b.ply > a.ply AND a.norm[-2:] = b.norm[-2:])
-SELECT game_id, ply, min(later_ply) AS later_ply, arg_min(later_move, later_ply) AS later_move FROM later GROUP BY ALL""")
+PIECE = "CASE WHEN {0}[1] IN ('K', 'Q', 'R', 'B', 'N') THEN {0}[1] ELSE 'P' END"
+
+
+@query(f"""WITH t AS (SELECT game_id, ply, rk, move, conf, regexp_extract(move, '[a-h][1-8]') AS x, {PIECE.format('move')} AS kind FROM candidates WHERE sheet = 1), f AS (SELECT * FROM t WHERE rk = 0 AND x <> ''),
+go AS (SELECT f.game_id, f.ply, min(l.ply) AS ply2, arg_min(l.x, l.ply) AS x2 FROM f JOIN f l ON l.game_id = f.game_id AND l.ply > f.ply AND l.ply % 2 = f.ply % 2 AND l.kind = f.kind GROUP BY ALL),
+nm AS (SELECT game_id, ply, x, arg_min(move, rk) AS text FROM t WHERE x <> '' AND (rk = 0 OR conf >= 0.5) GROUP BY ALL), rf AS (SELECT f.game_id, f.ply, min(n.ply) AS ply2, arg_min(n.text, n.ply) AS text FROM f JOIN nm n ON n.game_id = f.game_id AND n.ply > f.ply AND n.x = f.x GROUP BY ALL),
+j AS (SELECT f.*, go.ply2 AS gp, go.x2 AS gx, rf.ply2 AS rp, rf.text AS text, coalesce(go.x2 <> f.x AND go.ply2 <= coalesce(rf.ply2, go.ply2), false) AS leaves, abs(ascii(f.x) - ascii(go.x2)) AS df, abs(f.x[2]::INT - go.x2[2]::INT) AS dr FROM f LEFT JOIN go ON go.game_id = f.game_id AND go.ply = f.ply LEFT JOIN rf ON rf.game_id = f.game_id AND rf.ply = f.ply)
+SELECT game_id, ply, CASE WHEN leaves THEN gp ELSE rp END AS later_ply, CASE WHEN leaves THEN 'leaves' WHEN rp % 2 <> ply % 2 AND contains(text, 'x') THEN 'captured' WHEN rp % 2 = ply % 2 AND NOT contains(text, 'x') AND {PIECE.format('text')} = kind THEN 'returns' ELSE 'other' END AS event,
+CASE WHEN leaves THEN CASE WHEN (kind IN ('B', 'Q') AND df = dr AND df > 0) OR (kind IN ('R', 'Q') AND (df = 0) <> (dr = 0)) THEN 4 ELSE 0 END WHEN rp % 2 <> ply % 2 AND contains(text, 'x') THEN 8 WHEN rp % 2 = ply % 2 AND NOT contains(text, 'x') AND {PIECE.format('text')} = kind THEN -4 ELSE 0 END AS bonus FROM j WHERE leaves OR rp IS NOT NULL""")
 def jn15_first_future_reference(spark, sf_dir):
-    """First later reading on the same square: an equi window over (game, square), not a range join."""
-    t = J.normed(cand(spark, sf_dir).where("sheet = 1 and rk = 0")).withColumn("square", F.substring("norm", -2, 2))
-    w = D.Window.partitionBy("game_id", "square").orderBy("ply")
-    return t.select("game_id", "ply", F.lead("ply").over(w).alias("later_ply"), F.lead("norm").over(w).alias("later_move")).where("later_ply is not null")
+    return J.future_reference(cand(spark, sf_dir).where("sheet = 1"))
 
 
-@query("""WITH c AS (SELECT game_id, ply, ply % 2 AS half, move[1] AS piece, conf FROM candidates WHERE sheet = 1 AND rk = 0 AND move[1] IN ('N', 'R', 'Q'))
-SELECT a.game_id, a.ply, count(b.ply) AS later, min(b.ply) AS next_ply FROM c a LEFT JOIN c b ON a.game_id = b.game_id AND a.half = b.half AND a.piece = b.piece AND b.ply > a.ply AND b.conf >= 0.7 GROUP BY ALL""")
+@query(f"""WITH c AS (SELECT game_id, ply, ply % 2 AS half, {PIECE.format('m')} AS kind, CASE WHEN m[1] = 'B' THEN CASE WHEN (ascii(rtrim(m, '+#')[-2:]) - 97 + rtrim(m, '+#')[-1:]::INT - 1) % 2 = 1 THEN 'light' ELSE 'dark' END ELSE '' END AS shade, conf FROM (SELECT game_id, ply, conf, CASE WHEN game_id % 2 = 0 THEN replace(move, 'N', 'B') ELSE move END AS m FROM candidates WHERE sheet = 1 AND rk = 0))
+SELECT a.game_id, a.ply, coalesce(count_if(b.conf >= 0.7), 0)::BIGINT AS later, min(b.ply) FILTER (b.conf >= 0.7) AS next_ply, coalesce(string_agg(b.ply::VARCHAR, ',' ORDER BY b.ply) FILTER (b.conf >= 0.85), '') AS surest FROM c a LEFT JOIN c b ON a.game_id = b.game_id AND a.half = b.half AND a.kind = b.kind AND a.shade = b.shade AND b.ply > a.ply GROUP BY ALL""")
 def jn16_future_piece_moves(spark, sf_dir):
-    c = cand(spark, sf_dir).where("sheet = 1 and rk = 0").withColumns({"half": F.col("ply") % 2, "piece": F.substring("move", 1, 1)}).where(F.col("piece").isin("N", "R", "Q"))
-    after = D.Window.partitionBy("game_id", "half", "piece").orderBy("ply").rowsBetween(1, D.Window.unboundedFollowing)
-    sure = F.col("conf") >= 0.7
-    return c.select("game_id", "ply", F.coalesce(F.sum(sure.cast("long")).over(after), F.lit(0)).alias("later"), F.min(F.when(sure, F.col("ply"))).over(after).alias("next_ply"))
+    """Later sure readings of the same piece and colour, bishops by the shade of their squares."""
+    move = F.when(F.col("game_id") % 2 == 0, F.replace("move", F.lit("N"), F.lit("B"))).otherwise(F.col("move"))
+    c = cand(spark, sf_dir).where("sheet = 1 and rk = 0").withColumn("move", move).withColumns({"half": F.col("ply") % 2, "kind": J.piece(F.col("move")), "shade": F.coalesce(J.shade(F.col("move")), F.lit(""))})
+    after = D.Window.partitionBy("game_id", "half", "kind", "shade").orderBy("ply").rowsBetween(1, D.Window.unboundedFollowing)
+    sure, surest = F.col("conf") >= C.SURE_CONF, F.col("conf") >= C.SUREST_CONF
+    plies = F.array_sort(F.collect_list(F.when(surest, F.col("ply"))).over(after))
+    return c.select("game_id", "ply", F.coalesce(F.sum(sure.cast("long")).over(after), F.lit(0)).alias("later"), F.min(F.when(sure, F.col("ply"))).over(after).alias("next_ply"), F.concat_ws(",", F.transform(plies, lambda p: p.cast("string"))).alias("surest"))
 
 
 @query(f"""WITH nm AS (SELECT {N} AS move, count(*) AS n FROM candidates WHERE rk = 0 AND conf > 0.8 GROUP BY ALL), prior AS (SELECT move[-2:] AS position_key, move, round(ln(n::DOUBLE / sum(n) OVER (PARTITION BY move[-2:])), 6) AS logp FROM nm)
@@ -287,12 +310,15 @@ def jn17_prior_lookup(spark, sf_dir):
     return c.join(prior, ["position_key", "norm"], "left").select("game_id", "sheet", "ply", "rk", F.coalesce("logp", F.round(F.log(F.lit(1e-4)), 6)).alias("logp"))
 
 
-@query("""WITH s AS (SELECT game_id, ply, list(DISTINCT move[1] ORDER BY move[1]) FILTER (move[1] IN ('N', 'R', 'Q')) AS p, count_if(contains(move, 'x')) AS captures, count(*) AS n, count_if(move[1] IN ('N', 'R', 'Q')) AS pieces, count(DISTINCT regexp_extract(move, '[a-h][1-8]')) AS targets FROM candidates WHERE sheet = 1 GROUP BY ALL)
-SELECT game_id, ply, coalesce(array_to_string(p, ','), '') AS pieces, captures::BIGINT AS captures, round(captures::DOUBLE / n, 6) AS capture_ratio, round(pieces::DOUBLE / n, 6) AS piece_ratio, targets FROM s""")
+def counted(name: str, most: str = "") -> str:
+    return f"SELECT game_id, ply, string_agg({name} || ':' || n, ',' ORDER BY n DESC, rk) AS v FROM (SELECT game_id, ply, {name}, count(*) AS n, min(rk) AS rk FROM t WHERE {name} <> '' GROUP BY ALL {most}) GROUP BY ALL"
+
+
+@query(f"""WITH t AS (SELECT game_id, ply, rk, move, regexp_extract(move, '^[KQRBN]') AS p, regexp_extract(move, '[a-h][1-8]') AS x FROM candidates WHERE sheet = 1), pc AS ({counted('p')}), ds AS ({counted('x')}), p2 AS (SELECT game_id, ply, p, count(*) AS n, min(rk) AS rk FROM t WHERE p <> '' GROUP BY game_id, ply, p QUALIFY row_number() OVER (PARTITION BY game_id, ply ORDER BY count(*) DESC, min(rk)) <= 2),
+tp AS (SELECT game_id, ply, string_agg(p || ':' || n, ',' ORDER BY n DESC, rk) AS v FROM p2 GROUP BY ALL), s AS (SELECT game_id, ply, count_if(contains(move, 'x'))::BIGINT AS captures, round(avg(contains(move, 'x')::INT), 6) AS capture_ratio, round(avg((p <> '')::INT), 6) AS piece_ratio FROM t GROUP BY ALL)
+SELECT s.*, coalesce(pc.v, '') AS pieces, coalesce(ds.v, '') AS destinations, coalesce(tp.v, '') AS top_pieces FROM s LEFT JOIN pc USING (game_id, ply) LEFT JOIN ds USING (game_id, ply) LEFT JOIN tp USING (game_id, ply)""")
 def agg06_candidate_profile(spark, sf_dir):
-    c = cand(spark, sf_dir).where("sheet = 1").withColumn("piece", F.regexp_extract("move", "^[KQRBN]", 0))
-    named, taking = F.nullif(F.col("piece"), F.lit("")), F.col("move").contains("x")
-    return c.groupBy("game_id", "ply").agg(F.concat_ws(",", F.array_sort(F.collect_set(named))).alias("pieces"), F.count_if(taking).alias("captures"), F.round(F.count_if(taking) / F.count("*"), 6).alias("capture_ratio"), F.round(F.count_if(F.col("piece") != "") / F.count("*"), 6).alias("piece_ratio"), F.count_distinct(F.regexp_extract("move", "[a-h][1-8]", 0)).alias("targets"))
+    return rounded(J.candidate_profile(cand(spark, sf_dir).where("sheet = 1")), "capture_ratio", "piece_ratio")
 
 
 @query("SELECT game_id, ply % 2 AS half, move[1] AS piece, count(*) AS n, min(ply) AS first_ply, string_agg(ply::VARCHAR, ',' ORDER BY ply) AS plies FROM candidates WHERE sheet = 1 AND rk = 0 AND conf >= 0.9 AND move[1] IN ('Q', 'R', 'B', 'N') GROUP BY ALL HAVING count(*) >= 2")
@@ -302,18 +328,23 @@ def agg07_piece_clusters(spark, sf_dir):
     return c.groupBy("game_id", (F.col("ply") % 2).alias("half"), "piece").agg(F.count("*").alias("n"), F.min("ply").alias("first_ply"), plies.alias("plies")).where("n >= 2")
 
 
-@query(f"WITH {TOPS}, {simple_noise('tp')} SELECT game_id, d - CASE WHEN game_id IN (SELECT game_id FROM r WHERE start IS NOT NULL) THEN 1000 ELSE 0 END AS difficulty FROM (SELECT game_id, count_if(coalesce(conf, 1) < 0.8)::BIGINT AS d FROM tp GROUP BY game_id)")
+@query(f"WITH {NOISY}, nl AS (SELECT *, false AS locked FROM noisy), {tail('nl')} SELECT game_id, d - CASE WHEN game_id IN (SELECT game_id FROM tn) THEN 1000 ELSE 0 END AS difficulty FROM (SELECT game_id, count_if(coalesce(conf, 1) < 0.8)::BIGINT AS d FROM nl GROUP BY game_id)")
 def agg08_difficulty(spark, sf_dir):
-    t = top_rows(spark, sf_dir)
-    noise = D.simple_tail_noise(t).select("game_id").distinct().withColumn("noisy", F.lit(1000))
+    t = noisy(spark, sf_dir)
+    noise = D.tail_noise(t).select("game_id").distinct().withColumn("noisy", F.lit(1000))
     score = t.groupBy("game_id").agg(F.count_if(F.coalesce("conf", F.lit(1.0)) < 0.8).alias("difficulty"))
     return score.join(noise, "game_id", "left").select("game_id", (F.col("difficulty") - F.coalesce("noisy", F.lit(0))).alias("difficulty"))
 
 
-@query("WITH m AS (SELECT game_id, sheet, count(*) AS n FROM candidates WHERE rk = 0 GROUP BY ALL) SELECT game_id, max(n) AS plies, CAST(ceil(max(n) / 2.0) AS BIGINT) AS moves FROM m GROUP BY ALL")
+@query(f"""WITH {TOPS}, m AS (SELECT game_id, max(n) AS plies FROM (SELECT game_id, sheet, count(*) AS n FROM tp WHERE game_id % 7 <> 3 GROUP BY ALL) GROUP BY ALL), c AS (SELECT game_id, count(*) AS cells FROM tp GROUP BY ALL), b AS (SELECT game_id, min(ply) FILTER (NOT legal) AS bad FROM tp WHERE sheet = 1 GROUP BY ALL),
+k AS (SELECT b.game_id, count(*) FILTER (bad IS NULL OR ply < bad) AS confirmed FROM b JOIN tp ON tp.game_id = b.game_id AND tp.sheet = 1 GROUP BY ALL), l AS (SELECT game_id, coalesce(plies, CAST(ceil(cells / 2.0) AS BIGINT)) AS plies, confirmed FROM c LEFT JOIN m USING (game_id) JOIN k USING (game_id))
+SELECT game_id, plies, CAST(ceil(plies / 2.0) AS BIGINT) AS moves, CASE WHEN game_id % 4 = 0 THEN CAST(ceil(plies / 2.0) AS BIGINT) || '/' || CAST(ceil(plies / 2.0) AS BIGINT) WHEN confirmed > 0 THEN CAST(ceil(confirmed / 2.0) AS BIGINT) || '/' || CAST(ceil(plies / 2.0) AS BIGINT) ELSE CAST(ceil(plies / 2.0) AS BIGINT)::VARCHAR END AS progress FROM l""")
 def agg18_length_progress(spark, sf_dir):
-    n = top_rows(spark, sf_dir).groupBy("game_id", "sheet").agg(F.count("*").alias("n"))
-    return n.groupBy("game_id").agg(F.max("n").alias("plies"), F.ceil(F.max("n") / 2).cast("long").alias("moves"))
+    """Sheets of every seventh game aren't loaded (their cells are known), every fourth game is verified."""
+    t = top_rows(spark, sf_dir)
+    games = t.groupBy("game_id").agg(F.count("*").alias("cells")).withColumn("verified", F.col("game_id") % 4 == 0)
+    confirmed = D.valid_prefix(t.where("sheet = 1")).groupBy("game_id").agg(F.count("*").alias("confirmed"))
+    return D.length_progress(t.where("game_id % 7 <> 3"), games, confirmed)
 
 
 @query("WITH m AS (SELECT game_id, count_if(sheet = 1) AS a, count_if(sheet = 2 AND ply < 20) AS b FROM candidates WHERE rk = 0 GROUP BY ALL) SELECT game_id, a // 2 >= 12 AND b // 2 > 0 AND (b // 2) * 2 < a // 2 AND a // 2 - b // 2 > 8 AS poisoned FROM m")
@@ -322,16 +353,32 @@ def agg19_length_sanity(spark, sf_dir):
     return t.select("game_id", ((F.col("expected") >= 12) & (F.col("rows") > 0) & (F.col("rows") * 2 < F.col("expected")) & (F.col("expected") - F.col("rows") > 8)).alias("poisoned"))
 
 
-@query("SELECT game_id, sheet, ply // 2 + 1 AS num, max(move) FILTER (ply % 2 = 0) AS white, max(move) FILTER (ply % 2 = 1) AS black, max(conf) FILTER (ply % 2 = 0) AS white_conf, max(conf) FILTER (ply % 2 = 1) AS black_conf FROM candidates WHERE rk = 0 GROUP BY ALL")
+def page_cells(spark, sf_dir) -> DataFrame:
+    """Cells by number and colour; numbers begin anew on every page in each fourth game's second sheet, and some confidences are missing."""
+    clamped = (F.col("game_id") % 4 == 1) & (F.col("sheet") == 2)
+    num = F.when(clamped, F.floor(F.col("ply") / 2) % 10 + 1).otherwise(F.floor(F.col("ply") / 2) + 1)
+    return top_rows(spark, sf_dir).select("game_id", "sheet", F.col("ply").alias("pos"), num.alias("num"), F.when(F.col("ply") % 2 == 0, "w").otherwise("b").alias("color"), "move", F.when(F.col("ply") % 9 != 4, F.col("conf")).alias("conf"))
+
+
+PAIRED = f"""{TOPS}, pc AS (SELECT game_id, sheet, ply AS pos, CASE WHEN game_id % 4 = 1 AND sheet = 2 THEN ply // 2 % 10 + 1 ELSE ply // 2 + 1 END AS num, ply % 2 AS half, move, CASE WHEN ply % 9 <> 4 THEN conf ELSE 0.9::DOUBLE END AS conf FROM tp),
+tw AS (SELECT DISTINCT game_id, sheet FROM pc GROUP BY game_id, sheet, num, half HAVING count(*) > 1), op AS (SELECT pc.*, tw.game_id IS NOT NULL AS twice, sum((half = 0 OR coalesce(before, 1) <> 0)::INT) OVER (PARTITION BY pc.game_id, pc.sheet ORDER BY pos) AS line FROM (SELECT *, lag(half) OVER (PARTITION BY game_id, sheet ORDER BY pos) AS before FROM pc) pc LEFT JOIN tw USING (game_id, sheet)),
+pm AS (SELECT game_id, sheet, CAST(CASE WHEN twice THEN line ELSE num END AS BIGINT) AS num, coalesce(max(move) FILTER (half = 0), '') AS white, coalesce(max(move) FILTER (half = 1), '') AS black, coalesce(max(conf) FILTER (half = 0), 0.9::DOUBLE) AS white_conf, coalesce(max(conf) FILTER (half = 1), 0.9::DOUBLE) AS black_conf FROM op GROUP BY ALL)"""
+
+
+@query(f"WITH {PAIRED} SELECT * FROM pm")
 def agg22_pair_and_flatten(spark, sf_dir):
-    t = top_rows(spark, sf_dir)
-    side = lambda c, h: F.max(F.when(F.col("ply") % 2 == h, F.col(c)))
-    return t.groupBy("game_id", "sheet", (F.floor(F.col("ply") / 2) + 1).alias("num")).agg(side("move", 0).alias("white"), side("move", 1).alias("black"), side("conf", 0).alias("white_conf"), side("conf", 1).alias("black_conf"))
+    return J.paired_moves(page_cells(spark, sf_dir))
+
 
+@query(f"WITH {PAIRED} SELECT game_id, sheet, row_number() OVER (PARTITION BY game_id, sheet ORDER BY num, half) - 1 AS i, move, conf FROM (SELECT game_id, sheet, num, 0 AS half, white AS move, white_conf AS conf FROM pm UNION ALL SELECT game_id, sheet, num, 1, black, black_conf FROM pm) WHERE move <> ''")
+def agg22_flat_moves(spark, sf_dir):
+    return J.flat_moves(J.paired_moves(page_cells(spark, sf_dir)))
 
-@query(f"""WITH r AS (SELECT game_id, ply, {N} AS reading FROM candidates WHERE sheet = 1 AND rk = 0), v AS (SELECT game_id, ply, {N} AS seen, conf FROM candidates WHERE sheet = 2 AND conf >= 0.2)
-SELECT game_id, ply, max(1 - levenshtein(reading, seen)::DOUBLE / greatest(length(reading), length(seen))) AS similarity FROM r JOIN v USING (game_id, ply) GROUP BY ALL""")
+
+@query(f"""WITH pr AS (SELECT c.game_id, c.ply, s.move AS b, c.move AS a, c.conf, c.rk FROM candidates c JOIN candidates s ON c.game_id = s.game_id AND c.ply = s.ply AND c.sheet = 2 AND s.sheet = 1 AND s.rk = 0), {likeness_sql('pr')},
+e AS (SELECT pr.*, sim, conf >= 0.5 AS seen FROM pr JOIN sim ON pr.a = sim.a AND pr.b = sim.b)
+SELECT game_id, ply, round(CASE WHEN bool_or(seen) THEN max(sim) FILTER (seen) ELSE max(sim) FILTER (rk = 0) END, 6) AS similarity, CASE WHEN bool_or(seen) THEN CASE WHEN max(sim) FILTER (seen) > 0 THEN arg_min(a, -round(sim, 9) * 1000 + rk / 1000.0) FILTER (seen) ELSE arg_min(a, rk) FILTER (seen) END ELSE arg_min(a, rk) END AS text FROM e GROUP BY ALL""")
 def rnk06_best_of_n_similarity(spark, sf_dir):
-    c = J.normed(cand(spark, sf_dir))
-    r, v = c.where("sheet = 1 and rk = 0").select("game_id", "ply", F.col("norm").alias("reading")), c.where("sheet = 2 and conf >= 0.2").select("game_id", "ply", F.col("norm").alias("seen"))
-    return r.join(v, ["game_id", "ply"]).groupBy("game_id", "ply").agg(F.max(1 - F.levenshtein("reading", "seen") / F.greatest(F.length("reading"), F.length("seen"))).alias("similarity"))
+    c = cand(spark, sf_dir)
+    moves = c.where("sheet = 1 and rk = 0").select("game_id", "ply", F.col("move").alias("candidate"))
+    return rounded(S.best_of(moves, c.where("sheet = 2").select("game_id", "ply", "rk", F.col("move").alias("text"), "conf"), ["game_id", "ply"], C.SEEN_CONF), "similarity")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from duoply.fixtures import oracle, table, view
 from duoply.operators import align as A
-from duoply.operators import detect as D
 from duoply.operators import evidence as E
-from duoply.plans.readings import cand, scores, shifted
+from duoply.plans.readings import cand, shifted
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,13 +30,21 @@ def seq01_align_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq02_extract_gap_suggestion(spark, sf_dir):
-    return A.first_suggestion(A.gap_suggestions(A.align(shifted(spark, sf_dir))))
+    return A.gap_suggestions(faulty(spark, sf_dir))
+
+
+def faulty(spark, sf_dir) -> DataFrame:
+    """Candidates in which the second sheet lacks two moves from ply 16 on in every third game, writes one twice at ply 20 in others, and is confident where both readings agree."""
+    c, g, late = cand(spark, sf_dir), F.col("game_id") % 3, F.col("sheet") == 2
+    gone = c.where(~(late & (g == 0) & F.col("ply").between(16, 19)))
+    ply = F.when(late & (g == 0) & (F.col("ply") > 19), F.col("ply") - 4).when(late & (g == 1) & (F.col("ply") >= 20), F.col("ply") + 2).otherwise(F.col("ply"))
+    twice = c.where(late & (g == 1) & F.col("ply").between(18, 19)).withColumn("ply", F.col("ply") + 2)
+    return gone.withColumn("ply", ply).unionByName(twice)
 
 
 @query()
 def seq03_alignment_cascade(spark, sf_dir):
-    starts = D.overlap_drop(scores(spark, sf_dir), below=1.2)
-    return A.cascade(cand(spark, sf_dir), starts)
+    return A.cascade(faulty(spark, sf_dir))
 
 
 @query()
@@ -47,31 +54,55 @@ def seq04_running_offset(spark, sf_dir):
 
 @query()
 def seq05_alignment_suggestions(spark, sf_dir):
-    return A.shift_suggestions(A.running_offset(shifted(spark, sf_dir)))
+    c = faulty(spark, sf_dir)
+    return A.shift_suggestions(c, A.running_offset(c), A.repeated_rows(c))
 
 
 @query()
 def seq06_auto_apply_edits(spark, sf_dir):
-    return A.auto_apply(shifted(spark, sf_dir), threshold=0.5, rounds=2)
+    return A.auto_apply(faulty(spark, sf_dir), threshold=0.5)
+
+
+@query()
+def seq06_edited_cells(spark, sf_dir):
+    c = faulty(spark, sf_dir)
+    return A.edited_cells(c, A.auto_apply(c, threshold=0.5))
+
+
+@query()
+def seq06_reverted_cells(spark, sf_dir):
+    """The cells as they were after each game's first edit."""
+    c = faulty(spark, sf_dir)
+    return A.edited_cells(c, A.auto_apply(c, threshold=0.5), before=1)
+
+
+def log(spark, sf_dir) -> DataFrame:
+    """Edits whose positions fit: three inserts, then a delete at the front; with recorded lengths. One game in ten inserts past the end at its fifth edit, another one records a wrong length at its sixth."""
+    before = F.col("seq") - 1 - 2 * F.floor((F.col("seq") - 1) / 4)
+    delete = F.col("seq") % 4 == 0
+    pos = F.when(delete, 0).when((F.col("game_id") % 10 == 7) & (F.col("seq") == 5), 999).otherwise(F.col("event_id") % (before + 1))
+    length = before + F.when(delete, -1).otherwise(1) + F.when((F.col("game_id") % 10 == 8) & (F.col("seq") == 6), 3).otherwise(0)
+    return view(spark, sf_dir, "edits").select("game_id", "seq", F.when(delete, "delete").otherwise("insert").alias("op"), pos.cast("long").alias("pos"), "event_id", length.cast("long").alias("length"))
 
 
 @query()
 def seq07_capture_edits(spark, sf_dir):
-    """What the last tenth of each game's edits (at least one) changed: a snapshot before it against the whole replay."""
-    e = view(spark, sf_dir, "edits")
+    """What the last tenth of each game's edits (at least one) changed: a snapshot before it against the whole replay; every seventh cell has another payload in the end."""
+    e = log(spark, sf_dir)
     last = e.groupBy(F.col("game_id").alias("_game")).agg((F.max("seq") - F.ceil(F.max("seq") / 10)).alias("_saved"))
     before = e.join(last, F.col("game_id") == F.col("_game")).where("seq <= _saved").drop("_game", "_saved")
-    return A.capture(A.replay(before)[0], A.replay(e)[0])
+    text = lambda more: F.concat(F.lit("m"), (F.col("id") % 9 + more).cast("string"))
+    return A.capture(A.replay(before)[0].withColumn("payload", text(F.lit(0))), A.replay(e)[0].withColumn("payload", text(F.when(F.col("id") % 7 == 0, 1).otherwise(0))))
 
 
 @query()
 def seq08_replay_edits(spark, sf_dir):
-    return A.replay(view(spark, sf_dir, "edits"))[0]
+    return A.replay(log(spark, sf_dir))[0]
 
 
-@query()
+@query("SELECT game_id, CASE game_id % 10 WHEN 7 THEN 5 ELSE 6 END AS seq, CASE game_id % 10 WHEN 7 THEN 'insert past the end' ELSE 'length 4 is not 7' END AS reason FROM edits WHERE (game_id % 10 = 7 AND seq = 5) OR (game_id % 10 = 8 AND seq = 6)", "edits")
 def seq08_replay_rejects(spark, sf_dir):
-    return A.replay(view(spark, sf_dir, "edits"))[1]
+    return A.replay(log(spark, sf_dir))[1]
 
 
 def cells(spark, sf_dir) -> DataFrame:
@@ -98,46 +129,63 @@ def seq09_score_alternatives_ctc(spark, sf_dir):
 
 @query()
 def seq10_decode_corpus(spark, sf_dir):
-    return E.decode(cells(spark, sf_dir))
+    return E.decode(cells(spark, sf_dir), pattern="[a-c][d-g]{0,2}|[d-g]")
 
 
-@query()
+def letter_scores(spark, sf_dir) -> DataFrame:
+    """Two scores of each cell's texts from its first symbols; every eleventh score is missing."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("cell"), F.posexplode(F.slice("embedding", 1, 7)).alias("k", "x"))
+    x, k = F.col("x").cast("double"), F.col("k")
+    missing = (F.col("cell") + k) % 11 == 0
+    text = F.concat(F.substring(F.lit("abcdefg"), k + 1, F.lit(1)), F.when(F.col("cell") % 2 == 0, F.lit("8=Q+")).otherwise(F.lit("8")))
+    return e.select("cell", text.alias("text"), F.when(~missing, x * 8).alias("total"), F.when(~missing, x * 4 + k * 0.25).alias("best"))
+
+
+LETTERS = "sc AS (SELECT vec_id AS cell, chr((97 + k)::INT) || CASE WHEN vec_id % 2 = 0 THEN '8=Q+' ELSE '8' END AS text, CASE WHEN (vec_id + k) % 11 <> 0 THEN embedding[k + 1]::DOUBLE * 8 END AS total, CASE WHEN (vec_id + k) % 11 <> 0 THEN embedding[k + 1]::DOUBLE * 4 + k * 0.25::DOUBLE END AS best FROM embeddings, (SELECT unnest(range(0, 7)) AS k))"
+
+
+def ranked(score: str, least: float, name: str) -> str:
+    return f"{name}e AS (SELECT cell, text, {score} AS s, exp({score} - max({score}) OVER (PARTITION BY cell)) AS e FROM sc WHERE {score} IS NOT NULL), {name} AS (SELECT cell, text, e / sum(e) OVER (PARTITION BY cell) AS p, row_number() OVER (PARTITION BY cell ORDER BY s DESC, text) AS place FROM {name}e QUALIFY place <= 5 AND p >= {least})"
+
+
+@query(f"WITH {LETTERS}, {ranked('total', 0.3, 'r')} SELECT cell, text, round(p, 6) AS p, CAST(place AS INTEGER) AS place FROM r", "")
 def rnk01_constrained_rank(spark, sf_dir):
-    return E.constrained_rank(ctc(spark, sf_dir))
+    return E.constrained_rank(letter_scores(spark, sf_dir)).withColumn("p", F.round("p", 6))
 
 
-@query()
+@query(f"""WITH {LETTERS}, {ranked('best', 0.1, 'a')}, {ranked('total', 0.1, 'b')}, j AS (SELECT coalesce(a.cell, b.cell) AS cell, coalesce(a.text, b.text) AS text, least(CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN (a.p + b.p) / 2 * 1.5::DOUBLE ELSE coalesce(a.p, b.p) END, 1.0::DOUBLE) AS p FROM a FULL JOIN b ON a.cell = b.cell AND a.text = b.text)
+SELECT cell, text, round(p, 6) AS p, CAST(row_number() OVER (PARTITION BY cell ORDER BY p DESC, text) AS INTEGER) AS place FROM j QUALIFY place <= 5 AND p >= 0.3""", "")
 def rnk02_fuse_two_rankings(spark, sf_dir):
-    s = ctc(spark, sf_dir)
+    s = letter_scores(spark, sf_dir)
     a, b = (E.constrained_rank(s, score=c, least=0.1) for c in ("best", "total"))
-    return E.fuse(a, b)
+    return E.fuse(a, b).withColumn("p", F.round("p", 6))
 
 
-@query()
+@query(f"WITH {LETTERS}, k AS (SELECT cell, regexp_replace(text, '[=#+].*$', '') AS text, max(total) AS s FROM sc WHERE total IS NOT NULL GROUP BY ALL) SELECT cell, text, round(s - ln(sum(exp(s)) OVER (PARTITION BY cell)), 6) AS logp FROM k", "")
 def rnk03_renormalise_over_allowed(spark, sf_dir):
-    return E.renormalise(ctc(spark, sf_dir))
+    return E.renormalise(letter_scores(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
 
 
-@query("""WITH c AS (SELECT game_id, ply, regexp_extract(move, '^[KQRBN]') AS piece, regexp_extract(move, '[a-h][1-8]') AS target, contains(move, 'x') AS x FROM candidates WHERE sheet = 1),
-f AS (SELECT game_id, ply, regexp_extract(move, '^[KQRBN]') AS piece, regexp_extract(move, '[a-h][1-8]') AS target, contains(move, 'x') AS x FROM candidates WHERE sheet = 2 AND rk = 0)
-SELECT f.game_id, f.ply, least(30, least(20, 10 * count_if(f.piece <> '' AND c.piece = f.piece)) + CASE WHEN f.piece <> '' AND count_if(c.piece <> '') >= 0.5 * count(*) THEN 5 ELSE 0 END + max(CASE WHEN c.target = f.target THEN 10 WHEN c.target[1] = f.target[1] OR c.target[2] = f.target[2] THEN 6 ELSE 0 END) + CASE WHEN bool_or(c.x) AND any_value(f.x) THEN 5 ELSE 0 END)::BIGINT AS bonus
-FROM f JOIN c USING (game_id, ply) GROUP BY f.game_id, f.ply, f.piece""")
+@query("""WITH c AS (SELECT game_id, ply, rk, move, regexp_extract(move, '^[KQRBN]') AS piece, regexp_extract(move, '[a-h][1-8]') AS target, contains(move, 'x') AS x FROM candidates WHERE sheet = 1),
+f AS (SELECT game_id, ply, move, regexp_extract(move, '^[KQRBN]') AS piece, regexp_extract(move, '[a-h][1-8]') AS target, contains(move, 'x') AS x FROM candidates WHERE sheet = 2 AND rk = 0),
+p AS (SELECT game_id, ply, avg((piece <> '')::INT) AS pieces, avg(x::INT) AS takes FROM c GROUP BY ALL), s AS (SELECT f.game_id, f.ply, count_if(f.piece <> '' AND c.piece = f.piece) AS same, arg_min(CASE WHEN c.move = f.move THEN 15 WHEN rtrim(c.move, '+#') = rtrim(f.move, '+#') THEN 10 END, c.rk) FILTER (rtrim(c.move, '+#') = rtrim(f.move, '+#')) AS direct FROM f JOIN c USING (game_id, ply) GROUP BY ALL),
+t AS (SELECT game_id, ply, target, count(*) AS n FROM c WHERE target <> '' GROUP BY ALL), d AS (SELECT f.game_id, f.ply, sum(CASE WHEN t.target = f.target THEN least(5 * n, 10) WHEN t.target[1] = f.target[1] OR t.target[2] = f.target[2] THEN least(2 * n, 6) ELSE 0 END) AS near FROM f JOIN t USING (game_id, ply) GROUP BY ALL)
+SELECT game_id, ply, least(30, least(20, 10 * same) + CASE WHEN piece <> '' AND pieces >= 0.5 THEN 5 ELSE 0 END + coalesce(near, 0) + CASE WHEN x AND takes >= 0.3 THEN 5 ELSE 0 END + coalesce(direct, 0))::BIGINT AS bonus FROM f JOIN p USING (game_id, ply) JOIN s USING (game_id, ply) LEFT JOIN d USING (game_id, ply)""")
 def rnk07_pattern_bonus(spark, sf_dir):
-    part = {"piece": F.regexp_extract("move", "^[KQRBN]", 0), "target": F.regexp_extract("move", "[a-h][1-8]", 0), "x": F.col("move").contains("x")}
-    c = cand(spark, sf_dir).withColumns(part)
-    pool = c.where("sheet = 1").select("game_id", "ply", *(F.col(k).alias(f"p_{k}") for k in part))
-    j = c.where("sheet = 2 and rk = 0").select("game_id", "ply", *part).join(pool, ["game_id", "ply"])
-    near = (F.substring("p_target", 1, 1) == F.substring("target", 1, 1)) | (F.substring("p_target", 2, 1) == F.substring("target", 2, 1))
-    named = F.col("piece") != ""
-    bonus = F.least(F.lit(20), 10 * F.count_if(named & (F.col("p_piece") == F.col("piece")))) + F.when(F.first(named) & (F.count_if(F.col("p_piece") != "") >= 0.5 * F.count("*")), 5).otherwise(0) + F.max(F.when(F.col("p_target") == F.col("target"), 10).when(near, 6).otherwise(0)) + F.when(F.bool_or("p_x") & F.first("x"), 5).otherwise(0)
-    return j.groupBy("game_id", "ply").agg(F.least(F.lit(30), bonus).cast("long").alias("bonus"))
-
-
-@query("""WITH t AS (SELECT game_id, ply, move, conf, (ply % 10)::DOUBLE / 10 AS t FROM candidates WHERE sheet = 1 AND rk = 0)
-SELECT game_id, ply, CASE WHEN contains(move, 'a') AND t >= 0.4 AND conf <= 0.9 THEN replace(move, 'a', 'g') END AS variant, round(CASE WHEN contains(move, 'a') AND t >= 0.4 AND conf <= 0.9 THEN least(t * 0.6::DOUBLE * conf, 0.98::DOUBLE) END, 6) AS gain FROM t""")
+    c = cand(spark, sf_dir)
+    pool = c.where("sheet = 1").groupBy("game_id", "ply").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "move"))), lambda x: x["move"]).alias("pool"))
+    fixes = c.where("sheet = 2 and rk = 0").select("game_id", "ply", "move").join(pool, ["game_id", "ply"])
+    return fixes.select("game_id", "ply", E.pattern_bonus(F.col("move"), F.col("pool")).cast("long").alias("bonus"))
+
+
+@query("""WITH a AS (SELECT game_id, ply, rk, move, conf, (ply % 10)::DOUBLE / 10 AS t FROM candidates WHERE sheet = 1), p AS (SELECT game_id, ply, move AS top, conf AS top_conf, contains(move, 'a') AND t >= 0.4 AND conf <= 0.9 AS hit, regexp_replace(move, 'a([^a]*)$', 'g\\1') AS variant, t FROM a WHERE rk = 0),
+o AS (SELECT game_id, ply, move, conf, rk FROM a JOIN p USING (game_id, ply) WHERE rk = 0 OR move <> top), v AS (SELECT game_id, ply, min(rk) AS rk FROM o JOIN p USING (game_id, ply) WHERE hit AND move = variant GROUP BY ALL),
+u AS (SELECT o.game_id, o.ply, move, CASE WHEN v.rk IS NOT NULL THEN least(0.98::DOUBLE, conf + top_conf * (p.t * 0.6::DOUBLE)) ELSE conf END AS conf, o.rk AS rk FROM o JOIN p USING (game_id, ply) LEFT JOIN v ON v.game_id = o.game_id AND v.ply = o.ply AND v.rk = o.rk
+  UNION ALL SELECT p.game_id, p.ply, variant, least(0.98::DOUBLE, top_conf * (p.t * 0.6::DOUBLE)), 99 FROM p LEFT JOIN v USING (game_id, ply) WHERE hit AND v.rk IS NULL)
+SELECT u.game_id, u.ply, string_agg(move, ' ' ORDER BY CASE WHEN hit THEN -round(u.conf, 9) ELSE u.rk END, u.rk) AS moves, round(arg_min(u.conf, CASE WHEN hit THEN -round(u.conf, 9) ELSE u.rk END * 1000.0::DOUBLE + u.rk / 1e6), 6) AS top_conf FROM u JOIN p USING (game_id, ply) GROUP BY ALL""")
 def rnk08_boost_variant(spark, sf_dir):
     """A reading with a doubtful a gains its g variant, by outside evidence t."""
-    t = (F.col("ply") % 10).cast("double") / 10
-    hit = F.col("move").contains("a") & (t >= 0.4) & (F.col("conf") <= 0.9)
-    last = F.regexp_replace("move", "a(?=[^a]*$)", "g")
-    return cand(spark, sf_dir).where("sheet = 1 and rk = 0").select("game_id", "ply", F.when(hit, last).alias("variant"), F.round(F.when(hit, F.least(t * 0.6 * F.col("conf"), F.lit(0.98))), 6).alias("gain"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rk", "move", "conf"))), lambda x: F.struct(x["move"].alias("move"), x["conf"].alias("conf")))
+    pools = cand(spark, sf_dir).where("sheet = 1").groupBy("game_id", "ply").agg(rows.alias("pool"))
+    out = pools.select("game_id", "ply", E.boosted(F.col("pool"), (F.col("ply") % 10).cast("double") / 10).alias("pool"))
+    return out.select("game_id", "ply", F.concat_ws(" ", F.transform("pool", lambda x: x["move"])).alias("moves"), F.round(F.col("pool")[0]["conf"], 6).alias("top_conf"))
