@@ -58,58 +58,92 @@ def reliability(c: DataFrame) -> DataFrame:
     return c.select("game_id").distinct().join(rates, "game_id", "left").select("game_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rate", F.lit(1.0)).alias("rate")).withColumn("unreliable", (F.col("n") >= C.RELIABLE_PLIES) & (F.col("rate") < C.RELIABLE_RATE))
 
 
+def cells(c: DataFrame) -> DataFrame:
+    """(game_id, ply, r1, r2): each cell's readings of both sheets as arrays of (rk, move, norm, conf) by rank: what is compared within a cell needs no join."""
+    row = lambda s: F.array_sort(F.collect_list(F.when(F.col("sheet") == s, F.struct("rk", "move", "norm", "conf")))).alias(f"r{s}")
+    return normed(c).groupBy(*CELL).agg(row(1), row(2))
+
+
+def given(rows: str, norm: Column) -> Column:
+    """Confidence of the first reading of an array that is this move, or null."""
+    return F.get(F.filter(rows, lambda r: r["norm"] == norm), F.lit(0))["conf"]
+
+
 def merge(c: DataFrame) -> DataFrame:
     """One row a ply: the merged move, its confidence, and flags agree, ambiguous, consensus, promoted, sheet_count.
 
     Stages: pick by agreement or by summed support; promote the pool's best if
     it has more than the pick's support; stop on near ties of strong readings,
-    and whenever two credible queen moves differ in their square.
+    and whenever two credible queen moves differ in their square. Rows are
+    shuffled once, by game.
     """
-    n = lambda i: normalize_move(F.col(f"m{i}"))
-    t = tops(c).withColumns({"n1": n(1), "n2": n(2), "sheet_count": F.col("m1").isNotNull().cast("int") + F.col("m2").isNotNull().cast("int")})
-    t = t.withColumn("agree", (F.col("sheet_count") == 2) & (F.col("n1") == F.col("n2")))
-    sup = summed_support(c)
-    for i in (1, 2):
-        t = t.join(sup.select(*CELL, F.col("norm").alias(f"n{i}"), F.col("support").alias(f"s{i}")), [*CELL, f"n{i}"], "left")
+    top = lambda i: F.get(F.filter(f"r{i}", lambda r: r["rk"] == 0), F.lit(0))
+    t = cells(c.repartition("game_id")).withColumns({f"t{i}": top(i) for i in (1, 2)}).where("t1 is not null or t2 is not null")
+    t = t.withColumns({f"{k}{i}": F.col(f"t{i}")[f] for i in (1, 2) for k, f in (("m", "move"), ("n", "norm"), ("c", "conf"))})
+
+    def support(norm: Column) -> dict[str, Column]:
+        has = [F.exists(f"r{i}", lambda r: r["norm"] == norm) for i in (1, 2)]
+        conf = [F.coalesce(given(f"r{i}", norm), F.lit(0.0)) for i in (1, 2)]
+        return {"sum": F.when(has[0] | has[1], F.least(conf[0] + conf[1], F.lit(C.SUPPORT_CAP))), "least": F.least(*(F.when(h, x) for h, x in zip(has, conf))), "sheets": has[0].cast("int") + has[1].cast("int")}
+
+    t = t.withColumns({"sheet_count": F.col("m1").isNotNull().cast("int") + F.col("m2").isNotNull().cast("int"), "s1": support(F.col("n1"))["sum"], "s2": support(F.col("n2"))["sum"]})
     both = F.col("sheet_count") == 2
+    t = t.withColumn("agree", both & (F.col("n1") == F.col("n2")))
+    game = Window.partitionBy("game_id")
+    rate = F.avg(F.when(both, F.col("agree").cast("int"))).over(game)
+    t = t.withColumn("unreliable", F.coalesce((F.count_if(both).over(game) >= C.RELIABLE_PLIES) & (rate < C.RELIABLE_RATE), F.lit(False)))
     first = F.col("m2").isNull() | (F.col("m1").isNotNull() & (F.round("s1", 9) >= F.round("s2", 9)))
+    strong = F.col("c1") >= F.col("c2")
+    entry = lambda norm, conf, seen: F.struct(norm.alias("norm"), confidence(conf).alias("conf"), seen.cast("long").alias("seen"))
+    others = [F.transform(F.filter(f"r{i}", lambda r: r["rk"] > 0), lambda r, i=i: entry(r["norm"], r["conf"], r["rk"] + 1000 * i)) for i in (1, 2)]
+    loser = entry(F.when(strong, F.col("n2")).otherwise(F.col("n1")), F.when(strong, F.col("c2")).otherwise(F.col("c1")), F.when(strong, 1999).otherwise(2999))
+    t = t.withColumn("pool", F.concat(*others, F.filter(F.array(F.when(both & ~F.col("agree"), loser)), lambda x: x.isNotNull())))
+
+    def scored(norm: Column) -> Column:
+        own = F.filter("pool", lambda x: x["norm"] == norm)
+        conf = F.least(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["conf"]), F.lit(C.SUPPORT_CAP))
+        return F.struct((-F.round(conf, 9)).alias("a"), F.array_min(F.transform(own, lambda x: x["seen"])).alias("b"), norm.alias("norm"), conf.alias("conf"))
+
     t = t.withColumns({
+        "best": F.array_min(F.transform(F.array_distinct(F.transform("pool", lambda x: x["norm"])), scored)),
         "pick": F.when(F.col("agree"), F.col("n1")).when(first, F.col("m1")).otherwise(F.col("m2")),
         "conf": F.when(F.col("agree"), F.least(F.col("c1") + F.col("c2") * 0.5, F.lit(C.SUPPORT_CAP))).when(~both, F.coalesce("c1", "c2")).when(first, F.col("s1")).otherwise(F.col("s2")),
         "pick_support": F.when(first | F.col("agree"), F.col("s1")).otherwise(F.col("s2")),
     })
-    strong = F.col("c1") >= F.col("c2")
-    loser = t.where(both & ~F.col("agree")).select(*CELL, F.when(strong, F.col("n2")).otherwise(F.col("n1")).alias("norm"), confidence(F.when(strong, F.col("c2")).otherwise(F.col("c1"))).alias("conf"), F.when(strong, 1).otherwise(2).alias("sheet"), F.when(strong, 1999).otherwise(2999).alias("seen"))
-    best = pool(alternatives(c).select(*CELL, "norm", "conf", "sheet", "seen").union(loser)).where("place = 1").select(*CELL, F.col("norm").alias("alt"), F.col("conf").alias("alt_conf"))
-    t = t.join(best, CELL, "left").withColumn("promoted", F.coalesce(both & (F.round("alt_conf", 9) > F.round("pick_support", 9)), F.lit(False)))
-    t = t.withColumns({"move": F.when(F.col("promoted"), F.col("alt")).otherwise(F.col("pick")), "conf": F.when(F.col("promoted"), F.col("alt_conf")).otherwise(F.col("conf"))})
-    t = t.join(reliability(c).select("game_id", "unreliable"), "game_id")
+    t = t.withColumn("promoted", F.coalesce(both & (F.round("best.conf", 9) > F.round("pick_support", 9)), F.lit(False)))
+    t = t.withColumns({"move": F.when(F.col("promoted"), F.col("best.norm")).otherwise(F.col("pick")), "conf": F.when(F.col("promoted"), F.col("best.conf")).otherwise(F.col("conf"))})
     a, b = parse_move(F.col("m1")), parse_move(F.col("m2"))
     clash = F.coalesce((a["piece"] == "Q") & (b["piece"] == "Q") & (a["target"] != b["target"]), F.lit(False))
     tie = (F.round(F.abs(F.col("s1") - F.col("s2")), 9) < C.NEAR_TIE) & (F.greatest("c1", "c2") >= C.NEAR_TIE_CONF) & (~F.col("unreliable") | clash)
-    sheet_pick = normalize_move(F.col("move")).isin(F.col("n1"), F.col("n2"))
-    stop = both & ~F.col("agree") & sheet_pick & (tie | (clash & (F.least("s1", "s2") >= C.CLASH_CONF)))
-    seen = sup.select(*CELL, F.col("norm").alias("final"), F.col("support").alias("final_support"), "least", "sheets")
-    t = t.withColumns({"ambiguous": F.coalesce(stop, F.lit(False)), "final": normalize_move(F.col("move"))}).join(seen, [*CELL, "final"], "left")
-    consensus = F.col("agree") | ((F.col("sheets") == 2) & (F.col("least") >= C.CONSENSUS_EACH) & (F.round("final_support", 9) >= C.CONSENSUS_SUM))
-    return t.select(*CELL, "move", "conf", "sheet_count", "agree", "promoted", "ambiguous", F.coalesce(both & consensus, F.lit(False)).alias("consensus"))
+    t = t.withColumn("final", normalize_move(F.col("move")))
+    stop = both & ~F.col("agree") & F.col("final").isin(F.col("n1"), F.col("n2")) & (tie | (clash & (F.least("s1", "s2") >= C.CLASH_CONF)))
+    seen = support(F.col("final"))
+    consensus = F.col("agree") | ((seen["sheets"] == 2) & (seen["least"] >= C.CONSENSUS_EACH) & (F.round(seen["sum"], 9) >= C.CONSENSUS_SUM))
+    return t.select(*CELL, "move", "conf", "sheet_count", "agree", "promoted", F.coalesce(stop, F.lit(False)).alias("ambiguous"), F.coalesce(both & consensus, F.lit(False)).alias("consensus"))
 
 
 def overlap(c: DataFrame, with_top: bool = True) -> DataFrame:
     """(game_id, ply, overlap): sum of both confidences over shared moves; of repeats the left side's last counts, the right side's all."""
-    c = normed(c if with_top else c.where("rk > 0"))
-    a = c.where("sheet = 1").groupBy(*CELL, "norm").agg(F.max_by("conf", "rk").alias("a"))
-    b = c.where("sheet = 2").select(*CELL, "norm", F.col("conf").alias("b"))
-    return a.join(b, [*CELL, "norm"]).groupBy(CELL).agg(F.sum(F.col("a") + F.col("b")).alias("overlap"))
+    t = cells(c if with_top else c.where("rk > 0"))
+    last = lambda norm: F.element_at(F.filter("r1", lambda r: r["norm"] == norm), -1)["conf"]
+    t = t.withColumn("shared", F.filter("r2", lambda r: F.exists("r1", lambda x: x["norm"] == r["norm"]))).where(F.size("shared") > 0)
+    return t.select(*CELL, F.aggregate("shared", F.lit(0.0), lambda acc, r: acc + r["conf"] + last(r["norm"])).alias("overlap"))
 
 
 def structured_overlap(c: DataFrame) -> DataFrame:
     """(game_id, ply, score): shared target, rank, file and piece mass, each capped, and shared moves, blended."""
-    p = c.withColumn("p", parse_move(F.col("move"))).select(*CELL, "sheet", "conf", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("target", F.col("p.target")), ("rank", F.col("p.rank")), ("file", F.col("p.file")), ("piece", F.col("p.piece")), ("move", normalize_move(F.col("move"))))))).alias("_part")).select(*CELL, "sheet", "conf", "_part.*").where("value is not null")
-    side = lambda s: p.where(F.col("sheet") == s).groupBy(*CELL, "kind", "value").agg(F.sum("conf").alias(f"x{s}"))
-    shared = side(1).join(side(2), [*CELL, "kind", "value"]).groupBy(*CELL, "kind").agg(F.least(F.sum(F.col("x1") + F.col("x2")), F.lit(C.STRUCTURED_CAP)).alias("mass"))
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in zip(("target", "rank", "file", "piece", "move"), C.STRUCTURED_WEIGHTS) for x in pair)), F.col("kind"))
-    return shared.groupBy(CELL).agg(F.sum(F.col("mass") * weight).alias("score"))
+    p = normed(c).withColumn("p", parse_move(F.col("move")))
+    row = lambda s: F.collect_list(F.when(F.col("sheet") == s, F.struct(F.col("p.target").alias("target"), F.col("p.rank").alias("rank"), F.col("p.file").alias("file"), F.col("p.piece").alias("piece"), F.col("norm").alias("move"), "conf"))).alias(f"r{s}")
+    t = p.groupBy(*CELL).agg(row(1), row(2))
+    kinds = ("target", "rank", "file", "piece", "move")
+    values = lambda s, k: F.array_compact(F.transform(f"r{s}", lambda r: r[k]))
+    t = t.withColumns({f"v_{k}": F.array_intersect(values(1, k), values(2, k)) for k in kinds}).where(F.greatest(*(F.size(f"v_{k}") for k in kinds)) > 0)
+
+    def mass(k: str) -> Column:
+        of = lambda s: F.aggregate(F.filter(f"r{s}", lambda r: F.array_contains(F.col(f"v_{k}"), r[k])), F.lit(0.0), lambda acc, r: acc + r["conf"])
+        return F.least(of(1) + of(2), F.lit(C.STRUCTURED_CAP))
+
+    return t.select(*CELL, sum(mass(k) * w for k, w in zip(kinds, C.STRUCTURED_WEIGHTS)).alias("score"))
 
 
 def detect_shift(c: DataFrame) -> DataFrame:
