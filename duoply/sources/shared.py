@@ -9,8 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir, or under a temporary folder where none is set."""
+    """A fresh path under spark.checkpoint.dir. Only a session on one machine may leave that unset; it gets a temporary folder."""
     if not (folder := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duoply-"))
+        if not (chosen := spark.conf.get("spark.checkpoint.dir", None)):
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            chosen = tempfile.mkdtemp(prefix="duoply-")
+        spark.sparkContext.setCheckpointDir(chosen)
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/{uuid.uuid4().hex}"
