@@ -90,8 +90,8 @@ def src08_read_nested_sections_json(spark, sf_dir):
 
 
 def _sections(spark, doc: DataFrame) -> DataFrame:
-    """All entries of one round in one document, read back."""
-    rounds = doc.select(F.explode("Sections").alias("s")).groupBy(F.col("s.name").alias("name")).agg(F.flatten(F.collect_list("s.Players")).alias("Players"))
+    """Documents of a round's entries by hundreds of player numbers, read back."""
+    rounds = doc.select(F.explode("Sections").alias("s")).groupBy(F.col("s.name").alias("name"), F.floor(F.col("s.Players")[0]["Pair"] / 100).alias("part")).agg(F.flatten(F.collect_list("s.Players")).alias("Players"))
     one = rounds.select(F.to_json(F.struct(F.array(F.struct("name", "Players")).alias("Sections"))).alias("value"))
     return G.read_sections_json(spark, written(spark, one))
 
