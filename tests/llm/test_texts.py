@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from duoply.llm import bpe, linededup, mixing, packing, simhash, token_count
-from duoply.llm.common import tokenizer_path
+from duoply.llm.common import strides, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -273,3 +274,12 @@ def test_repeated_rows_are_rounded_one_by_one(spark):
 def test_shares_stop_at_the_cap():
     got = mixing.shares([100, 10, 1000, 5], 3)
     assert sum(got) == pytest.approx(1115) and got[1] == 30 and got[3] == 15 and all(g <= 3 * s + 1e-9 for g, s in zip(got, [100, 10, 1000, 5]))
+
+
+def test_strides_bound_what_is_taken_at_once():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(50)), "text": ["x" * (10_000 if i % 17 == 3 else 40) if i % 5 else None for i in range(50)]})
+    parts = list(strides(batch, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    size = lambda p: sum(len(x or "") for x in p["text"].to_pylist())
+    assert all(size(p) <= 1000 + 10_000 and (size(p) <= 1040 or p.num_rows <= 26) for p in parts) and len(parts) > 3
+    assert list(strides(batch.slice(0, 0), 1000)) == []
