@@ -181,7 +181,7 @@ def src10_classify_input_files(spark, sf_dir):
 
 @query("""WITH e AS (SELECT vec_id, vec_id // 20 AS f, vec_id % 20 AS cell FROM embeddings), r AS (SELECT f // 2 AS game_id, f % 2 + 1 AS sheet, f, cell, cell + CASE WHEN f % 2 = 1 THEN 10 ELSE 0 END AS ply FROM e), g AS (SELECT DISTINCT f // 2 AS game_id, f % 2 + 1 AS sheet, f, CASE WHEN f % 11 = 5 THEN 16 ELSE 8 END AS symbols FROM e WHERE f % 7 <> 3),
 ok AS (SELECT * FROM g QUALIFY symbols = first_value(symbols) OVER (PARTITION BY game_id ORDER BY sheet))
-SELECT game_id, ply, r.sheet, 64 // symbols AS frames, symbols, 64 AS n FROM r JOIN ok USING (game_id, sheet, f) QUALIFY row_number() OVER (PARTITION BY game_id, ply ORDER BY r.sheet, cell) = 1""", "")
+SELECT game_id, ply, r.sheet::INTEGER AS sheet, 64 // symbols AS frames, symbols, 64 AS n FROM r JOIN ok USING (game_id, sheet, f) QUALIFY row_number() OVER (PARTITION BY game_id, ply ORDER BY r.sheet, cell) = 1""", "")
 def src11_read_logits(spark, sf_dir):
     """Twenty cells a file, two files a game whose plies overlap; some files lack a cell, some have another shape."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("f"), (F.col("vec_id") % 20).alias("cell"), F.col("embedding").alias("values"))

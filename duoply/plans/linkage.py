@@ -120,9 +120,9 @@ FIRSTS = ", ".join(f"coalesce(arg_min({f}, o) FILTER ({f} IS NOT NULL{more}), ar
 @query(f"""WITH {PARTS},
 k AS (SELECT *, least(white_sno, black_sno) AS lo, greatest(white_sno, black_sno) AS hi, CASE WHEN white_sno IS NULL OR black_sno IS NULL THEN pairing_id END AS alone, source || lpad(pairing_id::VARCHAR, 12, '0') AS rk FROM u),
 j AS (SELECT *, CASE WHEN min(CASE WHEN board IS NOT NULL THEN rk END) OVER (PARTITION BY section, round, lo, hi, alone) = rk THEN '0' ELSE '1' END || rk AS o FROM k)
-SELECT section, round, lo AS low_no, hi AS high_no, arg_min(board, o) FILTER (board IS NOT NULL) AS board, {FIRSTS}, count(*) AS sources FROM j GROUP BY section, round, lo, hi, alone""")
+SELECT * EXCLUDE (played) FROM (SELECT section, round, lo AS low_no, hi AS high_no, arg_min(board, o) FILTER (board IS NOT NULL) AS board, {FIRSTS.replace("AS played_at", "AS played")}, strftime(played, '%Y.%m.%d') AS played_at, count(*) AS sources FROM j GROUP BY section, round, lo, hi, alone)""")
 def jn11_merge_sources(spark, sf_dir):
-    return L.merge_sources(sources(spark, sf_dir))
+    return L.merge_sources(sources(spark, sf_dir)).withColumn("played_at", F.date_format("played_at", "yyyy.MM.dd"))
 
 
 @query("""WITH h AS (SELECT pairing_id AS source, 'k' || (white_sno % 50) AS key, CASE WHEN pairing_id % 3 = 0 THEN '' WHEN pairing_id % 3 = 1 OR white_sno % 7 = 0 THEN CASE WHEN black_sno % 2 = 0 THEN '?' ELSE '-' END ELSE white_name END AS value FROM pairings)

@@ -100,7 +100,7 @@ def seq08_replay_edits(spark, sf_dir):
     return A.replay(log(spark, sf_dir))[0]
 
 
-@query("SELECT game_id, CASE game_id % 10 WHEN 7 THEN 5 ELSE 6 END AS seq, CASE game_id % 10 WHEN 7 THEN 'insert past the end' ELSE 'length 4 is not 7' END AS reason FROM edits WHERE (game_id % 10 = 7 AND seq = 5) OR (game_id % 10 = 8 AND seq = 6)", "edits")
+@query("SELECT game_id, seq, CASE game_id % 10 WHEN 7 THEN 'insert past the end' ELSE 'length 4 is not 7' END AS reason FROM edits WHERE (game_id % 10 = 7 AND seq = 5) OR (game_id % 10 = 8 AND seq = 6)", "edits")
 def seq08_replay_rejects(spark, sf_dir):
     return A.replay(log(spark, sf_dir))[1]
 
