@@ -77,9 +77,9 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
     return df.mapInArrow(run, to)
 
 
-def sampled(df: DataFrame, label: str, most: int) -> DataFrame:
-    """About `most` rows of each label (all, if there are fewer), chosen by a hash of doc_id."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+def sampled(df: DataFrame, label: str, most: int, labels: int = 256) -> DataFrame:
+    """About `most` rows of each of the `labels` most frequent labels (all, if there are fewer), chosen by a hash of doc_id: the bound of what is learned from."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()}
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1 << 20, int(most / n * (1 << 20))))).otherwise(share)

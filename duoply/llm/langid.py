@@ -175,7 +175,7 @@ class Model:
 
 
 def fit(learn: DataFrame, label: str = "lang", most: int = 1500) -> Model:
-    """A model from rows (doc_id, text, label). Document frequencies count all rows; weights, temperature and the limits of what is known come from about `most` whole texts of each label, the bound of what the driver holds.
+    """A model from rows (doc_id, text, label). Document frequencies count all rows; weights, temperature and the limits of what is known come from about `most` whole texts of each label (the 256 most frequent ones, see sampled), the bound of what the driver holds.
 
     The least probability lies over that of a blind guess by an eighth of what
     the least sure calibration document has over it; the greatest rarity is

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duoply.llm import ann, backoff, langid, textblock, topk, toxicity
+from duoply.llm.common import sampled
 
 SF = "/root/testdata/sf0.01"
 
@@ -214,6 +215,13 @@ def test_stupid_backoff(spark, documents, no_documents, monkeypatch):
     assert (cut[0] == whole[0]).all() and all((a == b).all() for a, b in zip(cut[1], whole[1]))
 
 
+def test_sample_is_bounded_by_rows_and_labels(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").when(F.col("id") < 2900, "b").otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("label"))
+    got = Counter(r.label for r in sampled(df, "label", 300, labels=2).collect())
+    assert set(got) == {"a", "b"} and all(200 < n < 400 for n in got.values())
+    assert sampled(df, "label", 10**6).count() == 2900 + 100 and sampled(df.limit(0), "label", 5).count() == 0
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, part int, vector string"
 
 
