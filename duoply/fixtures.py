@@ -96,4 +96,6 @@ def oracle(views: str, sql: str) -> str:
     """DuckDB SQL: the named views as leading common table expressions of sql."""
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views.split())
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {ctes} {sql}"

@@ -75,7 +75,9 @@ def str01_stream_attention(spark, sf_dir):
     return found.groupBy("operator_id", "open_game").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
-@query()
+@query("""WITH RECURSIVE step AS (SELECT DISTINCT game_id, 0::BIGINT AS seq, []::BIGINT[] AS ids, false AS accepted FROM edits UNION ALL
+SELECT s.game_id, e.seq, CASE WHEN e.op = 'insert' AND e.pos <= len(ids) THEN ids[:e.pos] || [e.event_id] || ids[e.pos + 1:] WHEN e.op = 'delete' AND e.pos < len(ids) THEN ids[:e.pos] || ids[e.pos + 2:] ELSE ids END, CASE e.op WHEN 'insert' THEN e.pos <= len(ids) ELSE e.pos < len(ids) END FROM step s JOIN edits e ON e.game_id = s.game_id AND e.seq = s.seq + 1)
+SELECT game_id, seq, accepted, len(ids) AS length FROM step WHERE seq > 0""", "edits")
 def str02_stream_edit_replay(spark, sf_dir):
     path = new_folder(spark)
     e = view(spark, sf_dir, "edits").drop("ts").withColumn("pos", F.col("pos").cast("long")).repartition(3, F.xxhash64("seq"))

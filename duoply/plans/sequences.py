@@ -85,7 +85,16 @@ def log(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "edits").select("game_id", "seq", F.when(delete, "delete").otherwise("insert").alias("op"), pos.cast("long").alias("pos"), "event_id", length.cast("long").alias("length"))
 
 
-@query()
+LOG = """lg AS (SELECT game_id, seq, CASE WHEN seq % 4 = 0 THEN 'delete' ELSE 'insert' END AS op, CASE WHEN seq % 4 = 0 THEN 0 WHEN game_id % 10 = 7 AND seq = 5 THEN 999 ELSE event_id % (seq - 2 * ((seq - 1) // 4)) END AS pos, event_id FROM edits),
+good AS (SELECT game_id, max(seq) AS n FROM lg GROUP BY game_id HAVING count_if((game_id % 10 = 7 AND seq = 5) OR (game_id % 10 = 8 AND seq = 6)) = 0),
+step AS (SELECT game_id, 0::BIGINT AS seq, []::BIGINT[] AS ids FROM good UNION ALL SELECT s.game_id, l.seq, CASE op WHEN 'insert' THEN ids[:pos] || [event_id] || ids[pos + 1:] ELSE ids[:pos] || ids[pos + 2:] END FROM step s JOIN lg l ON l.game_id = s.game_id AND l.seq = s.seq + 1)"""
+
+
+@query(f"""WITH RECURSIVE {LOG}, v AS (SELECT g.game_id, b.ids AS b, a.ids AS a FROM good g JOIN step a ON a.game_id = g.game_id AND a.seq = g.n JOIN step b ON b.game_id = g.game_id AND b.seq = g.n - CAST(ceil(g.n / 10.0) AS BIGINT)),
+bi AS (SELECT game_id, unnest(b) AS id, unnest(range(0, len(b))) AS i FROM v), ai AS (SELECT game_id, unnest(a) AS id, unnest(range(0, len(a))) AS i FROM v),
+j AS (SELECT coalesce(bi.game_id, ai.game_id) AS game_id, coalesce(bi.id, ai.id) AS id, bi.i AS bi, ai.i AS ai, ai.i IS NULL AS gone, bi.i IS NULL AS new, bi.i IS NOT NULL AND ai.i IS NOT NULL AND coalesce(bi.id, ai.id) % 7 = 0 AS changed FROM bi FULL JOIN ai ON bi.game_id = ai.game_id AND bi.id = ai.id),
+g AS (SELECT game_id, count_if(gone) AS n_gone, count_if(new) AS n_new, count_if(changed) AS n_changed, count(ai) AS length, coalesce(string_agg(id::VARCHAR, ',' ORDER BY bi) FILTER (gone), '') AS deleted, coalesce(string_agg(ai || ':' || id, ',' ORDER BY ai) FILTER (new), '') AS inserted, coalesce(string_agg(id::VARCHAR, ',' ORDER BY ai) FILTER (changed), '') AS updated, min(CASE WHEN gone THEN bi WHEN new OR changed THEN ai END) AS first, coalesce(min(bi) FILTER (gone) > coalesce(max(bi) FILTER (NOT gone AND NOT new), -1), false) AS tail FROM j GROUP BY game_id)
+SELECT game_id, CASE WHEN n_gone = 0 AND n_new = 0 THEN 'update' WHEN n_new = 0 AND tail AND n_changed = 0 THEN 'truncate' WHEN n_new = 0 THEN 'duplicate-delete' WHEN n_gone = 0 THEN 'gap-insert' ELSE 'realign' END AS type, first, length, deleted, inserted, updated, '' AS sequence FROM g WHERE n_gone + n_new + n_changed > 0""", "edits")
 def seq07_capture_edits(spark, sf_dir):
     """What the last tenth of each game's edits (at least one) changed: a snapshot before it against the whole replay; every seventh cell has another payload in the end."""
     e = log(spark, sf_dir)
@@ -95,7 +104,7 @@ def seq07_capture_edits(spark, sf_dir):
     return A.capture(A.replay(before)[0].withColumn("payload", text(F.lit(0))), A.replay(e)[0].withColumn("payload", text(F.when(F.col("id") % 7 == 0, 1).otherwise(0))))
 
 
-@query()
+@query(f"WITH RECURSIVE {LOG}, a AS (SELECT game_id, unnest(range(0, len(ids))) AS i, unnest(ids) AS id FROM step JOIN good USING (game_id) WHERE seq = n) SELECT game_id, i, id, i // 2 + 1 AS num, CASE WHEN i % 2 = 0 THEN 'w' ELSE 'b' END AS color FROM a", "edits")
 def seq08_replay_edits(spark, sf_dir):
     return A.replay(log(spark, sf_dir))[0]
 
