@@ -235,6 +235,8 @@ SELECT game_id, ply, concat_ws(',', CASE WHEN k1 AND NOT k2 THEN 'check_removed'
   piece::INT + f::INT + r::INT + (x1 <> x2)::INT + (k1 <> k2)::INT <= 2 AND NOT (f AND r) AS safe FROM x"""),
     "fn12_complexity": oracle("candidates", f"SELECT {ID}, CAST(CASE WHEN regexp_matches(move, '[x+#=]') THEN 2 WHEN regexp_matches(move, '^[KQRBN]') THEN 1 ELSE 0 END AS BIGINT) AS complexity FROM candidates"),
     "fn13_result_and_date": oracle("pairings", "SELECT pairing_id, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, strftime(played_at, '%Y.%m.%d') AS date FROM pairings"),
+    "fn19_sheet_checksum": oracle("candidates", """WITH l AS (SELECT game_id, sheet, string_agg((ply // 2 + 1) || CASE WHEN ply % 2 = 0 THEN '.W ' ELSE '.B ' END || move, chr(10) ORDER BY ply) AS t FROM candidates WHERE rk = 0 GROUP BY ALL)
+SELECT game_id, sheet, printf('%08x', list_reduce([2166136261::BIGINT] || list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT), lambda h, x: (xor(h, x) * 16777619) & 4294967295)) AS checksum FROM l"""),
     "fn13_round_codes": oracle("pairings", f"""WITH c AS (SELECT pairing_id, ([{", ".join(f"'{x}'" for x in CELLS)}])[pairing_id % {len(CELLS)} + 1] AS cell, 'Round' || ([' 2024-May-0', ' 2024.05.0', ' 2024/05/0', ' 2024-05-0', ''])[pairing_id % 5 + 1] || (pairing_id % 9) || ' hall' AS line FROM pairings)
 SELECT pairing_id, CASE WHEN cell IN ('1-0', '10', '+-', '1:0', '1 0', '1-') THEN '1-0' WHEN cell IN ('0 - 1', '-+') THEN '0-1' WHEN cell IN ('½-½', '1/2-1/2', '0.5:0.5', '==', '5=', '½½', 'Draw', '=0') THEN '1/2-1/2' ELSE '*' END AS result, CASE pairing_id % 5 WHEN 0 THEN '2024-May-0' || pairing_id % 9 WHEN 3 THEN '' WHEN 4 THEN '' ELSE '2024.05.0' || pairing_id % 9 END AS date FROM c"""),
     "fn14_headers": oracle("pairings", "SELECT pairing_id, 'Tournament' AS event, CASE WHEN board IS NULL THEN round::VARCHAR ELSE round || '.' || board END AS round_tag, white_name AS white, black_name AS black, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, CASE WHEN black_rtg <> 0 THEN CASE WHEN white_rtg <> 0 THEN 'BlackElo,WhiteElo' ELSE 'BlackElo' END WHEN white_rtg <> 0 THEN 'WhiteElo' ELSE '' END AS optional_tags, nullif(white_rtg, 0) AS white_elo FROM pairings"),
