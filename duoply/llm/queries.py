@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoply.llm import ann, backoff, langid, linededup, mixing, packing, simhash, token_count, topk, toxicity
+from duoply.llm import ann, backoff, bytepairs, langid, linededup, mixing, packing, simhash, token_count, topk, toxicity
 from duoply.llm.common import held_out, tokenizer_path
 
 
@@ -60,10 +60,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_learned_partitions, op3_token_count, op4_best_fit_packing, op5_simhash_dedup, op6_bit_sliced_topk, op7_stupid_backoff, op8_toxicity, op9_source_mix, op10_line_dedup)
-}
+    for f in (
+        op1_language_id, op2_learned_partitions, op3_token_count, op4_best_fit_packing, op5_simhash_dedup, op6_bit_sliced_topk, op7_stupid_backoff, op8_toxicity, op9_source_mix, op10_line_dedup,
+        op11_byte_pairs,
+    )
+}
 
 ORACLES = {
     "op6_bit_sliced_topk": """
