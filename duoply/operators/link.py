@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoply.functions.records import pair_key, person_key, scan_name, scan_path
+from duoply.operators.order import ordinals
 
 SEAT = ["section", "round"]
 
@@ -44,8 +45,8 @@ def section_choices(games: DataFrame, pairings: DataFrame) -> DataFrame:
 
 def match_games(games: DataFrame, pairings: DataFrame) -> DataFrame:
     """(game_id, pairing_id, how): board equality in the round and section (see section_choices), else the section-relative board, where a section's boards begin above 1 and the game's is within its number of pairings. games(game_id, section, round, board)."""
-    seat = Window.partitionBy(*SEAT)
-    seats = pairings.withColumns({"low": F.min("board").over(seat), "n": F.count("*").over(seat)}).select(*SEAT, "board", "low", "n", "pairing_id").where("board is not null")
+    known = pairings.groupBy(*SEAT).agg(F.min("board").alias("low"), F.count("*").alias("n"))  # one row a seat list, so that no list meets in one task
+    seats = pairings.where("board is not null").join(known, SEAT).select(*SEAT, "board", "low", "n", "pairing_id")
     g = games.where("round is not null and board is not null").select("game_id", "round", "board", F.lower(F.coalesce("section", F.lit(""))).alias("wanted")).join(section_choices(games, pairings), ["wanted", "round"])
     exact = g.join(seats, [*SEAT, "board"]).select("game_id", "pairing_id", F.lit("board").alias("how"), F.lit(0).alias("_p"), "section")
     s = seats.where("low > 1").select(*SEAT, (F.col("board") - F.col("low") + 1).alias("board"), "n", "pairing_id")
@@ -56,12 +57,14 @@ def match_games(games: DataFrame, pairings: DataFrame) -> DataFrame:
 
 def attach_by_order(games: DataFrame, pairings: DataFrame, matched: DataFrame) -> DataFrame:
     """(game_id, pairing_id): what is left on both sides of a round and section, zipped by board where the counts are equal. A pairing that two sections of games may mean is offered to both."""
-    place = Window.partitionBy("wanted", "round")
+    seat = ["wanted", "round"]
     left = games.where("round is not null and board is not null").withColumn("wanted", F.lower(F.coalesce("section", F.lit("")))).join(matched, "game_id", "left_anti")
     right = pairings.join(matched, "pairing_id", "left_anti").join(section_choices(games, pairings), SEAT)
-    a = left.withColumns({"k": F.row_number().over(place.orderBy("board", "game_id")), "n": F.count("*").over(place)}).select("wanted", "round", "k", "n", "game_id")
-    b = right.withColumns({"k": F.row_number().over(place.orderBy(F.asc_nulls_last("board"), "pairing_id")), "n": F.count("*").over(place)}).select("wanted", "round", "k", "n", "pairing_id")
-    return a.join(b, ["wanted", "round", "k", "n"]).select("game_id", "pairing_id")
+    a = ordinals(left.select(*seat, "board", "game_id"), seat, ["board", "game_id"], "k")
+    b = ordinals(right.select(*seat, "board", "pairing_id"), seat, [F.asc_nulls_last("board"), "pairing_id"], "k")
+    size = lambda side, n: side.groupBy(*seat).agg(F.count("*").alias(n))
+    even = size(a, "n").join(size(b, "m"), seat).where("n = m").select(*seat)
+    return a.join(even, seat).join(b.drop("board"), [*seat, "k"]).select("game_id", "pairing_id")
 
 
 def attach(games: DataFrame, pairings: DataFrame, matched: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duoply import config as C
 from duoply.config import METHOD_ORDER
 from duoply.operators.detect import clusters_1d
+from duoply.operators.order import ordinals
 
 PLACE = {m: i for i, m in enumerate(METHOD_ORDER)}
 
@@ -124,14 +125,9 @@ def shifted_frontier(frontier, at, op):
     return F.when(frontier <= 0, frontier).otherwise(moved)
 
 
-def work_order(games: DataFrame, keys: list[str], buckets: list[str], order: list) -> DataFrame:
-    """games with place: their order within keys by buckets and then order. Ranks are taken in each bucket and added to the sizes of the buckets before, so a key's games needn't meet in one task."""
-    sizes = games.groupBy(*keys, *buckets).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*(F.asc_nulls_last(b) for b in buckets)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, *buckets)), "_before")
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, *buckets)]
-    rank = F.row_number().over(Window.partitionBy(*keys, *buckets).orderBy(*order))
-    return games.withColumn("_rank", rank).join(sizes, same).withColumn("place", F.col("_before") + F.col("_rank")).select(*games.columns, "place")
+def work_order(games: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """games with place: their number within keys in the given order (operators.order.ordinals), so a key's games needn't meet in one task."""
+    return ordinals(games, keys, order)
 
 
 def next_item(games: DataFrame, keys: list[str], order: list, wanted) -> DataFrame:

@@ -317,12 +317,12 @@ BOARDS = "g AS (SELECT pairing_id AS game_id, section, board, CASE WHEN pairing_
 
 @query(f"WITH {BOARDS} SELECT game_id, row_number() OVER (PARTITION BY section ORDER BY review, search, round NULLS LAST, board NULLS LAST, game_id) AS place FROM g")
 def win15_work_order(spark, sf_dir):
-    return V.work_order(board_list(spark, sf_dir), ["section"], ["review", "search", "round"], [F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
+    return V.work_order(board_list(spark, sf_dir), ["section"], ["review", "search", F.asc_nulls_last("round"), F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
 
 
 @query(f"WITH {BOARDS} SELECT game_id, row_number() OVER (PARTITION BY section, round ORDER BY list, board NULLS LAST, game_id) AS place FROM g")
 def win15_board_list(spark, sf_dir):
-    return V.work_order(board_list(spark, sf_dir), ["section", "round"], ["list"], [F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
+    return V.work_order(board_list(spark, sf_dir), ["section", "round"], ["list", F.asc_nulls_last("board"), "game_id"]).select("game_id", "place")
 
 
 @query(f"""WITH {BOARDS}, o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY section, round, board % 50) AS n FROM g WINDOW w AS (PARTITION BY section, round, board % 50 ORDER BY board NULLS LAST, game_id)),
