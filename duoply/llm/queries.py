@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoply.llm import ann, backoff, bytepairs, langid, linededup, mixing, packing, simhash, token_count, topk, toxicity
+from duoply.llm import ann, backoff, bytepairs, langid, linededup, mixing, packing, resample, simhash, token_count, topk, toxicity
 from duoply.llm.common import held_out, tokenizer_path
 
 
@@ -64,11 +64,15 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_learned_partitions, op3_token_count, op4_best_fit_packing, op5_simhash_dedup, op6_bit_sliced_topk, op7_stupid_backoff, op8_toxicity, op9_source_mix, op10_line_dedup,
-        op11_byte_pairs,
+        op11_byte_pairs, op12_importance_resampling,
     )
 }
 
@@ -93,4 +97,27 @@ marked AS (SELECT d.doc_id, d.i, d.l, r.k IS NOT NULL AND d.doc_id <> r.keeper A
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op12_importance_resampling": r"""
+WITH RECURSIVE crc(k, turn, v) AS (
+  SELECT k, 0, k::UINTEGER FROM range(256) t(k)
+  UNION ALL SELECT k, turn + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END FROM crc WHERE turn < 8),
+lookup AS (SELECT list(v ORDER BY k) AS t FROM crc WHERE turn = 8),
+texts AS (SELECT 0 AS side, row_number() OVER () AS i, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+cut AS (SELECT side, i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (SELECT side, i, unnest(w) AS g FROM cut UNION ALL SELECT side, i, w[j] || ' ' || w[j + 1] FROM (SELECT side, i, w, unnest(range(1, len(w))) AS j FROM cut)),
+counted AS (SELECT side, i, g, count(*) AS n FROM grams GROUP BY ALL),
+hashed AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(range(0, octet_length(encode(g))::BIGINT), lambda p: ('0x' || substr(hex(encode(g)), 2 * p::BIGINT + 1, 2))::UINTEGER)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::UINTEGER) % 10000 AS b
+  FROM (SELECT DISTINCT g FROM counted), lookup),
+sums AS (SELECT b, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM counted JOIN hashed USING (g) GROUP BY b),
+every AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+gain AS (SELECT b, floor(1000 * ln((sums.t + 1) * (every.s + 10000) / ((sums.s + 1) * (every.t + 10000))))::BIGINT AS gain FROM sums, every),
+doc AS (SELECT i, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM counted JOIN hashed USING (g) JOIN gain USING (b) WHERE side = 0 GROUP BY i),
+noise AS (SELECT i, doc_id, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM texts WHERE side = 0),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM noise LEFT JOIN doc USING (i)),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) AS place, count_if(n_features >= 39) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 39 AND place <= 25 * n // 100 THEN place END AS rank FROM drawn""",
 }
