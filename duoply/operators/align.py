@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoply import config as C
@@ -404,28 +404,97 @@ def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return final, done.where("what = 'reject'").select("game_id", F.col("i").alias("seq"), F.col("value").alias("reason"))
 
 
-def capture(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(game_id, type, first, length, deleted, inserted, updated, sequence): the entry that leads from one snapshot (game_id, i, id, and a payload if there is one) to another.
+def captured(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(game_id, type, first, length, deleted, inserted, updated, sequence, contents, numbers): the entry that leads from one snapshot (game_id, i, id, and a payload if there is one) to another; what replay_entries() applies.
 
-    deleted ids, inserted `position:id` and updated ids are in order; if what
-    stays has changed its order, sequence is the whole new order instead of the
-    first two. first is the first position that changed. Unchanged games give
-    no row.
+    deleted (ids) and inserted (pos, id) are in order; if what stays has changed
+    its order, sequence is the whole new order instead of these two, else it is
+    null. updated are ids of cells that stay with another payload; contents
+    holds the payloads of new and updated cells. numbers (i, num, color) are
+    the cells of the new snapshot whose number or colour isn't that of their
+    place, if it has these columns. first is the first position that changed.
+    Unchanged games give no row.
     """
     load = lambda df: F.col("payload") if "payload" in df.columns else F.lit(None).cast("string")
-    b, a = before.select("game_id", "id", F.col("i").alias("bi"), load(before).alias("bp")), after.select("game_id", "id", F.col("i").alias("ai"), load(after).alias("ap"))
+    numbered = {"num", "color"} <= set(after.columns)
+    odd = ~(F.col("num").eqNullSafe(F.floor(F.col("i") / 2) + 1) & F.col("color").eqNullSafe(half_of(F.col("i")))) if numbered else F.lit(False)
+    named = F.struct(F.col("i"), *((F.col("num"), F.col("color")) if numbered else (F.lit(0).cast("long").alias("num"), F.lit("").alias("color"))))
+    b, a = before.select("game_id", "id", F.col("i").alias("bi"), load(before).alias("bp")), after.select("game_id", "id", F.col("i").alias("ai"), load(after).alias("ap"), F.when(odd, named).alias("named"))
     both = b.join(a, ["game_id", "id"], "full_outer")
     w = Window.partitionBy("game_id").orderBy("bi")
     stays = F.col("bi").isNotNull() & F.col("ai").isNotNull()
     both = both.withColumns({"back": F.when(stays, F.max(F.when(stays, F.col("ai"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) > F.col("ai")), "gone": F.col("ai").isNull(), "new": F.col("bi").isNull(), "changed": stays & ~F.col("bp").eqNullSafe(F.col("ap"))})
-    listed = lambda flag, order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct(F.col(order).alias("o"), text.alias("t"))))), lambda x: x["t"]), ",")
-    name = F.col("id").cast("string")
+    listed = lambda flag, *columns: F.array_sort(F.collect_list(F.when(flag, F.struct(*columns))))
+    ids = lambda flag, order: F.transform(listed(flag, F.col(order), F.col("id")), lambda x: x["id"])
     c = both.groupBy("game_id").agg(
         F.coalesce(F.bool_or("back"), F.lit(False)).alias("moved"), F.count_if("gone").alias("n_gone"), F.count_if("new").alias("n_new"), F.count_if("changed").alias("n_changed"), F.count("ai").alias("length"),
-        listed(F.col("gone"), "bi", name).alias("deleted"), listed(F.col("new"), "ai", F.concat_ws(":", F.col("ai").cast("string"), name)).alias("inserted"), listed(F.col("changed"), "ai", name).alias("updated"), listed(~F.col("gone"), "ai", name).alias("order"),
+        ids(F.col("gone"), "bi").alias("deleted"), listed(F.col("new"), F.col("ai").alias("pos"), F.col("id")).alias("inserted"), ids(F.col("changed"), "ai").alias("updated"), ids(~F.col("gone"), "ai").alias("order"),
+        listed((F.col("new") | F.col("changed")) & F.col("ap").isNotNull(), F.col("id"), F.col("ap").alias("payload")).alias("contents"), F.array_sort(F.collect_list("named")).alias("numbers"),
         F.min(F.when(F.col("gone"), F.col("bi")).when(F.col("new") | F.col("changed"), F.col("ai"))).alias("first"), F.min(F.when(F.col("gone"), F.col("bi"))).alias("first_gone"), F.max(F.when(stays, F.col("bi"))).alias("last_kept"),
     )
     gone, new, tail = F.col("n_gone") > 0, F.col("n_new") > 0, F.coalesce(F.col("first_gone") > F.coalesce("last_kept", F.lit(-1)), F.lit(False))
     kind = F.when(F.col("moved"), "realign").when(~gone & ~new, "update").when(gone & ~new & tail & (F.col("n_changed") == 0), "truncate").when(gone & ~new, "duplicate-delete").when(~gone, "gap-insert").otherwise("realign")
-    plain = lambda x: F.when(~F.col("moved"), F.col(x)).otherwise("")
-    return c.where("n_gone + n_new + n_changed > 0 or moved").select("game_id", kind.alias("type"), F.coalesce("first", F.lit(0).cast("long")).alias("first"), "length", plain("deleted").alias("deleted"), plain("inserted").alias("inserted"), "updated", F.when(F.col("moved"), F.col("order")).otherwise("").alias("sequence"))
+    plain = lambda x: F.when(F.col("moved"), F.slice(x, 1, 0)).otherwise(F.col(x)).alias(x)
+    changed = c.where("n_gone + n_new + n_changed > 0 or moved")
+    return changed.select("game_id", kind.alias("type"), F.coalesce("first", F.lit(0).cast("long")).alias("first"), "length", plain("deleted"), plain("inserted"), "updated", F.when(F.col("moved"), F.col("order")).alias("sequence"), "contents", "numbers")
+
+
+def capture(before: DataFrame, after: DataFrame) -> DataFrame:
+    """captured() as text: (game_id, type, first, length, deleted, inserted, updated, sequence), lists joined by commas, insertions as `position:id`."""
+    text = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    inserted = F.array_join(F.transform("inserted", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["id"].cast("string"))), ",")
+    return captured(before, after).select("game_id", "type", "first", "length", text("deleted").alias("deleted"), inserted.alias("inserted"), text("updated").alias("updated"), F.coalesce(text("sequence"), F.lit("")).alias("sequence"))
+
+
+def half_of(i: Column) -> Column:
+    return F.when(i % 2 == 0, "w").otherwise("b")
+
+
+def _applied(state: Column, e: Column) -> Column:
+    """State (ids, n, reason) of a game behind an entry: reason is null while all entries fitted, else n is the one that didn't."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    make = lambda ids, n, reason: F.struct(ids.alias("ids"), n.cast("long").alias("n"), reason.cast("string").alias("reason"))
+    none = F.lit(None)
+    ids, missing = state["ids"], F.array_except(e["deleted"], state["ids"])
+    left = F.filter(ids, lambda x: ~F.array_contains(e["deleted"], x))
+    put = lambda t, p: F.when(t["past"] | (p["pos"] > F.size(t["ids"])), F.struct(t["ids"].alias("ids"), F.lit(True).alias("past"))).otherwise(
+        F.struct(F.concat(F.slice(t["ids"], F.lit(1), p["pos"].cast("int")), F.array(p["id"]), F.slice(t["ids"], p["pos"].cast("int") + 1, F.size(t["ids"]))).alias("ids"), F.lit(False).alias("past"))
+    )
+    grown = F.when(e["sequence"].isNotNull(), F.struct(e["sequence"].alias("ids"), F.lit(False).alias("past"))).otherwise(F.aggregate(F.array_sort(e["inserted"]), F.struct(left.alias("ids"), F.lit(False).alias("past")), put))
+    absent = F.concat(F.lit("deletes absent cell "), F.element_at(missing, 1).cast("string"))
+    length = lambda t: F.concat(F.lit("length "), F.size(t["ids"]).cast("string"), F.lit(" is not "), e["length"].cast("string"))
+    checked = lambda t: F.when(t["past"], make(ids, e["n"], F.lit("insert past the end"))).when(F.size(t["ids"]) != e["length"], make(ids, e["n"], length(t))).otherwise(make(t["ids"], e["n"], none))
+    fits = F.when(e["sequence"].isNull() & (F.size(missing) > 0), make(ids, e["n"], absent)).otherwise(let(grown, checked))
+    return F.when(state["reason"].isNotNull(), state).otherwise(fits)
+
+
+def replay_entries(base: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(final cells (game_id, i, id, payload, num, color), rejects (game_id, n, reason)) of base (game_id, i, id, payload) after entries (game_id, n and the columns of captured()), in order of n.
+
+    An entry must delete cells that are there, insert by ascending position not
+    past the end, and leave its recorded length (unless that is null); a null
+    deleted or inserted list is an empty one. The first that doesn't fit rejects
+    its game as a whole and is named, as are entries of a game without cells,
+    and the last entry (0 if none) of a game whose final order has a cell
+    without content. Contents are the payloads of base and of all entries, a
+    later one winning; cells are numbered by place but for the exceptions of the
+    last entry. A game's order is folded in one row, JVM-side; contents are
+    joined by cell.
+    """
+    empty = lambda name: F.coalesce(name, F.slice(name, 1, 0), F.from_json(F.lit("[]"), entries.schema[name].dataType))
+    step = F.struct("n", "length", empty("deleted").alias("deleted"), empty("inserted").alias("inserted"), "sequence")
+    steps = entries.groupBy("game_id").agg(F.array_sort(F.collect_list(step), lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)).alias("steps"), F.max_by("numbers", "n").alias("numbers"))
+    start = base.groupBy("game_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
+    begin = F.struct(F.col("ids"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("reason"))
+    none = F.struct(F.col("ids"), F.element_at("steps", 1)["n"].cast("long").alias("n"), F.lit("no cells to begin with").alias("reason"))
+    both = start.join(steps, "game_id", "full_outer")
+    folded = both.withColumn("s", F.when(F.col("ids").isNull(), none).when(F.col("steps").isNull(), begin).otherwise(F.aggregate("steps", begin, _applied)))
+    cells = folded.where("s.reason is null").select("game_id", "s.n", "numbers", F.posexplode("s.ids").alias("i", "id"))
+    given = base.select("game_id", F.lit(None).cast("long").alias("at"), "id", "payload").union(entries.select("game_id", F.col("n").alias("at"), F.explode("contents").alias("x")).select("game_id", "at", "x.id", "x.payload"))
+    content = given.where("payload is not null").groupBy("game_id", "id").agg(F.max_by("payload", F.coalesce("at", F.lit(-1))).alias("payload"))
+    full = cells.join(content, ["game_id", "id"], "left")
+    short = full.where("payload is null").groupBy("game_id").agg(F.max("n").alias("n"), F.min(F.struct("i", "id")).alias("x"))
+    short = short.select("game_id", "n", F.concat(F.lit("no content for cell "), F.col("x.id").cast("string")).alias("reason"))
+    named = full.join(short.select("game_id"), "game_id", "left_anti").withColumn("other", F.try_element_at(F.filter("numbers", lambda x: x["i"] == F.col("i")), F.lit(1)))
+    final = named.select("game_id", F.col("i").cast("long").alias("i"), "id", "payload", F.coalesce("other.num", F.floor(F.col("i") / 2) + 1).alias("num"), F.coalesce("other.color", half_of(F.col("i"))).alias("color"))
+    return final, folded.where("s.reason is not null").select("game_id", "s.n", "s.reason").union(short)

@@ -12,6 +12,7 @@ from duoply.operators import align as A
 from duoply.plans.columns import NORM, PAIRS, _pairs, likeness_sql
 from duoply.plans.linkage import COMPARE
 from duoply.plans.readings import cand
+from duoply.sources import readings as R
 from duoply.sources.shared import new_folder
 from duoply.streaming import jobs
 
@@ -84,13 +85,20 @@ def str02_stream_edit_replay(spark, sf_dir):
     return jobs.drained(jobs.edits(jobs.replayed(spark, e, f"{path}/in")), path).drop("_batch")
 
 
-@query("SELECT game_id, sheet, ply, CAST(rk AS INTEGER) AS rk, move FROM candidates")
+@query("SELECT game_id, sheet, ply, CAST(rk AS INTEGER) AS rk, move FROM candidates UNION ALL SELECT game_id, sheet, ply, CAST(rk AS INTEGER), move FROM candidates WHERE game_id % 4 = 1")
 def str03_stream_ingest(spark, sf_dir):
+    """All reading files land, land once more in another folder with the same name, size and time, and a quarter of the games lands in changed files: these cells come twice, all others once."""
     path = new_folder(spark)
-    c = cand(spark, sf_dir).select("game_id", "sheet", "ply", "rk", "move", F.lit("2024-05-01").cast("timestamp").alias("landed_at"))
-    twice = c.union(c).repartition(2)
-    got = jobs.drained(jobs.ingest(jobs.replayed(spark, twice, f"{path}/in"), ["game_id", "sheet", "ply", "rk"]), path)
-    return got.select("game_id", "sheet", "ply", "rk", "move")
+    files = R.render_readings(cand(spark, sf_dir))
+    R.write_readings(files.repartition(4, "game_id"), f"{path}/in/first")
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(f"{path}/in")
+    fs = there.getFileSystem(hadoop)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(there, "first"), fs, jvm.org.apache.hadoop.fs.Path(there, "again"), False, hadoop)
+    for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(there, "first")):  # four files
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f"{path}/in/again", f.getPath().getName()), f.getModificationTime(), -1)
+    R.write_readings(files.where("game_id % 4 = 1"), f"{path}/in/changed")
+    return jobs.drained(jobs.ingest_readings(spark, f"{path}/in", files=3), path).select("game_id", "sheet", "ply", "rk", "move")
 
 
 @query("WITH s AS (SELECT game_id, status, row_number() OVER (ORDER BY game_id, method, ply, san, similarity, status) AS seq FROM (SELECT DISTINCT * FROM fixes)) SELECT game_id, arg_max(status, seq) AS status, count(*) AS reports FROM s GROUP BY ALL", "fixes")
@@ -102,18 +110,13 @@ def str04_stream_status(spark, sf_dir):
     return got.groupBy("game_id").agg(F.max_by("status", "_batch").alias("status"), F.max_by("reports", "_batch").alias("reports"))
 
 
-def reported(spark, sf_dir):
-    """Status reports in three files, a micro-batch each, and their folder."""
-    path = new_folder(spark)
-    f = view(spark, sf_dir, "fixes").distinct()
-    rows = f.select("game_id", "status", F.struct("method", "ply", "san", "similarity", "status").alias("seq")).repartitionByRange(3, "seq")
-    return jobs.drained(jobs.status(jobs.replayed(spark, rows, f"{path}/in")), path, mode="update")
-
-
 @query("WITH g AS (SELECT game_id, arg_max(status, (method, ply, san, similarity, status)) AS status FROM fixes GROUP BY ALL) SELECT status, count(*) AS games FROM g GROUP BY ALL", "fixes")
 def str04_status_totals(spark, sf_dir):
-    """The totals after the last micro-batch."""
-    totals = jobs.status_totals(reported(spark, sf_dir))
+    """The totals after the last of three micro-batches of reports."""
+    path = new_folder(spark)
+    order = F.concat_ws("|", "method", F.format_string("%010d", "ply"), "san", F.format_string("%018.9f", "similarity"), "status")
+    rows = view(spark, sf_dir, "fixes").distinct().select("game_id", "status", order.alias("seq")).repartition(3)
+    totals = jobs.status_totals(jobs.replayed(spark, rows, f"{path}/in"), path)
     return totals.groupBy("status").agg(F.max_by("games", "_batch").alias("games")).where("games > 0")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duoply.fixtures import oracle, table, view
 from duoply.operators import align as A
 from duoply.operators import evidence as E
+from duoply.operators.order import kept
 from duoply.plans.readings import cand, shifted
 
 QUERIES, ORACLES = {}, {}
@@ -114,6 +115,56 @@ def seq08_replay_rejects(spark, sf_dir):
     return A.replay(log(spark, sf_dir))[1]
 
 
+def sessions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first snapshot, entries, last snapshot): each game is saved after every tenth of its edits, and an entry is captured between two savings. Cells get another payload from time to time, and every thirteenth an own number."""
+    e = log(spark, sf_dir)
+    text = lambda k: F.concat(F.lit("m"), ((F.col("id") + k * F.when(F.col("id") % 5 == 0, 1).otherwise(0)) % 9).cast("string"))
+    ends = e.groupBy("game_id").agg(F.max("seq").alias("n"))
+    saved = ends.select("game_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"), F.ceil(F.col("n") * F.col("k") / 10).alias("upto"))
+    # one replay for all savings: the key of a snapshot is the game and its number
+    many = e.join(saved, "game_id").where(F.col("seq") <= F.col("upto")).withColumn("game_id", F.col("game_id") * 16 + F.col("k")).drop("k", "upto")
+    cells = A.replay(many)[0].withColumns({"k": F.col("game_id") % 16, "payload": text(F.col("game_id") % 16)})
+    cells = cells.withColumn("num", F.col("num") + F.when(F.col("id") % 13 == 0, 100).otherwise(0))
+    # a saving without cells is no snapshot, and of games with a bad edit none are left behind it
+    whole = cells.groupBy(F.floor(F.col("game_id") / 16).alias("g")).agg(F.max("k").alias("last")).where("last = 10").select("g")
+    cells = kept(cells.withColumn("g", F.floor(F.col("game_id") / 16)).join(whole, "g").where("k > 0"))
+    later = cells.where("k > 1").withColumn("game_id", F.col("game_id") - 1)
+    found = A.captured(cells.where("k < 10").select("game_id", "i", "id", "payload"), later.select("game_id", "i", "id", "payload", "num", "color"))
+    entries = found.withColumn("n", F.col("game_id") % 16).withColumn("game_id", F.floor(F.col("game_id") / 16))
+    of = lambda k: cells.where(F.col("k") == k).withColumn("game_id", F.col("g")).select("game_id", "i", "id", "payload", "num", "color")
+    return of(1), entries, of(10)
+
+
+#: The snapshots at savings 1 to 10 of each game, from LOG's recursion.
+SAVED = f"""{LOG}, tenth AS (SELECT game_id, n, unnest(range(1, 11)) AS k FROM good),
+snap AS (SELECT a.game_id, a.k, s.ids FROM tenth a JOIN step s ON s.game_id = a.game_id AND s.seq = CAST(ceil(a.n * a.k / 10.0) AS BIGINT)),
+cell AS (SELECT game_id, k, unnest(range(0, len(ids))) AS i, unnest(ids) AS id FROM snap)"""
+CELL = "i, id, 'm' || ((id + CASE WHEN id % 5 = 0 THEN 10 ELSE 0 END) % 9) AS payload, i // 2 + 1 + CASE WHEN id % 13 = 0 THEN 100 ELSE 0 END AS num, CASE WHEN i % 2 = 0 THEN 'w' ELSE 'b' END AS color"
+
+
+@query(f"WITH RECURSIVE {SAVED} SELECT game_id, {CELL} FROM cell WHERE k = 10", "edits")
+def seq08_replay_entries(spark, sf_dir):
+    """The entries of all savings, applied to the first snapshot, give the last one."""
+    first, entries, _ = sessions(spark, sf_dir)
+    return A.replay_entries(first.select("game_id", "i", "id", "payload"), entries)[0]
+
+
+@query(f"""WITH RECURSIVE {SAVED}, f AS (SELECT game_id, game_id % 6 AS fault, len(ids) AS m FROM snap WHERE k = 6)
+SELECT game_id, CASE WHEN fault = 4 THEN 9 ELSE 5 END AS n, CASE fault WHEN 1 THEN 'deletes absent cell -1' WHEN 2 THEN 'insert past the end' WHEN 3 THEN 'length ' || m || ' is not ' || (m + 2) WHEN 4 THEN 'no content for cell -4' END AS reason FROM f WHERE fault BETWEEN 1 AND 4""", "edits")
+def seq08_entry_rejects(spark, sf_dir):
+    """Damaged entries: the fifth deletes a cell that isn't there, inserts past the end or records a wrong length; or the last one inserts a cell without content."""
+    first, entries, _ = sessions(spark, sf_dir)
+    fault, fifth = F.col("game_id") % 6, F.col("n") == 5
+    new = lambda pos, id_: F.array(F.struct(F.lit(pos).cast("long").alias("pos"), F.lit(id_).cast("long").alias("id")))
+    ninth = (fault == 4) & (F.col("n") == 9)
+    broken = entries.withColumns({
+        "deleted": F.when((fault == 1) & fifth, F.array(F.lit(-1).cast("long"))).otherwise(F.col("deleted")),
+        "inserted": F.when((fault == 2) & fifth, new(10_000, -2)).when(ninth, F.concat("inserted", new(0, -4))).otherwise(F.col("inserted")),
+        "length": F.when((fault == 3) & fifth, F.col("length") + 2).when(ninth, F.col("length") + 1).otherwise(F.col("length")),
+    })
+    return A.replay_entries(first.select("game_id", "i", "id", "payload"), broken)[1]
+
+
 def cells(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("cell"), F.col("embedding").alias("values"))
 

@@ -36,17 +36,25 @@ def write_readings(files: DataFrame, path: str) -> None:
     files.select(F.concat(key, F.lit("\n"), F.col("value")).alias("value")).write.option("lineSep", RECORD).text(path)
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(_game, _sheet, value): readings below a folder, packed as write_readings() does it or one a file under game_id=…/sheet=… folders."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", RECORD).text(path)
+def records(raw: DataFrame, *more: Column) -> DataFrame:
+    """(_game, _sheet, value, and more columns): the readings in records of files (value), packed as write_readings() does it or one a file under game_id=…/sheet=… folders."""
     file, head = F.col("_metadata.file_path"), r"^# file: (\d+) (\d+)\n"
     of = lambda name, i: F.coalesce(F.nullif(F.regexp_extract("value", head, i), F.lit("")), F.regexp_extract(file, rf"{name}=(\d+)", 1))
-    return raw.select(of("game_id", 1).cast("long").alias("_game"), of("sheet", 2).cast("int").alias("_sheet"), F.regexp_replace("value", head, "").alias("value"))
+    return raw.select(of("game_id", 1).cast("long").alias("_game"), of("sheet", 2).cast("int").alias("_sheet"), F.regexp_replace("value", head, "").alias("value"), *more)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    return records(spark.read.option("recursiveFileLookup", "true").option("lineSep", RECORD).text(path))
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    """(game_id, sheet, ply, rk, move, conf); lines that aren't half-moves are skipped, bad and zero confidences get their defaults, an odd last token is dropped."""
-    rows = _records(spark, path).select("_game", "_sheet", F.explode(F.split("value", "\n")).alias("value"))
+    """(game_id, sheet, ply, rk, move, conf) of the readings below a folder; see parse_readings."""
+    return parse_readings(_records(spark, path))
+
+
+def parse_readings(found: DataFrame) -> DataFrame:
+    """(game_id, sheet, ply, rk, move, conf) of records(); lines that aren't half-moves are skipped, bad and zero confidences get their defaults, an odd last token is dropped."""
+    rows = found.select("_game", "_sheet", F.explode(F.split("value", "\n")).alias("value"))
     lines = rows.where(F.col("value").rlike(LINE))
     part = lambda i: F.regexp_extract("value", LINE, i)
     tokens = F.split(F.trim(part(3)), r"\s+")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duoply.config import ATTENTION_SECONDS
 from duoply.operators.review import triage
+from duoply.sources.readings import parse_readings, records
+from duoply.streaming import states
 
 
 def replayed(spark: SparkSession, df: DataFrame, path: str, files: int = 1) -> DataFrame:
@@ -21,72 +21,34 @@ def replayed(spark: SparkSession, df: DataFrame, path: str, files: int = 1) -> D
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Everything a stream gives until its source is empty, as a table. In update mode every micro-batch's rows are kept with their batch number."""
-    spark = stream.sparkSession
     out, schema = f"{path}/out", stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/b={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.schema(schema.add("_batch", "long")).option("recursiveFileLookup", "true").parquet(out)
+    return _run(stream, keep, path, schema.add("_batch", "long"), mode)
 
 
-def attention(rows: DataFrame, seconds: int = ATTENTION_SECONDS, late: str = "1 day") -> DataFrame:
-    """(operator_id, open_game, seconds) for each gap between an operator's interactions, once the watermark has passed its end.
+def _run(stream: DataFrame, keep: Callable[[DataFrame, int], None], path: str, schema, mode: str = "append") -> DataFrame:
+    """The table below path/out after keep() has written there, micro-batch by micro-batch, all that the source has now."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
 
-    State: the last time, what was open, and the interactions that may still get
-    others in front of them; these wait until the watermark passes, so events in
-    any order within it count as in order, across micro-batches too.
-    rows(operator_id, ts, open_game, event_id).
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, open_game, waiting = state.get if state.exists else (None, None, [])
-        held = [(int(us), int(e), g) for us, e, g in (w.split("|", 2) for w in waiting)]
-        for f in frames:
-            held += list(zip(f["us"].tolist(), f["event_id"].tolist(), f["open_game"].tolist()))
-        held.sort()
-        passed, out = state.getCurrentWatermarkMs() * 1000, []
-        ready = [x for x in held if x[0] <= passed]
-        for us, _, game in ready:
-            if last is not None and us < last:
-                continue
-            if last is not None and 0 < us - last <= seconds * 1_000_000:
-                out.append((key[0], open_game, (us - last) / 1e6))
-            last, open_game = us, game
-        held = held[len(ready) :]
-        state.update((last, open_game, [f"{us}|{e}|{g}" for us, e, g in held]))
-        if held:
-            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, passed // 1000 + 1))
-        yield pd.DataFrame(out, columns=["operator_id", "open_game", "seconds"])
+def _stateful(rows: DataFrame, key: str, processor, schema: str, time: str = "none") -> DataFrame:
+    states.use_rocksdb(rows.sparkSession)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", time)
 
+
+def attention(rows: DataFrame, seconds: int = ATTENTION_SECONDS, late: str = "1 day") -> DataFrame:
+    """(operator_id, open_game, seconds) for each gap between an operator's interactions, once the watermark has passed its end (states.Attention). Interactions in any order within the watermark count as in order, across micro-batches too; later ones are dropped. rows(operator_id, ts, open_game, event_id)."""
     timed = rows.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late).withColumn("us", F.unix_micros("event_time"))
-    return timed.groupBy("operator_id").applyInPandasWithState(step, "operator_id long, open_game string, seconds double", "last long, open_game string, waiting array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(timed, "operator_id", states.Attention(seconds), states.Attention.schema, "eventtime")
 
 
 def edits(rows: DataFrame) -> DataFrame:
-    """(game_id, seq, accepted, length) of each edit, applied in order of seq; entries that come early wait in the state. rows(game_id, seq, op, pos, event_id), seq from 1."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, ids, waiting = state.get if state.exists else (0, [], [])
-        ids, held = list(ids), {int(w.split("|")[0]): w for w in waiting}
-        for f in frames:
-            held |= {int(s): f"{s}|{o}|{p}|{e}" for s, o, p, e in zip(f["seq"], f["op"], f["pos"], f["event_id"]) if s > done}
-        out = []
-        while done + 1 in held:
-            done += 1
-            _, op, pos, new = held.pop(done).split("|")
-            ok = int(pos) <= len(ids) if op == "insert" else int(pos) < len(ids)
-            if ok and op == "insert":
-                ids.insert(int(pos), int(new))
-            elif ok:
-                del ids[int(pos)]
-            out.append((key[0], done, ok, len(ids)))
-        state.update((done, ids, list(held.values())))
-        yield pd.DataFrame(out, columns=["game_id", "seq", "accepted", "length"])
-
-    return rows.groupBy("game_id").applyInPandasWithState(step, "game_id long, seq long, accepted boolean, length long", "done long, ids array<long>, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+    """(game_id, seq, accepted, length) of each edit, applied in order of seq; entries that come early wait in the state (states.Edits). rows(game_id, seq, op, pos, event_id), seq from 1."""
+    return _stateful(rows, "game_id", states.Edits(), states.Edits.schema)
 
 
 def ingest(rows: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
@@ -94,30 +56,51 @@ def ingest(rows: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return rows.withWatermark("landed_at", late).dropDuplicatesWithinWatermark(keys)
 
 
+def ingest_readings(spark: SparkSession, path: str, files: int = 100, late: str = "1 day") -> DataFrame:
+    """Cells (as sources.readings.read_readings) of reading files as they land below a folder, at most `files` a micro-batch.
+
+    A file is known by its name, size and time of change: if it lands again
+    within `late` of its last record, elsewhere below the folder, it gives
+    nothing; a changed file gives all its cells again. The state holds a row for
+    each record (game and sheet) and is spread by record, so a file may hold
+    millions of them.
+    """
+    source = spark.readStream.option("recursiveFileLookup", "true").option("lineSep", "\x1e").option("maxFilesPerTrigger", files).schema("value string").text(path)
+    file = F.col("_metadata")
+    found = records(source, F.struct(file["file_name"].alias("name"), file["file_size"].alias("size"), file["file_modification_time"].alias("changed")).alias("file"))
+    rows = found.withColumns({"landed_at": F.current_timestamp(), "name": F.col("file.name"), "size": F.col("file.size"), "changed": F.col("file.changed"), "digest": F.xxhash64("value")})
+    return parse_readings(ingest(rows, ["name", "size", "changed", "_game", "_sheet", "digest"], late))
+
+
 def status(rows: DataFrame) -> DataFrame:
     """(game_id, status, reports): the latest status of each game as reports arrive (update mode). rows(game_id, status, seq)."""
     return rows.groupBy("game_id").agg(F.max_by("status", "seq").alias("status"), F.count("*").alias("reports"))
 
 
-def status_totals(updates: DataFrame) -> DataFrame:
-    """(_batch, status, games): how many games have each status after each micro-batch, from what status() gave (game_id, status, _batch): an update takes its game from one status to another, and changes add up."""
-    w = Window.partitionBy("game_id").orderBy("_batch")
-    moved = updates.withColumn("before", F.lag("status").over(w)).where(~F.col("status").eqNullSafe(F.col("before")))
-    steps = moved.select("_batch", F.explode(F.array(F.struct(F.col("status").alias("status"), F.lit(1).alias("n")), F.struct(F.col("before").alias("status"), F.lit(-1).alias("n")))).alias("x")).select("_batch", "x.*").where("status is not null")
-    sums = steps.groupBy("_batch", "status").agg(F.sum("n").alias("n"))
-    return sums.select("_batch", "status", F.sum("n").over(Window.partitionBy("status").orderBy("_batch")).alias("games"))
+def status_totals(rows: DataFrame, path: str) -> DataFrame:
+    """(status, games, _batch): how many games have each status after each micro-batch. rows(game_id, status, seq), seq as text that sorts.
+
+    States hold each game's latest status (states.Status); a change takes the
+    game from one total to the other. A micro-batch reads its own reports and
+    the totals before it, one row a status; no history.
+    """
+    spark, out = rows.sparkSession, f"{path}/out"
+    schema = "status string, games long, _batch long"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        steps = batch.groupBy("status").agg(F.sum("step").alias("games"))
+        if number:
+            steps = steps.union(spark.read.schema(schema).parquet(f"{out}/b={number - 1}").select("status", "games")).groupBy("status").agg(F.sum("games").alias("games"))
+        steps.withColumn("_batch", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{out}/b={number}")
+
+    return _run(_stateful(rows, "game_id", states.Status(), states.Status.schema), keep, path, schema)
 
 
 def retriaged(fixes: DataFrame, path: str) -> DataFrame:
-    """(game_id, tier, reason, _batch): as fixes arrive, the triage of every game that a micro-batch has reports of, over all its reports so far; the last row of a game is its state. Reports are kept in buckets of games, of which only those that a batch touches are read again."""
-    spark, reports, out = fixes.sparkSession, f"{path}/reports", f"{path}/out"
+    """(game_id, tier, reason, _batch): as fixes arrive, the triage of every game that a micro-batch has reports of, over all its reports so far; the last row of a game is its state. A game's reports are kept in the state (states.Reports), so a micro-batch reads those of its own games only."""
+    kinds = ", ".join(f"{n} {t}" for n, t in fixes.dtypes)
 
     def keep(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("game_id"), F.lit(64)).cast("int"))
-        rows.withColumn("b", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b", "bucket").parquet(reports)
-        games = rows.select("game_id", "bucket").distinct()
-        known = spark.read.parquet(reports).where(F.col("b") <= number).join(F.broadcast(games.select("bucket").distinct()), "bucket").join(games.select("game_id"), "game_id")  # 64 buckets
-        triage(known).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
-
-    fixes.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema("game_id long, tier string, reason string, _batch long").option("recursiveFileLookup", "true").parquet(out)
+        triage(batch).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/b={number}")
+
+    return _run(_stateful(fixes, "game_id", states.Reports(kinds, fixes.columns), kinds), keep, path, "game_id long, tier string, reason string, _batch long")
