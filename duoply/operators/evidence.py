@@ -9,96 +9,256 @@ from pyspark.sql import functions as F
 
 from duoply import config as C
 
-FRAMES, SYMBOLS = 8, 8
-LETTERS = "abcdefg"
+#: Symbols of the test data's alphabet; symbol 0 is the blank, so these are 1 and up.
+LETTERS = "abcdefghijklmno"
+#: Confidence of a reading that the grammar doesn't accept, and share of one that only the lenient grammar accepts (fixed values).
+PARTIAL_CONF, LENIENT_SHARE = 0.1, 0.5
+
 
+def log_frames(values: np.ndarray, frames: int, symbols: int) -> np.ndarray:
+    """(cells, frames, symbols) of log-probabilities from raw scores (cells, frames * symbols)."""
+    z = values.reshape(-1, frames, symbols).astype(np.float64)
+    z = z - z.max(axis=2, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=2, keepdims=True))
 
-def log_frames(values: np.ndarray) -> np.ndarray:
-    """(frames, symbols) of log-probabilities from 64 raw scores; symbol 0 is the blank."""
-    z = values.reshape(FRAMES, SYMBOLS)
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+def _symbols(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of each text, padded with 0; lengths). A letter that the alphabet lacks is -1."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    known = np.array([ord(c) for c in alphabet], dtype=np.uint32)
+    order = np.argsort(known)
+    at = np.searchsorted(known[order], codes).clip(0, max(0, len(known) - 1))
+    found = np.where(known[order][at] == codes, order[at] + 1, -1) if len(known) else np.full(len(codes), -1)
+    out = np.zeros((len(texts), int(size.max(initial=0))), dtype=np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = found
+    return out, size
 
-def ctc_scores(logp: np.ndarray, text: str) -> tuple[float, float] | tuple[None, None]:
-    """(best path, sum over all paths) of a text; None if it has an unknown symbol or doesn't fit the frames."""
-    if any(c not in LETTERS for c in text) or len(text) + sum(a == b for a, b in zip(text, text[1:])) > len(logp):
-        return None, None
-    states = [0] + [s for c in text for s in (LETTERS.index(c) + 1, 0)]
-    skip = np.array([k >= 2 and states[k] != 0 and states[k] != states[k - 2] for k in range(len(states))])
-    worst = np.full(len(states), -np.inf)
-    best = total = np.where(np.arange(len(states)) < 2, logp[0, states], worst)
-    back = lambda v, n: np.concatenate([np.full(n, -np.inf), v])[: len(v)]
-    for row in logp[1:, states]:
-        ways = lambda v: np.stack([v, back(v, 1), np.where(skip, back(v, 2), -np.inf)])
-        best, total = ways(best).max(axis=0) + row, np.logaddexp.reduce(ways(total), axis=0) + row
-    return float(best[-2:].max()), float(np.logaddexp.reduce(total[-2:]))
 
+def ctc_scores(logp: np.ndarray, texts: list[str], alphabet: str = LETTERS) -> tuple[np.ndarray, np.ndarray]:
+    """(best path, sum over all paths) of text i in logp[i] (frames, symbols), for many texts at once; NaN if a text has an unknown symbol or doesn't fit the frames.
 
-def score_candidates(cells: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(cell, text, best, total) for cells(cell, values) and candidates(cell, text)."""
+    A text's states are its symbols with blanks around them, padded to the
+    longest text; a state is reached from itself, the one before, and from the
+    symbol before the blank if that is another one.
+    """
+    n, frames, symbols = logp.shape
+    ids, size = _symbols(texts, alphabet)
+    repeats = ((ids[:, 1:] == ids[:, :-1]) & (np.arange(1, ids.shape[1]) < size[:, None])).sum(axis=1) if ids.shape[1] else 0
+    fits = (ids >= 0).all(axis=1) & (ids < symbols).all(axis=1) & (size + repeats <= frames)
+    states = np.zeros((n, 2 * ids.shape[1] + 1), dtype=np.int64)
+    states[:, 1::2] = np.where((ids > 0) & (ids < symbols), ids, 0)
+    skip = np.zeros(states.shape, dtype=bool)
+    skip[:, 3::2] = states[:, 3::2] != states[:, 1:-2:2]
+    first = np.take_along_axis(logp[:, 0], states, axis=1)
+    first[:, 2:] = -np.inf
+    best, total = first, first.copy()
+    back = lambda v, k: np.pad(v, ((0, 0), (k, 0)), constant_values=-np.inf)[:, : v.shape[1]]
+    with np.errstate(invalid="ignore"):
+        for t in range(1, frames):
+            row = np.take_along_axis(logp[:, t], states, axis=1)
+            best = np.maximum(np.maximum(best, back(best, 1)), np.where(skip, back(best, 2), -np.inf)) + row
+            total = np.logaddexp(np.logaddexp(total, back(total, 1)), np.where(skip, back(total, 2), -np.inf)) + row
+    last = 2 * size[:, None]
+    end = lambda v, k: np.where(last[:, 0] >= k, np.take_along_axis(v, (last - k).clip(0), axis=1)[:, 0], -np.inf)
+    return np.where(fits, np.maximum(end(best, 0), end(best, 1)), np.nan), np.where(fits, np.logaddexp(end(total, 0), end(total, 1)), np.nan)
+
+
+def _by_shape(f: pd.DataFrame, rows: int = 4096):
+    """(row numbers, log-probabilities) of rows of one shape, at most `rows` at a time; rows whose values don't have their shape are left out."""
+    shape = f[["frames", "symbols"]].to_numpy(dtype=np.int64)
+    size = f["values"].map(len).to_numpy(dtype=np.int64)
+    for frames, symbols in np.unique(shape, axis=0).tolist():
+        who = np.flatnonzero((shape[:, 0] == frames) & (shape[:, 1] == symbols) & (size == frames * symbols) & (size > 0))
+        for a in range(0, len(who), rows):
+            some = who[a : a + rows]
+            yield some, log_frames(np.stack(f["values"].to_numpy()[some]), frames, symbols)
+
+
+def score_candidates(cells: DataFrame, candidates: DataFrame, alphabet: str = LETTERS, key: str = "cell") -> DataFrame:
+    """(key, text, best, total) for cells(key, frames, symbols, values), as sources.games.read_logits gives them, and candidates(key, text). Scores are null for texts that can't be scored, and where values don't have the cell's shape."""
 
     def run(frames):
         for f in frames:
-            found = [ctc_scores(log_frames(np.asarray(v, dtype=float)), t) for v, t in zip(f["values"], f["text"])]
-            yield pd.DataFrame({"cell": f["cell"], "text": f["text"], "best": [x[0] for x in found], "total": [x[1] for x in found]})
-
-    return cells.join(candidates, "cell").select("cell", "text", "values").mapInPandas(run, "cell long, text string, best double, total double")
+            best, total, texts = np.full(len(f), np.nan), np.full(len(f), np.nan), f["text"].tolist()
+            for who, logp in _by_shape(f):
+                best[who], total[who] = ctc_scores(logp, [texts[i] for i in who.tolist()], alphabet)
+            yield pd.DataFrame({key: f[key], "text": f["text"], "best": best, "total": total})
 
+    joined = cells.select(key, "frames", "symbols", "values").join(candidates.where("text is not null").select(key, "text"), key)
+    scored = joined.mapInPandas(run, f"{key} {dict(cells.dtypes)[key]}, text string, best double, total double")
+    return scored.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("best", "total")})
 
-def beam_decode(logp: np.ndarray, begins=None, width: int = 15) -> list[tuple[str, float]]:
-    """Texts with the log-probability of their best path, best first; hypotheses with the same text and last symbol are merged by the larger, and those that begin no text of the grammar are pruned."""
-    beam = {("", 0): 0.0}
-    for row in logp:
-        new: dict[tuple[str, int], float] = {}
-        for (text, last), p in beam.items():
-            for s in range(SYMBOLS):
-                key = (text, s) if s in (0, last) else (text + LETTERS[s - 1], s)
-                if begins is None or key[0] == text or begins(key[0]):
-                    new[key] = max(new.get(key, -np.inf), p + row[s])
-        beam = dict(sorted(new.items(), key=lambda x: (-x[1], x[0]))[:width])
-    texts: dict[str, float] = {}
-    for (text, _), p in beam.items():
-        texts[text] = max(texts.get(text, -np.inf), p)
-    return sorted(texts.items(), key=lambda x: (-x[1], x[0]))
-
-
-PARTIAL_CONF, LENIENT_SHARE = 0.1, 0.5
 
+class Grammar:
+    """Texts of some shapes as a table of states: next[state, symbol] is the state behind a symbol, -1 if no text goes on so.
 
-def decode(cells: DataFrame, pattern: str | None = None, most: int = 5) -> DataFrame:
-    """(cell, kind, place, text, conf) of each cell.
+    A shape is a list of (letters, fewest, most): so many of these letters, one
+    after another. State 0 is the beginning.
+    """
 
-    `strict`: the best texts that match the pattern as a whole, hypotheses that
-    can't become one pruned, confidences summing to one; if there is none, the
-    best beginning of one as `partial` of little confidence. `lenient`: the best
-    texts without the pattern that aren't among the strict ones, at half their
-    confidence.
+    def __init__(self, shapes: list[list[tuple[str, int, int]]], alphabet: str = LETTERS):
+        def closed(places: set) -> frozenset:
+            """places (shape, step, how many of the step are there), and all that are reached without a letter."""
+            todo, out = list(places), set()
+            while todo:
+                if (p := todo.pop()) not in out:
+                    out.add(p)
+                    shape, step, n = p
+                    if step < len(shapes[shape]) and n >= shapes[shape][step][1]:
+                        todo.append((shape, step + 1, 0))
+            return frozenset(out)
+
+        start = closed({(k, 0, 0) for k in range(len(shapes))})
+        number, todo, rows = {start: 0}, [start], []
+        for state in todo:
+            row = [-1]
+            for letter in alphabet:
+                to = closed({(k, i, n + 1) for k, i, n in state if i < len(shapes[k]) and letter in shapes[k][i][0] and n < shapes[k][i][2]})
+                if to and to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                row.append(number[to] if to else -1)
+            rows.append(row)
+        self.next = np.array(rows, dtype=np.int64)
+        self.whole = np.array([any(i == len(shapes[k]) for k, i, _ in state) for state in todo])
+
+def any_text(alphabet: str) -> Grammar:
+    """Every text of an alphabet."""
+    own = Grammar([], alphabet)
+    own.next, own.whole = np.array([[-1] + [0] * len(alphabet)]), np.array([True])
+    return own
+
+
+class Texts:
+    """Texts by number, each a shorter text and a letter; 0 is the empty one. The numbers of a batch, not of its cells, so that cells share them."""
+
+    def __init__(self, symbols: int):
+        self.symbols, self.key, self.id = symbols, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.parent, self.letter, self.n = [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], 1
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of texts by parent * symbols + letter, -1 where a text has none."""
+        if not len(self.key):
+            return np.full(key.shape, -1, dtype=np.int64)
+        at = np.searchsorted(self.key, key).clip(0, len(self.key) - 1)
+        return np.where(self.key[at] == key, self.id[at], -1)
+
+    def add(self, key: np.ndarray) -> None:
+        new = np.unique(key)
+        new = new[self.find(new) < 0]
+        self.parent.append(new // self.symbols)
+        self.letter.append(new % self.symbols)
+        at = np.searchsorted(self.key, new)
+        self.key, self.id = np.insert(self.key, at, new), np.insert(self.id, at, self.n + np.arange(len(new)))
+        self.n += len(new)
+
+    def strings(self, ids: np.ndarray, alphabet: str) -> list[str]:
+        parent, letter, out = np.concatenate(self.parent).tolist(), np.concatenate(self.letter).tolist(), []
+        for i in ids.tolist():
+            text = ""
+            while i:
+                text, i = alphabet[letter[i] - 1] + text, parent[i]
+            out.append(text)
+        return out
+
+
+def beam_search(logp: np.ndarray, grammar: Grammar, width: int = 15, alphabet: str = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, Texts]:
+    """(text, state, score) of each cell's `width` best hypotheses, best first, for all cells at once; unused places have a score of -inf.
+
+    A hypothesis is a text and the last symbol; a blank or the last symbol again
+    leaves the text as it is, another symbol adds its letter if the grammar goes
+    on so. Hypotheses of one text and last symbol are merged by the larger score
+    (at most three meet, so four times `width` candidates are enough to fill the
+    beam). Scores that are equal to nine digits are ordered by text, compared by
+    as many letters as fit 62 bits.
+    """
+    n, frames, symbols = logp.shape
+    letters = min(symbols, len(alphabet) + 1)
+    step = grammar.next[:, :letters]
+    texts = Texts(symbols)
+    text, last, state, head, size = (np.zeros((n, 1), dtype=np.int64) for _ in range(5))
+    bits = symbols.bit_length()
+    score, rows = np.zeros((n, 1)), np.arange(n)[:, None]
+    symbol = np.arange(letters)
+    for t in range(frames):
+        same = (symbol == 0) | (symbol == last[:, :, None])
+        to = np.where(same, state[:, :, None], step[state])
+        p = np.where(to >= 0, score[:, :, None] + logp[:, t, None, :letters], -np.inf).reshape(n, -1)
+        most = min(p.shape[1], 4 * width)
+        pick = np.argpartition(-p, most - 1, axis=1)[:, :most]
+        room = 62 - bits * (size[rows, pick // letters] + 1)
+        heads = head[rows, pick // letters] | np.where(same.reshape(n, -1)[rows, pick] | (room < 0), 0, (pick % letters) << room.clip(0))
+        with np.errstate(invalid="ignore"):
+            order = np.lexsort((pick % letters, heads, -np.round(p[rows, pick], 9)), axis=1)
+        pick, heads = pick[rows, order], heads[rows, order]
+        hyp, s = pick // letters, pick % letters
+        kept, p = same.reshape(n, -1)[rows, pick], p[rows, pick]
+        grown = text[rows, hyp] * symbols + s
+        number = np.where(kept, text[rows, hyp], texts.find(grown))
+        key = np.where(number >= 0, number, -1 - grown) * symbols + s
+        order = np.argsort(key, axis=1, kind="stable")
+        ranked = key[rows, order]
+        again = np.zeros(key.shape, dtype=bool)
+        again[rows, order] = np.pad(ranked[:, 1:] == ranked[:, :-1], ((0, 0), (1, 0)))
+        good = ~again & np.isfinite(p)
+        place = np.argsort(~good, axis=1, kind="stable")[:, :width]
+        live = good[rows, place]
+        texts.add(grown[rows, place][live & ~kept[rows, place]])
+        text = np.where(live, np.where(kept[rows, place], text[rows, hyp[rows, place]], texts.find(grown[rows, place])), 0)
+        head, size = heads[rows, place], size[rows, hyp[rows, place]] + ~kept[rows, place]
+        last, state = np.where(live, s[rows, place], 0), np.where(live, to.reshape(n, -1)[rows, pick[rows, place]], 0)
+        score = np.where(live, p[rows, place], -np.inf)
+    return text, state, score, texts
+
+
+def readings(logp: np.ndarray, grammar: Grammar, most: int = 5, width: int = 15, alphabet: str = LETTERS):
+    """(cell, place, text, conf, whole) of all cells: the best texts that the grammar accepts as a whole, confidences summing to one; if there is none, the best beginning of one with little confidence, none if it is empty."""
+    text, state, score, texts = beam_search(logp, grammar, width, alphabet)
+    rows = np.arange(len(text))[:, None]
+    order = np.argsort(text, axis=1, kind="stable")
+    again = np.zeros(text.shape, dtype=bool)
+    again[rows, order] = np.pad(text[rows, order][:, 1:] == text[rows, order][:, :-1], ((0, 0), (1, 0)))
+    good = grammar.whole[state] & (text > 0) & ~again & np.isfinite(score)
+    place = np.argsort(~good, axis=1, kind="stable")[:, :most]
+    taken = good[rows, place]
+    p = np.where(taken, score[rows, place], -np.inf)
+    share = np.exp(p - np.where(taken[:, :1], p[:, :1], 0.0))
+    conf = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+    none = ~taken[:, 0]
+    cell, k = np.nonzero(taken)
+    out = [np.concatenate([cell, np.flatnonzero(none)]), np.concatenate([k, np.zeros(none.sum(), dtype=np.int64)])]
+    ids = np.concatenate([text[rows, place][taken], text[none, 0]])
+    conf = np.concatenate([conf[taken], np.where(text[none, 0] > 0, PARTIAL_CONF, 0.0)])
+    return *out, texts.strings(ids, alphabet), conf, np.arange(len(ids)) < len(cell)
+
+
+def decode(cells: DataFrame, grammar: Grammar, lenient: Grammar | None = None, most: int = 5, width: int = 15, alphabet: str = LETTERS, key: str = "cell") -> DataFrame:
+    """(key, kind, place, text, conf) of each of cells(key, frames, symbols, values).
+
+    `strict`: readings() of the grammar, `partial` where it accepts none as a
+    whole. `lenient`: readings of the lenient grammar (every text, if none is
+    given) that aren't among the strict ones, at half their confidence. The
+    cells of a batch that have one shape are decoded together.
     """
-    import regex
+    loose = lenient or any_text(alphabet)
 
     def run(frames):
-        grammar = regex.compile(pattern) if pattern else None
-        begins = (lambda t: grammar.fullmatch(t, partial=True) is not None) if grammar else None
-
-        def shares(found):
-            p = np.exp([s for _, s in found])
-            return list(zip((t for t, _ in found), p / p.sum())) if found else []
-
         for f in frames:
-            rows = []
-            for cell, v in zip(f["cell"], f["values"]):
-                logp = log_frames(np.asarray(v, dtype=float))
-                found = beam_decode(logp, begins)
-                whole = [x for x in found if grammar is None or grammar.fullmatch(x[0])][:most]
-                strict = shares(whole) or [(t, PARTIAL_CONF) for t, _ in found[:1]]
-                rows += [(cell, "strict" if whole else "partial", k, t, c) for k, (t, c) in enumerate(strict)]
-                known = {t for t, _ in whole}
-                free = [x for x in shares(beam_decode(logp)[:most]) if x[0] not in known] if grammar else []
-                rows += [(cell, "lenient", k, t, c * LENIENT_SHARE) for k, (t, c) in enumerate(free)]
-            yield pd.DataFrame(rows, columns=["cell", "kind", "place", "text", "conf"])
-
-    return cells.select("cell", "values").mapInPandas(run, "cell long, kind string, place int, text string, conf double")
+            parts = []
+            for who, logp in _by_shape(f, 512):
+                names = f[key].to_numpy()[who]
+                cell, place, text, conf, whole = readings(logp, grammar, most, width, alphabet)
+                strict = pd.DataFrame({key: names[cell], "kind": np.where(whole, "strict", "partial"), "place": place, "text": text, "conf": conf})
+                cell, place, text, conf, whole = readings(logp, loose, most, width, alphabet)
+                free = pd.DataFrame({key: names[cell], "kind": "lenient", "place": place, "text": text, "conf": conf * LENIENT_SHARE})[whole]
+                known = pd.MultiIndex.from_frame(strict.loc[strict["kind"] == "strict", [key, "text"]])
+                free = free[~pd.MultiIndex.from_frame(free[[key, "text"]]).isin(known)]
+                parts += [strict, free.assign(place=free.groupby(key).cumcount())]
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return cells.select(key, "frames", "symbols", "values").mapInPandas(run, f"{key} {dict(cells.dtypes)[key]}, kind string, place int, text string, conf double")
 
 
 def constrained_rank(scores: DataFrame, key: str = "cell", score: str = "total", most: int = 5, least: float = 0.3) -> DataFrame:
@@ -118,17 +278,13 @@ def fuse(a: DataFrame, b: DataFrame, key: str = "cell", most: int = 5, least: fl
     return j.where((F.col("place") <= most) & (F.col("p") >= least)).select(key, "text", "p", "place")
 
 
-def renormalise(scores: DataFrame, key: str = "cell", score: str = "total") -> DataFrame:
-    """(key, text, logp): log-softmax over each key's texts, which count once; a text ends before = or # or + (see plain)."""
+def renormalise(scores: DataFrame, key: str = "cell", score: str = "total", order: str = "text") -> DataFrame:
+    """(key, text, logp): log-softmax over all rows of each key, so that a text that stands there twice counts twice; each text once, and also without its check or mate sign, unless that is a text of its own (of several such the first in `order` counts)."""
     w = Window.partitionBy(key)
-    known = scores.where(F.col(score).isNotNull()).select(key, plain(F.col("text")).alias("text"), score).groupBy(key, "text").agg(F.max(score).alias("s"))
-    top = F.max("s").over(w)
-    return known.withColumn("top", top).withColumn("logp", F.col("s") - F.col("top") - F.log(F.sum(F.exp(F.col("s") - F.col("top"))).over(w))).select(key, "text", "logp")
-
-
-def plain(text: Column) -> Column:
-    """A move without what stands behind it: promotion sign, check, mate."""
-    return F.regexp_replace(text, "[=#+].*$", "")
+    known = scores.where(F.col(score).isNotNull()).withColumn("top", F.max(score).over(w))
+    table = known.select(key, "text", F.col(order).alias("o"), (F.col(score) - F.col("top") - F.log(F.sum(F.exp(F.col(score) - F.col("top"))).over(w))).alias("logp"))
+    both = F.array(F.struct(F.col("text"), F.lit(0).alias("bare")), F.struct(F.regexp_replace("text", "[+#]+$", "").alias("text"), F.lit(1).alias("bare")))
+    return table.select(key, "o", "logp", F.explode(both).alias("x")).groupBy(key, F.col("x.text").alias("text")).agg(F.min_by("logp", F.struct("x.bare", "o")).alias("logp"))
 
 
 def components(fixes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from duoply.operators import align as A
 from duoply.operators import evidence as E
 from duoply.operators.order import kept
 from duoply.plans.readings import cand, shifted
+from duoply.sources import games as G
+from duoply.sources.shared import new_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -166,64 +168,116 @@ def seq08_entry_rejects(spark, sf_dir):
 
 
 def cells(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("cell"), F.col("embedding").alias("values"))
+    """Raw scores of symbols, from files of twenty cells in half precision: eight frames of eight symbols, in some files four of sixteen."""
+    v = F.col("vec_id").cast("long")
+    e = table(spark, sf_dir, "embeddings").select(F.floor(v / 20).alias("f"), (v % 20).alias("cell"), F.col("embedding").alias("values"))
+    named = e.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), "cell", "values", F.when(F.col("f") % 11 == 5, 16).otherwise(8).alias("vocab"))
+    folder = new_folder(spark)
+    G.scatter(G.encode_logits(named).select(F.concat(F.col("file"), F.lit(".logits")).alias("path"), "content"), folder)
+    return G.read_logits(spark, folder).select((F.substring("file", 2, 20).cast("long") * 20 + F.col("cell")).alias("cell"), "frames", "symbols", "values")
+
+
+#: The same in DuckDB: values as half precision keeps them (11 bits), and the log-probabilities of each frame.
+FRAMES = """halves AS (SELECT vec_id AS cell, CASE WHEN vec_id // 20 % 11 = 5 THEN 16 ELSE 8 END AS symbols,
+  list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x::DOUBLE / pow(2, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) END) AS h FROM embeddings),
+framed AS (SELECT cell, symbols, t, h[t * symbols + 1 : t * symbols + symbols] AS z FROM (SELECT *, unnest(range(0, 64 // symbols)) AS t FROM halves)),
+logp AS (SELECT cell, symbols, t, list_transform(z, lambda x: x - list_max(z) - ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))) AS p FROM framed)"""
 
 
 def allowed(spark, sf_dir) -> DataFrame:
-    """Three strings over the seven symbols for each cell."""
+    """Four strings for each cell: letters of any shape, one that may need more symbols, and now and then one of an unknown letter."""
     e = table(spark, sf_dir, "embeddings")
-    letter = lambda n: F.substring(F.lit(E.LETTERS), (n % 7 + 1).cast("int"), F.lit(1))
+    letter = lambda n, of=7: F.substring(F.lit(E.LETTERS), (n % of + 1).cast("int"), F.lit(1))
     v, k = F.col("vec_id"), F.col("label")
-    texts = F.array(F.concat(letter(v), letter(k)), F.concat(letter(k), letter(v * 3 + 1), letter(v + k)), letter(v + 2))
+    texts = F.array(F.concat(letter(v), letter(k)), F.concat(letter(k), letter(v * 3 + 1), letter(v + k)), F.when(v % 10 == 0, "z").otherwise(letter(v + 2)), F.concat(letter(v * 2, 15), letter(v * 5 + k, 15)))
     return e.select(v.cast("long").alias("cell"), F.explode(F.array_distinct(texts)).alias("text"))
 
 
+#: Alignments in DuckDB: states (symbols with blanks around them) of each text, and the best and summed scores of reaching each state, frame by frame.
+CTC = f"""{FRAMES}, texts AS (SELECT vec_id AS cell, unnest(list_distinct([chr((97 + vec_id % 7)::INT) || chr((97 + label % 7)::INT), chr((97 + label % 7)::INT) || chr((97 + (vec_id * 3 + 1) % 7)::INT) || chr((97 + (vec_id + label) % 7)::INT),
+  CASE WHEN vec_id % 10 = 0 THEN 'z' ELSE chr((97 + (vec_id + 2) % 7)::INT) END, chr((97 + vec_id * 2 % 15)::INT) || chr((97 + (vec_id * 5 + label) % 15)::INT)])) AS text FROM embeddings),
+chars AS (SELECT cell, text, symbols, [ord(text[i]) - 96 FOR i IN range(1, length(text) + 1)] AS c FROM texts JOIN halves USING (cell)),
+states AS (SELECT cell, text, [CASE WHEN k % 2 = 1 THEN 0 ELSE c[k // 2] END FOR k IN range(1, 2 * len(c) + 2)] AS s FROM chars
+  WHERE list_max(c) < symbols AND len(c) + len([1 FOR i IN range(2, len(c) + 1) IF c[i] = c[i - 1]]) <= 64 // symbols),
+walk(cell, text, s, t, b, f) AS (
+  SELECT cell, text, s, 0::BIGINT, [CASE WHEN k <= 2 THEN p[s[k] + 1] ELSE -1e300 END FOR k IN range(1, len(s) + 1)], [CASE WHEN k <= 2 THEN p[s[k] + 1] ELSE -1e300 END FOR k IN range(1, len(s) + 1)] FROM states JOIN logp USING (cell) WHERE t = 0
+  UNION ALL
+  SELECT w.cell, w.text, w.s, w.t + 1,
+    [greatest(b[k], CASE WHEN k > 1 THEN b[k - 1] ELSE -1e300 END, CASE WHEN k > 2 AND s[k] <> 0 AND s[k] <> s[k - 2] THEN b[k - 2] ELSE -1e300 END) + p[s[k] + 1] FOR k IN range(1, len(s) + 1)],
+    [list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) FOR x IN [[f[k] + p[s[k] + 1], CASE WHEN k > 1 THEN f[k - 1] + p[s[k] + 1] ELSE -1e300 END, CASE WHEN k > 2 AND s[k] <> 0 AND s[k] <> s[k - 2] THEN f[k - 2] + p[s[k] + 1] ELSE -1e300 END] FOR k IN range(1, len(s) + 1)]]
+  FROM walk w JOIN logp l ON l.cell = w.cell AND l.t = w.t + 1),
+ends AS (SELECT w.cell, w.text, b[-1] AS b1, b[-2] AS b2, f[-1] AS f1, f[-2] AS f2 FROM walk w JOIN halves h ON h.cell = w.cell AND w.t = 64 // h.symbols - 1),
+sc AS (SELECT cell, text, greatest(b1, b2) AS best, greatest(f1, f2) + ln(exp(f1 - greatest(f1, f2)) + exp(f2 - greatest(f1, f2))) AS total FROM texts LEFT JOIN ends USING (cell, text))"""
+
+
 def ctc(spark, sf_dir) -> DataFrame:
     return E.score_candidates(cells(spark, sf_dir), allowed(spark, sf_dir))
 
 
-@query()
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+@query(f"WITH RECURSIVE {CTC} SELECT cell, text, round(best, 6) AS best, round(total, 6) AS total FROM sc", "")
 def seq09_score_alternatives_ctc(spark, sf_dir):
-    return ctc(spark, sf_dir)
+    return rounded(ctc(spark, sf_dir), "best", "total")
 
 
-@query()
-def seq10_decode_corpus(spark, sf_dir):
-    return E.decode(cells(spark, sf_dir), pattern="[a-c][d-g]{0,2}|[d-g]")
+STRICT = [[("abc", 1, 1), ("defg", 0, 2)], [("defg", 1, 1)], [("hij", 2, 3)]]
+LENIENT = [[("abcdefgh", 1, 4)]]
 
 
-def letter_scores(spark, sf_dir) -> DataFrame:
-    """Two scores of each cell's texts from its first symbols; every eleventh score is missing."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("cell"), F.posexplode(F.slice("embedding", 1, 7)).alias("k", "x"))
-    x, k = F.col("x").cast("double"), F.col("k")
-    missing = (F.col("cell") + k) % 11 == 0
-    text = F.concat(F.substring(F.lit("abcdefg"), k + 1, F.lit(1)), F.when(F.col("cell") % 2 == 0, F.lit("8=Q+")).otherwise(F.lit("8")))
-    return e.select("cell", text.alias("text"), F.when(~missing, x * 8).alias("total"), F.when(~missing, x * 4 + k * 0.25).alias("best"))
+def beam_sql(name: str, begins: str, whole: str) -> str:
+    """Common table expressions of a beam search in DuckDB: {name}(cell, text, conf, place, whole), the best whole texts or else the best beginning."""
+    return f"""{name}b(cell, t, text, last, p) AS (
+  SELECT cell, 0::BIGINT, '', 0::BIGINT, 0.0::DOUBLE FROM halves
+  UNION ALL
+  SELECT cell, t + 1, text, last, p FROM (
+    SELECT b.cell, b.t, CASE WHEN y.s = 0 OR y.s = b.last THEN b.text ELSE b.text || chr((96 + y.s)::INT) END AS text, y.s AS last, max(b.p + y.p) AS p FROM {name}b b JOIN symbol y ON y.cell = b.cell AND y.t = b.t GROUP BY ALL)
+  WHERE regexp_full_match(text, '{begins}') QUALIFY row_number() OVER (PARTITION BY cell ORDER BY round(p, 9) DESC, text, last) <= 15),
+{name}e AS (SELECT b.cell, text, max(p) AS p, text <> '' AND regexp_full_match(text, '{whole}') AS whole FROM {name}b b JOIN halves h ON h.cell = b.cell AND b.t = 64 // h.symbols GROUP BY ALL),
+{name}t AS (SELECT *, bool_or(whole) OVER (PARTITION BY cell) AS found FROM {name}e QUALIFY row_number() OVER (PARTITION BY cell, whole ORDER BY round(p, 9) DESC, text) <= CASE WHEN whole THEN 5 ELSE 1 END),
+{name} AS (SELECT cell, text, whole, row_number() OVER w - 1 AS place, CASE WHEN whole THEN exp(p) / sum(exp(p)) OVER (PARTITION BY cell) WHEN text = '' THEN 0 ELSE 0.1 END AS conf FROM {name}t WHERE whole = found WINDOW w AS (PARTITION BY cell ORDER BY round(p, 9) DESC, text))"""
 
 
-LETTERS = "sc AS (SELECT vec_id AS cell, chr((97 + k)::INT) || CASE WHEN vec_id % 2 = 0 THEN '8=Q+' ELSE '8' END AS text, CASE WHEN (vec_id + k) % 11 <> 0 THEN embedding[k + 1]::DOUBLE * 8 END AS total, CASE WHEN (vec_id + k) % 11 <> 0 THEN embedding[k + 1]::DOUBLE * 4 + k * 0.25::DOUBLE END AS best FROM embeddings, (SELECT unnest(range(0, 7)) AS k))"
+@query(f"""WITH RECURSIVE {FRAMES}, symbol AS (SELECT cell, t, unnest(range(0, symbols)) AS s, unnest(p) AS p FROM logp), {beam_sql("st", "([a-c][d-g]{0,2}|[d-g]|[hij]{0,3})?", "[a-c][d-g]{0,2}|[d-g]|[hij]{2,3}")}, {beam_sql("le", "[a-h]{0,4}", "[a-h]{1,4}")}
+SELECT cell, CASE WHEN whole THEN 'strict' ELSE 'partial' END AS kind, CAST(place AS INTEGER) AS place, text, round(conf, 6) AS conf FROM st
+UNION ALL SELECT le.cell, 'lenient', CAST(row_number() OVER (PARTITION BY le.cell ORDER BY le.place) - 1 AS INTEGER), le.text, round(le.conf * 0.5, 6) FROM le LEFT JOIN st ON st.cell = le.cell AND st.text = le.text AND st.whole WHERE le.whole AND st.cell IS NULL""", "")
+def seq10_decode_corpus(spark, sf_dir):
+    return rounded(E.decode(cells(spark, sf_dir), E.Grammar(STRICT), E.Grammar(LENIENT)), "conf")
 
 
 def ranked(score: str, least: float, name: str) -> str:
     return f"{name}e AS (SELECT cell, text, {score} AS s, exp({score} - max({score}) OVER (PARTITION BY cell)) AS e FROM sc WHERE {score} IS NOT NULL), {name} AS (SELECT cell, text, e / sum(e) OVER (PARTITION BY cell) AS p, row_number() OVER (PARTITION BY cell ORDER BY s DESC, text) AS place FROM {name}e QUALIFY place <= 5 AND p >= {least})"
 
 
-@query(f"WITH {LETTERS}, {ranked('total', 0.3, 'r')} SELECT cell, text, round(p, 6) AS p, CAST(place AS INTEGER) AS place FROM r", "")
+@query(f"WITH RECURSIVE {CTC}, {ranked('total', 0.3, 'r')} SELECT cell, text, round(p, 6) AS p, CAST(place AS INTEGER) AS place FROM r", "")
 def rnk01_constrained_rank(spark, sf_dir):
-    return E.constrained_rank(letter_scores(spark, sf_dir)).withColumn("p", F.round("p", 6))
+    return rounded(E.constrained_rank(ctc(spark, sf_dir)), "p")
 
 
-@query(f"""WITH {LETTERS}, {ranked('best', 0.1, 'a')}, {ranked('total', 0.1, 'b')}, j AS (SELECT coalesce(a.cell, b.cell) AS cell, coalesce(a.text, b.text) AS text, least(CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN (a.p + b.p) / 2 * 1.5::DOUBLE ELSE coalesce(a.p, b.p) END, 1.0::DOUBLE) AS p FROM a FULL JOIN b ON a.cell = b.cell AND a.text = b.text)
+@query(f"""WITH RECURSIVE {CTC}, {ranked('best', 0.1, 'a')}, {ranked('total', 0.1, 'b')}, j AS (SELECT coalesce(a.cell, b.cell) AS cell, coalesce(a.text, b.text) AS text, least(CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN (a.p + b.p) / 2 * 1.5::DOUBLE ELSE coalesce(a.p, b.p) END, 1.0::DOUBLE) AS p FROM a FULL JOIN b ON a.cell = b.cell AND a.text = b.text)
 SELECT cell, text, round(p, 6) AS p, CAST(row_number() OVER (PARTITION BY cell ORDER BY p DESC, text) AS INTEGER) AS place FROM j QUALIFY place <= 5 AND p >= 0.3""", "")
 def rnk02_fuse_two_rankings(spark, sf_dir):
-    s = letter_scores(spark, sf_dir)
+    """A reader who takes the best alignment, and one who takes all of them."""
+    s = kept(ctc(spark, sf_dir))
     a, b = (E.constrained_rank(s, score=c, least=0.1) for c in ("best", "total"))
-    return E.fuse(a, b).withColumn("p", F.round("p", 6))
+    return rounded(E.fuse(a, b), "p")
+
+
+NAMED = "named AS (SELECT cell, total, unnest([text || CASE WHEN cell % 2 = 0 THEN '+' ELSE '' END] || CASE WHEN cell % 3 = 0 THEN [text] ELSE [] END || CASE WHEN cell % 5 = 0 THEN [text || '=Q#', text || '=R#', text || '=Q'] ELSE [] END) AS text FROM sc WHERE total IS NOT NULL)"
 
 
-@query(f"WITH {LETTERS}, k AS (SELECT cell, regexp_replace(text, '[=#+].*$', '') AS text, max(total) AS s FROM sc WHERE total IS NOT NULL GROUP BY ALL) SELECT cell, text, round(s - ln(sum(exp(s)) OVER (PARTITION BY cell)), 6) AS logp FROM k", "")
+@query(f"""WITH RECURSIVE {CTC}, {NAMED}, k AS (SELECT cell, text, total - ln(sum(exp(total)) OVER w) AS logp FROM named WINDOW w AS (PARTITION BY cell)),
+u AS (SELECT cell, text, 0 AS bare, text AS o, logp FROM k UNION ALL SELECT cell, regexp_replace(text, '[+#]+$', ''), 1, text, logp FROM k)
+SELECT cell, text, round(arg_min(logp, (bare, o)), 6) AS logp FROM u GROUP BY ALL""", "")
 def rnk03_renormalise_over_allowed(spark, sf_dir):
-    return E.renormalise(letter_scores(spark, sf_dir)).withColumn("logp", F.round("logp", 6))
+    """Texts under several names: with check signs, some also without, some as promotions that share a score."""
+    text, cell = F.col("text"), F.col("cell")
+    none = F.array().cast("array<string>")
+    names = F.concat(F.array(F.concat(text, F.when(cell % 2 == 0, "+").otherwise(""))), F.when(cell % 3 == 0, F.array(text)).otherwise(none), F.when(cell % 5 == 0, F.array(*(F.concat(text, F.lit(x)) for x in ("=Q#", "=R#", "=Q")))).otherwise(none))
+    named = ctc(spark, sf_dir).select("cell", F.explode(names).alias("text"), "total")
+    return rounded(E.renormalise(named), "logp")
 
 
 @query("""WITH c AS (SELECT game_id, ply, rk, move, regexp_extract(move, '^[KQRBN]') AS piece, regexp_extract(move, '[a-h][1-8]') AS target, contains(move, 'x') AS x FROM candidates WHERE sheet = 1),

@@ -125,16 +125,25 @@ def test_alignment_is_optimal():
 
 def test_ctc_scores_equal_all_alignments():
     rng = np.random.default_rng(3)
-    logp = E.log_frames(rng.normal(size=64))[:5]
-    for text in ("a", "ab", "aa", "abc"):
-        paths = []
-        for p in itertools.product(range(8), repeat=5):
-            short = "".join(E.LETTERS[s - 1] for s, _ in itertools.groupby(p) if s)
-            if short == text:
-                paths.append(sum(logp[t, s] for t, s in enumerate(p)))
-        best, total = E.ctc_scores(logp, text)
-        assert best == pytest.approx(max(paths)) and total == pytest.approx(np.logaddexp.reduce(paths))
-    assert E.ctc_scores(logp, "xyz") == (None, None) and E.ctc_scores(logp, "aaaa") == (None, None)
+    for frames, symbols in ((5, 4), (4, 7)):
+        texts = ["a", "ab", "aa", "abc", "", "ba", "aba", "xyz", "aaaa", "g", "aab"]
+        logp = E.log_frames(rng.normal(size=(len(texts), frames * symbols)) * 2, frames, symbols)
+        best, total = E.ctc_scores(logp, texts)
+        for k, text in enumerate(texts):
+            paths = []
+            for p in itertools.product(range(symbols), repeat=frames):
+                if "".join(E.LETTERS[s - 1] for s, _ in itertools.groupby(p) if s) == text:
+                    paths.append(sum(logp[k, t, s] for t, s in enumerate(p)))
+            assert np.isnan(best[k]) and np.isnan(total[k]) if not paths else best[k] == pytest.approx(max(paths)) and total[k] == pytest.approx(np.logaddexp.reduce(paths))
+
+
+def test_scores_of_mixed_shapes(spark):
+    cells = spark.createDataFrame([(1, 2, 3, [1.0, 2.0, 0.0, 0.0, 1.0, 3.0]), (2, 3, 2, [0.0, 1.0] * 3), (3, 2, 3, [1.0]), (4, 2, 3, None)], "cell long, frames int, symbols int, values array<float>").where("values is not null")
+    asked = spark.createDataFrame([(1, "a"), (1, "ab"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (2, None), (9, "a")], "cell long, text string")
+    got = {(r.cell, r.text): r.best for r in E.score_candidates(cells, asked).collect()}
+    lse = lambda *x: np.log(np.exp(x).sum())
+    assert got.pop((1, "ab")) == pytest.approx(2 - lse(1, 2, 0) + 3 - lse(0, 1, 3)) and got.pop((2, "a")) == pytest.approx(3 * (1 - lse(0, 1)))
+    assert got.pop((1, "a")) is not None and got == {(1, "c"): None, (2, "b"): None, (3, "a"): None}
 
 
 def test_replay_and_capture(spark):
@@ -253,25 +262,57 @@ def test_shift_suggestions(spark):
 def brute_decode(logp, pattern):
     """Every path of symbols, collapsed."""
     best = {}
-    for path in itertools.product(range(E.SYMBOLS), repeat=len(logp)):
+    for path in itertools.product(range(logp.shape[1]), repeat=len(logp)):
         text = "".join(E.LETTERS[s - 1] for k, s in enumerate(path) if s and (k == 0 or path[k - 1] != s))
         p = sum(logp[k][s] for k, s in enumerate(path))
-        if pattern is None or re.fullmatch(pattern, text):
+        if text and re.fullmatch(pattern, text):
             best[text] = max(best.get(text, -99.0), p)
     return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
 
 def test_decoding_against_all_paths():
+    """A beam that drops nothing, over grammars, all cells at once."""
     rng = np.random.default_rng(3)
+    logp = E.log_frames(rng.normal(size=(5, 4 * 8)) * 3, 4, 8)
+    for shapes, pattern in (([[("abcdefg", 0, 9)]], "[a-g]*"), ([[("abc", 1, 1), ("defg", 0, 2)], [("ag", 2, 3)]], "[a-c][d-g]{0,2}|[ag]{2,3}"), ([[("a", 0, 1), ("b", 0, 1), ("a", 1, 1)]], "a?b?a"), ([[("z", 1, 1)]], "z")):
+        cell, place, text, conf, whole = E.readings(logp, E.Grammar(shapes), most=20, width=4000)
+        for c in range(5):
+            want = brute_decode(logp[c], pattern)[:20]
+            rows = [k for k in range(len(cell)) if cell[k] == c and whole[k]]
+            assert [text[k] for k in rows] == [t for t, _ in want] and [place[k] for k in rows] == list(range(len(want)))
+            p = np.exp([s for _, s in want])
+            assert np.allclose(conf[rows], p / p.sum()) if want else [(text[k], conf[k]) for k in range(len(cell)) if cell[k] == c] == [("", 0.0)]
+
+
+def plain_beam(logp, shapes, width):
+    """One cell with a dictionary, pruned by a regular expression."""
     import regex
 
-    for _ in range(4):
-        z = rng.normal(size=(4, E.SYMBOLS)) * 3
-        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-        assert [t for t, _ in E.beam_decode(logp, width=4000)[:20]] == [t for t, _ in brute_decode(logp, None)[:20]]
-        grammar = regex.compile("[a-c][d-g]{0,2}")
-        got = [t for t, _ in E.beam_decode(logp, lambda t: grammar.fullmatch(t, partial=True) is not None, width=4000) if grammar.fullmatch(t)]
-        assert got[:10] == [t for t, _ in brute_decode(logp, "[a-c][d-g]{0,2}")[:10]]
+    pattern = regex.compile("|".join("".join(f"[{c}]{{{a},{b}}}" for c, a, b in shape) for shape in shapes))
+    beam = {("", 0): 0.0}
+    for row in logp:
+        new = {}
+        for (text, last), p in beam.items():
+            for s in range(len(row)):
+                key = (text, s) if s in (0, last) else (text + E.LETTERS[s - 1], s)
+                if key[0] == text or pattern.fullmatch(key[0], partial=True):
+                    new[key] = max(new.get(key, -np.inf), p + row[s])
+        beam = dict(sorted(new.items(), key=lambda x: (-round(x[1], 9), x[0]))[:width])
+    return list(beam.items())
+
+
+def test_narrow_beams_keep_what_a_plain_one_keeps():
+    rng = np.random.default_rng(4)
+    shapes = [[("abc", 1, 1), ("bcdef", 0, 4)], [("ef", 2, 2), ("abcdefg", 1, 9)]]
+    scores = rng.normal(size=(40, 9 * 8)) * 2
+    scores[:10] = np.round(scores[:10])  # ties
+    logp = E.log_frames(scores, 9, 8)
+    for width in (1, 3, 15):
+        text, state, score, texts = E.beam_search(logp, E.Grammar(shapes), width)
+        for c in range(len(logp)):
+            want = plain_beam(logp[c], shapes, width)
+            live = np.isfinite(score[c])
+            assert texts.strings(text[c][live], E.LETTERS) == [t for (t, _), _ in want] and np.allclose(score[c][live], [p for _, p in want])
 
 
 def test_logits_from_files(spark, tmp_path):
