@@ -132,11 +132,3 @@ def rank_vocabulary(readings: DataFrame, vocabulary: DataFrame, most: int = 3) -
     scored = near.withColumn("similarity", F.round(structured(F.col("reading"), F.col("move")) * 100, 4))
     w = Window.partitionBy("reading").orderBy(F.desc("similarity"), "move")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-
-
-def register(spark) -> None:
-    """SQL names of the functions, for use in spark.sql."""
-    text = "regexp_replace(coalesce(m, ''), '[+#]', '')"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_move(m STRING) RETURNS STRING RETURN replace(replace(trim({text}), '0-0-0', 'O-O-O'), '0-0', 'O-O')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ply_of(num BIGINT, color STRING) RETURNS BIGINT RETURN (num - 1) * 2 + CASE WHEN lower(color) IN ('w', 'white') THEN 0 ELSE 1 END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION move_target(m STRING) RETURNS STRING RETURN nullif(regexp_extract(m, '([a-h][1-8])(?:=?[QRBN])?[+#]*$', 1), '')")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoply import config as C
+from duoply.operators.order import clusters
 from duoply.functions.moves import complexity, disagreement, normalize_move
 
 
@@ -123,11 +124,17 @@ def trim_repeated_pairs(tops: DataFrame) -> DataFrame:
     return odd.withColumn("pair", F.floor(F.col("i") / 2)).join(gone, ["game_id", "sheet", "pair"], "left_anti").select("game_id", "sheet", "ply", "move")
 
 
-def clusters_1d(values: DataFrame, keys: tuple[str, ...], value: str, tolerance: float, least: int = 4, middle=F.median) -> DataFrame:
-    """(keys, cluster, n, centre): sorted numbers split where the gap exceeds the tolerance; clusters of `least` or more with their median (or another middle)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    jump = F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("int"), F.lit(0))
-    return values.withColumn("_jump", jump).withColumn("cluster", F.sum("_jump").over(w)).groupBy(*keys, "cluster").agg(F.count("*").alias("n"), middle(value).alias("centre")).where(F.col("n") >= least)
+def clusters_1d(values: DataFrame, keys: tuple[str, ...], value: str, tolerance: float, least: int = 4, middle: str = "median") -> DataFrame:
+    """(keys, cluster, n, centre): sorted numbers (nulls left out) split where the gap exceeds the tolerance; clusters of `least` or more with their median or mean. Neither a key nor a cluster need fit a task (operators.order.clusters); the median is read off by place."""
+    found = clusters(values.select(*keys, value), list(keys), value, tolerance)
+    if middle == "mean":
+        return found.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.avg(value).alias("centre")).where(F.col("n") >= least)
+    sizes = found.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.min("place").alias("_first")).where(F.col("n") >= least)
+    sizes = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "cluster"))), "n", "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "cluster"))]
+    at = F.col("place") - F.col("_first")
+    inner = found.join(sizes, same).where((at == F.floor((F.col("n") - 1) / 2)) | (at == F.floor(F.col("n") / 2)))
+    return inner.groupBy(*keys, "cluster", "n").agg(F.avg(value).alias("centre"))
 
 
 def repeated_pawn_targets(tops: DataFrame) -> DataFrame:

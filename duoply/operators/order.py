@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoply.sources.shared import new_folder
+from duoply.sources.shared import kept
 
 
 def fresh(taken: list[str], n: int) -> list[str]:
@@ -18,11 +18,21 @@ def fresh(taken: list[str], n: int) -> list[str]:
     return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and the same whatever is lost later."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _ranged(rows: DataFrame, keys: list[str], order: list[str | Column], row: str, part: str, partitions: int | None) -> DataFrame:
+    """rows with a number (row) and the range (part) of keys and order that they lie in; the numbers spread equal rows, and stand still once written."""
+    laid = kept(rows.withColumn(row, F.monotonically_increasing_id()))
+    count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(laid.repartitionByRange(count, *keys, *order, row).withColumn(part, F.spark_partition_id()))
+
+
+def _joined(rows: DataFrame, sums: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """rows with what is known of their key and range; sums(keys, part, …) is one row for each."""
+    same = fresh([*rows.columns, *sums.columns], len(keys) + 1)
+    meet = F.col(part) == F.col(same[-1])
+    for k, s in zip(keys, same):
+        meet &= F.col(k).eqNullSafe(F.col(s))
+    named = [F.col(k).alias(s) for k, s in zip(keys, same)] + [F.col(part).alias(same[-1])]
+    return rows.join(sums.select(*named, *(c for c in sums.columns if c not in (*keys, part))), meet).drop(*same)
 
 
 def ordinals(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place", partitions: int | None = None) -> DataFrame:
@@ -32,15 +42,52 @@ def ordinals(rows: DataFrame, keys: list[str], order: list[str | Column], name:
     shifted by what earlier ranges hold of the same key, so a key may be larger
     than a task. The sizes that are summed are one row for each key and range.
     """
-    row, part, n, before, *same = fresh([*rows.columns, name], 4 + len(keys))
-    laid = kept(rows.withColumn(row, F.monotonically_increasing_id()))  # spreads equal rows, and stands still from here on
-    count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = kept(laid.repartitionByRange(count, *keys, *order, row).withColumn(part, F.spark_partition_id()))
+    row, part, n, before = fresh([*rows.columns, name], 4)
+    ranged = _ranged(rows, keys, order, row, part, partitions)
     sizes = ranged.groupBy(*keys, part).agg(F.count("*").alias(n))
     ahead = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*(F.col(k).alias(s) for k, s in zip(keys, same)), F.col(part).alias(n), ahead.alias(before))
-    meet = F.col(part) == F.col(n)
+    rank = F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order, row))
+    found = _joined(ranged.withColumn(row, rank), sizes.withColumn(before, ahead).drop(n), keys, part)
+    return found.select(*rows.columns, (F.col(row) + F.col(before)).cast("long").alias(name))
+
+
+def clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float, name: str = "cluster", place: str = "place", partitions: int | None = None) -> DataFrame:
+    """rows whose value isn't null with the number of their cluster (long, from 0) and their place in the order of their key's values (long, from 1): a new cluster begins where the gap to the value before exceeds the tolerance.
+
+    Gaps are counted within ranges of keys and value; a range's borders with
+    those before and after are stitched from one row for each key and range, so
+    a key, and a cluster, may be larger than a task.
+    """
+    row, part, n, low, high, jumps, border, ahead, offset = fresh([*rows.columns, name, place], 9)
+    ranged = _ranged(rows.where(F.col(value).isNotNull()), keys, [value], row, part, partitions)
+    w = Window.partitionBy(part, *keys).orderBy(value, row)
+    jump = F.coalesce((F.col(value) - F.lag(value).over(w) > tolerance).cast("long"), F.lit(0))
+    local = ranged.withColumn(jumps, jump).withColumns({name: F.sum(jumps).over(w), place: F.row_number().over(w)}).drop(jumps)
+    ends = local.groupBy(*keys, part).agg(F.count("*").alias(n), F.min(value).alias(low), F.max(value).alias(high), F.max(name).alias(jumps))
+    by_key = Window.partitionBy(*keys).orderBy(part)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn(border, F.coalesce((F.col(low) - F.lag(high).over(by_key) > tolerance).cast("long"), F.lit(0)))
+    ends = ends.withColumns({ahead: F.coalesce(F.sum(n).over(earlier), F.lit(0)), offset: F.coalesce(F.sum(jumps).over(earlier), F.lit(0)) + F.sum(border).over(by_key)})
+    found = _joined(local, ends.select(*keys, part, ahead, offset), keys, part)
+    return found.select(*rows.columns, (F.col(name) + F.col(offset)).alias(name), (F.col(place) + F.col(ahead)).cast("long").alias(place))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], count: str = "n") -> DataFrame:
+    """(keys, a column for each of shares, count of rows): exact quantiles of the non-null values of each key, between neighbours by their distance; count takes in null values. From ordinals(), so a key's values needn't meet in one task; two rows a share are picked by place."""
+    place, at, total = fresh([*rows.columns, *shares, count], 3)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias(count), F.count(value).alias(total))
+    placed = ordinals(known, keys, [value], place)
+    same = fresh([*placed.columns, count, total], len(keys))
+    meet = F.lit(True)
     for k, s in zip(keys, same):
         meet &= F.col(k).eqNullSafe(F.col(s))
-    rank = F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order, row))
-    return ranged.withColumn(row, rank).join(sizes, meet).select(*rows.columns, (F.col(row) + F.col(before)).cast("long").alias(name))
+    both = sizes.select(*(F.col(k).alias(s) for k, s in zip(keys, same)), count, total).join(placed, meet, "left")
+    position = {q: share * (F.col(total) - 1) + 1 for q, share in shares.items()}
+
+    def between(q: str) -> Column:
+        low, high = F.floor(position[q]), F.ceil(position[q])
+        pick = lambda p: F.max(F.when(F.col(place) == p, F.col(value)))
+        return (pick(low) + (pick(high) - pick(low)) * F.max(position[q] - low)).alias(q)
+
+    return both.groupBy(*(F.col(s).alias(k) for k, s in zip(keys, same)), count).agg(*(between(q) for q in shares)).select(*keys, *shares, count)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from duoply import config as C
 from duoply.config import METHOD_ORDER
+from duoply.functions.moves import ply_label
 from duoply.operators.detect import clusters_1d
-from duoply.operators.order import ordinals
+from duoply.operators.order import ordinals, quantiles
 
 PLACE = {m: i for i, m in enumerate(METHOD_ORDER)}
 
@@ -76,6 +77,19 @@ def game_report(games: DataFrame, decisions: DataFrame, fixes: DataFrame, pairin
     )
 
 
+def decision_log(games: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A row for each of a reviewer's actions: (game_id, round, board, ply, move, action, ocr, proposed, final_san, method, session, t_sec); move is the label of the ply (12.W), texts that aren't known are empty. games(game_id, round, board), decisions(game_id, ply, action, ocr, proposed, final_san, method, session, t_sec); actions of unknown games are left out."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    label = F.coalesce(ply_label(F.col("ply")), F.lit("")).alias("move")
+    d = decisions.join(games.select("game_id", "round", "board"), "game_id")
+    return d.select("game_id", "round", "board", "ply", label, *map(text, ("action", "ocr", "proposed", "final_san", "method", "session")), "t_sec")
+
+
+def latency(decisions: DataFrame) -> DataFrame:
+    """(action, p50, p90, n): how long decisions took, by action; exact at any size (operators.order.quantiles)."""
+    return quantiles(decisions, ["action"], "t_sec", {"p50": 0.5, "p90": 0.9})
+
+
 def confusion(decisions: DataFrame, values: tuple[str, ...]) -> DataFrame:
     """Readings by final text, counted."""
     return decisions.groupBy("ocr").pivot("final_san", list(values)).count().fillna(0)
@@ -102,7 +116,7 @@ def grid_consensus(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def row_alignment(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left_id, right_id, row_difference, deviation, aligned, confidence) for pairs(left_id, right_id) of sheets; cells(sheet_id, y) in pixels. Rows are clusters of y; those of both sheets are compared in order."""
-    rows = clusters_1d(cells, ("sheet_id",), "y", C.ROW_GAP, 1, F.avg).withColumn("k", F.row_number().over(Window.partitionBy("sheet_id").orderBy("centre")))
+    rows = clusters_1d(cells, ("sheet_id",), "y", C.ROW_GAP, 1, "mean").withColumn("k", F.row_number().over(Window.partitionBy("sheet_id").orderBy("centre")))
     counts = rows.groupBy("sheet_id").agg(F.count("*").alias("n"))
     side = lambda name: counts.select(F.col("sheet_id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"))
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")

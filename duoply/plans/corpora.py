@@ -96,13 +96,47 @@ def _sections(spark, doc: DataFrame) -> DataFrame:
     return G.read_sections_json(spark, written(spark, one))
 
 
-@query(f"WITH {SMALL} SELECT * FROM g", "pairings")
+#: Tables of at most two hundred players each; of a player's games in a round the one of the smallest number counts, and every 37th player has no row.
+TABLES = """p AS (SELECT *, section || '-' || white_sno // 100 AS tb, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result FROM pairings WHERE white_sno <> black_sno AND white_sno > 0 AND black_sno > 0),
+sides AS (SELECT tb, round, pairing_id, white_sno AS number, black_sno AS opp, 'w' AS c, result FROM p UNION ALL SELECT tb, round, pairing_id, black_sno, white_sno, 'b', result FROM p),
+one AS (SELECT tb, round, number, arg_min(opp, pairing_id) AS opp, arg_min(c, pairing_id) AS c, arg_min(result, pairing_id) AS result FROM sides WHERE number % 37 <> 0 GROUP BY ALL),
+named AS (SELECT DISTINCT tb, number, 'Last ' || number || ', "Al" First' AS name FROM one)"""
+
+
+def exported_tables(spark, sf_dir) -> str:
+    """A folder of tables as they are exported: preamble, header, quoted names, byes, trailing rounds left out, more rounds than the preamble allows."""
+    p = view(spark, sf_dir, "pairings").where("white_sno <> black_sno and white_sno > 0 and black_sno > 0").withColumns({"tb": F.concat("section", F.lit("-"), F.floor(F.col("white_sno") / 100).cast("string")), "result": normalize_result(F.col("result_raw"))})
+    side = lambda me, opp, c: F.struct(F.col(me).alias("number"), F.col(opp).alias("opp"), F.lit(c).alias("c"))
+    sides = p.select("tb", "round", "pairing_id", "result", F.explode(F.array(side("white_sno", "black_sno", "w"), side("black_sno", "white_sno", "b"))).alias("s")).select("tb", "round", "pairing_id", "result", "s.*").where("number % 37 <> 0")
+    won = F.when(F.col("result") == "1/2-1/2", "½").when((F.col("result") == "1-0") == (F.col("c") == "w"), "1").otherwise("0")
+    game = F.concat_ws(",", F.col("opp").cast("string"), F.when(F.col("number") % 2 == 0, F.upper("c")).otherwise(F.col("c")), won)
+    one = sides.groupBy("tb", "number", "round").agg(F.min_by(game, "pairing_id").alias("game"))
+    played = one.groupBy("tb", "number").agg(F.map_from_entries(F.collect_list(F.struct(F.col("round").cast("int"), "game"))).alias("games"), F.max("round").cast("int").alias("last"))
+    triples = F.array_join(F.transform(F.sequence(F.lit(1), F.col("last")), lambda r: F.coalesce(F.element_at("games", r), F.lit("0000,,"))), ",")
+    name = F.concat(F.lit('"Last '), F.col("number").cast("string"), F.lit(', ""Al"" First"'))
+    line = F.concat_ws(",", F.col("number").cast("string"), F.lit(""), F.lit("FM"), name, (F.col("number") + 1500).cast("string"), F.lit("ABC"), F.lit("77"), F.lit(""), F.lit("1.5"), F.lit("3"), triples)
+    block = F.split_part("tb", F.lit("-"), F.lit(2)).cast("int")
+    head = F.concat(F.lit('Tournament Name,"The ""Open"", 2024"\n'), F.when(block % 3 == 1, "Number of Rounds,7\n").when(block % 3 == 2, "Number of Rounds,\n").otherwise(""), F.lit("City , Town\n\nPlayer No,Sex,Title,Name,Rating,Federation,FIDE ID,Birthdate,Points,Rank,R1\n"))
+    files = played.select("tb", "number", line.alias("line")).groupBy("tb").agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n"), F.lit("\n,,total\n")).alias("text"))
+    folder = new_folder(spark)
+    G.scatter(files.select(F.concat("tb", F.lit("/table.csv")).alias("path"), F.col("text").cast("binary").alias("content")), folder)
+    return folder
+
+
+def of_table(df: DataFrame) -> DataFrame:
+    return df.withColumn("file", F.regexp_extract("file", "/([^/]+)/table.csv$", 1))
+
+
+@query(f"""WITH {TABLES}, g AS (SELECT tb, round, number, opp, c, result FROM one WHERE round <= CASE WHEN split_part(tb, '-', 2)::INT % 3 = 1 THEN 7 ELSE 99 END QUALIFY row_number() OVER (PARTITION BY tb, round, least(number, opp), greatest(number, opp) ORDER BY number) = 1),
+o AS (SELECT tb AS file, round, CASE WHEN c = 'w' THEN number ELSE opp END AS white, CASE WHEN c = 'w' THEN opp ELSE number END AS black, result FROM g)
+SELECT o.*, coalesce(w.name, '') AS white_name, coalesce(b.name, '') AS black_name FROM o LEFT JOIN named w ON w.tb = o.file AND w.number = o.white LEFT JOIN named b ON b.tb = o.file AND b.number = o.black""", "pairings")
 def src05_read_wide_crosstable(spark, sf_dir):
-    flat = crosstable(small_rounds(spark, sf_dir))
-    path = new_folder(spark)
-    flat.write.option("header", "true").csv(path)
-    back = spark.read.schema(flat.schema).option("header", "true").csv(path)
-    return G.unpivot_crosstable(back, 9)
+    return of_table(G.read_crosstables(spark, exported_tables(spark, sf_dir))[2])
+
+
+@query(f"WITH {TABLES} SELECT tb AS file, number, name, number + 1500 AS rating, 'FM' AS title, 'ABC' AS fed, '77' AS fide_id FROM named", "pairings")
+def src05_crosstable_players(spark, sf_dir):
+    return of_table(G.read_crosstables(spark, exported_tables(spark, sf_dir))[1])
 
 
 def crosstable(g: DataFrame) -> DataFrame:

@@ -269,8 +269,19 @@ def agg17_decision_confusion(spark, sf_dir):
 
 @query("SELECT action, round(quantile_cont(t_sec, 0.5), 6) AS p50, round(quantile_cont(t_sec, 0.9), 6) AS p90, count(*) AS n FROM decisions GROUP BY ALL", "decisions")
 def agg17_decision_latency(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("t_sec", F.lit(p)), 6)
-    return view(spark, sf_dir, "decisions").groupBy("action").agg(q(0.5).alias("p50"), q(0.9).alias("p90"), F.count("*").alias("n"))
+    found = V.latency(view(spark, sf_dir, "decisions"))
+    return found.withColumns({q: F.round(q, 6) for q in ("p50", "p90")})
+
+
+@query("""WITH g AS (SELECT game_id, min(event_id) % 9 + 1 AS round, CASE WHEN game_id % 4 <> 0 THEN min(event_id) % 30 + 1 END AS board FROM decisions WHERE game_id % 7 <> 2 GROUP BY game_id),
+d AS (SELECT game_id, event_id, CASE WHEN event_id % 6 <> 5 THEN event_id % 90 END AS ply, action, ocr, CASE WHEN event_id % 3 = 0 THEN ocr || 'f3' END AS proposed, final_san, CASE event_id % 4 WHEN 0 THEN 'beam' WHEN 1 THEN 'greedy' END AS method, 's' || event_id % 5 AS session, t_sec FROM decisions)
+SELECT game_id, round, board, ply, CASE WHEN ply IS NULL THEN '' ELSE (ply // 2 + 1) || CASE WHEN ply % 2 = 0 THEN '.W' ELSE '.B' END END AS move, action, ocr, coalesce(proposed, '') AS proposed, final_san, coalesce(method, '') AS method, session, t_sec FROM d JOIN g USING (game_id)""", "decisions")
+def agg17_decision_log(spark, sf_dir):
+    """Every action with its game's round and board; some have no ply, proposal or method, some games are unknown."""
+    d, k = view(spark, sf_dir, "decisions"), F.col("event_id")
+    games = d.where("game_id % 7 <> 2").groupBy("game_id").agg(F.min("event_id").alias("e")).select("game_id", (F.col("e") % 9 + 1).alias("round"), F.when(F.col("game_id") % 4 != 0, F.col("e") % 30 + 1).alias("board"))
+    more = {"ply": F.when(k % 6 != 5, k % 90), "proposed": F.when(k % 3 == 0, F.concat("ocr", F.lit("f3"))), "method": F.when(k % 4 == 0, "beam").when(k % 4 == 1, "greedy"), "session": F.concat(F.lit("s"), (k % 5).cast("string"))}
+    return V.decision_log(games, d.withColumns(more))
 
 
 @query("WITH a AS (SELECT file_id, path, size_bytes, modified_at FROM files QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY file_id) = 1) SELECT file_id FROM a QUALIFY row_number() OVER (PARTITION BY lower(split_part(path, '/', -1)), size_bytes, modified_at ORDER BY file_id) = 1", "files")

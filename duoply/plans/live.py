@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from duoply.fixtures import oracle, view
 from duoply.functions import similarity as S
+from duoply.functions import sql as Q
 from duoply.operators import align as A
 from duoply.plans.columns import NORM, PAIRS, _pairs, likeness_sql
 from duoply.plans.linkage import COMPARE
@@ -127,28 +127,29 @@ def str04_stream_triage(spark, sf_dir):
     return got.groupBy("game_id").agg(F.max_by("tier", "_batch").alias("tier"))
 
 
-@query("SELECT game_id, sheet, ply, rk, replace(replace(trim(regexp_replace(coalesce(move, ''), '[+#]', '', 'g')), '0-0-0', 'O-O-O'), '0-0', 'O-O') AS norm, regexp_extract(move, '([a-h][1-8])[+#]*$', 1) AS target FROM candidates")
+@query("""WITH n AS (SELECT *, replace(replace(trim(regexp_replace(coalesce(move, ''), '[+#]', '', 'g')), '0-0-0', 'O-O-O'), '0-0', 'O-O') AS norm FROM candidates)
+SELECT game_id, sheet, ply, rk, norm, regexp_extract(move, '([a-h][1-8])[+#]*$', 1) AS target, coalesce(nullif(regexp_extract(norm, '^[KQRBN]'), ''), 'P') AS piece, contains(norm, 'x') AS capture, CASE WHEN contains(norm, 'x') AND regexp_full_match(norm, 'x[a-h][1-8]') THEN 'invalid' ELSE 'standard' END AS notation,
+  (ply // 2 + 1) || CASE WHEN ply % 2 = 0 THEN '.W' ELSE '.B' END AS label, ply AS back, CASE WHEN regexp_matches(move, '[x+#]') THEN 2 WHEN regexp_matches(move, '^[KQRBN]') THEN 1 ELSE 0 END AS complexity, norm = '' AS truncated FROM n""")
 def udf01_register_functions(spark, sf_dir):
-    S.register(spark)
+    Q.register(spark)
     cand(spark, sf_dir).createOrReplaceTempView("candidates_for_functions")
-    return spark.sql("SELECT game_id, sheet, ply, rk, normalize_move(move) AS norm, move_target(move) AS target FROM candidates_for_functions")
+    return spark.sql("""SELECT game_id, sheet, ply, rk, normalize_move(move) AS norm, move_target(move) AS target, parse_move(move).piece AS piece, parse_move(move).capture AS capture, notation_class(move) AS notation,
+      ply_label(ply) AS label, label_ply(ply_label(ply)) AS back, move_complexity(move) AS complexity, is_truncated(move) AS truncated FROM candidates_for_functions""")
 
 
-@udtf(returnType="ply int, move string")
-class MovesFromText:
-    """Rows (ply, move) of a movetext; comments, numbers and results are left out."""
-
-    def eval(self, text: str):
-        import re
-
-        body = re.sub(r"\{[^}]*\}|\[[^\]]*\]|\d+\.+", " ", text or "")
-        for ply, move in enumerate(m for m in body.split() if m not in ("*", "1-0", "0-1", "1/2-1/2")):
-            yield ply, move
+@query(f"WITH pr AS (SELECT x.game_id, x.ply, x.move AS a, y.move AS b FROM candidates x JOIN candidates y ON x.game_id = y.game_id AND x.ply = y.ply AND x.sheet = 1 AND y.sheet = 2 AND x.rk = 0 AND y.rk = 0), {likeness_sql('pr')} SELECT game_id, ply, round(sim, 6) AS similarity FROM pr JOIN sim USING (a, b) WHERE sim >= 0.5")
+def udf01_similarity_in_sql(spark, sf_dir):
+    """Pairs of readings that one SQL text compares and filters."""
+    Q.register(spark)
+    cand(spark, sf_dir).createOrReplaceTempView("candidates_for_functions")
+    return spark.sql("""WITH t AS (SELECT * FROM candidates_for_functions WHERE rk = 0), d AS (SELECT DISTINCT x.move AS a, y.move AS b FROM t x JOIN t y ON x.game_id = y.game_id AND x.ply = y.ply AND x.sheet = 1 AND y.sheet = 2),
+      s AS (SELECT a, b, move_similarity(a, b) AS similarity FROM d)
+      SELECT x.game_id, x.ply, round(similarity, 6) AS similarity FROM t x JOIN t y ON x.game_id = y.game_id AND x.ply = y.ply AND x.sheet = 1 AND y.sheet = 2 JOIN s ON s.a = x.move AND s.b = y.move WHERE similarity >= 0.5""")
 
 
 @query("SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY ply) - 1 AS INTEGER) AS ply, move FROM candidates WHERE sheet = 1 AND rk = 0")
 def udf02_moves_from_text(spark, sf_dir):
-    spark.udtf.register("moves_from_text", MovesFromText)
+    Q.register(spark)
     number = F.when(F.col("ply") % 2 == 0, F.concat((F.floor(F.col("ply") / 2) + 1).cast("string"), F.lit(". "))).otherwise("")
     t = cand(spark, sf_dir).where("sheet = 1 and rk = 0").groupBy("game_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ply", F.concat(number, "move").alias("m")))), lambda x: x["m"]), " ").alias("text"))
     t.withColumn("text", F.concat("text", F.lit(" {end} 1-0"))).createOrReplaceTempView("movetexts")

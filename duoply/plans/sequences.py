@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from duoply.fixtures import oracle, table, view
 from duoply.operators import align as A
 from duoply.operators import evidence as E
-from duoply.operators.order import kept
 from duoply.plans.readings import cand, shifted
 from duoply.sources import games as G
-from duoply.sources.shared import new_folder
+from duoply.sources.shared import kept, new_folder
 
 QUERIES, ORACLES = {}, {}
 

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duoply.functions.records import oriented_result
+from duoply.sources.shared import kept
+
 ROSTER = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 
 
@@ -111,12 +114,59 @@ def read_roster_csv(spark: SparkSession, path: str, rated: tuple[str, ...] = ())
     return raw.select(*(v.alias(k) for k, v in known.items())).where("number is not null and name <> ''")
 
 
+#: Columns of a player table before the rounds' triples: number, sex, title, name, rating, federation, id, birthdate, points, rank (fixed value).
+FIXED_COLUMNS = 10
+
+
+def csv_fields(line: Column) -> Column:
+    """The trimmed fields of one CSV line: quoted ones may hold commas, and quotes as two."""
+    field = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^",]*),'), F.lit(1))
+    return F.transform(field, lambda x: F.trim(F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)))
+
+
+def read_crosstables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tables (file, label, value), players (file, number, name, rating, title, fed, fide_id), games (file, round, white, black, white_name, black_name, result)) of player tables as they are exported, below a folder.
+
+    A file has label,value rows, a header that begins with "Player No", and a
+    row a player: ten columns, then opponent, colour and result for each round,
+    as many as the row has and "Number of rounds" allows. Labels are in lower
+    case. An opponent that isn't a number above 0 and a colour other than w or
+    b are byes. Of a round's unordered pair the first row of the file counts; a
+    name is empty where the table has no such player.
+    """
+    from pyspark.sql import Window
+
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = kept(raw.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), csv_fields(F.rtrim(F.col("value"))).alias("c")))
+    first = F.col("c")[0]
+    head = lines.where(first.rlike(r"(?i)^player\s*no$")).groupBy("file").agg(F.min("place").alias("head"))
+    cut = lines.join(F.broadcast(head), "file")  # a row a file
+    tables = cut.where((F.col("place") < F.col("head")) & (first != "")).groupBy("file", F.lower(first).alias("label")).agg(F.max_by(F.coalesce(F.try_element_at("c", F.lit(2)), F.lit("")), "place").alias("value"))
+    number = F.regexp_extract(first, r"^(\d+)", 1).try_cast("long")
+    rows = cut.where((F.col("place") > F.col("head")) & number.isNotNull()).select("file", "place", number.alias("number"), "c")
+    at = lambda i: F.coalesce(F.try_element_at("c", F.lit(i + 1)), F.lit(""))
+    whole = lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("long")
+    players = rows.groupBy("file", "number").agg(F.max_by(F.struct(at(3).alias("name"), F.coalesce(whole(at(4)), F.lit(0)).alias("rating"), at(2).alias("title"), at(5).alias("fed"), at(6).alias("fide_id")), "place").alias("p")).select("file", "number", "p.*")
+    limit = tables.where("label = 'number of rounds'").select("file", F.coalesce(whole(F.col("value")), F.lit(0)).alias("limit"))
+    known = F.greatest(F.floor((F.size("c") - FIXED_COLUMNS) / 3).cast("int"), F.lit(0))
+    rounds = F.when(known > 0, F.transform(F.sequence(F.lit(1), F.greatest(known, F.lit(1))), lambda r: F.struct(r.cast("long").alias("round"), *(F.get("c", FIXED_COLUMNS + (r - 1) * 3 + i).alias(n) for i, n in enumerate(("opp", "color", "cell"))))))
+    t = rows.select("file", "place", "number", F.explode(rounds).alias("r")).select("file", "place", "number", "r.*").join(limit, "file", "left").where((F.coalesce("limit", F.lit(0)) == 0) | (F.col("round") <= F.col("limit")))
+    t = t.withColumns({"opp": whole(F.col("opp")), "color": F.lower("color")}).where("opp > 0 and color in ('w', 'b')")
+    white = F.col("color") == "w"
+    sides = t.select("file", "round", "place", F.when(white, F.col("number")).otherwise(F.col("opp")).alias("white"), F.when(white, F.col("opp")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"))
+    w = Window.partitionBy("file", "round", F.least("white", "black"), F.greatest("white", "black")).orderBy("place")
+    one = sides.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "place")
+    named = lambda side: players.select("file", F.col("number").alias(side), F.col("name").alias(f"{side}_name"))
+    games = one.join(named("white"), ["file", "white"], "left").join(named("black"), ["file", "black"], "left")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return tables, players, games.select("file", "round", "white", "black", empty("white_name"), empty("black_name"), "result")
+
+
 def unpivot_crosstable(players: DataFrame, rounds: int, standings: bool = False) -> DataFrame:
     """(round, white, black, result) from rows (number, name, then opponent, colour, result for each round): one row a round and unordered pair, the first in order of number. In standings (which have a column position) opponents are places in the table, and the first in that order counts."""
     from pyspark.sql import Window
 
-    from duoply.functions.records import oriented_result
-
     cells = F.array(*(F.struct(F.lit(r).cast("long").alias("round"), F.col(f"opp{r}").alias("opponent"), F.col(f"col{r}").alias("color"), F.col(f"res{r}").alias("cell")) for r in range(1, rounds + 1)))
     place = F.col("position") if standings else F.col("number")
     t = players.select("number", place.alias("place"), F.explode(cells).alias("c")).select("number", "place", "c.*").where(F.lower("color").isin("w", "b") & (F.col("opponent") > (0 if standings else -1)))

@@ -1,10 +1,15 @@
 """Ordinals and other work that crosses ranges, against plain Python."""
 
 import random
+import statistics
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
-from duoply.operators.order import fresh, ordinals
+from duoply.operators.detect import clusters_1d
+from duoply.operators.order import clusters, fresh, ordinals, quantiles
 
 
 def test_fresh_names():
@@ -30,3 +35,36 @@ def test_ordinals_of_equal_rows_and_without_key(spark):
     got = ordinals(df, [], ["v", "w"], "n", partitions=6).collect()
     assert sorted(r.n for r in got) == list(range(1, 502)) and next(r.n for r in got if r.v == 2) == 501
     assert ordinals(df.limit(0), ["w"], ["v"]).count() == 0
+
+
+def test_clusters_cross_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([0.1, 0.2, 0.5, 0.9]) + rng.randrange(-3, 4) / 100) for _ in range(700)] + [("hot", None), ("one", 0.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = clusters(df, ["k"], "v", 0.02, partitions=11).collect()
+    for key in ("hot", "b", None, "one"):
+        values, cluster, want = sorted(v for k, v in rows if k == key and v is not None), 0, []
+        for i, v in enumerate(values):
+            cluster += i > 0 and v - values[i - 1] > 0.02
+            want.append((v, cluster, i + 1))
+        assert sorted((r.v, r.cluster, r.place) for r in got if r.k == key) == want
+    centres = {(r.k, r.cluster): (r.n, r.centre) for r in clusters_1d(df, ("k",), "v", 0.02, least=1).collect()}
+    for key in ("hot", "b", None, "one"):
+        found = {}
+        for r in got:
+            if r.k == key:
+                found.setdefault(r.cluster, []).append(r.v)
+        for c, values in found.items():
+            n, centre = centres[(key, c)]
+            assert n == len(values) and abs(centre - statistics.median(values)) < 1e-12
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.choice([None, 1.0, 2.5, 7.0, 100.0, rng.random()])) for _ in range(500)] + [("none", None), ("one", 4.0)]
+    got = {r.k: r for r in quantiles(spark.createDataFrame(rows, "k string, v double").repartition(6), ["k"], "v", {"low": 0.0, "mid": 0.5, "p90": 0.9}).collect()}
+    for key in ("a", None, "one"):
+        values = [v for k, v in rows if k == key and v is not None]
+        assert [got[key].low, got[key].mid, got[key].p90] == [pytest.approx(np.quantile(values, q)) for q in (0, 0.5, 0.9)]
+        assert got[key].n == sum(k == key for k, _ in rows)
+    assert (got["none"].mid, got["none"].n) == (None, 1)
