@@ -33,7 +33,9 @@ COLUMN_GAP, CLUSTER_CELLS, SAMPLES_KEPT, SAMPLES_NEEDED, ASPECT_STEP = 0.025, 4,
 #: rows of two sheets, in pixels: cluster gap, largest mean deviation, largest difference of counts
 ROW_GAP, ROW_DEVIATION, ROW_COUNTS = 10.0, 15.0, 2
 #: weights of the components of a fix's score; those without a number here count as they are
-SCORE_WEIGHTS = {"similarity": 40.0, "conf": 15.0, "completes": 5.0, "low_conf": 10.0, "ambiguous": 10.0, "zero_reach": -1.0, "distance": -1.0, "absurdity": -1.0}
+SCORE_WEIGHTS = {"similarity": 40.0, "conf": 15.0, "completes": 5.0, "low_conf": 10.0, "ambiguous": 10.0, "zero_reach": -1.0, "distance": -1.0, "absurdity": -1.0, "hanging": -1.0, "pawn_hanging": -1.0, "missed_capture": -1.0, "opponent_capture": -1.0, "record_break": 0.0}
+#: evidence that a search may add to the score as it is (columns of fixes, where they are there)
+SCORE_INPUTS = ("future_capture", "future_moves", "winning_capture", "check", "clears_square", "nearest", "hanging", "pawn_hanging", "missed_capture", "opponent_capture", "record_break")
 #: similarity from which a fix without reach loses so much
 ZERO_REACH = ((0.95, 5), (0.90, 15), (0.80, 25), (0.70, 32), (0.0, 40))
 METHOD_ORDER = ("dijkstra", "beam", "greedy")

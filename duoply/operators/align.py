@@ -312,27 +312,43 @@ def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) ->
     return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInPandas(run, "game_id long, sheet int, ply long, move string, conf double, source_ply long")
 
 
-def running_offset(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
-    """(game_id, start, before, offset, delta, at_base, at_best): windows at which the best offset between the sheets moves. Offsets are scored by a join; the fold over windows is one small group a game."""
+def offset_windows(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
+    """(game_id, start, base, best, at_base, at_best, transition) of each window of a game: the offset that holds so far, the best one near it and not beyond `far` (the smallest of equals), and what the sheets share at both; a transition makes the best one the base of the windows behind, where it wins by more than `gain`.
+
+    Offsets are scored by a join, and a window's scores are one row; a game's
+    windows are folded in order, JVM-side. The last window may begin between two
+    steps.
+    """
     scores = pool_scores(c, far).withColumn("offset", F.col("j") - F.col("i"))
     last = c.groupBy("game_id").agg(F.max("ply").alias("last"))
     end = F.greatest(F.lit(0), F.col("last") - window + 1)
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.floor(end / step)), F.array(F.lit(-1).cast("long"))))
-    at = F.when(F.col("k") < 0, end).otherwise(F.col("k") * step)  # the last window may begin between two steps
-    windows = last.select("game_id", F.explode(starts).alias("k"), "last").select("game_id", at.alias("start")).distinct()
+    at = F.when(F.col("k") < 0, end).otherwise(F.col("k") * step)
+    windows = last.select("game_id", F.explode(starts).alias("k"), "last").select("game_id", at.cast("long").alias("start")).distinct()
     spans = scores.select("game_id", "i", "offset", "overlap").join(windows, "game_id").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + window))
-    sums = spans.groupBy("game_id", "start", "offset").agg(F.sum("overlap").alias("sum"))
-
-    def fold(key, pdf):
-        base, out = 0, []
-        for start, part in sorted(pdf.groupby("start")):
-            sums = {o: s for o, s in zip(part["offset"].tolist(), part["sum"].tolist()) if abs(o - base) <= near and abs(o) <= far}
-            if sums and (best := max(sorted(sums), key=lambda o: (round(sums[o], 9), -o))) != base and sums[best] > sums.get(base, 0.0) + gain:
-                out.append((key[0], start, base, best, best - base, sums.get(base, 0.0), sums[best]))
-                base = best
-        return pd.DataFrame(out, columns=["game_id", "start", "before", "offset", "delta", "at_base", "at_best"])
-
-    return sums.groupBy("game_id").applyInPandas(fold, "game_id long, start long, before long, offset long, delta long, at_base double, at_best double")
+    sums = spans.groupBy("game_id", "start", "offset").agg(F.round(F.sum("overlap"), 9).alias("sum"))
+    scored = windows.join(sums.groupBy("game_id", "start").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset").cast("int"), "sum"))).alias("sums")), ["game_id", "start"], "left")
+    games = scored.groupBy("game_id").agg(F.array_sort(F.transform(F.collect_list(F.struct("start", F.map_entries("sums").alias("sums"))), lambda x: F.struct(x["start"].alias("start"), F.coalesce(x["sums"], F.array().cast("array<struct<key:int,value:double>>")).alias("sums")))).alias("windows"))
+
+    def score(sums, offset):
+        return F.aggregate(sums, F.lit(0.0), lambda total, x: F.when(x["key"] == offset, x["value"]).otherwise(total))
+
+    row = "start: long, base: int, best: int, at_base: double, at_best: double, transition: boolean"
+
+    def fold(state, x):
+        base = state["base"]
+        tried = F.transform(F.sequence(F.greatest(F.lit(-far), base - near), F.least(F.lit(far), base + near)), lambda o: F.struct((-score(x["sums"], o)).alias("a"), o.alias("o")))
+        made = F.transform(F.array(F.struct(F.array_min(tried).alias("m"), score(x["sums"], base).alias("s"))), lambda z: F.struct(x["start"].alias("start"), base.alias("base"), z["m"]["o"].alias("best"), z["s"].alias("at_base"), (-z["m"]["a"]).alias("at_best"), ((z["m"]["o"] != base) & (-z["m"]["a"] > z["s"] + gain)).alias("transition")))
+        return F.element_at(F.transform(made, lambda m: F.struct(F.when(m["transition"], m["best"]).otherwise(base).alias("base"), F.concat(state["rows"], F.array(m)).alias("rows"))), 1)
+
+    begin = F.struct(F.lit(0).alias("base"), F.array().cast(f"array<struct<{row}>>").alias("rows"))
+    return games.select("game_id", F.explode(F.aggregate("windows", begin, fold)["rows"]).alias("w")).select("game_id", "w.*")
+
+
+def running_offset(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
+    """(game_id, start, before, offset, delta, at_base, at_best): the transitions of offset_windows()."""
+    moved = offset_windows(c, window, step, near, far, gain).where("transition")
+    return moved.select("game_id", "start", F.col("base").cast("long").alias("before"), F.col("best").cast("long").alias("offset"), (F.col("best") - F.col("base")).cast("long").alias("delta"), "at_base", "at_best")
 
 
 def repeated_rows(c: DataFrame) -> DataFrame:

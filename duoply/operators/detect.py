@@ -68,6 +68,15 @@ def classify_tiers(merged: DataFrame) -> DataFrame:
     return merged.select("game_id", "ply", tier.alias("tier"))
 
 
+#: Tiers that a mode locks (fixed values).
+LOCKS = {"none": (), "tier1": (1,), "tier1+2": (1, 2)}
+
+
+def locked_plies(tiers: DataFrame, mode: str) -> DataFrame:
+    """(game_id, ply) that may no longer change, of tiers(game_id, ply, tier), under a mode of LOCKS."""
+    return tiers.where(F.col("tier").isin(*LOCKS[mode]) if LOCKS[mode] else F.lit(False)).select("game_id", "ply")
+
+
 def simple_tail_noise(tops: DataFrame) -> DataFrame:
     """(game_id, sheet, start): conservative start of tail noise: 4 or more trailing weak readings; else a move 4 times in the last 6; else a weak mean of the last 4 with 3 trailing weak ones."""
     t = tops.withColumn("back", F.row_number().over(backward())).withColumn("weak", F.col("conf") < 0.40)
@@ -138,14 +147,17 @@ def clusters_1d(values: DataFrame, keys: tuple[str, ...], value: str, tolerance:
 
 
 def repeated_pawn_targets(tops: DataFrame) -> DataFrame:
-    """(game_id, sheet, ply, anchor_ply): pawn moves of one colour to a square where the same file's pawn already went, without a pawn capture onto that file between."""
-    t = tops.withColumns({"half": F.col("ply") % 2, "target": F.regexp_extract("move", "^(?:[a-h]x)?([a-h][1-8])[+#]?$", 1), "file": F.regexp_extract("move", "^([a-h])", 1)}).where("target <> ''")
-    t = t.withColumn("source", F.substring("file", 1, 1))
-    onto = Window.partitionBy("game_id", "sheet", "half", F.substring("target", 1, 1)).orderBy("ply")
-    t = t.withColumn("captures", F.sum(F.col("move").rlike("^[a-h]x").cast("int")).over(onto))
-    w = Window.partitionBy("game_id", "sheet", "half", "source", "target").orderBy("ply")
-    t = t.withColumns({"anchor_ply": F.first("ply").over(w), "anchor_captures": F.first("captures").over(w)})
-    return t.where("ply > anchor_ply and captures = anchor_captures").select("game_id", "sheet", "ply", "anchor_ply")
+    """(game_id, sheet, ply, anchor_ply, suspect_ply): pawn moves of one colour and file that go where an earlier one of that file went, unless a pawn of that colour has captured onto the file before. The first such move is the anchor; the one of lower confidence is suspect, the later if they are equal. tops(game_id, sheet, ply, move, conf)."""
+    bare = F.regexp_replace("move", "[+#x=]", "")
+    bare = F.when((F.length(bare) >= 3) & F.substring(bare, -1, 1).isin(*"QRBN"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    t = tops.withColumns({"half": F.col("ply") % 2, "source": F.substring("move", 1, 1), "target": F.regexp_extract(bare, "([a-h][1-8])$", 1)}).where("source rlike '^[a-h]$' and target <> ''")
+    onto = F.substring("target", 1, 1)
+    key = ["game_id", "sheet", "half"]
+    entered = t.where(F.col("move").contains("x") & (onto != F.col("source"))).groupBy(*key, onto.alias("source")).agg(F.min("ply").alias("entered"))
+    w = Window.partitionBy(*key, "source", "target").orderBy("ply")
+    first = t.withColumns({"anchor_ply": F.first("ply").over(w), "anchor_conf": F.first("conf").over(w)}).where("ply > anchor_ply")
+    found = first.join(entered, [*key, "source"], "left").where("entered is null or entered >= ply")
+    return found.select("game_id", "sheet", "ply", "anchor_ply", F.when(F.col("anchor_conf") < F.col("conf"), F.col("anchor_ply")).otherwise(F.col("ply")).alias("suspect_ply"))
 
 
 def attention(rows: DataFrame, seconds: int = C.ATTENTION_SECONDS) -> DataFrame:

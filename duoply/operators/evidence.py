@@ -294,7 +294,8 @@ def components(fixes: DataFrame) -> DataFrame:
     lenient, pattern, root_duplicate, duplicate, ambiguous, absurdity. Reach
     counts 10 a ply up to 50, and one more for each ply beyond five where the fix
     isn't before the stuck ply or ends the game; a fix without reach loses by
-    similarity, and 5 for each ply in front of the stuck one up to 30.
+    similarity, and 5 for each ply in front of the stuck one up to 30. Of
+    config.SCORE_INPUTS those that are columns of fixes count as they are (null as 0).
     """
     c, one = F.col, lambda flag: flag.cast("double")
     none = c("reach") <= 0
@@ -308,13 +309,20 @@ def components(fixes: DataFrame) -> DataFrame:
         "zero_reach": F.when(none, steps).otherwise(0), "distance": F.when(none & (c("ply") != c("stuck_ply")), F.least((c("stuck_ply") - c("ply")) * 5, F.lit(30))).otherwise(0),
         "direct": F.when(~none & (c("ply") == c("stuck_ply")), 15).otherwise(0), "absurdity": c("absurdity"),
     }
+    values |= {k: F.coalesce(c(k), F.lit(0)) for k in C.SCORE_INPUTS if k in fixes.columns}
     return fixes.withColumn("components", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("double")))))
 
 
-def weighted(fixes: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, score): components times weights(name, weight), summed; a component without a weight counts as it is, so one is left out by weight 0."""
-    parts = fixes.select(*keys, F.explode("components").alias("name", "value")).join(F.broadcast(weights), "name", "left")
-    return parts.groupBy(*keys).agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("score"))
+def weighted(fixes: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, score): components times their weights, summed in each row; a component without a weight counts as it is, so one is left out by weight 0."""
+    known = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w)))) if weights else F.lit(None).cast("map<string,double>")
+    score = F.aggregate(F.map_entries("components"), F.lit(0.0), lambda total, x: total + x["value"] * F.coalesce(F.try_element_at(known, x["key"]), F.lit(1.0)))
+    return fixes.select(*keys, score.alias("score"))
+
+
+def ranked_fixes(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """scores with place: the rank of a fix among those of its keys by score, equal scores (to nine digits) sharing one."""
+    return scores.withColumn("place", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)))))
 
 
 def rescore(scores: DataFrame, evidence: DataFrame | None, keys: list[str], weight: float, abstain: float) -> DataFrame:

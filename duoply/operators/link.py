@@ -156,3 +156,60 @@ def event_types(pairings: DataFrame) -> DataFrame:
     rounds = pairings.groupBy("section").agg(F.count_distinct("round").alias("rounds"))
     fits = (F.col("most") == 1) & F.col("rounds").isin(F.col("players"), F.col("players") - 1)
     return rounds.join(players, "section", "left").join(pairs, "section", "left").select("section", "players", "rounds", F.when(fits, "round robin").otherwise("swiss").alias("event_type"))
+
+
+def union_parts(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts of an event, whose keys are disjoint; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def union_headers(heads: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, event, site, starts, ends, sections) of the parts' heads (keys, order, section, event, site, starts, ends): the first event and site that aren't empty, in the given order, the earliest start, the latest end, and all sections by name. Dates are texts that sort."""
+    first = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.struct(*order))), F.lit("")).alias(c)
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    return heads.groupBy(*keys).agg(first("event"), first("site"), F.min(some("starts")).alias("starts"), F.max(some("ends")).alias("ends"), F.array_sort(F.collect_set(some("section"))).alias("sections"))
+
+
+#: Where nothing is known (fixed values).
+NO_DATE, NO_EVENT = "????.??.??", "Tournament"
+#: Optional tags of a pairing, and the columns they come from.
+PAIRING_TAGS = {
+    "WhiteElo": "white_rtg", "BlackElo": "black_rtg", "WhiteTitle": "white_title", "BlackTitle": "black_title", "WhiteNationalId": "white_id", "BlackNationalId": "black_id",
+    "WhiteFideId": "white_fide_id", "BlackFideId": "black_fide_id",
+}
+
+
+def build_headers(games: DataFrame, pairings: DataFrame, tournaments: DataFrame, profiles: DataFrame, overrides: DataFrame, date: str = NO_DATE) -> DataFrame:
+    """(game_id, headers map) of each game: seven tags, and optional ones where they are known.
+
+    An override wins over the pairing, that over the tournament, that over the
+    place of the sheet's profile, and that over a default. games(game_id,
+    section, round, board, pairing_id, profile); pairings(pairing_id,
+    white_name, black_name, result, date, and columns of PAIRING_TAGS as far as
+    there are); tournaments(section, event, site, start_date, country,
+    event_type, rounds); profiles(profile, site, country); overrides(game_id,
+    headers map). Empty texts and zeros count as unknown; the round is
+    round.board, the round, ?.board, or ?.
+    """
+    known = lambda c: F.nullif(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("0"))
+    p = pairings.select("pairing_id", *(known(c).alias(f"_p_{c}") for c in ("white_name", "black_name", "result", "date")), *(known(c).alias(f"_p_{c}") for c in PAIRING_TAGS.values() if c in pairings.columns))
+    t = tournaments.select("section", *(known(c).alias(f"_t_{c}") for c in ("event", "site", "start_date", "country", "event_type", "rounds")), F.lit(True).alias("_t"))
+    f = profiles.select("profile", *(known(c).alias(f"_f_{c}") for c in ("site", "country")))
+    o = overrides.select("game_id", F.col("headers").alias("_o"))
+    g = games.join(p, "pairing_id", "left").join(t, "section", "left").join(f, "profile", "left").join(o, "game_id", "left")
+    of = lambda c: F.coalesce(*(F.col(x) for x in c.split() if x in g.columns), F.lit(None).cast("string"))
+    round_, board = F.col("round").cast("string"), F.col("board").cast("string")
+    place = F.coalesce(F.concat_ws(".", F.coalesce(round_, F.lit("?")), board), F.lit("?"))
+    tags = {
+        "Event": F.coalesce(of("_t_event"), F.lit(NO_EVENT)), "Site": F.coalesce(of("_t_site _f_site"), F.lit("?")), "Date": F.coalesce(of("_p_date _t_start_date"), F.lit(date)), "Round": place,
+        "White": F.coalesce(of("_p_white_name"), F.lit("?")), "Black": F.coalesce(of("_p_black_name"), F.lit("?")), "Result": F.coalesce(of("_p_result"), F.lit("*")),
+        "Section": known("section"), **{tag: of(f"_p_{c}") for tag, c in PAIRING_TAGS.items()},
+        "EventDate": of("_t_start_date"), "EventCountry": of("_t_country _f_country"), "EventType": F.when(F.col("_t"), F.coalesce(of("_t_event_type"), F.lit("tourn"))), "EventRounds": of("_t_rounds"),
+    }
+    found = F.map_filter(F.create_map(*(x for k, v in tags.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    own = F.coalesce("_o", F.from_json(F.lit("{}"), "map<string,string>"))
+    rest = F.map_filter(found, lambda k, v: ~F.map_contains_key(own, k))
+    return g.select("game_id", F.map_concat(rest, own).alias("headers"))

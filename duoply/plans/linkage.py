@@ -344,15 +344,26 @@ def win15_next_item(spark, sf_dir):
     return V.next_item(b, ["section", "round", "hall"], [F.asc_nulls_last("board"), "game_id"], F.col("review") == 0).select("game_id", "next_id")
 
 
-@query("SELECT section, count(*) AS n, count_if(section IN ('S0', 'S1') AND length(result_raw) > 0)::BIGINT AS with_result, strftime(min(played_at), '%Y.%m.%d') AS starts, strftime(max(played_at), '%Y.%m.%d') AS ends FROM pairings GROUP BY ALL")
+@query("SELECT section, count(*) AS n, count_if(section IN ('S0', 'S1') AND length(result_raw) > 0)::BIGINT AS with_result, strftime(min(played_at), '%Y.%m.%d') AS starts, strftime(max(played_at), '%Y.%m.%d') AS ends FROM pairings GROUP BY ALL", "pairings")
 def set01_union_parts(spark, sf_dir):
     """All sections, half of them from a source without results."""
     p = view(spark, sf_dir, "pairings")
-    both = p.where("section in ('S0', 'S1')").unionByName(p.where("section not in ('S0', 'S1')").drop("result_raw"), allowMissingColumns=True)
+    both = L.union_parts([p.where("section in ('S0', 'S1')"), p.where("section not in ('S0', 'S1')").drop("result_raw")])
     day = lambda f: F.date_format(f("played_at"), "yyyy.MM.dd")
     return both.groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.length("result_raw") > 0).alias("with_result"), day(F.min).alias("starts"), day(F.max).alias("ends"))
 
 
+@query("""WITH h AS (SELECT board % 20 AS event_id, round AS part, section, CASE WHEN pairing_id % 3 = 0 THEN 'E' || pairing_id ELSE '' END AS event, CASE WHEN pairing_id % 5 = 0 THEN 'City ' || section END AS site, played_at FROM pairings WHERE board IS NOT NULL QUALIFY row_number() OVER (PARTITION BY board % 20, round, section ORDER BY pairing_id) = 1)
+SELECT event_id, coalesce(arg_min(event, (part, section)) FILTER (event <> ''), '') AS event, coalesce(arg_min(site, (part, section)) FILTER (site <> ''), '') AS site, strftime(min(played_at), '%Y.%m.%d') AS starts, strftime(max(played_at), '%Y.%m.%d') AS ends, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM h GROUP BY event_id""", "pairings")
+def set01_union_headers(spark, sf_dir):
+    """Parts of one event: rounds and sections, of which some name it, its place, or neither."""
+    k, key = F.col("pairing_id"), (F.col("board") % 20).alias("event_id")
+    first = view(spark, sf_dir, "pairings").where("board is not null").groupBy(key, F.col("round").alias("part"), "section").agg(F.min_by(F.struct("pairing_id", "played_at"), "pairing_id").alias("p")).select("event_id", "part", "section", "p.*")
+    day = F.date_format("played_at", "yyyy.MM.dd")
+    heads = first.select("event_id", "part", "section", F.when(k % 3 == 0, F.concat(F.lit("E"), k.cast("string"))).otherwise("").alias("event"), F.when(k % 5 == 0, F.concat(F.lit("City "), F.col("section"))).alias("site"), day.alias("starts"), day.alias("ends"))
+    return L.union_headers(heads, ["event_id"], ["part", "section"]).withColumn("sections", F.array_join("sections", ","))
+
+
 SIM = "CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END"
 
 
@@ -364,23 +375,20 @@ def with_components(spark, sf_dir) -> DataFrame:
     f, ply = view(spark, sf_dir, "fixes"), F.col("ply")
     sim = F.when(F.col("similarity") > 1, F.col("similarity") / 100).otherwise(F.col("similarity"))
     best = f.groupBy(*FIX).agg(F.max(sim).alias("similarity"))
-    known = {"stuck_ply": F.lit(8), "reach": (ply * 3 + F.length("san")) % 12 - 2, "completes": ply % 5 == 0, "low_conf": ply % 4 == 1, "conf": (ply % 10).cast("double") / 10, "lenient": F.when(ply % 6 == 0, 20).when(ply % 6 == 3, 10).otherwise(0), "pattern": (ply * 7) % 31, "root_duplicate": ply % 9 == 0, "duplicate": ply % 9 == 4, "ambiguous": F.col("san").contains("+"), "absurdity": ply % 3}
+    known = {"stuck_ply": F.lit(8), "reach": (ply * 3 + F.length("san")) % 12 - 2, "completes": ply % 5 == 0, "low_conf": ply % 4 == 1, "conf": (ply % 10).cast("double") / 10, "lenient": F.when(ply % 6 == 0, 20).when(ply % 6 == 3, 10).otherwise(0), "pattern": (ply * 7) % 31, "root_duplicate": ply % 9 == 0, "duplicate": ply % 9 == 4, "ambiguous": F.col("san").contains("+"), "absurdity": ply % 3, "future_capture": ply % 4, "hanging": F.when(ply % 2 == 1, 3)}
     return E.components(best.withColumns(known))
 
 
-def weights_of(spark) -> DataFrame:
-    return spark.createDataFrame(list(C.SCORE_WEIGHTS.items()), "name string, weight double")
-
-
 SCORED = f"""b AS (SELECT game_id, method, ply, san, max({SIM}) AS sim, (ply * 3 + length(san)) % 12 - 2 AS reach FROM fixes GROUP BY ALL), sc AS (SELECT game_id, method, ply, san, sim,
 40 * sim + 15 * ((ply % 10)::DOUBLE / 10) + CASE WHEN ply % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN ply % 4 = 1 AND ply % 10 > 0 THEN 10 ELSE 0 END + CASE WHEN contains(san, '+') THEN 10 ELSE 0 END + least(reach * 10, 50) + CASE WHEN ply >= 8 OR ply % 5 = 0 THEN greatest(reach - 5, 0) ELSE 0 END
 + CASE ply % 6 WHEN 0 THEN 20 WHEN 3 THEN 10 ELSE 0 END + least(ply * 7 % 31, 30) + CASE WHEN ply % 9 = 0 AND ply <> 8 THEN 25 WHEN ply % 9 IN (0, 4) THEN 15 ELSE 0 END - CASE WHEN reach > 0 THEN 0 WHEN sim >= 0.95 THEN 5 WHEN sim >= 0.9 THEN 15 WHEN sim >= 0.8 THEN 25 WHEN sim >= 0.7 THEN 32 ELSE 40 END
-- CASE WHEN reach <= 0 AND ply <> 8 THEN least((8 - ply) * 5, 30) ELSE 0 END + CASE WHEN reach > 0 AND ply = 8 THEN 15 ELSE 0 END - ply % 3 AS score FROM b)"""
+- CASE WHEN reach <= 0 AND ply <> 8 THEN least((8 - ply) * 5, 30) ELSE 0 END + CASE WHEN reach > 0 AND ply = 8 THEN 15 ELSE 0 END - ply % 3 + ply % 4 - 3 * (ply % 2) AS score FROM b)"""
 
 
-@query(f"WITH {SCORED} SELECT game_id, method, ply, san, round(score, 6) AS score FROM sc", "fixes")
+@query(f"WITH {SCORED} SELECT game_id, method, ply, san, round(score, 6) AS score, rank() OVER (PARTITION BY game_id, method ORDER BY round(score, 9) DESC) AS place FROM sc", "fixes")
 def rnk04_additive_score(spark, sf_dir):
-    return E.weighted(with_components(spark, sf_dir), weights_of(spark), FIX).withColumn("score", F.round("score", 6))
+    scores = E.weighted(with_components(spark, sf_dir), C.SCORE_WEIGHTS, FIX)
+    return E.ranked_fixes(scores, ["game_id", "method"]).withColumns({"score": F.round("score", 6), "place": F.col("place").cast("long")})
 
 
 PRIOR = "CASE WHEN ply % 4 = 0 THEN ln((ply % 7 + 1)::DOUBLE / 10) END"
@@ -391,7 +399,7 @@ def rnk05_evidence_rescore(spark, sf_dir):
     f = with_components(spark, sf_dir)
     ctc = f.where("ply % 3 = 0").select(*FIX, (-10.0 * F.col("similarity")).alias("value"))
     prior = f.where("ply % 4 = 0").select(*FIX, F.log((F.col("ply") % 7 + 1) / 10).alias("value"))
-    s = E.rescore(E.weighted(f, weights_of(spark), FIX), ctc, FIX, C.CTC_WEIGHT, C.CTC_ABSTAIN)
+    s = E.rescore(E.weighted(f, C.SCORE_WEIGHTS, FIX), ctc, FIX, C.CTC_WEIGHT, C.CTC_ABSTAIN)
     s = E.rescore(s, prior, FIX, C.PRIOR_WEIGHT, math.log(1e-4)).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("game_id", "method").orderBy(F.desc("score"), "ply", "san")
     return s.withColumn("place", F.row_number().over(order).cast("long"))
@@ -403,7 +411,7 @@ TRIED = (0.0, 1.0, 3.0, 10.0, 30.0)
 def decisions_of(spark, sf_dir) -> DataFrame:
     """Candidates of each decision (a game's ply), with a score, an evidence value and whether they are right."""
     f = with_components(spark, sf_dir)
-    s = E.weighted(f, weights_of(spark), FIX).groupBy("game_id", "ply", "san").agg(F.max("score").alias("score"))
+    s = E.weighted(f, C.SCORE_WEIGHTS, FIX).groupBy("game_id", "ply", "san").agg(F.max("score").alias("score"))
     value = F.log((F.length("san") * 5 + F.col("ply") * F.ascii("san")) % 9 + 1) - F.log(F.lit(10.0))
     truth = F.col("san") == F.min("san").over(Window.partitionBy("game_id", "ply"))
     return s.select(F.col("game_id").alias("group"), F.col("ply").alias("decision"), F.col("san").alias("text"), "score", value.alias("value"), truth.alias("correct"))
@@ -447,3 +455,30 @@ def rnk10_merge_ranked_lists(spark, sf_dir):
     m = b.withColumn("k", F.row_number().over(Window.partitionBy("game_id", "ply", "san").orderBy(F.desc("score"), "method"))).where("k = 1")
     m = m.withColumns({"total": F.count("*").over(Window.partitionBy("game_id")), "k": F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("score"), "ply", "san"))})
     return m.where("k <= 20").select("game_id", "ply", "san", "method", F.round("score", 6).alias("score"), "total")
+
+
+@query("""WITH g AS (SELECT file_id, section, round, CASE WHEN file_id % 8 <> 3 THEN board END AS board, CASE WHEN file_id % 5 <> 0 THEN file_id END AS pairing_id, 'P' || file_id % 3 AS profile FROM (SELECT file_id, 'S' || file_id % 6 AS section, CASE WHEN file_id % 7 <> 2 THEN file_id % 9 + 1 END AS round, file_id // 40 + 1 AS board FROM files)),
+t AS (SELECT 'S' || k AS section, CASE WHEN k <> 2 THEN 'Open ' || k END AS event, CASE WHEN k = 1 THEN 'Town' END AS site, CASE WHEN k <> 3 THEN '2024.05.0' || (k + 1) END AS start_date, CASE WHEN k = 1 THEN 'CAN' END AS country, CASE WHEN k = 2 THEN 'swiss' END AS event_type, k * 3 AS rounds FROM range(0, 4) t(k)),
+f AS (SELECT 'P' || k AS profile, CASE WHEN k = 1 THEN 'Hall' END AS site, CASE WHEN k <> 2 THEN 'USA' END AS country FROM range(0, 3) t(k)),
+p AS (SELECT pairing_id, white_name, black_name, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, CASE WHEN pairing_id % 4 = 1 THEN strftime(played_at, '%Y.%m.%d') END AS date, white_rtg, black_rtg, CASE WHEN pairing_id % 6 = 1 THEN 'FM' ELSE '' END AS white_title, pairing_id * 10 AS white_fide_id FROM pairings),
+j AS (SELECT g.*, p.*, t.*, f.site AS fsite, f.country AS fcountry, t.section IS NOT NULL AS known FROM g LEFT JOIN p ON g.pairing_id = p.pairing_id LEFT JOIN t ON g.section = t.section LEFT JOIN f ON g.profile = f.profile),
+tags AS (SELECT file_id AS game_id, unnest([{'k': 'Event', 'v': CASE WHEN file_id % 12 = 4 THEN 'Mine' ELSE coalesce(event, 'Tournament') END}, {'k': 'Site', 'v': coalesce(site, fsite, '?')}, {'k': 'Date', 'v': coalesce(date, start_date, '????.??.??')},
+  {'k': 'Round', 'v': CASE WHEN round IS NULL AND board IS NULL THEN '?' WHEN board IS NULL THEN round::VARCHAR ELSE coalesce(round::VARCHAR, '?') || '.' || board END}, {'k': 'White', 'v': CASE WHEN file_id % 12 = 4 THEN '' ELSE coalesce(white_name, '?') END}, {'k': 'Black', 'v': coalesce(black_name, '?')}, {'k': 'Result', 'v': coalesce(result, '*')}, {'k': 'Section', 'v': section},
+  {'k': 'WhiteElo', 'v': nullif(white_rtg, 0)::VARCHAR}, {'k': 'BlackElo', 'v': nullif(black_rtg, 0)::VARCHAR}, {'k': 'WhiteTitle', 'v': nullif(white_title, '')}, {'k': 'WhiteFideId', 'v': nullif(white_fide_id, 0)::VARCHAR},
+  {'k': 'EventDate', 'v': start_date}, {'k': 'EventCountry', 'v': coalesce(country, fcountry)}, {'k': 'EventType', 'v': CASE WHEN known THEN coalesce(event_type, 'tourn') END}, {'k': 'EventRounds', 'v': nullif(rounds, 0)::VARCHAR}, {'k': 'ECO', 'v': CASE WHEN file_id % 12 = 4 THEN 'C20' END}]) AS x FROM j)
+SELECT game_id, string_agg(x.k || '=' || x.v, ';' ORDER BY x.k) AS headers FROM tags WHERE x.v IS NOT NULL GROUP BY game_id""", "files pairings")
+def fn14_build_headers(spark, sf_dir):
+    """Games with and without pairing, tournament and profile; some have headers of the caller's own, one of them empty."""
+    k = F.col("file_id")
+    at = lambda flag, v: F.when(flag, v)
+    games = view(spark, sf_dir, "files").select(k.alias("game_id"), F.concat(F.lit("S"), (k % 6).cast("string")).alias("section"), at(k % 7 != 2, k % 9 + 1).alias("round"), at(k % 8 != 3, (F.floor(k / 40) + 1).cast("long")).alias("board"), at(k % 5 != 0, k).alias("pairing_id"), F.concat(F.lit("P"), (k % 3).cast("string")).alias("profile"))
+    i = F.col("pairing_id")
+    pairings = view(spark, sf_dir, "pairings").select(i, "white_name", "black_name", F.replace(F.replace("result_raw", F.lit(" ")), F.lit("½-½"), F.lit("1/2-1/2")).alias("result"), at(i % 4 == 1, F.date_format("played_at", "yyyy.MM.dd")).alias("date"), "white_rtg", "black_rtg", F.when(i % 6 == 1, "FM").otherwise("").alias("white_title"), (i * 10).alias("white_fide_id"))
+    n = F.col("id")
+    s = n.cast("string")
+    tournaments = spark.range(4).select(F.concat(F.lit("S"), s).alias("section"), at(n != 2, F.concat(F.lit("Open "), s)).alias("event"), at(n == 1, "Town").alias("site"), at(n != 3, F.concat(F.lit("2024.05.0"), (n + 1).cast("string"))).alias("start_date"), at(n == 1, "CAN").alias("country"), at(n == 2, "swiss").alias("event_type"), (n * 3).alias("rounds"))
+    profiles = spark.range(3).select(F.concat(F.lit("P"), s).alias("profile"), at(n == 1, "Hall").alias("site"), at(n != 2, "USA").alias("country"))
+    overrides = games.where("game_id % 12 = 4").select("game_id", F.create_map(*map(F.lit, ("Event", "Mine", "White", "", "ECO", "C20"))).alias("headers"))
+    found = L.build_headers(games, pairings, tournaments, profiles, overrides)
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return found.select("game_id", F.array_join(pairs, ";").alias("headers"))

@@ -140,6 +140,13 @@ def win09_classify_tiers(spark, sf_dir):
     return tiers(spark, sf_dir)
 
 
+@query(f"WITH {TIERS} SELECT 'tier1' AS mode, game_id, count_if(tier = 1) AS n, max(ply) FILTER (tier = 1) AS last FROM tier GROUP BY game_id HAVING n > 0 UNION ALL SELECT 'tier1+2', game_id, count_if(tier < 3), max(ply) FILTER (tier < 3) FROM tier GROUP BY game_id HAVING count_if(tier < 3) > 0")
+def win09_locked_plies(spark, sf_dir):
+    t = tiers(spark, sf_dir)
+    of = lambda mode: D.locked_plies(t, mode).groupBy(F.lit(mode).alias("mode"), "game_id").agg(F.count("*").alias("n"), F.max("ply").alias("last"))
+    return of("none").union(of("tier1")).union(of("tier1+2"))
+
+
 def scores(spark, sf_dir) -> DataFrame:
     """Overlap of every ply of a game, 0 where nothing is shared."""
     c = cand(spark, sf_dir)
@@ -235,10 +242,15 @@ def win10_gap_clusters_1d(spark, sf_dir):
     return rounded(D.clusters_1d(view(spark, sf_dir, "boxes"), ("sheet_id",), "x_frac", 0.02), "centre")
 
 
-@query(f"""WITH {TOPS}, w AS (SELECT game_id, sheet, ply, ply % 2 AS h, regexp_extract(move, '^([a-h][1-8])[+#]?$', 1) AS target FROM tp), x AS (SELECT * FROM w WHERE target <> '')
-SELECT game_id, sheet, ply, first_value(ply) OVER q AS anchor_ply FROM x WINDOW q AS (PARTITION BY game_id, sheet, h, target ORDER BY ply) QUALIFY row_number() OVER q > 1""")
+@query(f"""WITH {TOPS}, m AS (SELECT game_id, sheet, ply, ply % 2 AS h, conf, CASE WHEN move[1] = 'x' THEN translate(move[2], 'abcdefgh', 'badcfehg') || move ELSE move END AS move FROM tp),
+w AS (SELECT *, move[1] AS source, regexp_extract(move, '([a-h][1-8])[+#]?$', 1) AS target, contains(move, 'x') AS takes FROM m WHERE regexp_matches(move, '^[a-h]')),
+f AS (SELECT *, first_value(ply) OVER q AS anchor_ply, first_value(conf) OVER q AS anchor_conf FROM w WINDOW q AS (PARTITION BY game_id, sheet, h, source, target ORDER BY ply))
+SELECT game_id, sheet, ply, anchor_ply, CASE WHEN anchor_conf < conf THEN anchor_ply ELSE ply END AS suspect_ply FROM f
+WHERE ply > anchor_ply AND NOT EXISTS (SELECT 1 FROM w c WHERE c.game_id = f.game_id AND c.sheet = f.sheet AND c.h = f.h AND c.takes AND c.target[1] = f.source AND c.ply < f.ply)""")
 def win11_repeated_pawn_targets(spark, sf_dir):
-    return D.repeated_pawn_targets(top_rows(spark, sf_dir))
+    """Pawn captures are written with the file next to their target."""
+    move = F.when(F.col("move").startswith("x"), F.concat(F.translate(F.substring("move", 2, 1), "abcdefgh", "badcfehg"), F.col("move"))).otherwise(F.col("move"))
+    return D.repeated_pawn_targets(top_rows(spark, sf_dir).withColumn("move", move))
 
 
 @query(f"WITH {TOPS}, b AS (SELECT game_id, sheet, min(ply) FILTER (NOT legal) AS bad FROM tp GROUP BY ALL) SELECT game_id, sheet, ply FROM tp JOIN b USING (game_id, sheet) WHERE (bad IS NULL OR ply < bad) AND contains(move, '+') AND ply % 3 <> 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duoply.fixtures import oracle, table, view
 from duoply.operators import align as A
 from duoply.operators import evidence as E
+from duoply.plans.columns import NORM
 from duoply.plans.readings import cand, shifted
 from duoply.sources import games as G
 from duoply.sources.shared import kept, new_folder
@@ -49,9 +50,28 @@ def seq03_alignment_cascade(spark, sf_dir):
     return A.cascade(faulty(spark, sf_dir))
 
 
-@query()
+#: Windows of eight plies in DuckDB, each with what the sheets share at offsets -12 to 12, folded in order.
+OFFSETS = f"""c AS (SELECT game_id, sheet, ply + CASE WHEN sheet = 2 AND game_id % 3 = 0 THEN 4 ELSE 0 END AS ply, rk, {NORM.format('move')} AS norm, conf FROM candidates),
+o AS (SELECT a.game_id, a.i, b.ply - a.i AS shift, sum(a.a + b.conf) AS overlap FROM (SELECT game_id, ply AS i, norm, arg_max(conf, rk) AS a FROM c WHERE sheet = 1 AND norm <> '' GROUP BY ALL) a JOIN c b ON b.sheet = 2 AND b.norm <> '' AND b.game_id = a.game_id AND b.norm = a.norm AND abs(b.ply - a.i) <= 12 GROUP BY ALL),
+l AS (SELECT game_id, greatest(0, max(ply) - 7) AS last FROM c GROUP BY game_id), st AS (SELECT game_id, unnest(list_distinct(list_append(list_transform(range(0, last // 2 + 1), lambda k: k * 2), last))) AS start FROM l),
+cells AS (SELECT st.game_id, st.start, f.f AS shift, round(coalesce(sum(o.overlap), 0), 9) AS s FROM st CROSS JOIN (SELECT unnest(range(-12, 13)) AS f) f LEFT JOIN o ON o.game_id = st.game_id AND o.shift = f.f AND o.i BETWEEN st.start AND st.start + 7 GROUP BY ALL),
+win AS (SELECT game_id, start, list(s ORDER BY shift) AS s, row_number() OVER (PARTITION BY game_id ORDER BY start) AS k FROM cells GROUP BY game_id, start),
+walk(game_id, k, next, start, base, best, at_base, at_best, transition) AS (
+  SELECT game_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, false FROM l
+  UNION ALL
+  SELECT game_id, k, CASE WHEN best <> base AND at_best > at_base + 0.2::DOUBLE THEN best ELSE base END, start, base, best, at_base, at_best, best <> base AND at_best > at_base + 0.2::DOUBLE FROM (
+    SELECT w.game_id, w.k, w.start, p.next AS base, list_max(near) AS at_best, s[p.next + 13] AS at_base, greatest(-12, p.next - 4) + list_position(near, list_max(near)) - 1 AS best
+    FROM walk p JOIN (SELECT * FROM win) w ON w.game_id = p.game_id AND w.k = p.k + 1, LATERAL (SELECT s[greatest(-12, p.next - 4) + 13 : least(12, p.next + 4) + 13] AS near)))"""
+
+
+@query(f"WITH RECURSIVE {OFFSETS} SELECT game_id, start, base AS before, best AS offset, best - base AS delta, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best FROM walk WHERE transition")
 def seq04_running_offset(spark, sf_dir):
-    return A.running_offset(shifted(spark, sf_dir))
+    return rounded(A.running_offset(shifted(spark, sf_dir)), "at_base", "at_best")
+
+
+@query(f"WITH RECURSIVE {OFFSETS} SELECT game_id, start, base::INTEGER AS base, best::INTEGER AS best, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best, transition FROM walk WHERE k > 0")
+def seq04_window_map(spark, sf_dir):
+    return rounded(A.offset_windows(shifted(spark, sf_dir)), "at_base", "at_best")
 
 
 @query()
