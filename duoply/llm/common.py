@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duoply.operators.order import fresh
+
 #: Bytes of a batch that a worker turns into Python objects at a time.
 STRIDE = 2 << 20
 
@@ -78,9 +80,13 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
 
 
 def sampled(df: DataFrame, label: str, most: int, labels: int = 256) -> DataFrame:
-    """About `most` rows of each of the `labels` most frequent labels (all, if there are fewer), chosen by a hash of doc_id: the bound of what is learned from."""
+    """About `most` rows of each of the `labels` most frequent labels (all, if there are fewer): the bound of what is learned from. Rows are chosen by a hash of all their columns and their place in the input, so null or repeated ids, and equal rows, are chosen apart from each other; the same files give the same rows."""
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()}
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1 << 20, int(most / n * (1 << 20))))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share) if counts else df.limit(0)
+    if not counts:
+        return df.limit(0)
+    draw, limit = fresh(df.columns, 2)
+    drawn = df.withColumns({draw: F.pmod(F.xxhash64(F.monotonically_increasing_id(), *df.columns), F.lit(1 << 20)), limit: share})
+    return drawn.where(F.col(draw) < F.col(limit)).drop(draw, limit)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoply.llm.common import by_batch, saved, strides
+from duoply.operators.order import fresh
 
 FILTERS = pa.schema([("shard", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -116,7 +117,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, most_bits: int = 1 << 27) -> D
     smallest doc_id. A null or empty text is one empty line; rows with the same
     doc_id count as one document and keep their lines alike; a null doc_id
     holds no line, so its lines stay and make no others go. Columns n_lines and
-    n_dropped of the input are replaced. The filter has PER_LINE bits a line,
+    n_dropped of the input are replaced; all others stay, whatever their names. The filter has PER_LINE bits a line,
     `most_bits` at most.
     """
     spark, named = docs.sparkSession, docs.where(F.col("doc_id").isNotNull())
@@ -142,10 +143,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, most_bits: int = 1 << 27) -> D
     often = F.col("_n") > max(1000, suspects.count() // 1000)  # so at most 1000 lines are; these are broadcast, and no task gets all their documents
     common = F.broadcast(repeats.where(often).drop("_n"))
     found = suspects.join(common, "line").union(suspects.join(common, "line", "left_anti").join(repeats.where(~often).drop("_n"), "line"))
-    drops = found.where("doc_id > _keeper").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
-
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(own).join(drops, F.col("doc_id") == F.col("_doc"), "left").select(*own, "_lines")
+    doc, gone_lines = fresh(own, 2)
+    drops = found.where("doc_id > _keeper").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(gone_lines))
+    joined = docs.select(own).join(drops, F.col("doc_id") == F.col(doc), "left").select(*own, gone_lines)
 
     def rebuild(batch):
         at, out = own.index("text"), []

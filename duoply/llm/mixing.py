@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoply.llm.common import saved
+from duoply.operators.order import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,9 +30,9 @@ def shares(sizes: list[int], cap: float, weights: tuple[float, ...] = (1.0, 2.0,
     return np.where(fixed, cap * own, out).tolist()
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """docs with _size, the number of words of each whole text."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def size_of() -> Column:
+    """The number of words of each whole text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int = 1_000_000) -> DataFrame:
@@ -53,7 +54,7 @@ def plan_mix(docs: DataFrame, cap: int = 3, block: int = 512, max_sources: int =
     row a source, at most `max_sources`: more are refused.
     """
     spark, known, key = docs.sparkSession, F.col("source").isNotNull(), F.coalesce("source", F.lit(""))
-    rows_of = sizes(docs.select("source", "doc_id", "text")).groupBy("source", "doc_id", F.col("_size").alias("size")).agg(F.count("*").alias("n_rows"))
+    rows_of = docs.select("source", "doc_id", size_of().alias("size")).groupBy("source", "doc_id", "size").agg(F.count("*").alias("n_rows"))
     light = saved(rows_of)
     table = saved(light.groupBy(known.alias("known"), key.alias("name"), "size").agg(F.sum("n_rows").alias("n")))
     totals = table.groupBy("known", "name").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
@@ -125,10 +126,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     copy is drawn by a hash of the row and its place in the input, so that no
     task must see all of them; their number is met on average.
     """
-    kept = docs.columns
-    plan = plan_mix(docs, **settings).select(*(F.col(c).alias(f"_plan_{c}") for c in ("source", "doc_id", "size", "n_rows", "copies", "extra")))
-    same = [F.col(c).eqNullSafe(F.col(f"_plan_{c}")) for c in ("source", "doc_id")]
-    draw = F.pmod(F.xxhash64("doc_id", "text", "_place"), F.lit(1 << 30)) * F.col("_plan_n_rows") < F.col("_plan_extra") * F.lit(1 << 30)
-    joined = sizes(docs.withColumn("_place", F.monotonically_increasing_id())).join(plan, [*same, F.col("_size") == F.col("_plan_size")])
-    copies = F.col("_plan_copies") + F.when(F.col("_plan_extra") > 0, draw.cast("long")).otherwise(0)
-    return joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(_copies as int))"))).select(kept)
+    kept, wanted = docs.columns, ("source", "doc_id", "size", "n_rows", "copies", "extra")
+    size, place, copies, copy, *planned = fresh(kept, 4 + len(wanted))
+    of = dict(zip(wanted, (F.col(c) for c in planned)))
+    plan = plan_mix(docs, **settings).select(*(F.col(c).alias(p) for c, p in zip(wanted, planned)))
+    same = [F.col(c).eqNullSafe(of[c]) for c in ("source", "doc_id")]
+    draw = F.pmod(F.xxhash64("doc_id", "text", place), F.lit(1 << 30)) * of["n_rows"] < of["extra"] * F.lit(1 << 30)
+    joined = docs.withColumns({place: F.monotonically_increasing_id(), size: size_of()}).join(plan, [*same, F.col(size) == of["size"]])
+    each = joined.withColumn(copies, of["copies"] + F.when(of["extra"] > 0, draw.cast("long")).otherwise(0)).where(F.col(copies) > 0)
+    return each.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(kept)

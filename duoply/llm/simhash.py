@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoply.llm.common import by_batch, saved
+from duoply.operators.order import fresh
 
 #: Shingles hashed at a time, and nodes that a task's forest holds before it passes its edges on.
 BLOCK, NODES = 1 << 15, 1 << 18
@@ -153,12 +154,12 @@ def survivors(docs: DataFrame, words: int = 3) -> DataFrame:
     has one; between rows of one doc_id the digest of the whole row decides.
     """
     cells = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
-    named = docs.withColumns({"_x": F.xxhash64(F.lit(1), *cells), "_y": F.xxhash64(F.lit(2), *cells)})
-    ranks = marked(named.select("text", F.col("doc_id").isNull().alias("none"), "doc_id", "_x", "_y"), words)
+    x, y = fresh([*docs.columns, "_x", "_y"], 2)
+    named = docs.withColumns({x: F.xxhash64(F.lit(1), *cells), y: F.xxhash64(F.lit(2), *cells)})
+    ranks = marked(named.select("text", F.col("doc_id").isNull().alias("none"), "doc_id", F.col(x).alias("_x"), F.col(y).alias("_y")), words)
     classes = saved(ranks.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "_x", "_y")).alias("row")))
     pairs = links(classes.select("fp"))
     found = components(pairs)
     grouped = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "row")
-    keep = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row._x").alias("_keep_x"), F.col("row._y").alias("_keep_y"))
-    rows = named.join(keep, (F.col("_x") == F.col("_keep_x")) & (F.col("_y") == F.col("_keep_y")), "left_semi")
-    return rows.dropDuplicates(["_x", "_y"]).select(docs.columns)
+    keep = grouped.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row._x").alias(x), F.col("row._y").alias(y))
+    return named.join(keep, [x, y], "left_semi").dropDuplicates([x, y]).select(docs.columns)

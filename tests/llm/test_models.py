@@ -319,3 +319,18 @@ def test_learned_partitions_find_most_neighbours(spark):
     assert ann.recall(got, want) >= 0.9
     index = ann.Index(x[:3000].astype(float), 12, 10, 0.97)
     assert index.parts == 12 and index.visits < 12
+
+
+def test_sample_of_rows_without_or_with_one_id(spark):
+    """Null ids, one id for all, and equal rows: every label keeps about its share."""
+    rows = [(i, x, label) for i in (None, 7) for label, n in (("a", 6000), ("b", 400)) for x in ([f"text {k}" for k in range(n // 2)] + ["the same"] * (n // 2))]
+    for doc_id in (None, 7):
+        df = spark.createDataFrame([(i, x, y, 1, "z") for i, x, y in rows if i == doc_id], "doc_id long, text string, label string, _0 int, _1 string").repartition(4)
+        got = Counter(r.label for r in sampled(df, "label", 300).collect())
+        assert 220 < got["a"] < 390 and 220 < got["b"] < 390 and sampled(df, "label", 300).columns == df.columns
+        assert sampled(df, "label", 10**6).count() == df.count()
+
+
+def test_languages_are_learned_without_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de')").withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.fit(langid.learnable(docs), most=200).labels == ["de", "en"]

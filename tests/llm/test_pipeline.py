@@ -131,3 +131,20 @@ def test_simhash_stage_keeps_a_row_of_each_group(spark, documents):
     text = {r.doc_id: (r.text or "")[:20] for r in documents.where("doc_id is not null").collect()}
     want = [(i, text[i]) for i in (1, 2, 5, 7, 8, 10, 12)] + [(1, unique[:20]), (7, other[:20]), (None, "no id and no copy"), (None, "this line stands in ")]
     assert got == Counter(want)
+
+
+def test_columns_of_any_name_come_through(spark, documents):
+    """Stages pick temporary names that the input doesn't have."""
+    names = ["_size", "_place", "_copies", "_copy", "_x", "_y", "_keep_x", "_doc", "_lines", "_keeper", "_n", "_plan_size", "_0", "_1", "_2", "_block", "size", "n_rows", "fp", "row", "line", "key"]
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = documents.select(own).withColumn("n_chars", F.length("text").cast("long"))
+    more = docs.withColumns({n: F.concat_ws("|", F.lit(n), F.col("doc_id").cast("string"), F.col("source")) for n in names})
+    few, many = docs, more
+    for name, stage in P.STAGES[:-1]:
+        few, many = stage(spark, few, SF), stage(spark, many, SF)
+        assert many.columns == more.columns
+        rows = many.collect()
+        assert len(rows) == few.count() or name in ("simhash_dedup", "source_mix")
+        for r in rows:
+            assert all(r[n] == "|".join([n, *(str(v) for v in (r.doc_id, r.source) if v is not None)]) for n in names)
+        assert sorted({(r.doc_id or 0, r.text or "") for r in rows}) == sorted({(r.doc_id or 0, r.text or "") for r in few.collect()}) or name == "source_mix"
