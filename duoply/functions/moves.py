@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duoply.config import CONFUSABLE, NEUTRAL_SIMILARITY
 
+#: Forms of a move text (format of the notation).
 PLAIN = r"^([KQRBN])?([a-h])?([1-8])?(x)?([a-h])([1-8])(?:=?([QRBN]))?$"
 LENIENT_PAWN = r"^P(x)?([a-h])([1-8])$"
 FILE_CAPTURE = r"^([a-h])x?([a-h])$"
@@ -44,7 +45,7 @@ def notation_class(m: Column) -> Column:
     """Name of the notation a text is written in."""
     s = F.trim(F.regexp_replace(F.coalesce(m, F.lit("")), "[+#]$", ""))
     near = F.abs(F.ascii(F.substring(s, 1, 1)) - F.ascii(F.substring(F.replace(s, F.lit("x")), 2, 1))) == 1
-    rules = [
+    rules = [  # fixed values: forms and their names
         (s.rlike("^O-O(-O)?$"), "castling"), (s.rlike("^0-0(-0)?$"), "zero_castling"), (s.rlike("^([a-h]x)?[a-h][18]=[QRBN]$"), "promotion"),
         (s.rlike("^([KQRBN][a-h]?[1-8]?x?[a-h][1-8]|([a-h]x)?[a-h][1-8])$"), "standard"), (s.rlike("^[KQRBN]?[a-h][1-8]-[a-h][1-8]$"), "dash"), (s.rlike("^[a-h][1-8][a-h][1-8]$"), "long"),
         (s.rlike("^Px?[a-h][1-8]$"), "pawn_prefix"), (s.rlike("^[a-h]x?[a-h]$") & near, "file_capture"), (s.rlike("^[KQRBN]x[KQRBNP]$"), "piece_takes_piece"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: words before a number in names of scans.
 TOKEN = r"(round|rnd|rd|r|board|bd|b|page|p)[-_ ]*([0-9]+)"
 
 
