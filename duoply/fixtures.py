@@ -41,9 +41,9 @@ JOIN customer b ON b.c_custkey = (o.o_custkey * 7 + o.o_orderkey + 1) % 100
     "files": """
 SELECT o_orderkey AS file_id,
   CASE CAST(o_orderkey % 4 AS INT)
-    WHEN 0 THEN 'Open/Round ' || CAST(o_orderkey % 9 + 1 AS STRING) || '/Board ' || CAST(o_orderkey % 20 + 1 AS STRING) || '/scan_p' || CAST(o_orderkey % 3 + 1 AS STRING) || '.pdf'
-    WHEN 1 THEN 'Club/U1300/Rd ' || CAST(o_orderkey % 9 + 1 AS STRING) || '/Bd ' || CAST(o_orderkey % 20 + 1 AS STRING) || '/b' || CAST(o_orderkey % 20 + 1 AS STRING) || 'p1.jpg'
-    WHEN 2 THEN 'OpenR' || CAST(o_orderkey % 9 + 1 AS STRING) || 'B' || CAST(o_orderkey % 20 + 1 AS STRING) || 'p2.JPG'
+    WHEN 0 THEN 'Open/Round ' || CAST(o_orderkey % 9 + 1 AS STRING) || '/Board ' || CAST(CAST(FLOOR(o_orderkey / 72.0) AS BIGINT) + 1 AS STRING) || '/scan_p' || CAST(o_orderkey % 3 + 1 AS STRING) || '.pdf'
+    WHEN 1 THEN 'Club/U1300/Rd ' || CAST(o_orderkey % 9 + 1 AS STRING) || '/Bd ' || CAST(CAST(FLOOR(o_orderkey / 72.0) AS BIGINT) + 1 AS STRING) || '/b' || CAST(CAST(FLOOR(o_orderkey / 72.0) AS BIGINT) + 1 AS STRING) || 'p1.jpg'
+    WHEN 2 THEN 'OpenR' || CAST(o_orderkey % 9 + 1 AS STRING) || 'B' || CAST(CAST(FLOOR(o_orderkey / 72.0) AS BIGINT) + 1 AS STRING) || 'p2.JPG'
     ELSE 'IMG_' || CAST(o_orderkey AS STRING) || '.png' END AS path,
   CAST(FLOOR(o_totalprice) AS BIGINT) AS size_bytes, o_orderdate AS modified_at
 FROM orders
@@ -75,7 +75,7 @@ SELECT user_id AS game_id,
   event_id % 20 AS pos, event_id, ts FROM events
 """,
     "boxes": """
-SELECT l_orderkey % 500 AS sheet_id, l_linenumber AS col_hint,
+SELECT CAST(FLOOR(l_orderkey / 3.0) AS BIGINT) AS sheet_id, l_linenumber AS col_hint,
   CAST(l_linenumber AS DOUBLE) / 8 + CAST(l_partkey % 7 AS DOUBLE) / 1000 AS x_frac, l_quantity / 60.0 AS y_frac FROM lineitem
 """,
 }

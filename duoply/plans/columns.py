@@ -242,7 +242,7 @@ SELECT pairing_id, CASE WHEN cell IN ('1-0', '10', '+-', '1:0', '1 0', '1-') THE
     "fn14_headers": oracle("pairings", "SELECT pairing_id, 'Tournament' AS event, CASE WHEN board IS NULL THEN round::VARCHAR ELSE round || '.' || board END AS round_tag, white_name AS white, black_name AS black, replace(replace(result_raw, ' ', ''), '½-½', '1/2-1/2') AS result, CASE WHEN black_rtg <> 0 THEN CASE WHEN white_rtg <> 0 THEN 'BlackElo,WhiteElo' ELSE 'BlackElo' END WHEN white_rtg <> 0 THEN 'WhiteElo' ELSE '' END AS optional_tags, nullif(white_rtg, 0) AS white_elo FROM pairings"),
     "fn15_name_keys": oracle("pairings", "SELECT pairing_id, lower(white_name) AS white_key, least(lower(white_name), lower(black_name)) || '|' || greatest(lower(white_name), lower(black_name)) AS pair_key, CASE WHEN white_sno % 3 <> 0 THEN 'sno:' || section || ':' || (white_sno % 3 * white_sno) ELSE 'name:' || lower(white_name) END AS player FROM pairings"),
     "fn16_scan_name": oracle("files", f"WITH t AS (SELECT file_id, {_tok(STEM, 'r')} AS round, {_tok(STEM, 'b')} AS board, {_tok(STEM, 'p')} AS page, CASE WHEN path LIKE 'OpenR%' THEN 'Open' END AS section FROM files) SELECT file_id, CASE WHEN round IS NOT NULL OR board IS NOT NULL THEN section END AS section, round, board, CASE WHEN round IS NOT NULL OR board IS NOT NULL THEN page END AS page FROM t"),
-    "fn17_scan_path": oracle("files", f"SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'U1300' END AS section, CASE WHEN file_id % 4 < 2 THEN CAST(file_id % 9 + 1 AS BIGINT) END AS round, CASE WHEN file_id % 4 < 2 THEN CAST(file_id % 20 + 1 AS BIGINT) END AS board, {_tok(STEM, 'p')} AS page FROM files"),
+    "fn17_scan_path": oracle("files", f"SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'U1300' END AS section, CASE WHEN file_id % 4 < 2 THEN CAST(file_id % 9 + 1 AS BIGINT) END AS round, CASE WHEN file_id % 4 < 2 THEN CAST(file_id // 72 + 1 AS BIGINT) END AS board, {_tok(STEM, 'p')} AS page FROM files"),
     "fn18_layout_match": oracle("files", f"{LAYOUTS} SELECT file_id, CASE WHEN cached IS NULL THEN true WHEN contains(cached, '@') THEN cached = current ELSE cached = 'grid8x2' END AS matches FROM l"),
     "fn20_confusable": oracle("candidates", f"WITH k(a, b) AS (VALUES ('R','K'),('K','R'),('B','R'),('R','B'),('N','K'),('K','N'),('B','N'),('N','B')) SELECT {ID}, b || move[2:] AS variant FROM candidates JOIN k ON move[1] = a"),
     "fn21_forced_review": oracle("candidates", f"{PAIRS} SELECT game_id, ply FROM pr WHERE ply % 6 <> 0 AND ({NORM.format('m1')} <> {NORM.format('m2')} OR c1 < 0.5)"),

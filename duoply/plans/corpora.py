@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duoply.fixtures import oracle, table, view
 from duoply.functions.records import normalize_result
 from duoply.operators.detect import valid_prefix
+from duoply.operators.order import ordinals
 from duoply.plans.readings import cand
 from duoply.sources import games as G
 from duoply.sources import readings as R
@@ -83,15 +84,19 @@ def src08_read_nested_sections_json(spark, sf_dir):
     # one player entry a game keeps every record small; number 0 is written as 1000000
     up = lambda c: F.when(F.col(c) == 0, 1000000).otherwise(F.col(c)).cast("int")
     entry = F.struct(up("me").alias("Pair"), F.lit("x").alias("Name"), F.array(F.concat_ws(";", code, up("opp").cast("string"), F.col("c"), F.lit("0"))).alias("Results"))
-    doc = sides.select(F.array(F.struct(F.col("round").cast("string").alias("name"), F.array(entry).alias("Players"))).alias("Sections"))
-    back = _sections(spark, doc)
+    back = _sections(spark, sides.select(F.col("round").cast("string").alias("name"), entry.alias("entry")))
     down = lambda c: F.when(F.col(c) == 1000000, 0).otherwise(F.col(c)).cast("long")
     return back.select(F.col("section").cast("long").alias("round"), down("white").alias("white"), down("black").alias("black"), "result")
 
 
-def _sections(spark, doc: DataFrame) -> DataFrame:
-    """Documents of a round's entries by hundreds of player numbers, read back."""
-    rounds = doc.select(F.explode("Sections").alias("s")).groupBy(F.col("s.name").alias("name"), F.floor(F.col("s.Players")[0]["Pair"] / 100).alias("part")).agg(F.flatten(F.collect_list("s.Players")).alias("Players"))
+#: Entries of players that one document holds at most.
+SECTION_ENTRIES = 200
+
+
+def _sections(spark, entries: DataFrame) -> DataFrame:
+    """Documents of a round's entries(name, entry), at most SECTION_ENTRIES each, read back."""
+    part = F.floor((F.col("place") - 1) / SECTION_ENTRIES)
+    rounds = ordinals(entries, ["name"], [F.col("entry")["Pair"]], "place").groupBy("name", part.alias("part")).agg(F.collect_list("entry").alias("Players"))
     one = rounds.select(F.to_json(F.struct(F.array(F.struct("name", "Players")).alias("Sections"))).alias("value"))
     return G.read_sections_json(spark, written(spark, one))
 
@@ -139,12 +144,14 @@ def src05_crosstable_players(spark, sf_dir):
     return of_table(G.read_crosstables(spark, exported_tables(spark, sf_dir))[1])
 
 
-def crosstable(g: DataFrame) -> DataFrame:
-    """A row a player (several, where one plays more than one game a round) with opponent, colour and result of nine rounds."""
+def crosstable(g: DataFrame, places: DataFrame) -> DataFrame:
+    """A row a player (several, where one plays more than one game a round) with place, and the opponent's place, colour and result of nine rounds. places(number, position)."""
     sides = g.select("round", F.explode(F.array(F.struct(F.col("white_sno").alias("number"), F.col("black_sno").alias("opp"), F.lit("w").alias("c"), F.col("result")), F.struct(F.col("black_sno").alias("number"), F.col("white_sno").alias("opp"), F.lit("b").alias("c"), F.col("result")))).alias("s")).select("round", "s.*")
     won = F.when(F.col("result") == "1/2-1/2", "½").when((F.col("result") == "1-0") == (F.col("c") == "w"), "1").otherwise("0")
-    wide = sides.withColumn("k", F.row_number().over(_by_number())).groupBy("number", "k").pivot("round", list(range(1, 10))).agg(F.first(F.struct("opp", "c", won.alias("res"))))
-    return wide.select("number", *(x for r in range(1, 10) for x in (F.col(f"`{r}`.opp").alias(f"opp{r}"), F.col(f"`{r}`.c").alias(f"col{r}"), F.col(f"`{r}`.res").alias(f"res{r}"))))
+    numbered = sides.withColumn("k", F.row_number().over(_by_number())).join(places.select(F.col("number").alias("opp"), F.col("position").alias("place")), "opp")
+    wide = numbered.groupBy("number", "k").pivot("round", list(range(1, 10))).agg(F.first(F.struct("place", "c", won.alias("res"))))
+    cells = (F.col(f"`{r}`.{x}").alias(f"{name}{r}") for r in range(1, 10) for x, name in (("place", "opp"), ("c", "col"), ("res", "res")))
+    return wide.join(places, "number").select("number", "position", *cells)
 
 
 @query(f"WITH {SMALL} SELECT * FROM g", "pairings")
@@ -152,12 +159,8 @@ def src05_standings_crosstable(spark, sf_dir):
     """The table in another order than that of numbers; opponents are its places."""
     g = small_rounds(spark, sf_dir)
     players = g.select(F.explode(F.array("white_sno", "black_sno")).alias("number")).distinct()
-    places = players.withColumn("position", F.row_number().over(Window.orderBy(F.col("number") % 7, F.desc("number"))).cast("long"))  # a table of players
-    wide = crosstable(g)
-    for r in range(1, 10):
-        at = places.select(F.col("number").alias(f"opp{r}"), F.col("position").alias(f"_p{r}"))
-        wide = wide.join(at, f"opp{r}", "left").withColumn(f"opp{r}", F.col(f"_p{r}")).drop(f"_p{r}")
-    wide = wide.join(places, "number").select("number", "position", *(f"{x}{r}" for r in range(1, 10) for x in ("opp", "col", "res")))
+    places = ordinals(players, [], [F.col("number") % 7, F.desc("number")], "position")
+    wide = crosstable(g, places)
     path = new_folder(spark)
     wide.write.option("header", "true").csv(path)
     back = spark.read.schema(wide.schema).option("header", "true").csv(path)
@@ -190,14 +193,14 @@ def src07_read_roster_csv(spark, sf_dir):
 
 @query("""SELECT file_id, split_part(path, '/', -1) AS name, length(path) AS length FROM files WHERE file_id % 10 NOT IN (3, 7, 8)""", "files")
 def src09_file_inventory(spark, sf_dir):
-    """Every file of the view under a folder of its number: some in work folders, some of another kind."""
+    """Every file of the view under a folder of its number, below 64 that are listed side by side: some in work folders, some of another kind."""
     k = F.col("file_id")
     inside = F.when(k % 10 == 3, "batch_work/").when(k % 10 == 8, "x_normalized/").otherwise("")
-    f = view(spark, sf_dir, "files").select(F.concat(k.cast("string"), F.lit("/"), inside, F.col("path"), F.when(k % 10 == 7, ".txt").otherwise("")).alias("path"), F.col("path").cast("binary").alias("content"))
+    f = view(spark, sf_dir, "files").select(F.concat((k % 64).cast("string"), F.lit("/"), k.cast("string"), F.lit("/"), inside, F.col("path"), F.when(k % 10 == 7, ".txt").otherwise("")).alias("path"), F.col("path").cast("binary").alias("content"))
     folder = new_folder(spark)
     G.scatter(f.repartition(8), folder)
     found = G.file_inventory(spark, folder)
-    inner = F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), folder.rstrip("/").rpartition("/")[2] + "/([0-9]+)/", 1)
+    inner = F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), folder.rstrip("/").rpartition("/")[2] + "/[0-9]+/([0-9]+)/", 1)
     return found.select(inner.cast("long").alias("file_id"), F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name"), F.col("length"))
 
 
@@ -267,12 +270,13 @@ def snk02_write_games_pgn(spark, sf_dir):
     heads = headers(spark, sf_dir).withColumns({"WhiteElo": F.when(k % 2 == 0, (k + 1500).cast("string")), "Section": F.lit("Open"), "BlackTitle": F.lit(""), "comment": F.concat(F.lit("done {by} hand "), k.cast("string"))})
     path = written(spark, G.render_games(moves, heads).select("value"))
     g = G.read_games(spark, path).withColumn("game_id", F.substring(F.col("tags")["White"], 2, 9).cast("long"))
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)(?=^\[Event )")).alias("v")).where("v <> ''").select(F.regexp_extract("v", r'\[White "W(\d+)"', 1).cast("long").alias("game_id"), F.size(F.regexp_extract_all("v", F.lit(r"(?m)^\d+\. "), F.lit(0))).cast("long").alias("move_lines"))
+    text = F.col("text")
+    lines = G.game_texts(spark, path).select(F.regexp_extract(text, r'\[White "W(\d+)"', 1).cast("long").alias("game_id"), F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\d+\. "), F.lit(0))).cast("long").alias("move_lines"))
     return g.join(lines, "game_id").select("game_id", F.col("tags")["PlyCount"].alias("ply_count"), F.col("tags")["WhiteElo"].alias("elo"), "comment", F.size("tags").alias("n_tags"), "move_lines", F.array_join("moves", " ").alias("moves"))
 
 
 def exports(spark, sf_dir, scope: str, **settings) -> DataFrame:
-    """An export written as files, and read back: one row a game with its place in its round's file."""
+    """An export written as files, and read back: one row a game with its place in its round's files."""
     k = F.col("game_id")
     top = cand(spark, sf_dir).where("sheet = 1 and rk = 0")
     games = headers(spark, sf_dir).withColumns({"round": k % 3, "section": F.concat(F.lit("S"), (k % 2).cast("string")), "board": k % 10, "status": F.when(k % 4 == 0, "verified").when(k % 4 == 1, "exported").otherwise("partial"), "saved": k % 7 == 3, "has_result": k % 5 == 2, "White": F.concat(F.lit("W"), (k % 20).cast("string")), "Event": k.cast("string"), "Result": F.when(k % 6 == 5, "?").otherwise("1-0")})
@@ -281,8 +285,8 @@ def exports(spark, sf_dir, scope: str, **settings) -> DataFrame:
     G.write_rounds(done, path, ("board", "game_id") if scope == "player" else ("section", "board", "game_id"))
     g = G.read_games(spark, path)
     tag = lambda t: F.col("tags")[t]
-    place = F.row_number().over(Window.partitionBy("file").orderBy("block")).cast("long")
-    return g.select(tag("Event").cast("long").alias("game_id"), F.regexp_extract("file", r"round=(\d+)", 1).cast("long").alias("round"), place.alias("place"), tag("Result").alias("result"), F.size("moves").cast("long").alias("plies"), tag("Termination").isNotNull().alias("incomplete"), "comment")
+    rows = g.select(tag("Event").cast("long").alias("game_id"), F.regexp_extract("file", r"round=(\d+)", 1).cast("long").alias("round"), "file", "block", tag("Result").alias("result"), F.size("moves").cast("long").alias("plies"), tag("Termination").isNotNull().alias("incomplete"), "comment")
+    return ordinals(rows, ["round"], ["file", "block"], "place").drop("file", "block")
 
 
 def export_sql(rows: str, order: str) -> str:

@@ -289,7 +289,7 @@ def agg20_dedupe_files(spark, sf_dir):
     return L.dedupe_files(view(spark, sf_dir, "files")).select("file_id")
 
 
-@query("""WITH t AS (SELECT file_id, split_part(path, '/', -1) AS name, file_id % 4 AS k, file_id % 9 + 1 AS round, file_id % 20 + 1 AS board, CASE file_id % 4 WHEN 0 THEN file_id % 3 + 1 WHEN 1 THEN 1 ELSE 2 END AS page FROM files WHERE file_id % 4 < 3),
+@query("""WITH t AS (SELECT file_id, split_part(path, '/', -1) AS name, file_id % 4 AS k, file_id % 9 + 1 AS round, file_id // 72 + 1 AS board, CASE file_id % 4 WHEN 0 THEN file_id % 3 + 1 WHEN 1 THEN 1 ELSE 2 END AS page FROM files WHERE file_id % 4 < 3),
 s AS (SELECT *, CASE k WHEN 0 THEN 'Open' WHEN 1 THEN 'U1300' ELSE 'Open' END AS section FROM t) SELECT section || '_R' || round || '_B' || board AS game_id, count(*) AS n, string_agg(file_id::VARCHAR, ',' ORDER BY page, name, file_id) AS pages FROM s GROUP BY ALL""", "files")
 def agg21_group_files_into_games(spark, sf_dir):
     g = L.group_files(view(spark, sf_dir, "files"))

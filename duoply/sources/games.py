@@ -62,13 +62,27 @@ def exported(games: DataFrame, moves: DataFrame, confirmed: DataFrame, scope: st
 
 
 def write_rounds(exports: DataFrame, path: str, order: tuple[str, ...] = ("section", "board", "game_id")) -> None:
-    """A folder a round, with its games in order in one file."""
-    exports.repartition("round").sortWithinPartitions("round", *(F.asc_nulls_last(c) for c in order)).select("round", "value").write.partitionBy("round").text(path)
+    """A folder a round, with its games in order: ranges of round and order, so that a large round is several files, whose names follow each other in that order."""
+    by = ["round", *(F.asc_nulls_last(c) for c in order)]
+    exports.repartitionByRange(*by).sortWithinPartitions(*by).select("round", "value").write.partitionBy("round").text(path)
+
+
+#: What begins a game behind another one in a file.
+NEXT_GAME = "\n[Event "
+
+
+def game_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, text): the texts of single games in a folder of game files. Files are split between games, so no value holds a whole file; block sorts the games of a file in their order."""
+    raw = spark.read.option("lineSep", NEXT_GAME).text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    # only the record that begins a file still has its first tag's name
+    text = F.when(F.col("value").rlike(r'^\s*"'), F.concat(F.lit(NEXT_GAME[1:]), F.col("value"))).otherwise(F.col("value"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), place.alias("block"), text.alias("text"))
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, tags map, moves array, comment) of every game in a folder of game files; blocks without tags and moves are dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"(?m)(?=^\[Event )")).alias("block", "text"))
+    """(file, block, tags map, moves array, comment) of every game in a folder of game files (see game_texts); blocks without tags and moves are dropped."""
+    whole = game_texts(spark, path)
     tag = r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]'
     names, values = (F.regexp_extract_all("text", F.lit(tag), F.lit(i)) for i in (1, 2))
     tags = F.map_from_entries(F.arrays_zip(names.alias("k"), F.transform(values, lambda v: F.regexp_replace(v, r"\\(.)", "$1")).alias("v")))
