@@ -11,7 +11,7 @@ from duoply.functions import sql as Q
 from duoply.operators import align as A
 from duoply.plans.columns import NORM, PAIRS, _pairs, likeness_sql
 from duoply.plans.linkage import COMPARE
-from duoply.plans.readings import cand
+from duoply.plans.readings import REPEATS, cand
 from duoply.sources import readings as R
 from duoply.sources.shared import new_folder
 from duoply.streaming import jobs
@@ -52,13 +52,7 @@ def jn14_rank_vocabulary(spark, sf_dir):
     return S.rank_vocabulary(c.where("sheet = 2 and rk = 0").select(F.col("move").alias("reading")), c.where("sheet = 1").select("move"))
 
 
-@query(f"""WITH n AS (SELECT game_id, sheet, ply, rk, {NORM.format('move')} AS norm, conf FROM candidates), a AS (SELECT game_id, sheet, ply, norm, arg_max(conf, rk) AS a FROM n GROUP BY ALL),
-o AS (SELECT a.game_id, a.sheet, a.ply, sum(a + conf) AS overlap FROM a JOIN n ON a.game_id = n.game_id AND a.sheet = n.sheet AND a.ply + 2 = n.ply AND a.norm = n.norm GROUP BY ALL),
-m AS (SELECT game_id, sheet, ply, x.k AS k, x.v AS v, sum(conf) AS m FROM (SELECT *, unnest([{{'k': 'piece', 'v': CASE WHEN norm[1] IN ('K', 'Q', 'R', 'B', 'N') THEN norm[1] ELSE 'P' END}}, {{'k': 'file', 'v': norm[-2:-2]}}]) AS x FROM n) GROUP BY ALL),
-b AS (SELECT x.game_id, x.sheet, x.ply, least(2.0::DOUBLE, sum(x.m + y.m) FILTER (x.k = 'piece')) AS piece, least(2.0::DOUBLE, sum(x.m + y.m) FILTER (x.k = 'file')) AS file FROM m x JOIN m y ON x.game_id = y.game_id AND x.sheet = y.sheet AND x.ply + 2 = y.ply AND x.k = y.k AND x.v = y.v GROUP BY ALL),
-t AS (SELECT game_id, sheet, ply, norm AS top FROM n WHERE rk = 0 AND norm <> ''), p AS (SELECT t.game_id, t.sheet, t.ply, t.top = s.top AS same, coalesce(overlap, 0) AS overlap, piece, file FROM t JOIN t s ON t.game_id = s.game_id AND t.sheet = s.sheet AND t.ply + 2 = s.ply LEFT JOIN o ON o.game_id = t.game_id AND o.sheet = t.sheet AND o.ply = t.ply LEFT JOIN b ON b.game_id = t.game_id AND b.sheet = t.sheet AND b.ply = t.ply)
-SELECT w.game_id, w.sheet, w.ply AS at, CASE WHEN k.same THEN 'exact' ELSE 'structured' END AS kind, round(w.overlap, 6) AS white, round(k.overlap, 6) AS black FROM p w JOIN p k ON w.game_id = k.game_id AND w.sheet = k.sheet AND w.ply + 1 = k.ply
-WHERE w.ply % 2 = 0 AND w.same AND round(w.overlap, 9) >= 0.6 AND ((k.same AND round(k.overlap, 9) >= 0.3) OR (NOT k.same AND round(k.piece, 9) >= 1.6 AND round(k.file, 9) >= 1.6))""")
+@query(REPEATS.format(cells="candidates"))
 def win04_repeated_rows(spark, sf_dir):
     """Consecutive full moves of one sheet that look alike."""
     return A.repeated_rows(cand(spark, sf_dir)).withColumns({"white": F.round("white", 6), "black": F.round("black", 6)})

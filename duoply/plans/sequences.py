@@ -9,7 +9,7 @@ from duoply.fixtures import oracle, table, view
 from duoply.operators import align as A
 from duoply.operators import evidence as E
 from duoply.plans.columns import NORM
-from duoply.plans.readings import cand, shifted
+from duoply.plans.readings import REPEATS, cand, shifted
 from duoply.sources import games as G
 from duoply.sources.shared import kept, new_folder
 
@@ -26,9 +26,35 @@ def query(sql: str = "", views: str = "candidates"):
     return add
 
 
-@query()
+#: The shifted cells in DuckDB.
+SHIFTED = f"""c AS MATERIALIZED (SELECT game_id, sheet, ply + CASE WHEN sheet = 2 AND game_id % 3 = 0 THEN 4 ELSE 0 END AS ply, rk, {NORM.format('move')} AS norm, conf FROM candidates)"""
+#: The global alignment of the cells c in DuckDB: scores by antidiagonals, ways from one to the next, and back.
+ALIGNED = """one AS (SELECT game_id, ply AS i, norm, arg_max(conf, rk) AS a FROM c WHERE sheet = 1 AND norm <> '' GROUP BY ALL),
+o AS MATERIALIZED (SELECT one.game_id, one.i, c.ply AS j, sum(one.a + c.conf) AS overlap FROM one JOIN c ON c.sheet = 2 AND c.game_id = one.game_id AND c.norm = one.norm GROUP BY ALL),
+sz AS MATERIALIZED (SELECT game_id, coalesce(max(ply) FILTER (sheet = 1) + 1, 0) AS n, coalesce(max(ply) FILTER (sheet = 2) + 1, 0) AS m FROM c GROUP BY game_id),
+cells AS (SELECT game_id, n, m, d, unnest(range(0, n + 1)) AS i FROM (SELECT game_id, n, m, unnest(range(1, n + m + 1)) AS d FROM sz)),
+sc AS MATERIALIZED (SELECT x.game_id, x.d, list({'i': x.i, 'on': x.i <= x.d AND x.d - x.i <= x.m, 's': coalesce(o.overlap, 0.0::DOUBLE) - 0.05::DOUBLE} ORDER BY x.i) AS s FROM cells x LEFT JOIN o ON o.game_id = x.game_id AND o.i = x.i - 1 AND o.j = x.d - x.i - 1 GROUP BY ALL),
+dp(game_id, d, older, old, ways) AS (
+  SELECT game_id, 0::BIGINT, list_transform(range(0, n + 1), lambda i: NULL::DOUBLE), list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE END), NULL::INTEGER[] FROM sz
+  UNION ALL
+  SELECT game_id, d, old, list_transform(best, lambda x: x.v), list_transform(best, lambda x: x.k) FROM (
+    SELECT game_id, d, old, list_transform(list_zip(first, old), lambda x: CASE WHEN x[2] - 0.3::DOUBLE > x[1].v + 1e-9 AND x[1].k < 2 THEN {'v': x[2] - 0.3::DOUBLE, 'k': 2} ELSE x[1] END) AS best FROM (
+      SELECT p.game_id, w.d, p.old, list_transform(list_zip(w.s, list_prepend(NULL, p.older[:-2]), list_prepend(NULL, p.old[:-2])), lambda x: CASE WHEN NOT x[1].on THEN NULL WHEN x[1].i = 0 THEN {'v': -0.3::DOUBLE * w.d, 'k': 2} WHEN x[1].i = w.d THEN {'v': -0.3::DOUBLE * w.d, 'k': 1}
+        WHEN x[3] - 0.3::DOUBLE > x[2] + x[1].s + 1e-9 THEN {'v': x[3] - 0.3::DOUBLE, 'k': 1} ELSE {'v': x[2] + x[1].s, 'k': 0} END) AS first FROM dp p JOIN sc w ON w.game_id = p.game_id AND w.d = p.d + 1))),
+steps AS MATERIALIZED (SELECT game_id, d, ways FROM dp WHERE d > 0),
+walk(game_id, i, j, k, step) AS (
+  SELECT game_id, n, m, -1, 0::BIGINT FROM sz
+  UNION ALL
+  SELECT game_id, CASE WHEN way <> 2 THEN i - 1 ELSE i END, CASE WHEN way <> 1 THEN j - 1 ELSE j END, way, step + 1 FROM (SELECT w.*, t.ways[w.i + 1] AS way FROM walk w JOIN steps t ON t.game_id = w.game_id AND t.d = w.i + w.j WHERE w.i + w.j > 0)),
+path AS (SELECT game_id, max(step) OVER (PARTITION BY game_id) - step AS step, k, CASE WHEN k = 2 THEN -1 ELSE i END AS i, CASE WHEN k = 1 THEN -1 ELSE j END AS j FROM walk WHERE k >= 0)"""
+
+
+@query(f"""WITH RECURSIVE {SHIFTED},
+{ALIGNED}
+SELECT p.game_id, p.step::INTEGER AS step, CASE p.k WHEN 0 THEN 'match' WHEN 1 THEN 'gap_s2' ELSE 'gap_s1' END AS kind, p.i::INTEGER AS i, p.j::INTEGER AS j, round(coalesce(o.overlap, 0.0::DOUBLE), 6) AS score
+FROM path p LEFT JOIN o ON p.k = 0 AND o.game_id = p.game_id AND o.i = p.i AND o.j = p.j""")
 def seq01_align_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.align(shifted(spark, sf_dir))
+    return rounded(A.align(shifted(spark, sf_dir)), "score")
 
 
 @query()
@@ -50,12 +76,11 @@ def seq03_alignment_cascade(spark, sf_dir):
     return A.cascade(faulty(spark, sf_dir))
 
 
-#: Windows of eight plies in DuckDB, each with what the sheets share at offsets -12 to 12, folded in order.
-OFFSETS = f"""c AS (SELECT game_id, sheet, ply + CASE WHEN sheet = 2 AND game_id % 3 = 0 THEN 4 ELSE 0 END AS ply, rk, {NORM.format('move')} AS norm, conf FROM candidates),
-o AS (SELECT a.game_id, a.i, b.ply - a.i AS shift, sum(a.a + b.conf) AS overlap FROM (SELECT game_id, ply AS i, norm, arg_max(conf, rk) AS a FROM c WHERE sheet = 1 AND norm <> '' GROUP BY ALL) a JOIN c b ON b.sheet = 2 AND b.norm <> '' AND b.game_id = a.game_id AND b.norm = a.norm AND abs(b.ply - a.i) <= 12 GROUP BY ALL),
+#: Windows of eight plies of the cells c in DuckDB, each with what the sheets share at offsets -12 to 12, folded in order.
+OFFSETS = """o AS (SELECT a.game_id, a.i, b.ply - a.i AS shift, sum(a.a + b.conf) AS overlap FROM (SELECT game_id, ply AS i, norm, arg_max(conf, rk) AS a FROM c WHERE sheet = 1 AND norm <> '' GROUP BY ALL) a JOIN c b ON b.sheet = 2 AND b.norm <> '' AND b.game_id = a.game_id AND b.norm = a.norm AND abs(b.ply - a.i) <= 12 GROUP BY ALL),
 l AS (SELECT game_id, greatest(0, max(ply) - 7) AS last FROM c GROUP BY game_id), st AS (SELECT game_id, unnest(list_distinct(list_append(list_transform(range(0, last // 2 + 1), lambda k: k * 2), last))) AS start FROM l),
 cells AS (SELECT st.game_id, st.start, f.f AS shift, round(coalesce(sum(o.overlap), 0), 9) AS s FROM st CROSS JOIN (SELECT unnest(range(-12, 13)) AS f) f LEFT JOIN o ON o.game_id = st.game_id AND o.shift = f.f AND o.i BETWEEN st.start AND st.start + 7 GROUP BY ALL),
-win AS (SELECT game_id, start, list(s ORDER BY shift) AS s, row_number() OVER (PARTITION BY game_id ORDER BY start) AS k FROM cells GROUP BY game_id, start),
+win AS MATERIALIZED (SELECT game_id, start, list(s ORDER BY shift) AS s, row_number() OVER (PARTITION BY game_id ORDER BY start) AS k FROM cells GROUP BY game_id, start),
 walk(game_id, k, next, start, base, best, at_base, at_best, transition) AS (
   SELECT game_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, false FROM l
   UNION ALL
@@ -64,17 +89,35 @@ walk(game_id, k, next, start, base, best, at_base, at_best, transition) AS (
     FROM walk p JOIN (SELECT * FROM win) w ON w.game_id = p.game_id AND w.k = p.k + 1, LATERAL (SELECT s[greatest(-12, p.next - 4) + 13 : least(12, p.next + 4) + 13] AS near)))"""
 
 
-@query(f"WITH RECURSIVE {OFFSETS} SELECT game_id, start, base AS before, best AS offset, best - base AS delta, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best FROM walk WHERE transition")
+@query(f"WITH RECURSIVE {SHIFTED},\n{OFFSETS} SELECT game_id, start, base AS before, best AS offset, best - base AS delta, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best FROM walk WHERE transition")
 def seq04_running_offset(spark, sf_dir):
     return rounded(A.running_offset(shifted(spark, sf_dir)), "at_base", "at_best")
 
 
-@query(f"WITH RECURSIVE {OFFSETS} SELECT game_id, start, base::INTEGER AS base, best::INTEGER AS best, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best, transition FROM walk WHERE k > 0")
+@query(f"WITH RECURSIVE {SHIFTED},\n{OFFSETS} SELECT game_id, start, base::INTEGER AS base, best::INTEGER AS best, round(at_base, 6) AS at_base, round(at_best, 6) AS at_best, transition FROM walk WHERE k > 0")
 def seq04_window_map(spark, sf_dir):
     return rounded(A.offset_windows(shifted(spark, sf_dir)), "at_base", "at_best")
 
 
-@query()
+#: The faulty cells of faulty() in DuckDB.
+FAULTY = f"""f AS (SELECT * REPLACE (CASE WHEN sheet = 2 AND game_id % 3 = 0 AND ply > 19 THEN ply - 4 WHEN sheet = 2 AND game_id % 3 = 1 AND ply >= 20 THEN ply + 2 ELSE ply END AS ply) FROM candidates WHERE NOT (sheet = 2 AND game_id % 3 = 0 AND ply BETWEEN 16 AND 19)
+  UNION ALL SELECT * REPLACE (ply + 2 AS ply) FROM candidates WHERE sheet = 2 AND game_id % 3 = 1 AND ply BETWEEN 18 AND 19),
+c AS MATERIALIZED (SELECT game_id, sheet, ply, rk, {NORM.format('move')} AS norm, conf FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {FAULTY},
+{OFFSETS},
+repeats AS MATERIALIZED ({REPEATS.format(cells='f')}),
+long_enough AS (SELECT game_id FROM f WHERE rk = 0 GROUP BY game_id HAVING least(count_if(sheet = 1), count_if(sheet = 2)) >= 6),
+moved AS (SELECT game_id, start // 2 + 1 AS move, CASE WHEN start % 2 = 0 THEN 'w' ELSE 'b' END AS half, abs(best - base) AS size, CASE WHEN best < base THEN 1 ELSE 2 END AS ahead, at_best < 0.4::DOUBLE AS weak FROM walk WHERE transition),
+free AS (SELECT * FROM moved v WHERE size <> 2 OR NOT EXISTS (SELECT 1 FROM repeats r WHERE r.game_id = v.game_id AND r.sheet = v.ahead)),
+every AS (SELECT game_id, 'repeat' AS cause, sheet, 'delete' AS action, r.at // 2 + 2 AS move, 'w' AS half, 'high' AS confidence, r.at // 2 + 1 AS priority FROM repeats r
+  UNION ALL SELECT game_id, 'shift_2', ahead, 'delete', move, 'w', CASE WHEN weak THEN 'low' ELSE 'medium' END, move + 1000 FROM free WHERE size = 2
+  UNION ALL SELECT game_id, 'shift_2', 3 - ahead, 'insert_pair', move, half, 'low', move + 1100 FROM free WHERE size = 2
+  UNION ALL SELECT game_id, 'shift_4', 3 - ahead, 'insert_double', move, 'w', CASE WHEN weak THEN 'low' ELSE 'medium' END, move + 800 FROM free WHERE size = 4
+  UNION ALL SELECT game_id, 'shift_1', ahead, 'investigate', move, half, 'low', move + 1500 FROM free WHERE size = 1
+  UNION ALL SELECT game_id, 'shift_3', ahead, 'investigate', move, half, 'low', move + 1700 FROM free WHERE size = 3)
+SELECT every.* REPLACE (sheet::INTEGER AS sheet) FROM every JOIN long_enough USING (game_id)""")
 def seq05_alignment_suggestions(spark, sf_dir):
     c = faulty(spark, sf_dir)
     return A.shift_suggestions(c, A.running_offset(c), A.repeated_rows(c))
