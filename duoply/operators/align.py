@@ -48,6 +48,16 @@ def global_alignment(score: np.ndarray, gap: float = C.GAP_COST) -> list[tuple[s
     return path[::-1]
 
 
+#: The pandas types of the columns of results.
+PANDAS = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
+
+
+def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows of a result, which keep the types of the schema if there are none; missing numbers are for columns of doubles only."""
+    fields = [f.split() for f in schema.split(", ")]
+    return pd.DataFrame(rows, columns=[name for name, _ in fields]).astype({name: PANDAS[kind] for name, kind in fields})
+
+
 ALIGNED = "game_id long, step int, kind string, i int, j int, score double"
 
 
@@ -57,11 +67,11 @@ def align(c: DataFrame) -> DataFrame:
 
     def one(key, scores, size):
         if not len(size):
-            return pd.DataFrame([], columns=["game_id", "step", "kind", "i", "j", "score"])
+            return frame([], ALIGNED)
         table = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
         table[scores["i"], scores["j"]] = scores["overlap"]
         rows = [(key[0], k, kind, i, j, float(table[i, j]) if kind == "match" else 0.0) for k, (kind, i, j) in enumerate(global_alignment(table))]
-        return pd.DataFrame(rows, columns=["game_id", "step", "kind", "i", "j", "score"])
+        return frame(rows, ALIGNED)
 
     return pool_scores(c).groupBy("game_id").cogroup(sizes.groupBy("_game")).applyInPandas(one, ALIGNED)
 
@@ -254,9 +264,8 @@ def issue_rows(game: int, found: list[dict]) -> list[tuple]:
 
 def by_game(c: DataFrame, fn, schema: str) -> DataFrame:
     """fn(game_id, Sheets) -> rows, for each game of the candidates c."""
-    names = [f.split()[0] for f in schema.split(", ")]
     rows = normed(c).select("game_id", "sheet", "ply", "rk", "norm", "conf")
-    return rows.groupBy("game_id").applyInPandas(lambda key, pdf: pd.DataFrame(fn(int(key[0]), Sheets(pdf)), columns=names), schema)
+    return rows.groupBy("game_id").applyInPandas(lambda key, pdf: frame(fn(int(key[0]), Sheets(pdf)), schema), schema)
 
 
 def gap_suggestions(c: DataFrame) -> DataFrame:
@@ -288,6 +297,9 @@ def auto_apply(c: DataFrame, threshold: float = float("inf")) -> DataFrame:
     return by_game(c, run, APPLIED)
 
 
+EDITED = "game_id long, sheet int, ply long, move string, conf double, source_ply long"
+
+
 def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) -> DataFrame:
     """(game_id, sheet, ply, move, conf, source_ply) after the edits, or after those whose place is less than `before`; inserted plies read ???."""
     log = applied if before is None else applied.where(F.col("place") < before)
@@ -306,10 +318,9 @@ def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) ->
             else:
                 for ply in sorted(map(int, plies.split(",")), reverse=True):
                     del sheets[sheet][ply]
-        out = [(key[0], sheet, ply, *x) for sheet, own in sheets.items() for ply, x in enumerate(own) if x]
-        return pd.DataFrame(out, columns=["game_id", "sheet", "ply", "move", "conf", "source_ply"])
+        return frame([(key[0], sheet, ply, *x) for sheet, own in sheets.items() for ply, x in enumerate(own) if x], EDITED)
 
-    return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInPandas(run, "game_id long, sheet int, ply long, move string, conf double, source_ply long")
+    return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInPandas(run, EDITED)
 
 
 def offset_windows(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
@@ -397,6 +408,9 @@ def shift_suggestions(c: DataFrame, offsets: DataFrame, repeats: DataFrame) -> D
     return guns.unionByName(shifts).join(lengths, "game_id", "left_semi")
 
 
+REPLAYED = "game_id long, what string, i long, value string"
+
+
 def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(final ids (game_id, i, id, num, color), rejects (game_id, seq, reason)): insert and delete by position, in order of seq. The first entry that doesn't fit, or after which the length isn't the recorded one (a column length, if there is one), rejects its game as a whole."""
     recorded = "length" in edits.columns
@@ -409,12 +423,12 @@ def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
             elif e.op == "delete" and e.pos < len(ids):
                 del ids[e.pos]
             else:
-                return pd.DataFrame([(key[0], "reject", e.seq, f"{e.op} past the end")], columns=["game_id", "what", "i", "value"])
+                return frame([(key[0], "reject", e.seq, f"{e.op} past the end")], REPLAYED)
             if recorded and pd.notna(e.length) and e.length != len(ids):
-                return pd.DataFrame([(key[0], "reject", e.seq, f"length {len(ids)} is not {int(e.length)}")], columns=["game_id", "what", "i", "value"])
-        return pd.DataFrame([(key[0], "id", k, str(x)) for k, x in enumerate(ids)], columns=["game_id", "what", "i", "value"])
+                return frame([(key[0], "reject", e.seq, f"length {len(ids)} is not {int(e.length)}")], REPLAYED)
+        return frame([(key[0], "id", k, str(x)) for k, x in enumerate(ids)], REPLAYED)
 
-    done = edits.groupBy("game_id").applyInPandas(run, "game_id long, what string, i long, value string")
+    done = edits.groupBy("game_id").applyInPandas(run, REPLAYED)
     half = F.when(F.col("i") % 2 == 0, "w").otherwise("b")
     final = done.where("what = 'id'").select("game_id", "i", F.col("value").cast("long").alias("id"), (F.floor(F.col("i") / 2) + 1).alias("num"), half.alias("color"))
     return final, done.where("what = 'reject'").select("game_id", F.col("i").alias("seq"), F.col("value").alias("reason"))

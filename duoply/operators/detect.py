@@ -61,6 +61,11 @@ def valid_prefix(c: DataFrame, flag: str = "legal") -> DataFrame:
     return c.withColumn("_bad", F.max((~F.col(flag)).cast("int")).over(by_sheet())).where("_bad = 0").drop("_bad")
 
 
+def flag_mismatch(rows: DataFrame, truth: str, mark: str = "+", valid: str = "legal") -> DataFrame:
+    """(game_id, sheet, ply) of moves in each sheet's valid prefix that are written with the mark although the column truth is false; where truth is null nothing is known, and nothing is told."""
+    return valid_prefix(rows, valid).where(F.col("move").contains(mark) & ~F.col(truth)).select("game_id", "sheet", "ply")
+
+
 def classify_tiers(merged: DataFrame) -> DataFrame:
     """(game_id, ply, tier) of merged rows with a flag legal: 3 from the first stop on; 1 for agreement of two sheets; else 2."""
     stop = (F.col("ambiguous") | ~F.col("legal")).cast("int")

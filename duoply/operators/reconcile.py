@@ -208,6 +208,16 @@ def future_reference(c: DataFrame) -> DataFrame:
     return j.select("game_id", "ply", F.when(leaves, F.col("go_ply")).otherwise(F.col("ref_ply")).alias("later_ply"), event.alias("event"), bonus.alias("bonus")).where("event is not null")
 
 
+def future_piece_moves(c: DataFrame) -> DataFrame:
+    """(game_id, ply, later, next_ply, surest): of each reading, how many later ones of its game, side and piece are sure, the ply of the first, and the plies of those that are surest, in order. Bishops are told apart by the shade of the square they go to. c(game_id, ply, move, conf) has one reading a ply; a move that is null is a pawn's."""
+    m = F.coalesce("move", F.lit(""))
+    own = c.select("game_id", "ply", "conf", (F.col("ply") % 2).alias("half"), piece(m).alias("kind"), F.coalesce(shade(m), F.lit("")).alias("shade"))
+    after = Window.partitionBy("game_id", "half", "kind", "shade").orderBy("ply").rowsBetween(1, Window.unboundedFollowing)
+    sure = F.col("conf") >= C.SURE_CONF
+    plies = F.array_sort(F.collect_list(F.when(F.col("conf") >= C.SUREST_CONF, F.col("ply"))).over(after))
+    return own.select("game_id", "ply", F.coalesce(F.sum(sure.cast("long")).over(after), F.lit(0)).alias("later"), F.min(F.when(sure, F.col("ply"))).over(after).alias("next_ply"), plies.alias("surest"))
+
+
 def paired_moves(cells: DataFrame) -> DataFrame:
     """(game_id, sheet, num, white, black, white_conf, black_conf) from cells(game_id, sheet, pos, num, color, move, conf) in the order of pos; a missing conf is DEFAULT_TOP.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoply import config as C
@@ -127,6 +127,13 @@ def row_alignment(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(gaps, ["left_id", "right_id"]).select("left_id", "right_id", difference.alias("row_difference"), "deviation", (near & (F.col("deviation") < C.ROW_DEVIATION)).alias("aligned"), F.when(near, F.greatest(F.lit(0.0), 1 - F.col("deviation") / 50)).otherwise(0.3).alias("confidence"))
 
 
+def renumbered(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """rows with i (from 0, in order within keys), num and color: the full move and side of the i-th half-move."""
+    i = F.col("i")
+    placed = rows.withColumn("i", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    return placed.withColumns({"num": F.floor(i / 2) + 1, "color": F.when(i % 2 == 0, "w").otherwise("b")})
+
+
 def shifted_plies(plies, at, op):
     """A list of plies after an insert or delete at a ply."""
     kept = F.when(op == "delete", F.filter(plies, lambda p: p != at)).otherwise(plies)

@@ -298,9 +298,7 @@ def agg21_group_files_into_games(spark, sf_dir):
 
 @query("SELECT game_id, seq, CAST(row_number() OVER (PARTITION BY game_id ORDER BY seq) - 1 AS BIGINT) AS i, (row_number() OVER (PARTITION BY game_id ORDER BY seq) - 1) // 2 + 1 AS num, CASE WHEN (row_number() OVER (PARTITION BY game_id ORDER BY seq) - 1) % 2 = 0 THEN 'w' ELSE 'b' END AS color FROM edits WHERE op = 'insert'", "edits")
 def win13_renumber(spark, sf_dir):
-    e = view(spark, sf_dir, "edits").where("op = 'insert'")
-    i = (F.row_number().over(Window.partitionBy("game_id").orderBy("seq")) - 1).cast("long")
-    return e.withColumn("i", i).select("game_id", "seq", "i", (F.floor(F.col("i") / 2) + 1).alias("num"), F.when(F.col("i") % 2 == 0, "w").otherwise("b").alias("color"))
+    return V.renumbered(view(spark, sf_dir, "edits").where("op = 'insert'"), ["game_id"], ["seq"]).select("game_id", "seq", "i", "num", "color")
 
 
 PLIES = "locked AS (SELECT user_id AS game_id, list(DISTINCT event_id % 25 ORDER BY event_id % 25) AS plies, count(*) % 20 AS frontier FROM events GROUP BY ALL)"

@@ -263,8 +263,7 @@ def win11_repeated_pawn_targets(spark, sf_dir):
 
 @query(f"WITH {TOPS}, b AS (SELECT game_id, sheet, min(ply) FILTER (NOT legal) AS bad FROM tp GROUP BY ALL) SELECT game_id, sheet, ply FROM tp JOIN b USING (game_id, sheet) WHERE (bad IS NULL OR ply < bad) AND contains(move, '+') AND ply % 3 <> 0")
 def win12_flag_mismatch(spark, sf_dir):
-    truth = D.valid_prefix(top_rows(spark, sf_dir)).withColumn("gives_check", F.col("ply") % 3 == 0)
-    return truth.where(F.col("move").contains("+") & ~F.col("gives_check")).select("game_id", "sheet", "ply")
+    return D.flag_mismatch(top_rows(spark, sf_dir).withColumn("gives_check", F.col("ply") % 3 == 0), "gives_check")
 
 
 @query("""SELECT open_game, round(sum(gap), 6) AS seconds FROM (SELECT open_game, (epoch_us(lead(ts) OVER (PARTITION BY operator_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS gap FROM interactions) WHERE gap > 0 AND gap <= 7200 GROUP BY ALL""", "interactions")
@@ -314,11 +313,8 @@ SELECT a.game_id, a.ply, coalesce(count_if(b.conf >= 0.7), 0)::BIGINT AS later,
 def jn16_future_piece_moves(spark, sf_dir):
     """Later sure readings of the same piece and colour, bishops by the shade of their squares."""
     move = F.when(F.col("game_id") % 2 == 0, F.replace("move", F.lit("N"), F.lit("B"))).otherwise(F.col("move"))
-    c = cand(spark, sf_dir).where("sheet = 1 and rk = 0").withColumn("move", move).withColumns({"half": F.col("ply") % 2, "kind": J.piece(F.col("move")), "shade": F.coalesce(J.shade(F.col("move")), F.lit(""))})
-    after = D.Window.partitionBy("game_id", "half", "kind", "shade").orderBy("ply").rowsBetween(1, D.Window.unboundedFollowing)
-    sure, surest = F.col("conf") >= C.SURE_CONF, F.col("conf") >= C.SUREST_CONF
-    plies = F.array_sort(F.collect_list(F.when(surest, F.col("ply"))).over(after))
-    return c.select("game_id", "ply", F.coalesce(F.sum(sure.cast("long")).over(after), F.lit(0)).alias("later"), F.min(F.when(sure, F.col("ply"))).over(after).alias("next_ply"), F.concat_ws(",", F.transform(plies, lambda p: p.cast("string"))).alias("surest"))
+    found = J.future_piece_moves(cand(spark, sf_dir).where("sheet = 1 and rk = 0").withColumn("move", move))
+    return found.withColumn("surest", F.concat_ws(",", F.transform("surest", lambda p: p.cast("string"))))
 
 
 @query(f"""WITH nm AS (SELECT {N} AS move, count(*) AS n FROM candidates WHERE rk = 0 AND conf > 0.8 GROUP BY ALL), prior AS (SELECT move[-2:] AS position_key, move, round(ln(n::DOUBLE / sum(n) OVER (PARTITION BY move[-2:])), 6) AS logp FROM nm)
