@@ -185,7 +185,8 @@ def unpivot_crosstable(players: DataFrame, rounds: int, standings: bool = False)
     place = F.col("position") if standings else F.col("number")
     t = players.select("number", place.alias("place"), F.explode(cells).alias("c")).select("number", "place", "c.*").where(F.lower("color").isin("w", "b") & (F.col("opponent") > (0 if standings else -1)))
     if standings:
-        t = t.join(players.select(F.col("position").alias("opponent"), F.col("number").alias("_number")), "opponent").withColumn("opponent", F.col("_number")).drop("_number")
+        # a player of several rows has one place
+        t = t.join(players.select(F.col("position").alias("opponent"), F.col("number").alias("_number")).distinct(), "opponent").withColumn("opponent", F.col("_number")).drop("_number")
     white = F.lower(F.col("color")) == "w"
     t = t.select("round", F.when(white, F.col("number")).otherwise(F.col("opponent")).alias("white"), F.when(white, F.col("opponent")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"), "place")
     w = Window.partitionBy("round", F.least("white", "black"), F.greatest("white", "black")).orderBy("place")

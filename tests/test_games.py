@@ -51,3 +51,15 @@ def test_rounds_keep_their_order_over_files(spark):
     assert g.groupBy("round").agg(F.count_distinct("file").alias("files")).agg(F.max("files")).first()[0] > 1
     got = g.orderBy("round", "file", "block").select("round", F.regexp_extract(F.col("tags")["White"], r"(\d+)$", 1).cast("int")).collect()
     assert [tuple(r) for r in got] == [(r, k) for r in (0, 1) for k in range(n - 2 + r, -1, -2)]
+
+
+def test_standings_join_a_player_of_many_rows_once(spark):
+    import time
+
+    n = 40_000
+    one = spark.range(n).selectExpr("0L AS number", "0L AS position", "id + 1 AS opp1", "'w' AS col1", "'1' AS res1")
+    others = spark.range(n).selectExpr("id + 1 AS number", "id + 1 AS position", "0L AS opp1", "'b' AS col1", "'0' AS res1")
+    began = time.time()
+    rows = G.unpivot_crosstable(one.union(others), 1, standings=True)
+    assert rows.count() == n and rows.where("white = 0 and result = '1-0'").count() == n
+    assert time.time() - began < 60  # by pairs of rows these are 1.6 billion
