@@ -6,11 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoply import config as C
 from duoply.operators.reconcile import normed
+from duoply.sources.shared import kept
 
 
 def pool_scores(c: DataFrame, reach: int | None = None) -> DataFrame:
@@ -408,30 +410,38 @@ def shift_suggestions(c: DataFrame, offsets: DataFrame, repeats: DataFrame) -> D
     return guns.unionByName(shifts).join(lengths, "game_id", "left_semi")
 
 
-REPLAYED = "game_id long, what string, i long, value string"
+REPLAYED = pa.schema([("game_id", pa.int64()), ("save", pa.int64()), ("i", pa.int64()), ("id", pa.int64()), ("reason", pa.string())])
 
 
 def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(final ids (game_id, i, id, num, color), rejects (game_id, seq, reason)): insert and delete by position, in order of seq. The first entry that doesn't fit, or after which the length isn't the recorded one (a column length, if there is one), rejects its game as a whole."""
-    recorded = "length" in edits.columns
-
-    def run(key, pdf):
-        ids = []
-        for e in pdf.sort_values("seq").itertuples(index=False):
-            if e.op == "insert" and e.pos <= len(ids):
-                ids.insert(e.pos, e.event_id)
-            elif e.op == "delete" and e.pos < len(ids):
-                del ids[e.pos]
+    """(final ids (game_id, i, id, num, color), rejects (game_id, seq, reason)): insert and delete by position, in order of seq. The first entry that doesn't fit, or after which the length isn't the recorded one (a column length, if there is one), rejects its game as a whole. Entries may have a column saves (array<long>): then ids are those after each entry that has some, in a further column save for each of its numbers."""
+    columns = ["game_id", "seq", "op", "pos", "event_id", *(c for c in ("length", "saves") if c in edits.columns)]
+    whole = [F.col(c).cast("long").alias(c) if c in ("seq", "pos", "event_id", "length") else F.col(c) for c in columns]
+
+    def run(key, t):
+        log = t.select(columns[1:]).sort_by("seq").to_pydict()
+        n = len(log["seq"])
+        lengths, saves = log.get("length", [None] * n), log.get("saves", [None] * (n - 1) + [[0]])
+        game, ids, out = key[0].as_py(), [], ([], [], [])
+        rejected = lambda seq, reason: pa.table([[game], [None], [seq], [None], [reason]], schema=REPLAYED)
+        for seq, op, pos, new, length, numbers in zip(log["seq"], log["op"], log["pos"], log["event_id"], lengths, saves):
+            if op == "insert" and pos is not None and pos <= len(ids):
+                ids.insert(pos, new)
+            elif op == "delete" and pos is not None and pos < len(ids):
+                del ids[pos]
             else:
-                return frame([(key[0], "reject", e.seq, f"{e.op} past the end")], REPLAYED)
-            if recorded and pd.notna(e.length) and e.length != len(ids):
-                return frame([(key[0], "reject", e.seq, f"length {len(ids)} is not {int(e.length)}")], REPLAYED)
-        return frame([(key[0], "id", k, str(x)) for k, x in enumerate(ids)], REPLAYED)
-
-    done = edits.groupBy("game_id").applyInPandas(run, REPLAYED)
+                return rejected(seq, f"{op} past the end")
+            if length is not None and length != len(ids):
+                return rejected(seq, f"length {len(ids)} is not {length}")
+            for number in numbers or ():
+                for column, values in zip(out, ([number] * len(ids), range(len(ids)), ids)):
+                    column.extend(values)
+        return pa.table([[game] * len(out[2]), *out, [None] * len(out[2])], schema=REPLAYED)
+
+    done = edits.select(*whole).groupBy("game_id").applyInArrow(run, "game_id long, save long, i long, id long, reason string")
     half = F.when(F.col("i") % 2 == 0, "w").otherwise("b")
-    final = done.where("what = 'id'").select("game_id", "i", F.col("value").cast("long").alias("id"), (F.floor(F.col("i") / 2) + 1).alias("num"), half.alias("color"))
-    return final, done.where("what = 'reject'").select("game_id", F.col("i").alias("seq"), F.col("value").alias("reason"))
+    final = done.where("reason is null").select("game_id", *(["save"] if "saves" in columns else []), "i", "id", (F.floor(F.col("i") / 2) + 1).alias("num"), half.alias("color"))
+    return final, done.where("reason is not null").select("game_id", F.col("i").alias("seq"), "reason")
 
 
 def captured(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -518,11 +528,11 @@ def replay_entries(base: DataFrame, entries: DataFrame) -> tuple[DataFrame, Data
     begin = F.struct(F.col("ids"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("reason"))
     none = F.struct(F.col("ids"), F.element_at("steps", 1)["n"].cast("long").alias("n"), F.lit("no cells to begin with").alias("reason"))
     both = start.join(steps, "game_id", "full_outer")
-    folded = both.withColumn("s", F.when(F.col("ids").isNull(), none).when(F.col("steps").isNull(), begin).otherwise(F.aggregate("steps", begin, _applied)))
+    folded = kept(both.select("game_id", "numbers", F.when(F.col("ids").isNull(), none).when(F.col("steps").isNull(), begin).otherwise(F.aggregate("steps", begin, _applied)).alias("s")))
     cells = folded.where("s.reason is null").select("game_id", "s.n", "numbers", F.posexplode("s.ids").alias("i", "id"))
     given = base.select("game_id", F.lit(None).cast("long").alias("at"), "id", "payload").union(entries.select("game_id", F.col("n").alias("at"), F.explode("contents").alias("x")).select("game_id", "at", "x.id", "x.payload"))
     content = given.where("payload is not null").groupBy("game_id", "id").agg(F.max_by("payload", F.coalesce("at", F.lit(-1))).alias("payload"))
-    full = cells.join(content, ["game_id", "id"], "left")
+    full = kept(cells.join(content, ["game_id", "id"], "left"))
     short = full.where("payload is null").groupBy("game_id").agg(F.max("n").alias("n"), F.min(F.struct("i", "id")).alias("x"))
     short = short.select("game_id", "n", F.concat(F.lit("no content for cell "), F.col("x.id").cast("string")).alias("reason"))
     named = full.join(short.select("game_id"), "game_id", "left_anti").withColumn("other", F.try_element_at(F.filter("numbers", lambda x: x["i"] == F.col("i")), F.lit(1)))

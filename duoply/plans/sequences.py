@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duoply.fixtures import oracle, table, view
@@ -162,11 +162,12 @@ g AS (SELECT game_id, count_if(gone) AS n_gone, count_if(new) AS n_new, count_if
 SELECT game_id, CASE WHEN n_gone = 0 AND n_new = 0 THEN 'update' WHEN n_new = 0 AND tail AND n_changed = 0 THEN 'truncate' WHEN n_new = 0 THEN 'duplicate-delete' WHEN n_gone = 0 THEN 'gap-insert' ELSE 'realign' END AS type, first, length, deleted, inserted, updated, '' AS sequence FROM g WHERE n_gone + n_new + n_changed > 0""", "edits")
 def seq07_capture_edits(spark, sf_dir):
     """What the last tenth of each game's edits (at least one) changed: a snapshot before it against the whole replay; every seventh cell has another payload in the end."""
-    e = log(spark, sf_dir)
-    last = e.groupBy(F.col("game_id").alias("_game")).agg((F.max("seq") - F.ceil(F.max("seq") / 10)).alias("_saved"))
-    before = e.join(last, F.col("game_id") == F.col("_game")).where("seq <= _saved").drop("_game", "_saved")
+    n = F.max("seq").over(Window.partitionBy("game_id"))
+    saves = F.filter(F.array(F.when(F.col("seq") == n - F.ceil(n / 10), 0), F.when(F.col("seq") == n, 1)), lambda k: k.isNotNull()).cast("array<long>")
     text = lambda more: F.concat(F.lit("m"), (F.col("id") % 9 + more).cast("string"))
-    return A.capture(A.replay(before)[0].withColumn("payload", text(F.lit(0))), A.replay(e)[0].withColumn("payload", text(F.when(F.col("id") % 7 == 0, 1).otherwise(0))))
+    cells = kept(A.replay(log(spark, sf_dir).withColumn("saves", saves))[0])
+    before, after = (cells.where(F.col("save") == k).drop("save") for k in (0, 1))
+    return A.capture(before.withColumn("payload", text(F.lit(0))), after.withColumn("payload", text(F.when(F.col("id") % 7 == 0, 1).otherwise(0))))
 
 
 @query(f"WITH RECURSIVE {LOG}, a AS (SELECT game_id, unnest(range(0, len(ids))) AS i, unnest(ids) AS id FROM step JOIN good USING (game_id) WHERE seq = n) SELECT game_id, i, id, i // 2 + 1 AS num, CASE WHEN i % 2 = 0 THEN 'w' ELSE 'b' END AS color FROM a", "edits")
@@ -181,20 +182,18 @@ def seq08_replay_rejects(spark, sf_dir):
 
 def sessions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(first snapshot, entries, last snapshot): each game is saved after every tenth of its edits, and an entry is captured between two savings. Cells get another payload from time to time, and every thirteenth an own number."""
-    e = log(spark, sf_dir)
     text = lambda k: F.concat(F.lit("m"), ((F.col("id") + k * F.when(F.col("id") % 5 == 0, 1).otherwise(0)) % 9).cast("string"))
-    ends = e.groupBy("game_id").agg(F.max("seq").alias("n"))
-    saved = ends.select("game_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"), F.ceil(F.col("n") * F.col("k") / 10).alias("upto"))
-    # one replay for all savings: the key of a snapshot is the game and its number
-    many = e.join(saved, "game_id").where(F.col("seq") <= F.col("upto")).withColumn("game_id", F.col("game_id") * 16 + F.col("k")).drop("k", "upto")
-    cells = A.replay(many)[0].withColumns({"k": F.col("game_id") % 16, "payload": text(F.col("game_id") % 16)})
-    cells = cells.withColumn("num", F.col("num") + F.when(F.col("id") % 13 == 0, 100).otherwise(0))
-    # a saving without cells is no snapshot, and of games with a bad edit none are left behind it
-    whole = cells.groupBy(F.floor(F.col("game_id") / 16).alias("g")).agg(F.max("k").alias("last")).where("last = 10").select("g")
-    cells = kept(cells.withColumn("g", F.floor(F.col("game_id") / 16)).join(whole, "g").where("k > 0"))
+    n = F.max("seq").over(Window.partitionBy("game_id"))
+    e = log(spark, sf_dir).withColumn("n", n)
+    # one replay for all savings; the key of a snapshot is the game and its number
+    saves = F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: F.ceil(F.col("n") * k / 10) == F.col("seq")).cast("array<long>")
+    cells = kept(A.replay(e.withColumn("saves", saves))[0].withColumnsRenamed({"game_id": "g", "save": "k"}))
+    # a saving without cells is no snapshot, and games that end without cells have none
+    whole = cells.where("k = 10 and i = 0").select("g")
+    cells = cells.join(whole, "g", "left_semi").withColumns({"game_id": F.col("g") * 16 + F.col("k"), "payload": text(F.col("k")), "num": F.col("num") + F.when(F.col("id") % 13 == 0, 100).otherwise(0)})
     later = cells.where("k > 1").withColumn("game_id", F.col("game_id") - 1)
     found = A.captured(cells.where("k < 10").select("game_id", "i", "id", "payload"), later.select("game_id", "i", "id", "payload", "num", "color"))
-    entries = found.withColumn("n", F.col("game_id") % 16).withColumn("game_id", F.floor(F.col("game_id") / 16))
+    entries = kept(found.withColumn("n", F.col("game_id") % 16).withColumn("game_id", F.floor(F.col("game_id") / 16)))
     of = lambda k: cells.where(F.col("k") == k).withColumn("game_id", F.col("g")).select("game_id", "i", "id", "payload", "num", "color")
     return of(1), entries, of(10)
 

@@ -91,3 +91,13 @@ def test_no_rows(spark):
     final, rejects = A.replay_entries(base, none)
     assert [tuple(r) for r in final.collect()] == [(1, 0, 5, "p", 1, "w")] and rejects.count() == 0
     assert A.replay_entries(base.limit(0), none)[0].count() == 0
+
+
+def test_one_replay_gives_all_savings(spark):
+    log = [(g, s, "delete" if s % 4 == 0 else "insert", 0, 10 * g + s, [k for k in (1, 2, 3) if s == 2 * k]) for g in (1, 2) for s in range(1, 7)]
+    log.append((2, 7, "insert", 99, 0, []))  # rejects its game, savings and all
+    final, rejects = A.replay(spark.createDataFrame(log[::-1], "game_id long, seq long, op string, pos long, event_id long, saves array<long>"))
+    want = [(1, 1, [12, 11]), (1, 2, [12, 11]), (1, 3, [16, 15, 12, 11])]
+    got = sorted(map(tuple, final.select("game_id", "save", "i", "id").collect()))
+    assert got == [(g, k, i, x) for g, k, ids in want for i, x in enumerate(ids)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, 7, "insert past the end")]
