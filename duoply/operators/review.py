@@ -58,13 +58,15 @@ def game_report(games: DataFrame, decisions: DataFrame, fixes: DataFrame, pairin
     """One row a game, as reports list it.
 
     games(game_id, section, round, board, cells, final_plies, status),
-    decisions(game_id, ply, action, session, t_sec), fixes as for triage(),
+    decisions(game_id, ply, action, session, t_sec; with event_id seconds are
+    added in its order, so that halves are rounded alike in all runs), fixes as for triage(),
     pairings(game_id, white_name, black_name, result), attention(game_id,
     seconds). Moves are the confirmed plies if known, else those of the picked
     method; counts are 0 and texts empty where nothing is known.
     """
     of = lambda a: F.count_if(F.col("action") == a)
-    seen = decisions.groupBy("game_id").agg(of("override").alias("user_overrides"), of("confirm").alias("confirmations"), of("keep").alias("keeps"), of("edit").alias("review_edits"), F.count_distinct("ply").alias("surfaced_decisions"), F.round(F.sum("t_sec")).cast("long").alias("review_seconds"), F.count_distinct("session").alias("review_sessions"))
+    spent = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("t_sec").isNotNull(), F.struct("event_id", "t_sec")))), F.lit(0.0), lambda total, x: total + x["t_sec"]) if "event_id" in decisions.columns else F.sum("t_sec")
+    seen = decisions.groupBy("game_id").agg(of("override").alias("user_overrides"), of("confirm").alias("confirmations"), of("keep").alias("keeps"), of("edit").alias("review_edits"), F.count_distinct("ply").alias("surfaced_decisions"), F.round(spent).cast("long").alias("review_seconds"), F.count_distinct("session").alias("review_sessions"))
     last = fixes.groupBy("game_id", "method").agg(F.max("ply").alias("plies"), F.count("*").alias("algorithm_fixes"))
     picked = pick_best(fixes).join(last, ["game_id", "method"]).select("game_id", "plies", "algorithm_fixes")
     open_ = attention.select("game_id", F.round("seconds").cast("long").alias("attention_seconds"))

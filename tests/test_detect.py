@@ -50,3 +50,23 @@ def test_one_sheet_and_no_rows(spark, run):
     rows = run(c).collect()
     if run is A.align:
         assert [(r["kind"], r["i"], r["j"]) for r in rows] == [("gap_s2", k, -1) for k in range(12)]
+
+
+def test_a_mean_that_equals_the_limit_is_no_drop(spark):
+    rows = [(1, p, x) for p, x in enumerate([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 6.8])] + [(2, p, x) for p, x in enumerate([6.79, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1])]
+    rows += [(3, p, x) for p, x in enumerate([1.1, 1.3] * 4)] + [(4, p, x) for p, x in enumerate([0.63, 1.01, 1.77, 1.39, 0.85, 1.55, 1.2, 1.2])]
+    got = D.overlap_drop(spark.createDataFrame(rows, "game_id long, ply long, overlap double"), below=1.2)
+    assert [tuple(r) for r in got.collect()] == [(2, 0)]
+
+
+def test_review_seconds_are_added_in_order_of_events(spark):
+    seconds = [0.17, 0.23, 0.25, 0.18, 0.37, 0.3]  # 1.5 in this order, a little less in the other one
+    total, back = 0.0, 0.0
+    for x, y in zip(seconds, seconds[::-1]):
+        total, back = total + x, back + y
+    assert total >= 1.5 > back
+    decisions = spark.createDataFrame([(1, k, k, "keep", 0, x) for k, x in enumerate(seconds)][::-1], "game_id long, event_id long, ply long, action string, session int, t_sec double").coalesce(1)
+    games = spark.createDataFrame([(1, "A", 1, 1, 3, None, "verified")], "game_id long, section string, round int, board int, cells int, final_plies int, status string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    report = V.game_report(games, decisions, none("game_id long, method string, ply long, san string, similarity double, status string"), none("game_id long, white_name string, black_name string, result string"), none("game_id long, seconds double"))
+    assert report.first().review_seconds == 2
