@@ -51,6 +51,26 @@ def ordinals(rows: DataFrame, keys: list[str], order: list[str | Column], name:
     return found.select(*rows.columns, (F.col(row) + F.col(before)).cast("long").alias(name))
 
 
+def followers(rows: DataFrame, keys: list[str], order: list[str | Column], mark: Column, name: str = "next", partitions: int | None = None) -> DataFrame:
+    """rows with the mark of the nearest row behind each one, in the order of its key's rows, that has one (isn't null); behind the last of them the key's first follows, but never a row itself.
+
+    A range is run through once, backwards; what lies behind it is known from one
+    row for each key and range, so a key may be larger than a task.
+    """
+    row, part, value, place, first, later, start, near = fresh([*rows.columns, name], 8)
+    ranged = _ranged(rows.withColumn(value, mark), keys, order, row, part, partitions)
+    w = Window.partitionBy(part, *keys)
+    placed = ranged.withColumn(place, F.row_number().over(w.orderBy(*order, row)))
+    placed = placed.withColumn(near, F.last(value, ignorenulls=True).over(w.orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)))
+    head = F.when(F.col(value).isNotNull(), F.struct(F.col(part).alias("part"), F.col(place).alias("place"), F.col(value).alias("value")))
+    ends = placed.groupBy(*keys, part).agg(F.min_by(head, F.when(F.col(value).isNotNull(), F.col(place))).alias(first))
+    by_key = Window.partitionBy(*keys)
+    ends = ends.withColumns({later: F.last(first, ignorenulls=True).over(by_key.orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)), start: F.first(first, ignorenulls=True).over(by_key.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).drop(first)
+    found = _joined(placed, ends, keys, part)
+    own = F.col(start)["part"].eqNullSafe(F.col(part)) & F.col(start)["place"].eqNullSafe(F.col(place))
+    return found.select(*rows.columns, F.coalesce(near, F.col(later)["value"], F.when(~own, F.col(start)["value"])).alias(name))
+
+
 def clusters(rows: DataFrame, keys: list[str], value: str, tolerance: float, name: str = "cluster", place: str = "place", partitions: int | None = None) -> DataFrame:
     """rows whose value isn't null with the number of their cluster (long, from 0) and their place in the order of their key's values (long, from 1): a new cluster begins where the gap to the value before exceeds the tolerance.
 

@@ -9,7 +9,7 @@ from duoply import config as C
 from duoply.config import METHOD_ORDER
 from duoply.functions.moves import ply_label
 from duoply.operators.detect import clusters_1d
-from duoply.operators.order import ordinals, quantiles
+from duoply.operators.order import followers, ordinals, quantiles
 
 PLACE = {m: i for i, m in enumerate(METHOD_ORDER)}
 
@@ -154,9 +154,5 @@ def work_order(games: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def next_item(games: DataFrame, keys: list[str], order: list, wanted) -> DataFrame:
-    """games with next_id: the game_id of the next wanted game behind each one in its key's order, going on from the first; never itself."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    mark = F.when(wanted, F.col("game_id"))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    first = F.first(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return games.withColumn("next_id", F.coalesce(after, first))
+    """games with next_id: the game_id of the next wanted game behind each one in its key's order, going on from the first; never itself (operators.order.followers), so a key's games needn't meet in one task."""
+    return followers(games, keys, order, F.when(wanted, F.col("game_id")), "next_id")

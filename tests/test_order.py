@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duoply.operators.detect import clusters_1d
-from duoply.operators.order import clusters, fresh, ordinals, quantiles
+from duoply.operators.order import clusters, followers, fresh, ordinals, quantiles
 
 
 def test_fresh_names():
@@ -68,3 +68,17 @@ def test_quantiles(spark):
         assert [got[key].low, got[key].mid, got[key].p90] == [pytest.approx(np.quantile(values, q)) for q in (0, 0.5, 0.9)]
         assert got[key].n == sum(k == key for k, _ in rows)
     assert (got["none"].mid, got["none"].n) == (None, 1)
+
+
+def test_followers_of_a_key_larger_than_a_task(spark):
+    rng = random.Random(3)
+    data = [(k, x, rng.random() < 0.1) for k in (None, "a", "b") for x in range(60)] + [("one", 0, True), ("none", 0, False), ("none", 1, False)]
+    want = {}
+    for k in {r[0] for r in data}:
+        own = sorted(r[1:] for r in data if r[0] == k)
+        for i, (x, _) in enumerate(own):
+            want[k, x] = next((y for y, marked in own[i + 1 :] + own[:i] if marked), None)
+    rows = spark.createDataFrame(data, "k string, x long, marked boolean")
+    for partitions in (1, 7):
+        got = followers(rows, ["k"], ["x"], F.when(F.col("marked"), F.col("x")), partitions=partitions)
+        assert {(r.k, r.x): r.next for r in got.collect()} == want
