@@ -60,11 +60,11 @@ def win04_repeated_rows(spark, sf_dir):
 
 @query("SELECT operator_id, open_game, round(sum(gap), 6) AS seconds FROM (SELECT operator_id, open_game, (epoch_us(lead(ts) OVER (PARTITION BY operator_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS gap FROM interactions) WHERE gap > 0 AND gap <= 7200 GROUP BY ALL", "interactions")
 def str01_stream_attention(spark, sf_dir):
-    """One file a micro-batch, dealt by number, so that events come out of order; a last event far ahead moves the watermark past all others."""
+    """Dealt to micro-batches by number, so that events come out of order; a last event far ahead moves the watermark past all others."""
     path = new_folder(spark)
     rows = view(spark, sf_dir, "interactions")
     last = rows.limit(1).select(F.lit(-1).cast("long").alias("operator_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit("end").alias("open_game"), F.lit(-1).cast("long").alias("event_id"))
-    stream = jobs.replayed(spark, rows.select("operator_id", "ts", "open_game", "event_id").repartition(3, F.col("event_id") % 3), f"{path}/in")
+    stream = jobs.dealt(spark, rows.select("operator_id", "ts", "open_game", "event_id"), f"{path}/in", "event_id")
     last.coalesce(1).write.mode("append").parquet(f"{path}/in")
     found = jobs.drained(jobs.attention(stream, seconds=7200, late="400 days"), path)
     return found.groupBy("operator_id", "open_game").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
@@ -75,8 +75,8 @@ SELECT s.game_id, e.seq, CASE WHEN e.op = 'insert' AND e.pos <= len(ids) THEN id
 SELECT game_id, seq, accepted, len(ids) AS length FROM step WHERE seq > 0""", "edits")
 def str02_stream_edit_replay(spark, sf_dir):
     path = new_folder(spark)
-    e = view(spark, sf_dir, "edits").drop("ts").withColumn("pos", F.col("pos").cast("long")).repartition(3, F.xxhash64("seq"))
-    return jobs.drained(jobs.edits(jobs.replayed(spark, e, f"{path}/in")), path).drop("_batch")
+    e = view(spark, sf_dir, "edits").drop("ts").withColumn("pos", F.col("pos").cast("long"))
+    return jobs.drained(jobs.edits(jobs.dealt(spark, e, f"{path}/in", "seq")), path).drop("_batch")
 
 
 @query("SELECT game_id, sheet, ply, CAST(rk AS INTEGER) AS rk, move FROM candidates UNION ALL SELECT game_id, sheet, ply, CAST(rk AS INTEGER), move FROM candidates WHERE game_id % 4 = 1")
@@ -99,8 +99,8 @@ def str03_stream_ingest(spark, sf_dir):
 def str04_stream_status(spark, sf_dir):
     path = new_folder(spark)
     f = view(spark, sf_dir, "fixes").distinct()
-    rows = f.select("game_id", "status", F.struct("method", "ply", "san", "similarity", "status").alias("seq")).repartition(3)
-    got = jobs.drained(jobs.status(jobs.replayed(spark, rows, f"{path}/in")), path, mode="update")
+    rows = f.select("game_id", "status", F.struct("method", "ply", "san", "similarity", "status").alias("seq"))
+    got = jobs.drained(jobs.status(jobs.dealt(spark, rows, f"{path}/in")), path, mode="update")
     return got.groupBy("game_id").agg(F.max_by("status", "_batch").alias("status"), F.max_by("reports", "_batch").alias("reports"))
 
 
@@ -109,15 +109,15 @@ def str04_status_totals(spark, sf_dir):
     """The totals after the last of three micro-batches of reports."""
     path = new_folder(spark)
     order = F.concat_ws("|", "method", F.format_string("%010d", "ply"), "san", F.format_string("%018.9f", "similarity"), "status")
-    rows = view(spark, sf_dir, "fixes").distinct().select("game_id", "status", order.alias("seq")).repartition(3)
-    totals = jobs.status_totals(jobs.replayed(spark, rows, f"{path}/in"), path)
+    rows = view(spark, sf_dir, "fixes").distinct().select("game_id", "status", order.alias("seq"))
+    totals = jobs.status_totals(jobs.dealt(spark, rows, f"{path}/in"), path)
     return totals.groupBy("status").agg(F.max_by("games", "_batch").alias("games")).where("games > 0")
 
 
 @query(f"""WITH {COMPARE}, so AS (SELECT game_id, bool_and(status = 'SOLVED') AS solved FROM st GROUP BY ALL) SELECT game_id, CASE WHEN NOT solved THEN 'C' WHEN disagreements = 0 AND total <= 5 AND min_similarity >= 0.7 THEN 'A' WHEN disagreements <= 2 AND total <= 12 THEN 'B' ELSE 'C' END AS tier FROM cmp JOIN so USING (game_id)""", "fixes")
 def str04_stream_triage(spark, sf_dir):
     path = new_folder(spark)
-    got = jobs.retriaged(jobs.replayed(spark, view(spark, sf_dir, "fixes").repartition(3, "ply"), f"{path}/in"), path)
+    got = jobs.retriaged(jobs.dealt(spark, view(spark, sf_dir, "fixes"), f"{path}/in", "ply", "san"), path)
     return got.groupBy("game_id").agg(F.max_by("tier", "_batch").alias("tier"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoply.config import ATTENTION_SECONDS
 from duoply.operators.review import triage
 from duoply.sources.readings import parse_readings, records
+from duoply.sources.shared import kept
 from duoply.streaming import states
 
 
@@ -19,6 +20,18 @@ def replayed(spark: SparkSession, df: DataFrame, path: str, files: int = 1) -> D
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+#: Rows of a file that dealt() writes.
+DEALT_ROWS = 1_000_000
+
+
+def dealt(spark: SparkSession, df: DataFrame, path: str, *keys: str | Column, batches: int = 3) -> DataFrame:
+    """A stream over the rows of df, dealt by keys (or in turn) to about `batches` micro-batches; each has files for all cores and none of more than DEALT_ROWS rows."""
+    n = batches * spark.sparkContext.defaultParallelism
+    df.repartition(n, *keys).write.option("maxRecordsPerFile", DEALT_ROWS).parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
+
+
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Everything a stream gives until its source is empty, as a table. In update mode every micro-batch's rows are kept with their batch number."""
     out, schema = f"{path}/out", stream.schema
@@ -97,10 +110,12 @@ def status_totals(rows: DataFrame, path: str) -> DataFrame:
 
 
 def retriaged(fixes: DataFrame, path: str) -> DataFrame:
-    """(game_id, tier, reason, _batch): as fixes arrive, the triage of every game that a micro-batch has reports of, over all its reports so far; the last row of a game is its state. A game's reports are kept in the state (states.Reports), so a micro-batch reads those of its own games only."""
-    kinds = ", ".join(f"{n} {t}" for n, t in fixes.dtypes)
+    """(game_id, tier, reason, _batch): as fixes arrive, the triage of every game that a micro-batch has reports of, over all its reports so far; the last row of a game is its state. What triage needs of a game's reports is kept in the state (states.Reports), one row a method and ply, so a micro-batch reads those of its own games only, and neither its size nor that of the state depends on how often they are reported; tasks condense reports before they are shuffled."""
+    kinds = "game_id long, method string, ply long, san string, similarity double, status string"
+    rows = fixes.select(*(F.col(n).cast(t) for n, t in (c.split() for c in kinds.split(", ")))).mapInArrow(states.first_condensed, kinds)
 
     def keep(batch: DataFrame, number: int) -> None:
-        triage(batch).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/b={number}")
+        # triage reads its rows several times, a micro-batch's states are to be run once
+        triage(kept(batch)).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/b={number}")
 
-    return _run(_stateful(fixes, "game_id", states.Reports(kinds, fixes.columns), kinds), keep, path, "game_id long, tier string, reason string, _batch long")
+    return _run(_stateful(rows, "game_id", states.Reports(kinds), kinds), keep, path, "game_id long, tier string, reason string, _batch long")

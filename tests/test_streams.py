@@ -82,3 +82,31 @@ def test_triage_reads_only_the_games_of_a_batch(spark, tmp_path):
         touched = {r[0] for r in rows}
         want = {tuple(r) for r in triage(spark.createDataFrame([r for r in so_far if r[0] in touched], schema)).collect()}
         assert {tuple(r) for r in got.where(f"_batch = {n}").drop("_batch").collect()} == want
+
+
+def test_triage_state_doesnt_grow_with_repeats(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+
+    from duoply.streaming import states
+
+    kinds = "game_id long, method string, ply long, san string, similarity double, status string"
+    rows = [(1, m, p, s, x, t) for m in ("beam", "greedy") for p in (3, 4) for s, x, t in (("Nf3+", 80.0, "SOLVED"), ("Nf3++", 0.7, "VALID"), (None, None, None))]
+
+    class List:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    p = states.Reports(kinds)
+    p.rows = List()
+    batch = lambda rs: pa.Table.from_batches(list(states.first_condensed([pa.RecordBatch.from_pandas(pd.DataFrame(rs, columns=states.CONDENSED.names), states.CONDENSED, preserve_index=False)]))).to_pandas()
+    for n in range(3):
+        [out] = p.handleInputRows((1,), iter([batch(rows * 50), batch(rows)]), None)
+        assert len(p.rows.rows) == 4 and len(out) == 4
+    assert {tuple(r) for r in triage(spark.createDataFrame(out, kinds)).collect()} == {tuple(r) for r in triage(spark.createDataFrame(rows, kinds)).collect()}
