@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,14 +49,15 @@ def global_alignment(score: np.ndarray, gap: float = C.GAP_COST) -> list[tuple[s
     return path[::-1]
 
 
-#: The pandas types of the columns of results.
-PANDAS = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
+#: The Arrow types of the columns of results. Groups go to Python and back as Arrow tables: of a game's time, pandas frames took most.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
-def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    """Rows of a result, which keep the types of the schema if there are none; missing numbers are for columns of doubles only."""
+def frame(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows of a result, which keep the types of the schema if there are none."""
     fields = [f.split() for f in schema.split(", ")]
-    return pd.DataFrame(rows, columns=[name for name, _ in fields]).astype({name: PANDAS[kind] for name, kind in fields})
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
 ALIGNED = "game_id long, step int, kind string, i int, j int, score double"
@@ -70,20 +70,26 @@ def align(c: DataFrame) -> DataFrame:
     def one(key, scores, size):
         if not len(size):
             return frame([], ALIGNED)
-        table = np.zeros((int(size["n"].iloc[0]), int(size["m"].iloc[0])))
-        table[scores["i"], scores["j"]] = scores["overlap"]
-        rows = [(key[0], k, kind, i, j, float(table[i, j]) if kind == "match" else 0.0) for k, (kind, i, j) in enumerate(global_alignment(table))]
+        table = np.zeros((size["n"][0].as_py(), size["m"][0].as_py()))
+        table[scores["i"].to_numpy(), scores["j"].to_numpy()] = scores["overlap"].to_numpy()
+        rows = [(key[0].as_py(), k, kind, i, j, float(table[i, j]) if kind == "match" else 0.0) for k, (kind, i, j) in enumerate(global_alignment(table))]
         return frame(rows, ALIGNED)
 
-    return pool_scores(c).groupBy("game_id").cogroup(sizes.groupBy("_game")).applyInPandas(one, ALIGNED)
+    return pool_scores(c).groupBy("game_id").cogroup(sizes.groupBy("_game")).applyInArrow(one, ALIGNED)
+
+
+def in_order(rows: pa.Table, order: list[str], columns: list[str]):
+    """The rows of a group in order, as tuples of columns."""
+    t = rows.sort_by([(c, "ascending") for c in order])
+    return zip(*(t[c].to_pylist() for c in columns))
 
 
 class Sheets:
     """The two readings of one game: for each sheet a list of cells, each a pool of (move, conf) by rank; a missing ply is an empty pool."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pa.Table):
         self.cells: list[list[list[tuple[str, float]]]] = [[], []]
-        for sheet, ply, _, norm, conf in rows.sort_values(["sheet", "ply", "rk"])[["sheet", "ply", "rk", "norm", "conf"]].itertuples(index=False):
+        for sheet, ply, norm, conf in in_order(rows, ["sheet", "ply", "rk"], ["sheet", "ply", "norm", "conf"]):
             own = self.cells[sheet - 1]
             own += [[] for _ in range(ply + 1 - len(own))]
             own[ply].append((norm, conf))
@@ -267,7 +273,7 @@ def issue_rows(game: int, found: list[dict]) -> list[tuple]:
 def by_game(c: DataFrame, fn, schema: str) -> DataFrame:
     """fn(game_id, Sheets) -> rows, for each game of the candidates c."""
     rows = normed(c).select("game_id", "sheet", "ply", "rk", "norm", "conf")
-    return rows.groupBy("game_id").applyInPandas(lambda key, pdf: frame(fn(int(key[0]), Sheets(pdf)), schema), schema)
+    return rows.groupBy("game_id").applyInArrow(lambda key, t: frame(fn(key[0].as_py(), Sheets(t)), schema), schema)
 
 
 def gap_suggestions(c: DataFrame) -> DataFrame:
@@ -310,19 +316,19 @@ def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) ->
 
     def run(key, cells, edits):
         sheets = {1: [], 2: []}
-        for sheet, ply, move, conf in cells.sort_values(["sheet", "ply"])[["sheet", "ply", "move", "conf"]].itertuples(index=False):
+        for sheet, ply, move, conf in in_order(cells, ["sheet", "ply"], ["sheet", "ply", "move", "conf"]):
             own = sheets[sheet]
             own += [None] * (ply - len(own))
             own.append((move, conf, ply))
-        for sheet, action, at, n, plies in edits.sort_values("place")[["sheet", "action", "at", "n", "plies"]].itertuples(index=False):
+        for sheet, action, at, n, plies in in_order(edits, ["place"], ["sheet", "action", "at", "n", "plies"]):
             if action == "insert":
                 sheets[sheet][at:at] = [("???", 0.0, -1)] * n
             else:
                 for ply in sorted(map(int, plies.split(",")), reverse=True):
                     del sheets[sheet][ply]
-        return frame([(key[0], sheet, ply, *x) for sheet, own in sheets.items() for ply, x in enumerate(own) if x], EDITED)
+        return frame([(key[0].as_py(), sheet, ply, *x) for sheet, own in sheets.items() for ply, x in enumerate(own) if x], EDITED)
 
-    return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInPandas(run, EDITED)
+    return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInArrow(run, EDITED)
 
 
 def offset_windows(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:

@@ -70,3 +70,10 @@ def test_review_seconds_are_added_in_order_of_events(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     report = V.game_report(games, decisions, none("game_id long, method string, ply long, san string, similarity double, status string"), none("game_id long, white_name string, black_name string, result string"), none("game_id long, seconds double"))
     assert report.first().review_seconds == 2
+
+
+def test_groups_of_a_game_travel_as_arrow_tables(spark):
+    c = spark.createDataFrame([(1, s, p, 0, "e4", 0.9) for s in (1, 2) for p in range(4)], "game_id long, sheet int, ply long, rk int, move string, conf double")
+    for found in (A.align(c), A.cascade(c), A.auto_apply(c, 0.5), A.edited_cells(c, A.auto_apply(c, 0.5))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" in plan and "InPandas" not in plan
