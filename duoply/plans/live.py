@@ -127,8 +127,10 @@ SELECT game_id, sheet, ply, rk, norm, regexp_extract(move, '([a-h][1-8])[+#]*$',
 def udf01_register_functions(spark, sf_dir):
     Q.register(spark)
     cand(spark, sf_dir).createOrReplaceTempView("candidates_for_functions")
-    return spark.sql("""SELECT game_id, sheet, ply, rk, normalize_move(move) AS norm, move_target(move) AS target, parse_move(move).piece AS piece, parse_move(move).capture AS capture, notation_class(move) AS notation,
-      ply_label(ply) AS label, label_ply(ply_label(ply)) AS back, move_complexity(move) AS complexity, is_truncated(move) AS truncated FROM candidates_for_functions""")
+    # functions are called once for each text and each ply, not for each row
+    return spark.sql("""WITH m AS (SELECT move AS text, normalize_move(move) AS norm, move_target(move) AS target, parse_move(move) AS parsed, notation_class(move) AS notation, move_complexity(move) AS complexity, is_truncated(move) AS truncated FROM (SELECT DISTINCT move FROM candidates_for_functions)),
+      p AS (SELECT ply AS at, ply_label(ply) AS label, label_ply(ply_label(ply)) AS back FROM (SELECT DISTINCT ply FROM candidates_for_functions))
+      SELECT game_id, sheet, ply, rk, norm, target, parsed.piece AS piece, parsed.capture AS capture, notation, label, back, complexity, truncated FROM candidates_for_functions LEFT JOIN m ON text <=> move LEFT JOIN p ON at <=> ply""")
 
 
 @query(f"WITH pr AS (SELECT x.game_id, x.ply, x.move AS a, y.move AS b FROM candidates x JOIN candidates y ON x.game_id = y.game_id AND x.ply = y.ply AND x.sheet = 1 AND y.sheet = 2 AND x.rk = 0 AND y.rk = 0), {likeness_sql('pr')} SELECT game_id, ply, round(sim, 6) AS similarity FROM pr JOIN sim USING (a, b) WHERE sim >= 0.5")

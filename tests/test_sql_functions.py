@@ -43,3 +43,10 @@ def test_rows_of_a_text(spark):
     spark.createDataFrame([(1, "1. e4 {best} e5 2.Nf3 [x] Nc6 1-0"), (2, ""), (3, None), (4, " 1... e5 *")], "game_id int, text string").createOrReplaceTempView("some_texts")
     got = spark.sql("SELECT game_id, m.ply, notation_class(m.move) AS kind, m.move FROM some_texts, LATERAL moves_from_text(text) m").collect()
     assert sorted((r.game_id, r.ply, r.move, r.kind) for r in got) == [(1, 0, "e4", "standard"), (1, 1, "e5", "standard"), (1, 2, "Nf3", "standard"), (1, 3, "Nc6", "standard"), (4, 0, "e5", "standard")]
+
+
+def test_functions_run_once_a_text(spark):
+    from duoply.plans.live import QUERIES
+
+    plan = QUERIES["udf01_register_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [move") == 1 and plan.count("Aggregate [ply") == 1
