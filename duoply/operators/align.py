@@ -331,37 +331,80 @@ def edited_cells(c: DataFrame, applied: DataFrame, before: int | None = None) ->
     return tops.groupBy("game_id").cogroup(log.groupBy("_game")).applyInArrow(run, EDITED)
 
 
+#: What a missing key counts as: it comes first in Spark's order.
+FIRST = int(np.iinfo(np.int64).min)
+
+
+def whole_groups(batches):
+    """Tables that hold whole groups each, from batches in order of their first column; a table is a batch or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).fill_null(FIRST).to_numpy()
+        if held and held[-1].column(0)[-1:].fill_null(FIRST)[0].as_py() != ids[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut := int(np.searchsorted(ids, ids[-1])):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def offset_scores(t: pa.Table, window: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(games, last plies, first rows, scores): from a game's first row on, row i has what plies i to i + window - 1 share at offsets -far to far. t(game_id, sheet, ply, rk, norm, conf) holds whole games in order."""
+    game, sheet, ply, rk, conf = (t[x].to_numpy() for x in ("game_id", "sheet", "ply", "rk", "conf"))
+    norm = t["norm"].combine_chunks().dictionary_encode().indices.to_numpy()
+    games, first, g = np.unique(game, return_index=True, return_inverse=True)
+    last = np.maximum(np.maximum.reduceat(ply, first), 0)
+    rows = np.maximum(last, window - 1) + 1
+    begin = np.cumsum(rows) - rows
+    reach = int(last.max()) + 2 * far + 1
+    key = (g * (int(norm.max()) + 1) + norm) * reach + ply + far  # game, move, ply
+    a, b = np.flatnonzero((sheet == 1) & (ply >= 0)), np.flatnonzero((sheet == 2) & (ply >= -far))
+    a, b = a[np.lexsort((rk[a], key[a]))], b[np.argsort(key[b], kind="stable")]
+    a = a[np.append(key[a][1:] != key[a][:-1], True)[: len(a)]]  # the last rank of equal moves
+    low, high = np.searchsorted(key[b], key[a] - far), np.searchsorted(key[b], key[a] + far, "right")
+    n = high - low
+    x, y = np.repeat(a, n), b[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+    cell = (begin[g[x]] + ply[x]) * (2 * far + 1) + ply[y] - ply[x] + far
+    overlap = np.bincount(cell, np.nan_to_num(conf[x] + conf[y]), int(rows.sum()) * (2 * far + 1)).reshape(-1, 2 * far + 1)
+    return games, last, begin, np.round(sum(overlap[k : len(overlap) - window + 1 + k] for k in range(window)), 9)
+
+
+WINDOWS = pa.schema([("game_id", pa.int64()), ("start", pa.int64()), ("base", pa.int32()), ("best", pa.int32()), ("at_base", pa.float64()), ("at_best", pa.float64()), ("transition", pa.bool_())])
+
+
 def offset_windows(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:
     """(game_id, start, base, best, at_base, at_best, transition) of each window of a game: the offset that holds so far, the best one near it and not beyond `far` (the smallest of equals), and what the sheets share at both; a transition makes the best one the base of the windows behind, where it wins by more than `gain`.
 
-    Offsets are scored by a join, and a window's scores are one row; a game's
-    windows are folded in order, JVM-side. The last window may begin between two
-    steps.
+    Rows are shuffled and sorted once, by game; a task scores the games of a
+    batch together and folds each one's windows in order. The last window may
+    begin between two steps.
     """
-    scores = pool_scores(c, far).withColumn("offset", F.col("j") - F.col("i"))
-    last = c.groupBy("game_id").agg(F.max("ply").alias("last"))
-    end = F.greatest(F.lit(0), F.col("last") - window + 1)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), F.floor(end / step)), F.array(F.lit(-1).cast("long"))))
-    at = F.when(F.col("k") < 0, end).otherwise(F.col("k") * step)
-    windows = last.select("game_id", F.explode(starts).alias("k"), "last").select("game_id", at.cast("long").alias("start")).distinct()
-    spans = scores.select("game_id", "i", "offset", "overlap").join(windows, "game_id").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + window))
-    sums = spans.groupBy("game_id", "start", "offset").agg(F.round(F.sum("overlap"), 9).alias("sum"))
-    scored = windows.join(sums.groupBy("game_id", "start").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset").cast("int"), "sum"))).alias("sums")), ["game_id", "start"], "left")
-    games = scored.groupBy("game_id").agg(F.array_sort(F.transform(F.collect_list(F.struct("start", F.map_entries("sums").alias("sums"))), lambda x: F.struct(x["start"].alias("start"), F.coalesce(x["sums"], F.array().cast("array<struct<key:int,value:double>>")).alias("sums")))).alias("windows"))
-
-    def score(sums, offset):
-        return F.aggregate(sums, F.lit(0.0), lambda total, x: F.when(x["key"] == offset, x["value"]).otherwise(total))
-
-    row = "start: long, base: int, best: int, at_base: double, at_best: double, transition: boolean"
-
-    def fold(state, x):
-        base = state["base"]
-        tried = F.transform(F.sequence(F.greatest(F.lit(-far), base - near), F.least(F.lit(far), base + near)), lambda o: F.struct((-score(x["sums"], o)).alias("a"), o.alias("o")))
-        made = F.transform(F.array(F.struct(F.array_min(tried).alias("m"), score(x["sums"], base).alias("s"))), lambda z: F.struct(x["start"].alias("start"), base.alias("base"), z["m"]["o"].alias("best"), z["s"].alias("at_base"), (-z["m"]["a"]).alias("at_best"), ((z["m"]["o"] != base) & (-z["m"]["a"] > z["s"] + gain)).alias("transition")))
-        return F.element_at(F.transform(made, lambda m: F.struct(F.when(m["transition"], m["best"]).otherwise(base).alias("base"), F.concat(state["rows"], F.array(m)).alias("rows"))), 1)
-
-    begin = F.struct(F.lit(0).alias("base"), F.array().cast(f"array<struct<{row}>>").alias("rows"))
-    return games.select("game_id", F.explode(F.aggregate("windows", begin, fold)["rows"]).alias("w")).select("game_id", "w.*")
+
+    def run(batches):
+        for t in whole_groups(batches):
+            out = []
+            *games, scores = offset_scores(t, window, far)
+            for game, last, begin in zip(*(x.tolist() for x in games)):
+                end, base = max(0, last - window + 1), 0
+                starts = [*range(0, end + 1, step), *([end] if end % step else [])]
+                for start, row in zip(starts, scores[begin + np.array(starts)].tolist()):
+                    low = max(-far, base - near)
+                    tried = row[low + far : min(far, base + near) + far + 1]
+                    top, own = max(tried), row[base + far]
+                    best = low + tried.index(top)
+                    moved = best != base and top > own + gain
+                    out.append((game, start, base, best, own, top, moved))
+                    base = best if moved else base
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), WINDOWS)], schema=WINDOWS)
+
+    rows = normed(c).select(*(F.col(x).cast(k).alias(x) for x, k in (("game_id", "long"), ("sheet", "int"), ("ply", "long"), ("rk", "int"), ("norm", "string"), ("conf", "double"))))
+    games = rows.where("game_id is not null and ply is not null").repartition("game_id").sortWithinPartitions("game_id")
+    return games.mapInArrow(run, "game_id long, start long, base int, best int, at_base double, at_best double, transition boolean")
 
 
 def running_offset(c: DataFrame, window: int = 8, step: int = 2, near: int = 4, far: int = 12, gain: float = 0.2) -> DataFrame:

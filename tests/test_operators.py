@@ -259,6 +259,29 @@ def test_shift_suggestions(spark):
     assert A.shift_suggestions(readings(spark, MOVES[:4], MOVES[:4]), A.running_offset(c), A.repeated_rows(twice)).count() == 0
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def many_games(spark, n):
+    """Games with a gap of their own each, as readings(), in one frame."""
+    df = readings(spark, MOVES, MOVES[:20] + MOVES[22:]).withColumn("game_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    return df.where(~((F.col("game_id") % 2 == 0) & (F.col("sheet") == 2)))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100, 10000])
+def test_offset_windows_shuffle_once_whatever_the_batches(spark, rows):
+    c = many_games(spark, 12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        moved = A.running_offset(c)
+        assert shuffles(A.offset_windows(c)) == 1
+        assert sorted((r.game_id, r.before, r.offset) for r in moved.collect()) == [(g, 0, -2) for g in range(1, 12, 2)]
+        assert A.offset_windows(c).groupBy("game_id").count().select("count").distinct().count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def brute_decode(logp, pattern):
     """Every path of symbols, collapsed."""
     best = {}
