@@ -413,9 +413,25 @@ def running_offset(c: DataFrame, window: int = 8, step: int = 2, near: int = 4,
     return moved.select("game_id", "start", F.col("base").cast("long").alias("before"), F.col("best").cast("long").alias("offset"), (F.col("best") - F.col("base")).cast("long").alias("delta"), "at_base", "at_best")
 
 
+def near_repeats(batches):
+    """The rows of plies p to p + 3 of all even plies p whose top is that of p + 2, from batches (game_id, sheet, ply, rk, norm, conf) in order of games."""
+    for t in whole_groups(batches):
+        game, sheet, ply, rk = (t[x].to_numpy() for x in ("game_id", "sheet", "ply", "rk"))
+        moves = t["norm"].combine_chunks().dictionary_encode()
+        norm, n = moves.indices.to_numpy(), len(moves.dictionary)
+        own = np.unique(np.unique(game, return_inverse=True)[1] * (int(sheet.max()) - int(sheet.min()) + 1) + sheet - sheet.min(), return_inverse=True)[1]
+        cell = own * (int(ply.max()) - int(ply.min()) + 4) + ply - ply.min()  # none beside a sheet's last three
+        top = (rk == 0) & (t["norm"].to_numpy() != "")
+        even = top & (ply % 2 == 0)
+        begins = np.unique(cell[even][np.isin((cell[even] + 2) * n + norm[even], cell[top] * n + norm[top])])
+        yield from t.filter(pa.array(np.isin(cell, begins[:, None] + np.arange(4)))).to_batches()
+
+
 def repeated_rows(c: DataFrame) -> DataFrame:
     """(game_id, sheet, at, kind, white, black): full moves at ply `at` that the next one of the same sheet repeats: white halves with the same top, black ones with the same top or of one piece and file; pools overlap."""
     n = normed(c).select("game_id", "sheet", "ply", "rk", "norm", "conf")
+    # few cells take part: those from a white half to the black one behind the next with its top; the rest goes before any join
+    n = kept(n.where("game_id is not null and sheet is not null and ply is not null").repartition("game_id").sortWithinPartitions("game_id").mapInArrow(near_repeats, n.schema))
     tops = n.where("rk = 0").select("game_id", "sheet", "ply", F.col("norm").alias("top")).where("top <> ''")
     keys = ["game_id", "sheet", "ply"]
     later = lambda df: df.withColumn("ply", F.col("ply") - 2)

@@ -282,6 +282,15 @@ def test_offset_windows_shuffle_once_whatever_the_batches(spark, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_only_cells_near_equal_tops_are_compared_for_repeats(spark, monkeypatch):
+    counts, kept = [], A.kept
+    monkeypatch.setattr(A, "kept", lambda df: counts.append((out := kept(df)).count()) or out)
+    twice = readings(spark, MOVES[:12] + MOVES[10:12] + MOVES[12:], MOVES)
+    assert [(r.sheet, r.at, r.kind) for r in A.repeated_rows(twice).collect()] == [(1, 10, "exact")]
+    alike = sum(a == b for moves in (MOVES[:12] + MOVES[10:12] + MOVES[12:], MOVES) for a, b in zip(moves[::2], moves[2::2]))
+    assert len(counts) == 1 and 8 <= counts[0] <= 8 * alike < twice.count() / 2
+
+
 def brute_decode(logp, pattern):
     """Every path of symbols, collapsed."""
     best = {}
