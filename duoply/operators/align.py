@@ -481,29 +481,46 @@ REPLAYED = pa.schema([("game_id", pa.int64()), ("save", pa.int64()), ("i", pa.in
 def replay(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(final ids (game_id, i, id, num, color), rejects (game_id, seq, reason)): insert and delete by position, in order of seq. The first entry that doesn't fit, or after which the length isn't the recorded one (a column length, if there is one), rejects its game as a whole. Entries may have a column saves (array<long>): then ids are those after each entry that has some, in a further column save for each of its numbers."""
     columns = ["game_id", "seq", "op", "pos", "event_id", *(c for c in ("length", "saves") if c in edits.columns)]
-    whole = [F.col(c).cast("long").alias(c) if c in ("seq", "pos", "event_id", "length") else F.col(c) for c in columns]
-
-    def run(key, t):
-        log = t.select(columns[1:]).sort_by("seq").to_pydict()
-        n = len(log["seq"])
-        lengths, saves = log.get("length", [None] * n), log.get("saves", [None] * (n - 1) + [[0]])
-        game, ids, out = key[0].as_py(), [], ([], [], [])
-        rejected = lambda seq, reason: pa.table([[game], [None], [seq], [None], [reason]], schema=REPLAYED)
-        for seq, op, pos, new, length, numbers in zip(log["seq"], log["op"], log["pos"], log["event_id"], lengths, saves):
+    whole = [F.col(c).cast("long").alias(c) if c in ("game_id", "seq", "pos", "event_id", "length") else F.col(c) for c in columns]
+
+    def one(game, log, out):
+        ids, n = [], len(out["i"])
+        for seq, op, pos, new, length, numbers in log:
             if op == "insert" and pos is not None and pos <= len(ids):
                 ids.insert(pos, new)
             elif op == "delete" and pos is not None and pos < len(ids):
                 del ids[pos]
             else:
-                return rejected(seq, f"{op} past the end")
+                return seq, f"{op} past the end"
             if length is not None and length != len(ids):
-                return rejected(seq, f"length {len(ids)} is not {length}")
+                return seq, f"length {len(ids)} is not {length}"
             for number in numbers or ():
-                for column, values in zip(out, ([number] * len(ids), range(len(ids)), ids)):
-                    column.extend(values)
-        return pa.table([[game] * len(out[2]), *out, [None] * len(out[2])], schema=REPLAYED)
+                for column, values in (("game_id", [game] * len(ids)), ("save", [number] * len(ids)), ("i", range(len(ids))), ("id", ids)):
+                    out[column].extend(values)
+        out["reason"].extend([None] * (len(out["i"]) - n))
+        return None
 
-    done = edits.select(*whole).groupBy("game_id").applyInArrow(run, "game_id long, save long, i long, id long, reason string")
+    def run(batches):
+        for t in whole_groups(batches):
+            game, n = t["game_id"].to_pylist(), t.num_rows
+            ids = t["game_id"].fill_null(FIRST).to_numpy()
+            ends = [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), n]
+            saves = t["saves"].to_pylist() if "saves" in columns else [None] * n
+            if "saves" not in columns:
+                for end in ends:
+                    saves[end - 1] = [0]
+            log = list(zip(*(t[x].to_pylist() for x in columns[1:5]), t["length"].to_pylist() if "length" in columns else [None] * n, saves))
+            out = {x: [] for x in REPLAYED.names}
+            for begin, end in zip([0, *ends], ends):
+                sofar = len(out["i"])
+                if wrong := one(game[begin], log[begin:end], out):
+                    for x, value in zip(REPLAYED.names, (game[begin], None, wrong[0], None, wrong[1])):
+                        out[x][sofar:] = [value]
+            yield pa.RecordBatch.from_pydict(out, schema=REPLAYED)
+
+    # rows travel in order, in batches of many games
+    games = edits.select(*whole).repartition("game_id").sortWithinPartitions("game_id", F.asc_nulls_last("seq"))
+    done = games.mapInArrow(run, "game_id long, save long, i long, id long, reason string")
     half = F.when(F.col("i") % 2 == 0, "w").otherwise("b")
     final = done.where("reason is null").select("game_id", *(["save"] if "saves" in columns else []), "i", "id", (F.floor(F.col("i") / 2) + 1).alias("num"), half.alias("color"))
     return final, done.where("reason is not null").select("game_id", F.col("i").alias("seq"), "reason")

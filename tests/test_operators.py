@@ -291,6 +291,22 @@ def test_only_cells_near_equal_tops_are_compared_for_repeats(spark, monkeypatch)
     assert len(counts) == 1 and 8 <= counts[0] <= 8 * alike < twice.count() / 2
 
 
+@pytest.mark.parametrize("rows", [1, 7, 10000])
+def test_replay_takes_many_games_a_batch(spark, rows):
+    log = [(g, s, "insert", 0, 10 * s) for g in range(1, 30) for s in range(1, 1 + g % 5)] + [(30, 1, "delete", 0, 1), (None, 2, "insert", 1, 8), (None, 1, "insert", 0, 7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        final, rejects = A.replay(spark.createDataFrame(log, "game_id long, seq long, op string, pos long, event_id long"))
+        assert "MapInArrow" in final._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in final.orderBy("i").collect():
+            got.setdefault(r.game_id, []).append(r.id)
+        assert got == {g: [10 * s for s in range(g % 5, 0, -1)] for g in range(1, 30) if g % 5} | {None: [7, 8]}
+        assert [tuple(r) for r in rejects.collect()] == [(30, 1, "delete past the end")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def brute_decode(logp, pattern):
     """Every path of symbols, collapsed."""
     best = {}
