@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from datetime import UTC, datetime
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -214,9 +220,22 @@ BASELINE = "array<struct<sheet:int,count:long,checksum:string>>"
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified) of scans below a folder; contents aren't read, work folders are skipped."""
+    """(path, length, modified) of scans below a folder, loose or in zip archives; contents aren't read, work folders are skipped. A scan in an archive has the archive's path in front of its own."""
+
+    def members(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/@"))
+                with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+                    found = [x for x in archive.infolist() if not x.is_dir()]
+                times = [datetime(*x.date_time, tzinfo=UTC) for x in found]
+                yield pa.RecordBatch.from_pydict({"path": [f"{path}/{x.filename}" for x in found], "length": [x.file_size for x in found], "modified": pa.array(times, pa.timestamp("us", "UTC"))})
+
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
-    return f.where(F.col("path").rlike(r"(?i)\.(jpg|jpeg|png|tif|tiff|pdf)$") & ~F.col("path").rlike(r"(_work|_normalized)/"))
+    packed = f.where(F.col("path").rlike(r"(?i)\.zip$")).select("path").mapInArrow(members, "path string, length long, modified timestamp")
+    return f.union(packed).where(F.col("path").rlike(r"(?i)\.(jpg|jpeg|png|tif|tiff|pdf)$") & ~F.col("path").rlike(r"(_work|_normalized)/"))
 
 
 def file_kind(path: Column, first_line: Column) -> Column:
@@ -259,6 +278,32 @@ def scatter(files: DataFrame, folder: str) -> int:
     return files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def pack(files: DataFrame, folder: str, most: int = 10_000, size: int = 1 << 26) -> int:
+    """Writes files(path, content binary) into zip archives in a folder, from the executors; gives their number. An archive has at most `most` files and about `size` bytes, and is named by its task, so that a repeated task writes it again."""
+
+    def put(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        task, k, n = TaskContext.get().partitionId(), 0, 0
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        row = next(rows, None)
+        while row:
+            with zipfile.ZipFile(whole := io.BytesIO(), "w") as archive:
+                inside = 0
+                while row and inside < most and whole.tell() < size:
+                    archive.writestr(*row)
+                    inside, row = inside + 1, next(rows, None)
+            with store.open_output_stream(f"{root}/{task}-{k}.zip") as out:
+                out.write(whole.getbuffer())
+            k, n = k + 1, n + inside
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def encode_logits(cells: DataFrame, vocab: int = 8) -> DataFrame:
     """(file, content): a file's count of cells, their shape, and half-precision values. cells(file, cell, values) of at most some hundred cells a file; `vocab` symbols a frame, or a column of that name."""
 

@@ -1,5 +1,7 @@
 """Game files that are split between tasks, and rounds of several files."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,26 @@ def test_standings_join_a_player_of_many_rows_once(spark):
     rows = G.unpivot_crosstable(one.union(others), 1, standings=True)
     assert rows.count() == n and rows.where("white = 0 and result = '1-0'").count() == n
     assert time.time() - began < 60  # by pairs of rows these are 1.6 billion
+
+
+def test_an_inventory_looks_into_archives(spark):
+    folder = new_folder(spark)
+    files = [("a/one.PNG", b"123"), ("a b/t%41wo+.jpg", b""), ("a/x_work/no.png", b"1"), ("a/no.txt", b"12"), ("a/three.pdf", b"12345")]
+    frame = lambda rows: spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").coalesce(1)
+    assert G.scatter(frame(files[:1]), f"{folder}/loose") == 1 and G.pack(frame(files), packed := new_folder(spark), most=2) == 5
+    odd = Path(folder.removeprefix("file:")) / "in z%41+"
+    odd.mkdir()
+    for file in Path(packed.removeprefix("file:")).glob("*.zip"):
+        (odd / file.name).write_bytes(file.read_bytes())
+    found = G.file_inventory(spark, folder).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in found) == [("one.PNG", 3), ("one.PNG", 3), ("t%41wo+.jpg", 0), ("three.pdf", 5)]
+    assert sum(".zip/" in r.path for r in found) == 3 and all(r.modified.year > 1979 for r in found)
+
+
+def test_the_inventory_of_many_files_writes_few(spark, monkeypatch):
+    from duoply.plans import corpora
+
+    made = []
+    monkeypatch.setattr(corpora, "new_folder", lambda s: made.append(new_folder(s)) or made[-1])
+    assert corpora.src09_file_inventory(spark, "/root/testdata/sf0.001").count() > 1000
+    assert sum(x.is_file() for x in Path(made[0].removeprefix("file:")).rglob("*")) < 200
