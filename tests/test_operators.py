@@ -400,6 +400,18 @@ def test_partitioning_changes_nothing(spark, name, monkeypatch):
     assert sorted(map(tuple, f(spark, SF).collect())) == want
 
 
+def test_suggestions_score_the_offsets_once(spark):
+    """Shifts by a full move that rows repeated on the sheet ahead explain go, all others stay, from one pass over the cells."""
+    cells = spark.range(1, 4).selectExpr("id AS game_id", "explode(sequence(0L, 9L)) AS ply").selectExpr("game_id", "explode(array(1, 2)) AS sheet", "ply", "0 AS rk", "'e4' AS move", "0.9D AS conf")
+    moved = lambda c: A.running_offset(c).select("game_id", F.lit(8).cast("long").alias("start"), F.lit(0.9).alias("at_best"), "delta")
+    repeats = spark.createDataFrame([(1, 2, 4), (2, 1, 4)], "game_id long, sheet int, at long")
+    assert A.shift_suggestions(cells, moved(cells), repeats)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    offsets = spark.createDataFrame([(g, 8, d, 0.9) for g in (1, 2, 3) for d in (2, 4)] + [(1, 10, -2, 0.9), (2, 10, -2, 0.9)], "game_id long, start long, delta long, at_best double")
+    got = sorted((r.game_id, r.cause, r.sheet, r.action) for r in A.shift_suggestions(cells, offsets, repeats).where("cause = 'shift_2'").collect())
+    row = lambda game, ahead: [(game, "shift_2", ahead, "delete"), (game, "shift_2", 3 - ahead, "insert_pair")]
+    assert got == sorted(row(1, 1) + row(2, 2) + row(3, 2))
+
+
 def test_captured_edits_reach_the_end_of_each_game(spark):
     """Applied by hand, edit by edit: what the last tenth of the edits removed and added."""
     games, want = {}, {}
