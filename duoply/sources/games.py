@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from contextlib import contextmanager
 from datetime import UTC, datetime
+from itertools import islice
 from urllib.parse import quote
 
 import numpy as np
@@ -134,18 +136,48 @@ def read_roster_csv(spark: SparkSession, path: str, rated: tuple[str, ...] = ())
     return raw.select(*(v.alias(k) for k, v in known.items())).where("number is not null and name <> ''")
 
 
+@contextmanager
+def opened(path: str):
+    """The zip archive of a path as Spark names it."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/@"))
+    with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+        yield archive
+
+
 #: Columns of a player table before the rounds' triples: number, sex, title, name, rating, federation, id, birthdate, points, rank (fixed value).
 FIXED_COLUMNS = 10
 
 
 def csv_fields(line: Column) -> Column:
     """The trimmed fields of one CSV line: quoted ones may hold commas, and quotes as two."""
-    field = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^",]*),'), F.lit(1))
+    field = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("[^"]*(?:""[^"]*)*"|[^",]*),'), F.lit(1))
     return F.transform(field, lambda x: F.trim(F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)))
 
 
+def table_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, value) of the lines of all files below a folder, loose or in zip archives; place sorts the lines of a file in their order. A file in an archive has the archive's path in front of its own."""
+
+    def members(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with opened(path) as archive:
+                    for x in archive.infolist():
+                        if x.is_dir():
+                            continue
+                        with io.TextIOWrapper(archive.open(x), "utf-8-sig", "replace") as text:
+                            while lines := list(islice(text, 10_000)):
+                                yield pa.RecordBatch.from_pydict({"file": [f"{path}/{x.filename}"] * len(lines), "block": [0] * len(lines), "value": [line.removesuffix("\n") for line in lines]})
+
+    archives = r"(?i)\.zip$"
+    loose = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").where(~F.col("_metadata.file_path").rlike(archives))
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(archives)).mapInArrow(members, "file string, block long, value string")
+    return loose.union(packed).select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("place"), "value")
+
+
 def read_crosstables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tables (file, label, value), players (file, number, name, rating, title, fed, fide_id), games (file, round, white, black, white_name, black_name, result)) of player tables as they are exported, below a folder.
+    """(tables (file, label, value), players (file, number, name, rating, title, fed, fide_id), games (file, round, white, black, white_name, black_name, result)) of player tables as they are exported, below a folder (see table_lines).
 
     A file has label,value rows, a header that begins with "Player No", and a
     row a player: ten columns, then opponent, colour and result for each round,
@@ -156,31 +188,31 @@ def read_crosstables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """
     from pyspark.sql import Window
 
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = kept(raw.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), csv_fields(F.rtrim(F.col("value"))).alias("c")))
+    lines = kept(table_lines(spark, path).select("file", "place", csv_fields(F.rtrim(F.col("value"))).alias("c")))
     first = F.col("c")[0]
-    head = lines.where(first.rlike(r"(?i)^player\s*no$")).groupBy("file").agg(F.min("place").alias("head"))
-    cut = lines.join(F.broadcast(head), "file")  # a row a file
-    tables = cut.where((F.col("place") < F.col("head")) & (first != "")).groupBy("file", F.lower(first).alias("label")).agg(F.max_by(F.coalesce(F.try_element_at("c", F.lit(2)), F.lit("")), "place").alias("value"))
+    # a row a file; the number of its header is the file's key, so that no shuffle carries its path
+    head = kept(lines.where(first.rlike(r"(?i)^player\s*no$")).groupBy("file").agg(F.min("place").alias("head")).withColumn("key", F.col("head.row")))
+    cut = lines.join(F.broadcast(head), "file")
+    tables = cut.where((F.col("place") < F.col("head")) & (first != "")).groupBy("file", "key", F.lower(first).alias("label")).agg(F.max_by(F.coalesce(F.try_element_at("c", F.lit(2)), F.lit("")), "place").alias("value"))
     number = F.regexp_extract(first, r"^(\d+)", 1).try_cast("long")
-    rows = cut.where((F.col("place") > F.col("head")) & number.isNotNull()).select("file", "place", number.alias("number"), "c")
+    rows = cut.where((F.col("place") > F.col("head")) & number.isNotNull()).select("file", "key", "place", number.alias("number"), "c")
     at = lambda i: F.coalesce(F.try_element_at("c", F.lit(i + 1)), F.lit(""))
     whole = lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("long")
     players = rows.groupBy("file", "number").agg(F.max_by(F.struct(at(3).alias("name"), F.coalesce(whole(at(4)), F.lit(0)).alias("rating"), at(2).alias("title"), at(5).alias("fed"), at(6).alias("fide_id")), "place").alias("p")).select("file", "number", "p.*")
-    limit = tables.where("label = 'number of rounds'").select("file", F.coalesce(whole(F.col("value")), F.lit(0)).alias("limit"))
+    limit = tables.where("label = 'number of rounds'").select("key", F.coalesce(whole(F.col("value")), F.lit(0)).alias("limit"))
     known = F.greatest(F.floor((F.size("c") - FIXED_COLUMNS) / 3).cast("int"), F.lit(0))
     rounds = F.when(known > 0, F.transform(F.sequence(F.lit(1), F.greatest(known, F.lit(1))), lambda r: F.struct(r.cast("long").alias("round"), *(F.get("c", FIXED_COLUMNS + (r - 1) * 3 + i).alias(n) for i, n in enumerate(("opp", "color", "cell"))))))
-    t = rows.select("file", "place", "number", F.explode(rounds).alias("r")).select("file", "place", "number", "r.*").join(limit, "file", "left").where((F.coalesce("limit", F.lit(0)) == 0) | (F.col("round") <= F.col("limit")))
+    t = rows.select("key", "place", "number", F.explode(rounds).alias("r")).select("key", "place", "number", "r.*").join(limit, "key", "left").where((F.coalesce("limit", F.lit(0)) == 0) | (F.col("round") <= F.col("limit")))
     t = t.withColumns({"opp": whole(F.col("opp")), "color": F.lower("color")}).where("opp > 0 and color in ('w', 'b')")
     white = F.col("color") == "w"
-    sides = t.select("file", "round", "place", F.when(white, F.col("number")).otherwise(F.col("opp")).alias("white"), F.when(white, F.col("opp")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"))
-    w = Window.partitionBy("file", "round", F.least("white", "black"), F.greatest("white", "black")).orderBy("place")
+    sides = t.select("key", "round", "place", F.when(white, F.col("number")).otherwise(F.col("opp")).alias("white"), F.when(white, F.col("opp")).otherwise(F.col("number")).alias("black"), oriented_result(F.col("cell"), F.col("color")).alias("result"))
+    w = Window.partitionBy("key", "round", F.least("white", "black"), F.greatest("white", "black")).orderBy("place")
     one = sides.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "place")
-    named = lambda side: players.select("file", F.col("number").alias(side), F.col("name").alias(f"{side}_name"))
-    games = one.join(named("white"), ["file", "white"], "left").join(named("black"), ["file", "black"], "left")
+    names = rows.groupBy("key", "number").agg(F.max_by(at(3), "place").alias("name"))
+    named = lambda side: names.select("key", F.col("number").alias(side), F.col("name").alias(f"{side}_name"))
+    games = one.join(named("white"), ["key", "white"], "left").join(named("black"), ["key", "black"], "left").join(F.broadcast(head.select("key", "file")), "key")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return tables, players, games.select("file", "round", "white", "black", empty("white_name"), empty("black_name"), "result")
+    return tables.drop("key"), players, games.select("file", "round", "white", "black", empty("white_name"), empty("black_name"), "result")
 
 
 def unpivot_crosstable(players: DataFrame, rounds: int, standings: bool = False) -> DataFrame:
@@ -223,12 +255,9 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of scans below a folder, loose or in zip archives; contents aren't read, work folders are skipped. A scan in an archive has the archive's path in front of its own."""
 
     def members(batches):
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/@"))
-                with store.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+                with opened(path) as archive:
                     found = [x for x in archive.infolist() if not x.is_dir()]
                 times = [datetime(*x.date_time, tzinfo=UTC) for x in found]
                 yield pa.RecordBatch.from_pydict({"path": [f"{path}/{x.filename}" for x in found], "length": [x.file_size for x in found], "modified": pa.array(times, pa.timestamp("us", "UTC"))})

@@ -88,3 +88,26 @@ def test_the_inventory_of_many_files_writes_few(spark, monkeypatch):
     monkeypatch.setattr(corpora, "new_folder", lambda s: made.append(new_folder(s)) or made[-1])
     assert corpora.src09_file_inventory(spark, "/root/testdata/sf0.001").count() > 1000
     assert sum(x.is_file() for x in Path(made[0].removeprefix("file:")).rglob("*")) < 200
+
+
+def test_tables_in_archives_are_read_as_loose_ones(spark):
+    head = "﻿Number of Rounds,1\r\nPlayer No,Sex,Title,Name,Rating,Federation,FIDE ID,Birthdate,Points,Rank,R1\r\n"
+    rows = '1,,FM,"One, ""A""",1501,ABC,77,,1,1,2,w,1,2,B,1\n2,,,Two,1502,,,,0,2,1,b,0,1,w,0\r2,,, Again ,1502,,,,0,2\n'
+    files = [("a/t.csv", head + rows), ("b c/t%41+.csv", head.replace("1", "0") + rows), ("none.csv", ""), ("headless.csv", rows)]
+    frame = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files], "path string, content binary").coalesce(1)
+    loose, packed, both = new_folder(spark), new_folder(spark), new_folder(spark)
+    G.scatter(frame, loose), G.pack(frame, packed, most=2)
+    G.scatter(frame.where("path like 'a/%'"), both), G.pack(frame.where("path not like 'a/%'"), f"{both}/inner")
+    read = lambda folder: [sorted(tuple(r)[1:] for r in df.collect()) for df in G.read_crosstables(spark, folder)]
+    want = read(loose)
+    assert read(packed) == want and read(both) == want
+    assert want[0] == [("number of rounds", "0"), ("number of rounds", "1")] and want[2] == [(1, 1, 2, 'One, "A"', "Again", "1-0")] * 2 + [(2, 2, 1, "Again", 'One, "A"', "0-1")]
+
+
+def test_the_tables_of_a_query_are_few_files(spark, monkeypatch):
+    from duoply.plans import corpora
+
+    made = []
+    monkeypatch.setattr(corpora, "new_folder", lambda s: made.append(new_folder(s)) or made[-1])
+    tables = corpora.src05_crosstable_players(spark, "/root/testdata/sf0.01").select("file").distinct().count()
+    assert tables > 50 and sum(x.is_file() for x in Path(made[0].removeprefix("file:")).rglob("*")) < tables
