@@ -112,8 +112,9 @@ def merge(c: DataFrame) -> DataFrame:
     })
     t = t.withColumn("promoted", F.coalesce(both & (F.round("best.conf", 9) > F.round("pick_support", 9)), F.lit(False)))
     t = t.withColumns({"move": F.when(F.col("promoted"), F.col("best.norm")).otherwise(F.col("pick")), "conf": F.when(F.col("promoted"), F.col("best.conf")).otherwise(F.col("conf"))})
-    a, b = parse_move(F.col("m1")), parse_move(F.col("m2"))
-    clash = F.coalesce((a["piece"] == "Q") & (b["piece"] == "Q") & (a["target"] != b["target"]), F.lit(False))
+    # the target of a queen's move, as parse_move() gives it, by one pattern
+    a, b = (F.regexp_extract(f"n{i}", r"^Q[a-h]?[1-8]?x?([a-h][1-8])(?:=?[QRBN])?$", 1) for i in (1, 2))
+    clash = F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
     tie = (F.round(F.abs(F.col("s1") - F.col("s2")), 9) < C.NEAR_TIE) & (F.greatest("c1", "c2") >= C.NEAR_TIE_CONF) & (~F.col("unreliable") | clash)
     t = t.withColumn("final", normalize_move(F.col("move")))
     stop = both & ~F.col("agree") & F.col("final").isin(F.col("n1"), F.col("n2")) & (tie | (clash & (F.least("s1", "s2") >= C.CLASH_CONF)))

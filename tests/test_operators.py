@@ -400,6 +400,23 @@ def test_partitioning_changes_nothing(spark, name, monkeypatch):
     assert sorted(map(tuple, f(spark, SF).collect())) == want
 
 
+def test_queens_that_part_stop_a_merge(spark):
+    """Which texts are queens on different squares, as parse_move() says, without parsing every move."""
+    texts = ["Qd4", "Qxd5", "Qd5", "Qad5+", "Q1xd5", "Qa1d5=Q", "Qd5Q", "Qd", "Q", "qd5", "QQd5", "Qd55", "Kd4", "d4", None, "Qh8#", "O-O", " Qd6 "]
+    pairs = [(g, *ab) for g, ab in enumerate(itertools.product(texts, texts))]
+    cells = spark.createDataFrame([(g, s, 0, 0, m, c) for g, x, y in pairs for s, m, c in ((1, x, 0.95), (2, y, 0.5))], "game_id long, sheet int, ply long, rk int, move string, conf double")
+    a, b = M.parse_move(F.col("a")), M.parse_move(F.col("b"))
+    want = {r.g for r in spark.createDataFrame(pairs, "g long, a string, b string").where((a["piece"] == "Q") & (b["piece"] == "Q") & (a["target"] != b["target"])).collect()}
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        merged = J.merge(cells)
+        assert M.FILE_CAPTURE not in merged._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    assert len(want) > 20 and {r.game_id for r in merged.where("ambiguous").collect()} == want
+
+
 def test_suggestions_score_the_offsets_once(spark):
     """Shifts by a full move that rows repeated on the sheet ahead explain go, all others stay, from one pass over the cells."""
     cells = spark.range(1, 4).selectExpr("id AS game_id", "explode(sequence(0L, 9L)) AS ply").selectExpr("game_id", "explode(array(1, 2)) AS sheet", "ply", "0 AS rk", "'e4' AS move", "0.9D AS conf")
