@@ -60,7 +60,9 @@ def links(fps: DataFrame, heavy: int = 256) -> DataFrame:
     around each; setting a bit is enough, because the other side sets it where
     this one has it. Complete distances are checked in the join. A half that
     more than `heavy` fingerprints share is looked up together with each byte
-    of the other half, one of which must be equal.
+    of the other half, one of which must be equal. Those halves, at most
+    len(fps) / 128, are the one table that may be broadcast: the balls are
+    merged, as Spark takes them for no larger than fps, which they are 34 times.
     """
     halves = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
     key = lambda side, value: value + F.lit(side << 32)
@@ -81,7 +83,7 @@ def links(fps: DataFrame, heavy: int = 256) -> DataFrame:
 
     a, b = spread(probes).withColumnRenamed("fp", "a"), spread(index).withColumnRenamed("fp", "b")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
-    return a.join(b, ["key", "part"]).where(near).select("a", "b")
+    return a.hint("merge").join(b.hint("merge"), ["key", "part"]).where(near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from duoply.llm import bpe, linededup, mixing, packing, simhash, token_count
-from duoply.llm.common import strides, tokenizer_path
+from duoply.llm.common import saved, strides, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -223,6 +224,18 @@ def test_links_lose_no_pair(spark, heavy):
     assert got == {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
 
 
+def joins(df):
+    """Its rows, and the joins of the plan that made them."""
+    return df.collect(), re.findall(r"\w+Join \[[^]]*\]", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]))
+
+
+def test_balls_are_not_broadcast(spark):
+    """Spark takes the exploded balls for as small as the fingerprints."""
+    fps = saved(spark.range(0, 2000).select((F.col("id") * 7 - 900).alias("fp")))
+    rows, found = joins(simhash.links(fps))
+    assert rows and "SortMergeJoin [key, part]" in found and not any(x.startswith("BroadcastHashJoin [key, part]") for x in found)
+
+
 @pytest.mark.parametrize("nodes", [10, 1 << 18])
 def test_components_of_a_long_chain(spark, monkeypatch, nodes):
     monkeypatch.setattr(simhash, "NODES", nodes)
