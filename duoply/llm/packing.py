@@ -171,10 +171,11 @@ def pack(docs: DataFrame, path: str, room: int = 2048, end_id: int = 0) -> DataF
 
     A null text is an empty one: only end_id. Repeated rows are packed each.
     Rows with a null doc_id, or with the same one, are documents like others;
-    further columns are not read.
+    further columns are not read. Pieces and their sequences are merged: as
+    Parquet they take a fraction of their memory, by which Spark would broadcast.
     """
     cut = saved(pieces(docs, path, room, end_id).withColumn("_id", F.monotonically_increasing_id()))
     found = fill(cut.select(F.col("_id").alias("id"), "length"), room)
     behind = Window.partitionBy("seq").orderBy(F.desc("length"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.join(found, F.col("_id") == F.col("id")).withColumn("offset", F.coalesce(F.sum("length").over(behind), F.lit(0)))
+    placed = cut.hint("merge").join(found, F.col("_id") == F.col("id")).withColumn("offset", F.coalesce(F.sum("length").over(behind), F.lit(0)))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")

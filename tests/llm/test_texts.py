@@ -236,6 +236,12 @@ def test_balls_are_not_broadcast(spark):
     assert rows and "SortMergeJoin [key, part]" in found and not any(x.startswith("BroadcastHashJoin [key, part]") for x in found)
 
 
+def test_pieces_are_not_broadcast(spark):
+    docs = spark.range(0, 500).select(F.col("id").alias("doc_id"), F.lit("some words of a document").alias("text"))
+    rows, found = joins(packing.pack(docs, PATH))
+    assert len(rows) == 500 and "SortMergeJoin [_id]" in found
+
+
 @pytest.mark.parametrize("nodes", [10, 1 << 18])
 def test_components_of_a_long_chain(spark, monkeypatch, nodes):
     monkeypatch.setattr(simhash, "NODES", nodes)
