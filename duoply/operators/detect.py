@@ -29,10 +29,11 @@ def runs(df: DataFrame, flag: str, keys: tuple[str, ...], order: str = "ply") ->
     return df.withColumn("_changed", changed).withColumn("island", F.sum("_changed").over(w)).drop("_changed")
 
 
-def overlap_drop(scores: DataFrame, window: int = C.DROP_WINDOW, below: float = C.DROP_BELOW) -> DataFrame:
-    """(game_id, start): first even start of a window whose mean overlap, at nine digits (a mean that equals the limit isn't below it), is too low. scores(game_id, ply, overlap), null for blank plies."""
+def overlap_drop(scores: DataFrame, window: int = C.DROP_WINDOW, below: float = C.DROP_BELOW, digits: int | None = 9) -> DataFrame:
+    """(game_id, start): first even start of a window whose mean overlap, at nine digits (a mean that equals the limit isn't below it), is too low. Without digits the mean counts as it comes from adding up by ply. scores(game_id, ply, overlap), null for blank plies."""
     w = by_ply().rowsBetween(0, window - 1)
-    s = scores.withColumns({"i": F.row_number().over(by_ply()) - 1, "mean": F.round(F.coalesce(F.avg("overlap").over(w), F.lit(0.0)), 9), "n": F.count("*").over(w)})
+    mean = F.coalesce(F.avg("overlap").over(w), F.lit(0.0))
+    s = scores.withColumns({"i": F.row_number().over(by_ply()) - 1, "mean": mean if digits is None else F.round(mean, digits), "n": F.count("*").over(w)})
     return s.where((F.col("n") == window) & (F.col("i") % 2 == 0) & (F.col("mean") < below)).groupBy("game_id").agg(F.min("ply").alias("start"))
 
 

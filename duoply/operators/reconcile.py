@@ -124,11 +124,11 @@ def merge(c: DataFrame) -> DataFrame:
 
 
 def overlap(c: DataFrame, with_top: bool = True) -> DataFrame:
-    """(game_id, ply, overlap): sum of both confidences over shared moves; of repeats the left side's last counts, the right side's all."""
+    """(game_id, ply, overlap): sum over shared moves of both confidences, which are added to each other first; of repeats the left side's last counts, the right side's all."""
     t = cells(c if with_top else c.where("rk > 0"))
     last = lambda norm: F.element_at(F.filter("r1", lambda r: r["norm"] == norm), -1)["conf"]
     t = t.withColumn("shared", F.filter("r2", lambda r: F.exists("r1", lambda x: x["norm"] == r["norm"]))).where(F.size("shared") > 0)
-    return t.select(*CELL, F.aggregate("shared", F.lit(0.0), lambda acc, r: acc + r["conf"] + last(r["norm"])).alias("overlap"))
+    return t.select(*CELL, F.aggregate("shared", F.lit(0.0), lambda acc, r: acc + (last(r["norm"]) + r["conf"])).alias("overlap"))
 
 
 def structured_overlap(c: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def scores(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {OVERLAP}, w AS (SELECT game_id, ply, row_number() OVER q - 1 AS i, avg(overlap) OVER (q ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS m, count(*) OVER (q ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM scores WINDOW q AS (PARTITION BY game_id ORDER BY ply)) SELECT game_id, min(ply) AS start FROM w WHERE n = 8 AND i % 2 = 0 AND m < 1.2 GROUP BY ALL")
 def win05_overlap_drop(spark, sf_dir):
-    return D.overlap_drop(scores(spark, sf_dir), below=1.2)
+    return D.overlap_drop(scores(spark, sf_dir), below=1.2, digits=None)  # its SQL compares the mean as it is
 
 
 @query(f"""WITH {OVERLAP}, s AS (SELECT game_id, ply, least(overlap * 4, 2.0::DOUBLE) AS overlap FROM scores), l AS (SELECT *, overlap < 0.25 AS low, CASE WHEN count(*) OVER b = 4 THEN min(overlap) OVER b END AS before, CASE WHEN count(*) OVER a = 4 THEN min(overlap) OVER a END AS after FROM s

@@ -1,8 +1,11 @@
 """Worked cases of rows within a game: marks, later readings of a piece, numbers; and results without rows."""
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from duoply import plans
 from duoply.operators import align as A
 from duoply.operators import detect as D
 from duoply.operators import reconcile as J
@@ -59,6 +62,20 @@ def test_a_mean_that_equals_the_limit_is_no_drop(spark):
     assert [tuple(r) for r in got.collect()] == [(2, 0)]
 
 
+def test_overlap_drop_adds_as_its_sql_does(spark, tmp_path):
+    """Eight plies whose mean is 1.2 as decimals, and a little less as DuckDB adds them up; others, in which it isn't."""
+    ids = {1: [432056, 432388, 433998, 436141, 436967, 440715, 441387, 442021], 2: list(range(432056, 432068)), 3: list(range(7, 1000, 41))}
+    rows = [(e, pd.Timestamp(k, unit="s"), game, "click", 1.0) for game, of in ids.items() for k, e in enumerate(of)]
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+    events.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    for t in ("orders", "customer", "lineitem", "embeddings"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    duck = duckdb.connect(config={"threads": 1})
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = duck.sql(plans.ORACLES["win05_overlap_drop"]).fetchall()
+    assert (1, 0) in want and sorted(tuple(r) for r in plans.QUERIES["win05_overlap_drop"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_review_seconds_are_added_in_order_of_events(spark):
     seconds = [0.17, 0.23, 0.25, 0.18, 0.37, 0.3]  # 1.5 in this order, a little less in the other one
     total, back = 0.0, 0.0
